@@ -162,3 +162,46 @@ def whole_windows(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """min or max over each run of ``size`` values, by doubling."""
+    if len(x) < size:
+        return x[:0]
+    out, have = x, 1
+    while have < size:
+        step = min(have, size - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def sequence_class(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each row's word sequence."""
+    return tuple(row_sums(mix64(words + np.uint64(s)) * _places(words, bounds, s), bounds) for s in (11, 23))
+
+
+def _places(words: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    at = np.arange(len(words), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
+    return mix64(at * np.uint64(_GOLD) + np.uint64(salt)) | np.uint64(1)
+
+
+def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of each row's values, mixed with their count."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=sums[1:])
+    return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_GOLD))
+
+
+#: A side of a join is broadcast up to this size; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_texts(docs: DataFrame, side: DataFrame, key: str, how: str, row_bytes: int, items: str = "0", most: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` joined with a written table, so that texts are only shuffled if that table is large. Its size is
+    counted first: ``row_bytes`` for each row, and 8 bytes for each of the ``items`` (an SQL expression) in it."""
+    from pyspark.sql import functions as F
+
+    n, m = side.agg(F.count(F.lit(1)), F.sum(F.expr(items).cast("long"))).first()
+    size = n * row_bytes + 8 * (m or 0)
+    return docs.join(F.broadcast(side) if size <= most else side.hint("merge"), key, how)
