@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuegrid.llm import gru
 from cuegrid.llm.common import prepare, text_slices
@@ -51,28 +53,36 @@ def fit(docs: DataFrame, steps: int = 300) -> gru.Model | None:
     return gru.train([r["text"].encode() for r in picked], [labels.index(r["lang"]) for r in picked], labels, steps)
 
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-
-
-def predict(docs: DataFrame, model: gru.Model | None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every document; only the text is an input."""
+def with_prediction(docs: DataFrame, model: gru.Model | None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: all) of the columns of ``docs``, with lang_pred and score added; the columns must not
+    have these names. Only ``text`` is an input."""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", held_out(FOLDS, 0).alias("held_out"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*(keep or docs.columns), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    columns = docs.columns
+    kept = keep or columns
+    at, out = columns.index("text"), [columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
-            p = [gru.pooled(model, data, offsets) for _, data, offsets in text_slices(batch.column(2))]
+            letters = np.asarray(batch.column(len(columns)))
+            texts = pc.if_else(batch.column(len(columns)), batch.column(at), None)
+            p = [gru.pooled(model, data, offsets) for _, data, offsets in text_slices(texts)]
             p = np.concatenate(p) if p else np.zeros((0, len(model.labels)))
             best = p.argmax(1) if len(p) else np.zeros(0, int)
-            known = np.asarray(batch.column(2).is_valid())
-            score = np.where(known, np.clip(p.max(1, initial=0.0), 0.0, 1.0), 0.0)
-            label = names[np.where(known, best, len(model.labels))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            score = np.where(letters, np.clip(p.max(1, initial=0.0), 0.0, 1.0), 0.0)
+            label = names[np.where(letters, best, len(model.labels))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(label, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*columns, letters.alias("__letters")).mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: gru.Model | None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document."""
+    return with_prediction(docs.select("doc_id", held_out(FOLDS, 0).alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
