@@ -142,4 +142,4 @@ def content_hash(content: Column) -> Column:
 
 def retry_wait(attempt: Column, retry_after: Column) -> Column:
     """Seconds before another try: what the server asks for, 60 at most, or else 2, 4, 8 and so on."""
-    return F.coalesce(F.least(retry_after.cast("double"), F.lit(60.0)), F.pow(F.lit(2.0), attempt + 1))
+    return F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(60.0))).otherwise(F.pow(F.lit(2.0), attempt + 1))
