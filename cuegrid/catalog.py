@@ -630,3 +630,83 @@ def stream_phrases(spark, sf_dir):
     events = source.select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
     stream.start(stream.phrase_sessions(events), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema("media long, start timestamp, end timestamp, n_words long").parquet(f"{out}/rows")
+
+
+# --- plans and checks beside the main path ---
+
+
+@query(
+    """SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'ffmpeg|-y|-loop|1|-t|' || CAST(p_size AS VARCHAR) || '|-i|/i/' || CAST(p_partkey AS VARCHAR) || '.png|-f|lavfi|-t|' || CAST(p_size AS VARCHAR) || '|-i|anullsrc=channel_layout=stereo:sample_rate=48000|-vf|scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2:black,fps=30|-c:v|libx264|-preset|veryfast|-crf|20|-pix_fmt|yuv420p|-c:a|aac|-ar|48000|-ac|2|-shortest|-movflags|+faststart|/o/' || CAST(p_partkey AS VARCHAR) || '.mp4' END AS image_plan,
+  CASE p_partkey % 3 WHEN 1 THEN p_brand || chr(10) || chr(10) || p_type WHEN 2 THEN p_brand END AS card FROM part"""
+)
+def rough_cut_plan(spark, sf_dir):
+    k = F.col("p_partkey")
+    image = ffmpeg.image_segment(F.concat(F.lit("/i/"), k.cast("string"), F.lit(".png")), F.col("p_size").cast("string"), F.concat(F.lit("/o/"), k.cast("string"), F.lit(".mp4")))
+    card = ffmpeg.card_text(F.col("p_brand"), F.lit("  "), F.when(k % 3 == 1, F.col("p_type")))
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 3 == 0, F.array_join(image, "|")).alias("image_plan"), F.when(k % 3 != 0, card).alias("card"))
+
+
+@query(
+    """SELECT p_partkey AS k, 'ffmpeg|-y|-hide_banner|-nostats|-i|/a/' || CAST(p_partkey AS VARCHAR) || '.mov' || CASE WHEN p_size % 2 = 0 THEN '|-c:v|copy' ELSE '' END || '|-af|loudnorm=I=-14:TP=-1:LRA=11'
+  || CASE WHEN p_size % 3 <> 0 THEN ':measured_I=-' || CAST(p_size AS VARCHAR) || ':measured_TP=-2:measured_LRA=7:measured_thresh=-30:offset=0.1:linear=true' ELSE '' END || '|-c:a|aac|-b:a|192k|-ar|48000' || CASE WHEN p_partkey % 2 = 0 THEN '|-movflags|+faststart|/b/o.mp4' ELSE '|/b/o.MKV' END AS plan FROM part"""
+)
+def loudness_plan(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    report = F.concat(F.lit('log {"input_i": "-'), n.cast("string"), F.lit('", "input_tp": "-2", "input_lra": "7", "input_thresh": "-30"'), F.when(n % 3 != 0, ', "target_offset": "0.1"').otherwise(""), F.lit("} end"))
+    p = table(spark, sf_dir, "part").select(k.alias("k"), n.alias("n"), readers.loudness(report).alias("m"))
+    plan = ffmpeg.loudnorm(F.concat(F.lit("/a/"), F.col("k").cast("string"), F.lit(".mov")), F.when(F.col("k") % 2 == 0, "/b/o.mp4").otherwise("/b/o.MKV"), F.col("m"), F.col("n") % 2 == 0)
+    return p.select("k", F.array_join(plan, "|").alias("plan"))
+
+
+@query(
+    """SELECT p_partkey AS k, printf('fps=%.8f,scale=320:-1,tile=4x3', 12.0 / p_size) AS sheet, CAST(least(12, greatest(1, 1920 // 14)) AS INT) AS frames, CAST(round_even(least(1.0, 0.1 * p_size) * 1000, 0) AS BIGINT) AS first_ms, CAST(round_even(greatest(p_size - 1, 0.9 * p_size) * 1000, 0) AS BIGINT) AS last_ms,
+  CAST(round_even(greatest(0.5, least(10.0 / p_size, 10.0)) * 1000, 0) AS BIGINT) AS fps FROM part"""
+)
+def sampling_plan(spark, sf_dir):
+    d = F.col("p_size").cast("double")
+    times = signal.grade_sample_times(d)
+    sheet = F.element_at(ffmpeg.contact_sheet(F.lit("/a"), F.lit("/b"), d, 4, 3, 320), 6)
+    milli = lambda c: F.rint(c * 1000).cast("long")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), sheet.alias("sheet"), ffmpeg.capped_frames(F.lit(12)).alias("frames"), milli(times[0]).alias("first_ms"), milli(times[4]).alias("last_ms"), milli(signal.sampling_fps(d)).alias("fps"))
+
+
+@query(
+    f"""WITH {PHRASES_SQL}, w AS (SELECT media, phrase_id // 4 AS window_id, min(start_ms) AS s, max(end_ms) AS e, string_agg(text, ' ' ORDER BY phrase_id) AS t FROM phrases GROUP BY 1, 2)
+SELECT media, CAST(window_id AS BIGINT) AS window_id, CAST(rule AS INT) AS rule FROM (SELECT media, window_id, unnest(list_filter([CASE WHEN window_id % 7 = 3 THEN 1 END, CASE WHEN window_id % 7 = 4 THEN 3 END, CASE WHEN window_id % 5 = 2 AND window_id % 7 <> 3 THEN 4 END, CASE WHEN window_id % 3 = 1 AND window_id % 7 <> 3 THEN 5 END], lambda x: x IS NOT NULL)) AS rule FROM w)"""
+)
+def payload_violations(spark, sf_dir):
+    p = phrase_cues(spark, sf_dir).withColumn("window_id", F.floor(F.col("phrase_id") / 4).cast("long"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("phrase_id", "text"))), lambda x: x["text"]), " ")
+    want = p.groupBy("media", "window_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("source_text"))
+    k = F.col("window_id")
+    got = want.where(k % 7 != 3).select("media", "window_id", "start_ms", (F.col("end_ms") + F.when(k % 7 == 4, 1).otherwise(0)).alias("end_ms"), F.concat("source_text", F.when(k % 5 == 2, "!").otherwise("")).alias("source_text"), F.when(k % 3 != 1, "x").otherwise(" ").alias("translated_text"))
+    return edl.payload_violations(want, got).drop("message")
+
+
+@query(
+    """SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'warning' WHEN abs(p_partkey % 4 * 0.25) <= 0.5 THEN 'info' ELSE 'fail' END AS duration, CASE WHEN p_size % 6 = 0 THEN 'warning' WHEN p_partkey % 3 * 0.2 <= 0.25 THEN 'info' ELSE 'fail' END AS visual FROM part"""
+)
+def threshold_checks(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    expected = F.when(n % 5 != 0, n.cast("double"))
+    delta = F.when(n % 6 != 0, k % 3 * 0.2)
+    return table(spark, sf_dir, "part").select(k.alias("k"), signal.duration_check(n + k % 4 * 0.25, expected)["severity"].alias("duration"), signal.visual_check(delta)["severity"].alias("visual"))
+
+
+@query(
+    """WITH f AS (SELECT user_id AS media, event_id AS finding, event_id % 300 AS cut FROM events WHERE event_id % 4 <> 0), p AS (SELECT user_id AS media, event_id AS picture_no, event_id % 300 AS cut FROM events WHERE event_id % 3 = 0)
+SELECT f.media, f.finding, '/t/' || CAST(min(picture_no) AS VARCHAR) || '.png' AS timeline_png FROM f LEFT JOIN p ON p.media = f.media AND p.cut = f.cut GROUP BY 1, 2"""
+)
+def finding_pictures(spark, sf_dir):
+    f = _findings(spark, sf_dir).where("cut_time IS NOT NULL").select("media", "finding", "cut_time")
+    e = F.col("event_id")
+    p = table(spark, sf_dir, "events").where(e % 3 == 0).select(F.col("user_id").alias("media"), e.alias("picture_no"), (e % 300 / 10.0).alias("cut_time"), F.concat(F.lit("/t/"), e.cast("string"), F.lit(".png")).alias("path"))
+    return signal.nearest_picture(f, p).drop("cut_time")
+
+
+@query(
+    """SELECT o_orderpriority AS batch, count(*) FILTER (WHERE o_orderkey % 9 <> 0) AS n_ok, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS n_failed FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"""
+)
+def batch_result(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.when(F.col("o_orderkey") % 9 == 0, "failed").alias("error"))
+    return sinks.batch_result(o).where("n_ok + n_failed > 0").select(F.lit("1-URGENT").alias("batch"), "n_ok", "n_failed")

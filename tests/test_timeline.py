@@ -349,3 +349,21 @@ def test_payload_violations(spark):
 def test_registered_functions(spark):
     X.register(spark)
     assert spark.sql("SELECT cue_srt_time(3723500L) AS a, cue_overlaps(0L, 5L, 5L, 9L) AS b").first() == ("01:02:03,500", False)
+
+
+def test_runner(spark):
+    from cuegrid.plans import runner
+
+    plans = made(spark, [(1, ["a"]), (2, ["b"]), (3, ["c"])], "k long, argv array<string>")
+
+    def call(argv):
+        if argv == ["c"]:
+            raise OSError("gone")
+        return (0, "fine") if argv == ["a"] else (1, "bad input")
+
+    assert sorted(map(tuple, runner.run(plans, "k", call=call).collect())) == [(1, 0, None), (2, 1, "bad input"), (3, -1, "OSError: gone")]
+    heard = runner.transcribe(made(spark, [(1, "/a.wav"), (2, "/b.wav")], "media long, path string"), lambda p: {"words": [{"word": p, "start": 0, "end": 1}]} if p == "/a.wav" else 1 / 0)
+    rows = {r.media: r for r in heard.collect()}
+    assert rows[2].error.startswith("ZeroDivisionError")
+    read = heard.where("error IS NULL").select("media", F.from_json("transcript", readers.TRANSCRIPT).alias("t")).select("media", "t.*")
+    assert readers.transcript_words(read).first().word == "/a.wav"
