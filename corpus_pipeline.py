@@ -21,7 +21,7 @@ from cuegrid.llm.common import join_texts, materialise
 
 def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the listed doc_ids; rows with null doc_id stay."""
-    return join_texts(docs, materialise(ids.where("doc_id IS NOT NULL").distinct(), "dropped"), "doc_id", "left_anti", 16)
+    return join_texts(docs, materialise(ids.where("doc_id IS NOT NULL").distinct(), "dropped"), "doc_id", "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

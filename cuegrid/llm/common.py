@@ -48,7 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that no later step reads."""
+    for df in written:
+        remove(df.sparkSession, df.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -193,15 +201,44 @@ def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_GOLD))
 
 
-#: A side of a join is broadcast up to this size; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
+#: Bits of the filter that keeps texts out of shuffles; its broadcast has FILTER_BITS / 64 rows at most.
+FILTER_BITS = 1 << 24
 
 
-def join_texts(docs: DataFrame, side: DataFrame, key: str, how: str, row_bytes: int, items: str = "0", most: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` joined with a written table, so that texts are only shuffled if that table is large. Its size is
-    counted first: ``row_bytes`` for each row, and 8 bytes for each of the ``items`` (an SQL expression) in it."""
+def join_texts(docs: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """``docs`` joined (inner, left or left_anti) with a written table on ``key``, so that only texts that may
+    have a partner are shuffled: a bit set over the hashes of the side's keys, of a fixed size, is broadcast
+    first. A key that is not in it has no partner; the others meet in a shuffled join. The plan is the same for
+    any size of the side; a side of very many keys only lets more texts through."""
     from pyspark.sql import functions as F
 
-    n, m = side.agg(F.count(F.lit(1)), F.sum(F.expr(items).cast("long"))).first()
-    size = n * row_bytes + 8 * (m or 0)
-    return docs.join(F.broadcast(side) if size <= most else side.hint("merge"), key, how)
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    bits = side.select(at.alias("_at")).selectExpr("_at div 64 AS _word", "shiftleft(1L, CAST(_at % 64 AS INT)) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = docs.withColumn("_at", at).withColumn("_word", F.expr("_at div 64")).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("coalesce(_bits & shiftleft(1L, CAST(_at % 64 AS INT)), 0L) <> 0")
+    met = marked.where(hit).select(*docs.columns).join(side.hint("merge"), key, how)
+    if how == "inner":
+        return met
+    alone = marked.where(~hit).select(*docs.columns)
+    if how == "left":
+        alone = alone.select(*docs.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields if f.name != key))
+    return met.select(*alone.columns).unionAll(alone)
+
+
+class Seen:
+    """Which values a task has met, up to ``most`` of them at once; forgetting only costs repeated work."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.values: set[int] = set()
+        self.most = most
+
+    def new(self, values: np.ndarray) -> np.ndarray:
+        """True for the first occurrence of each value."""
+        out = np.zeros(len(values), bool)
+        for k, v in enumerate(values.tolist()):
+            if v not in self.values:
+                self.values.add(v)
+                out[k] = True
+        if len(self.values) > self.most:
+            self.values.clear()
+        return out

@@ -32,11 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import join_texts, materialise, mix64, prepare, sequence_class, signed, sliding, text_slices, whole_windows, window_hashes, word_hashes
+from cuegrid.llm.common import Seen, join_texts, materialise, mix64, prepare, sequence_class, signed, sliding, text_slices, whole_windows, window_hashes, word_hashes
 
 WINDOW, BASE = 50, 13
-#: How many starts a row of removals() holds.
-PLACES = "aggregate(cuts, 0, (s, x) -> s + coalesce(size(x.places), 0))"
 assert 3 * BASE <= WINDOW + 1
 
 
@@ -69,6 +67,8 @@ def seeds_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of the classes that the task has not met yet."""
+    seen = Seen()
     for batch in batches:
         for _, _, words, bounds, _, _ in _slices(batch.column(0)):
             at = seeds_of(words, bounds)
@@ -76,6 +76,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             a, _ = sequence_class(words, bounds)
             row = np.searchsorted(bounds, at, "right") - 1
+            first = seen.new(a)[row]
+            at, row = at[first], row[first]
             short, double = window_hashes(words, BASE), window_hashes(words, 2 * BASE, 1)
             left, right = at - BASE >= bounds[row], at + 2 * BASE <= bounds[row + 1]
             pick = lambda ok, p: pa.array(signed(double[np.clip(p, 0, len(double) - 1)]), mask=~ok)  # noqa: E731, B023
@@ -139,7 +141,7 @@ def removals(docs: DataFrame) -> DataFrame:
     )
     left = extended.join(shared(extended, "double"), "double", "left_semi").groupBy("c1").agg(F.collect_set("code").alias("codes"))
     candidates = materialise(owners.where("owner IS NOT NULL").join(left, "c1").select(F.col("owner").alias("doc_id"), "c1", "codes"), "candidates")
-    long = join_texts(rows, candidates, "doc_id", "inner", 40, "size(codes)").select("doc_id", "text", "c1", "codes").mapInArrow(_long_windows, "w1 long, w2 long, doc_id long, c1 long, place int")
+    long = join_texts(rows, candidates, "doc_id", "inner").select("doc_id", "text", "c1", "codes").mapInArrow(_long_windows, "w1 long, w2 long, doc_id long, c1 long, place int")
     smallest = long.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w1", "w2", "a")
     cut = long.join(smallest, ["w1", "w2"]).where("doc_id > a").groupBy("doc_id", "c1").agg(F.collect_set("place").alias("places"))
     copies = classes.join(owners, ["c1", "c2"]).where("doc_id > owner").select("doc_id", "c1").distinct().withColumn("places", F.expr("CAST(NULL AS ARRAY<INT>)"))
@@ -200,7 +202,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 out[at] = pa.array([None if t is None else len(t) for t in texts], batch.column(at).type)
             yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
 
-    return join_texts(docs, gone, "doc_id", "left", 60, PLACES).select(*columns, "cuts").mapInArrow(run, schema)
+    return join_texts(docs, gone, "doc_id", "left").select(*columns, "cuts").mapInArrow(run, schema)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -216,7 +218,7 @@ def digest(docs: DataFrame) -> DataFrame:
             n, removed, sha = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return join_texts(rows, removals(docs), "doc_id", "left", 60, PLACES).select("doc_id", "text", "cuts").mapInArrow(run, SCHEMA)
+    return join_texts(rows, removals(docs), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(run, SCHEMA)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
