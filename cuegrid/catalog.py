@@ -523,7 +523,7 @@ def recheck_findings(spark, sf_dir):
 
 @query(
     """SELECT o_orderkey AS media, CASE WHEN o_orderkey % 3 = 0 OR o_custkey % 50 = 0 THEN NULL WHEN o_custkey % 20 = 0 THEN 'missing-or-invalid-segment-end' WHEN o_custkey % 5 = 0 THEN 'ratio-close-to-1' WHEN o_custkey % 5 = 1 THEN 'ratio-not-close-enough-to-integer' WHEN o_custkey % 5 = 2 THEN 'ratio-does-not-match-observed-mlx-compression' ELSE 'applied' END AS reason,
-  CASE WHEN o_orderkey % 3 = 0 OR o_custkey % 50 = 0 OR o_custkey % 20 = 0 OR o_custkey % 5 < 3 THEN 1.0 ELSE 10.0 END AS factor FROM orders"""
+  CAST(CASE WHEN o_orderkey % 3 = 0 OR o_custkey % 50 = 0 OR o_custkey % 20 = 0 OR o_custkey % 5 < 3 THEN 1.0 ELSE 10.0 END AS DOUBLE) AS factor FROM orders"""
 )
 def timestamp_correction(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuegrid.functions import text as X
 from cuegrid.operators import islands
 
 PAD_MS = 30
