@@ -7,7 +7,8 @@ link if 4 * |A and B| >= 3 * |A or B|.
 Points. Shingles are hashed into GROUPS groups; a set's counts by group are its point. For any two sets the
 overlap is at most the sum of the coordinate-wise minima of their points, and for a node of an R-tree at most
 the sum of the minima of a point and the upper corner of the node's box. Nodes and pairs whose bound is too
-small for a link are cut; the rest are verified on the full sets.
+small for a link are cut; the rest are verified on the full sets. Before the
+sets are sent, pairs must also pass the bound of points with FINE groups.
 
 Blocks. One tree over all documents would neither be bounded nor spread, so trees are built for blocks that
 together hold every possible link: under any total order of the shingles two linked sets share an element among
@@ -16,9 +17,10 @@ order is by hash, but shingles found to be common come last, so blocks are small
 matters for speed, as any order is right.
 
 Classes. Documents with equal sets form a class, and one document stands for it. First each class is verified
-against one candidate of its blocks (the least class of most of its blocks). Then the trees look for pairs of
-classes that are not in one component yet, and these are verified in waves, the most promising first: a wave
-drops pairs that earlier links have joined. No pair of different components stays unverified.
+against one candidate of its blocks (the least class of most of its blocks), then against the most promising
+partner that the trees give it outside its component (ROUNDS times). Last the trees give all pairs of classes
+that are not in one component yet, each from one of its blocks, and these are verified; links found first drop
+pairs that they have joined. No pair of different components stays unverified.
 
 Defined cases: null text counts as empty; null doc_id stays and is no component's id unless it is alone (then
 null); repeated rows are rows of one class; very long texts are read whole; other columns are ignored. Shingles
@@ -35,14 +37,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import join_texts, materialise, mix64, prepare, row_sums, sequence_class, signed, text_slices, whole_windows, window_hashes, word_hashes
+from cuegrid.llm.common import Seen, discard, join_texts, materialise, mix64, prepare, row_sums, sequence_class, signed, text_slices, whole_windows, window_hashes, word_hashes
 from cuegrid.llm.components import components
 
-SHINGLE, GROUPS = 5, 64
+SHINGLE, GROUPS = 5, 256
+#: Groups of the finer points that pairs must pass before their sets are sent. Coarse counts of long documents
+#: are all alike: the bound tells sets of n shingles apart from about n / 15 groups on.
+FINE = 2048
 #: A shingle that this many prefixes hold comes last in the order, at most so many shingles.
 COMMON, MOST_COMMON = 64, 100_000
 LEAF = 16
-WAVES = 3
+#: Rounds in which each class only asks for its most promising partner, before all pairs are looked at.
+ROUNDS = 1
+WAVES = 1
+#: Smallest block tokens of a class that go with it, to look at a pair in one of its blocks only.
+HEADS = 8
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,11 +75,11 @@ def set_class(values: np.ndarray, bounds: np.ndarray, salt: int = 1) -> np.ndarr
     return row_sums(mix64(values ^ np.uint64(0xA5A5 * salt)), bounds)
 
 
-def points(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts by group (rows, GROUPS)."""
+def points(values: np.ndarray, bounds: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Counts by group (rows, groups)."""
     n = len(bounds) - 1
     row = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(row * GROUPS + (mix64(values) % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.uint32)
+    return np.bincount(row * groups + (mix64(values) % np.uint64(groups)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.uint32)
 
 
 def prefix(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +95,29 @@ def prefix(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> tuple[
     return row[keep], values[keep]
 
 
+def packed_points(p: np.ndarray) -> list[bytes]:
+    """A byte for each group, or four where a count needs them."""
+    return [x.astype(f"<u{1 if x.max(initial=0) < 256 else 4}").tobytes() for x in p]
+
+
+def unpacked_points(rows: list[bytes], groups: int) -> np.ndarray:
+    if all(len(x) == groups for x in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, groups)
+    return np.array([np.frombuffer(x, "u1" if len(x) == groups else "<u4") for x in rows], np.uint32).reshape(-1, groups)
+
+
+def bound_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest possible overlap of sets with these points."""
+    return np.minimum(a, b).sum(1, dtype=np.int64)
+
+
 class CountTree:
     """R-tree over points in falling order of their sums: leaves of LEAF points, nodes of LEAF children. Only
     the upper corners of the boxes are kept, as the bound needs no more, and the least and largest set size."""
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
         self.order = np.argsort(-sizes, kind="stable")
-        self.sizes, self.vectors = sizes[self.order], vectors[self.order].astype(np.int64)
+        self.sizes, self.vectors = sizes[self.order], vectors[self.order]
         self.levels = []
         high, low, top = self.sizes, self.sizes, self.vectors
         while len(high) > LEAF:
@@ -103,7 +128,7 @@ class CountTree:
     @staticmethod
     def possible(size: int, vector: np.ndarray, high: np.ndarray, low: np.ndarray, top: np.ndarray) -> np.ndarray:
         """Whether sets of sizes low..high under a corner can link with the query's."""
-        bound = np.minimum(top, vector).sum(1)
+        bound = bound_of(top, vector)
         return (7 * bound >= 3 * (size + low)) & (4 * high >= 3 * size) & (3 * low <= 4 * size)
 
     def search(self, size: int, vector: np.ndarray) -> np.ndarray:
@@ -118,27 +143,44 @@ class CountTree:
         return self.order[at]
 
 
-def block_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of a block that can link and are in different components. The largest component asks
-    nothing: the others ask for it."""
+def block_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asking, asked, margin of the bound) for the pairs of a block that can link and are in different
+    components. The largest component asks nothing: the others ask for it."""
     _, of, count = np.unique(roots, return_inverse=True, return_counts=True)
-    asks = np.flatnonzero(of != count.argmax())
-    if len(sizes) <= 2 * LEAF:
-        v = vectors.astype(np.int64)
-        a, b = (x.ravel() for x in np.meshgrid(asks, np.arange(len(sizes)), indexing="ij"))
-        keep = (of[a] != of[b]) & ((of[b] == count.argmax()) | (a < b))
-        a, b = a[keep], b[keep]
-        ok = 7 * np.minimum(v[a], v[b]).sum(1) >= 3 * (sizes[a] + sizes[b])
-        return a[ok], b[ok]
+    large = count.argmax()
+    asks = np.flatnonzero(of != large)
     tree = CountTree(sizes, vectors)
-    first, second = [], []
-    for a in asks:
-        b = tree.search(int(sizes[a]), vectors[a])
-        b = b[(of[b] != of[a]) & ((of[b] == count.argmax()) | (a < b))]
-        first.append(np.full(len(b), a))
-        second.append(b)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *first]), np.concatenate([none, *second])
+    found = [tree.search(int(sizes[k]), vectors[k]) for k in asks]
+    a, b = np.repeat(asks, [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+    keep = (of[a] != of[b]) & ((of[b] == large) | (a < b))
+    a, b = a[keep], b[keep]
+    margin = np.concatenate([np.zeros(0, np.int64), *(7 * bound_of(vectors[a[k : k + 4096]], vectors[b[k : k + 4096]]) for k in range(0, len(a), 4096))]) - 3 * (sizes[a] + sizes[b])
+    ok = margin >= 0
+    return a[ok], b[ok], margin[ok]
+
+
+def small_block_pairs(at: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``block_pairs`` gives, for many blocks of the same few members at once (rows of ``at``). The class
+    whose component has fewer members in the block asks."""
+    i, j = np.triu_indices(at.shape[1], 1)
+    same = (roots[at][:, :, None] == roots[at][:, None, :]).sum(2)
+    a, b = at[:, i], at[:, j]
+    swap = same[:, i] > same[:, j]
+    a, b = np.where(swap, b, a).ravel(), np.where(swap, a, b).ravel()
+    keep = (roots[a] != roots[b]) & (4 * sizes[a] >= 3 * sizes[b]) & (4 * sizes[b] >= 3 * sizes[a])
+    a, b = a[keep], b[keep]
+    margin = 7 * bound_of(vectors[a], vectors[b]) - 3 * (sizes[a] + sizes[b])
+    ok = margin >= 0
+    return a[ok], b[ok], margin[ok]
+
+
+def met_before(heads: np.ndarray, a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Pairs that surely meet in a block of a smaller token as well."""
+    out = np.zeros(len(a), bool)
+    for k in range(heads.shape[1]):
+        x = heads[a, k]
+        out |= (x < token) & (heads[b] == x[:, None]).any(1)
+    return out
 
 
 # --- Spark steps ---
@@ -161,17 +203,20 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, values, bounds in shingle_sets(batch.column(1)):
             held.append(prefix(values, bounds, np.zeros(0, np.uint64))[1])
             yield from common(False)
-            p = points(values, bounds).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), pa.array(np.diff(bounds)), pa.array(signed(set_class(values, bounds))), pa.array(signed(set_class(values, bounds, 2))), pa.array([x.tobytes() for x in p], pa.binary())], names)
+            p = points(values, bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), pa.array(np.diff(bounds)), pa.array(signed(set_class(values, bounds))), pa.array(signed(set_class(values, bounds, 2))), pa.array(packed_points(p), pa.binary())], names)
     yield from common(True)
 
 
 def _prefixes(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for _, values, bounds in shingle_sets(batch.column(0)):
                 row, token = prefix(values, bounds, common)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(signed(set_class(values, bounds))[row])], ["token", "class"])
+                name = signed(set_class(values, bounds))
+                keep = seen.new(name)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token[keep])), pa.array(name[row[keep]])], ["token", "class"])
 
     return run
 
@@ -183,43 +228,69 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = signed(set_class(values, bounds))
             keep = np.flatnonzero(own == want[at : at + len(own)])
             rows = [signed(values[bounds[k] : bounds[k + 1]]) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(rows, pa.list_(pa.int64()))], ["class", "shingles"])
-
-
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token: (token, class, n_shingles, point, root). Pairs leave once for each task."""
-    held: list[pa.RecordBatch] = []
-    seen: set[tuple[int, int]] = set()
-
-    def blocks(table: pa.Table) -> pa.RecordBatch:
-        token, name, root = (table[c].to_numpy() for c in ("token", "class", "root"))
-        size = table["n_shingles"].to_numpy()
-        point = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS)
-        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-        out = []
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if z - a > 1:
-                first, second = block_pairs(size[a:z], point[a:z], root[a:z])
-                out += [(min(x, y), max(x, y)) for x, y in zip(name[a + first].tolist(), name[a + second].tolist(), strict=True)]
-        new = [x for x in dict.fromkeys(out) if x not in seen]
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(new)
-        one, two = zip(*new, strict=True) if new else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+            fine = [points(values[bounds[k] : bounds[k + 1]], np.array([0, bounds[k + 1] - bounds[k]]), FINE)[0] for k in keep]
+            fine = packed_points(fine)
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(rows, pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["class", "shingles", "fine"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = batch.column(0)[batch.num_rows - 1].as_py()
-        token = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(token, last, "left"))  # the last block may go on in the next batch
-        if cut:
-            yield blocks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield blocks(pa.Table.from_batches(held))
+
+def _tree_pairs(best_only: bool):
+    """Rows sorted by token: (token, class, n_shingles, point, root, heads). ``best_only``: each asking class
+    leaves once for each task, with its most promising partner; else every pair leaves from one of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        best: dict[int, tuple[int, int]] = {}
+
+        def leave(one, two) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+        def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, name, root = (table[c].to_numpy() for c in ("token", "class", "root"))
+            size = table["n_shingles"].to_numpy()
+            point = unpacked_points(table["point"].to_pylist(), GROUPS)
+            listed = pa.concat_arrays(table["heads"].chunks)
+            ends = listed.value_lengths().to_numpy().cumsum()
+            first = ends - listed.value_lengths().to_numpy()
+            heads = listed.flatten().to_numpy()[np.minimum(first[:, None] + np.arange(HEADS), ends[:, None] - 1)]
+            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+            members = np.diff(np.append(cuts, len(token)))
+            found = []
+            for n in np.unique(members):
+                at = cuts[members == n]
+                if n > 2 * LEAF:
+                    for k in at:
+                        a, b, margin = block_pairs(size[k : k + n], point[k : k + n], root[k : k + n])
+                        found.append((a + k, b + k, margin))
+                elif n > 1:
+                    step = max(1, 100_000 // int(n * n))
+                    found += [small_block_pairs(at[k : k + step, None] + np.arange(n), size, point, root) for k in range(0, len(at), step)]
+            if not found:
+                return
+            a, b, margin = (np.concatenate(x) for x in zip(*found, strict=True))
+            if best_only:
+                order = np.argsort(margin, kind="stable")
+                for x, m, y in zip(name[a[order]].tolist(), margin[order].tolist(), name[b[order]].tolist(), strict=True):
+                    if (m, y) > best.get(x, (-1, 0)):
+                        best[x] = m, y
+            else:
+                new = ~met_before(heads, a, b, token[a])
+                yield leave(np.minimum(name[a[new]], name[b[new]]), np.maximum(name[a[new]], name[b[new]]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            cut = int(np.searchsorted(batch.column(0).to_numpy(), last, "left"))  # the last block may go on in the next batch
+            if cut:
+                yield from blocks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from blocks(pa.Table.from_batches(held))
+        if best:
+            yield leave(list(best), [y for _, y in best.values()])
+
+    return run
 
 
 class Join:
@@ -240,43 +311,68 @@ class Join:
         w = W.partitionBy("token")
         return materialise(one.withColumn("leader", F.min("class").over(w)).withColumn("last", F.max("class").over(w)).where("leader < last").select("token", "class", "leader"), "blocks")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among written pairs (a, b) of classes."""
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(class, shingles, fine) of the classes in written pairs (a, b)."""
         names = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
         needed = materialise(self.classes.where("doc_id IS NOT NULL").join(names, "class", "left_semi").select("doc_id", "class"), "needed")
-        sets = materialise(join_texts(self.rows, needed, "doc_id", "inner", 32).select("text", "class").mapInArrow(_full_sets, "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+        rows = join_texts(self.rows, needed, "doc_id", "inner").select("text", "class").mapInArrow(_full_sets, "class long, shingles array<long>, fine binary")
+        return materialise(rows.dropDuplicates(["class"]), "sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of classes."""
         side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return materialise(both.where(7 * shared >= 3 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
-    def with_points(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose points' bound allows a link, with sizes."""
-        side = lambda c: self.classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+    def bounded(self, pairs: DataFrame, table: DataFrame, size: str, point: str, width: int) -> DataFrame:
+        """(a, b, bound) of the pairs whose points allow a link; ``table`` holds each class's size and point."""
+        side = lambda c: table.select(F.col("class").alias(c), F.expr(size).cast("long").alias(f"n{c}"), F.col(point).alias(f"p{c}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pa_, pb_ = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in (4, 5))
-                bound = np.minimum(pa_, pb_).sum(1)
+                one, two = (unpacked_points(batch.column(c).to_pylist(), width) for c in (4, 5))
+                bound = bound_of(one, two)
                 keep = 7 * bound >= 3 * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], ["a", "b", "bound"]).filter(pa.array(keep))
 
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na").mapInArrow(run, "a long, b long, bound long")
+        both = pairs.select("a", "b").join(side("a"), "a").where("na > 0").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+        return both.where("4 * na >= 3 * nb AND 4 * nb >= 3 * na").mapInArrow(run, "a long, b long, bound long")
+
+    def candidates(self, blocks: DataFrame, roots: DataFrame, best_only: bool) -> DataFrame:
+        """Pairs (a, b) of classes of different components whose points allow a link, from the trees of all blocks."""
+        named = blocks.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
+        w = W.partitionBy("token")
+        mixed = named.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").select("token", "class", "root")
+        mixed = materialise(mixed, "mixed")
+        heads = mixed.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEADS).alias("heads"))
+        full = mixed.join(self.classes.select("class", "n_shingles", "point").join(heads, "class"), "class").select("token", "class", "n_shingles", "point", "root", "heads")
+        pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(_tree_pairs(best_only), "a long, b long")
+        if best_only:
+            pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialise(pairs.distinct(), "candidates")
+        discard(mixed)
+        return pairs
 
     def linked(self) -> DataFrame:
         """(class, root) of the classes that link with another."""
         blocks = self.blocks()
         votes = blocks.where("class <> leader").groupBy("class", "leader").count()
         best = votes.groupBy("class").agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
-        links = self.verified(materialise(self.with_points(best.select(F.col("class").alias("a"), "b")), "pairs"))
-        roots = materialise(components(links), "roots")
-
-        named = blocks.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
-        w = W.partitionBy("token")
-        mixed = named.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").select("token", "class", "root")
-        full = mixed.join(self.classes.select("class", "n_shingles", "point"), "class").select("token", "class", "n_shingles", "point", "root")
-        pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(_tree_pairs, "a long, b long").distinct()
-        open_pairs = materialise(self.with_points(pairs), "open")
+        pairs = materialise(self.bounded(best.select(F.col("class").alias("a"), "b"), self.classes, "n_shingles", "point", GROUPS), "pairs")
+        links, roots = None, None
+        for k in range(ROUNDS + 1):
+            if k:
+                pairs = self.candidates(blocks, roots, best_only=True)
+            sets = self.sets(pairs)
+            found = self.verified(self.bounded(pairs, sets, "size(shingles)", "fine", FINE), sets)
+            discard(sets)
+            links = found if links is None else materialise(links.unionAll(found), "links")
+            roots = components(links)
+        pairs = self.candidates(blocks, roots, best_only=False)
+        discard(blocks)
+        sets = self.sets(pairs)
+        open_pairs = materialise(self.bounded(pairs, sets, "size(shingles)", "fine", FINE), "open")
         for wave in range(WAVES + 1):
             r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
             apart = open_pairs.join(r("a"), "a", "left").join(r("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "bound")
@@ -286,12 +382,13 @@ class Join:
             now = apart
             if wave < WAVES:
                 now = materialise(apart.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")), "wave")
-            found = self.verified(now)
+            found = self.verified(now, sets)
             if not found.isEmpty():
                 links = materialise(links.unionAll(found), "links")
-                roots = materialise(components(links), "roots")
+                roots = components(links)
             if wave < WAVES:
                 open_pairs = apart.join(now, ["a", "b"], "left_anti")
+        discard(sets)
         return roots
 
     def result(self) -> DataFrame:

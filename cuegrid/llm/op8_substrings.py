@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import Seen, join_texts, materialise, mix64, prepare, sequence_class, signed, sliding, text_slices, whole_windows, window_hashes, word_hashes
+from cuegrid.llm.common import Seen, join_texts, materialise, prepare, sequence_class, signed, sliding, text_slices, whole_windows, window_hashes, word_hashes
 
 WINDOW, BASE = 50, 13
 assert 3 * BASE <= WINDOW + 1

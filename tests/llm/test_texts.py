@@ -86,7 +86,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert set(got) == nodes and all(find(got[x]) == find(x) and got[got[x]] == got[x] for x in nodes)
+    assert len(set(got.values())) == len({find(x) for x in nodes})
 
 
 # --- n-gram Jaccard join ---
