@@ -618,18 +618,20 @@ def transcript_words(spark, sf_dir):
 
 @query()
 def stream_phrases(spark, sf_dir):
-    """Events as a stream, packed into sessions; written by one run over all there is, and read again."""
+    """Events as a stream, packed into sessions; written by one run over all there is, and read again. The sessions
+    that the run leaves open follow from the table."""
     import os
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     out = os.path.join(base, f"cuegrid-stream-{uuid.uuid4().hex}")
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
-    events = source.select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
-    stream.start(stream.phrase_sessions(events), f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.schema("media long, start timestamp, end timestamp, n_words long").parquet(f"{out}/rows")
+    given = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(given.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+    events = lambda df: df.select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
+    stream.start(stream.phrase_sessions(events(source)), f"{out}/rows", f"{out}/state").awaitTermination()
+    finished = spark.read.schema("media long, start timestamp, end timestamp, n_words long").parquet(f"{out}/rows")
+    return finished.unionByName(stream.still_open(events(given), finished))
 
 
 # --- plans and checks beside the main path ---

@@ -51,3 +51,15 @@ def test_stream_equals_batch(spark, sf_dir):
     want = {tuple(r) for r in phrase_sessions(e).collect()}
     # The last sessions stay open until the watermark passes them.
     assert got <= want and len(want) - len(got) < 0.1 * len(want) + 20
+
+
+def test_stream_leaves_no_session_out(spark, sf_dir):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from cuegrid.streaming.phrases import phrase_sessions
+
+    got = Counter(tuple(r) for r in catalog.QUERIES["stream_phrases"](spark, sf_dir).collect())
+    e = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
+    assert got == Counter(tuple(r) for r in phrase_sessions(e).collect())
