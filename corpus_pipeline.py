@@ -1,13 +1,15 @@
 """Corpus preparation: five stages, each over all that the one before kept.
 
 1. language: documents whose language cannot be told go (no text, no letter, or no language reaches the least score).
-2. near duplicates: of each group of documents linked by shingle similarity the one with the smallest doc_id stays.
+2. near duplicates: of each group of documents linked by shingle similarity one row stays, the one with the
+   smallest doc_id; of rows that share it, one.
 3. passages: words of repeated passages go from all but the document with the smallest doc_id; emptied documents go.
 4. benchmark: documents that hold a benchmark item go.
 5. packing: what is left is packed into training sequences.
 
-Every stage but the last returns the columns of documents. Rows with null doc_id cannot be compared by id: they
-pass stages 2 and 3 as they are and stage 4 by their text.
+Every stage but the last returns the columns of documents. Stages 2 and 4 decide on rows, whatever their doc_id:
+in stage 2 a row with null doc_id counts as larger than all others. Only stage 3 compares by id: rows with null
+doc_id pass it as they are.
 """
 
 from __future__ import annotations
@@ -19,11 +21,6 @@ from cuegrid.llm import op1_langid, op3_jaccard, op8_substrings, op9_decontamina
 from cuegrid.llm.common import join_texts, materialise
 
 
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the listed doc_ids; rows with null doc_id stay."""
-    return join_texts(docs, materialise(ids.where("doc_id IS NOT NULL").distinct(), "dropped"), "doc_id", "left_anti")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on the stage's own input."""
     known = op1_langid.with_prediction(docs, op1_langid.fit(docs))
@@ -31,8 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op3_jaccard.near_duplicates(docs)
-    return _drop(docs, found.where("component_id <> doc_id").select("doc_id"))
+    """Every row gets a key, which is written with it as it would not be the same in another run over the input."""
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = op3_jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    several = materialise(found.join(found.where("_group <> _row").select("_group").distinct(), "_group", "left_semi"), "groups")
+    rows = several.join(keyed.select("_row", "doc_id"), "_row")
+    stay = rows.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    gone = materialise(rows.join(stay, "_row", "left_anti").select("_row"), "dropped")
+    return join_texts(keyed, gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +43,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op9_decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _drop(docs, found.select("doc_id"))
+    return op9_decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

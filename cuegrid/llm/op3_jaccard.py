@@ -222,11 +222,12 @@ def _prefixes(common: np.ndarray):
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, class): the sets of texts that are of the class, or of any where it is null."""
     for batch in batches:
-        want = np.asarray(batch.column(1))
+        want, free = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
         for at, values, bounds in shingle_sets(batch.column(0)):
             own = signed(set_class(values, bounds))
-            keep = np.flatnonzero(own == want[at : at + len(own)])
+            keep = np.flatnonzero(((own == want[at : at + len(own)]) | free[at : at + len(own)]) & (np.diff(bounds) > 0))
             rows = [signed(values[bounds[k] : bounds[k + 1]]) for k in keep]
             fine = [points(values[bounds[k] : bounds[k + 1]], np.array([0, bounds[k + 1] - bounds[k]]), FINE)[0] for k in keep]
             fine = packed_points(fine)
@@ -302,6 +303,8 @@ class Join:
         summary = materialise(self.rows.mapInArrow(_summaries, "doc_id long, n_shingles long, c1 long, c2 long, point binary"), "summary")
         self.docs = summary.where("n_shingles >= 0")
         self.classes = materialise(self.docs.where("n_shingles > 0").groupBy(F.col("c1").alias("class")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "classes")
+        #: Whether some class has no doc_id to fetch its text by.
+        self.unnamed = not self.classes.where("doc_id IS NULL").isEmpty()
         listed = summary.where("n_shingles < 0").groupBy("c1").agg(F.sum("c2").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "c1").limit(MOST_COMMON).select("c1")
         self.common = np.sort(np.array([r[0] for r in listed.collect()], np.int64).view(np.uint64))
 
@@ -314,8 +317,12 @@ class Join:
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(class, shingles, fine) of the classes in written pairs (a, b)."""
         names = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-        needed = materialise(self.classes.where("doc_id IS NOT NULL").join(names, "class", "left_semi").select("doc_id", "class"), "needed")
-        rows = join_texts(self.rows, needed, "doc_id", "inner").select("text", "class").mapInArrow(_full_sets, "class long, shingles array<long>, fine binary")
+        needed = materialise(self.classes.join(names, "class", "left_semi").select("doc_id", "class"), "needed")
+        schema = "class long, shingles array<long>, fine binary"
+        rows = join_texts(self.rows, needed.where("doc_id IS NOT NULL"), "doc_id", "inner").select("text", "class").mapInArrow(_full_sets, schema)
+        if self.unnamed:
+            rest = self.rows.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("class")).mapInArrow(_full_sets, schema)
+            rows = rows.unionAll(rest.join(needed.where("doc_id IS NULL").select("class"), "class", "left_semi"))
         return materialise(rows.dropDuplicates(["class"]), "sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -159,6 +159,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Da
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Each row is judged by its text where it is read."""
+    spark = docs.sparkSession
+    prepare(spark)
+    at = docs.columns.index("text")
+    for items in item_blocks(benchmark):
+        shipped = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shipped.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not (t and matcher.matches(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that some document holds, over all ``documents`` and ``benchmark``."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

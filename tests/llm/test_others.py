@@ -308,3 +308,23 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[3]) == set(kept[2]) - {25} and clean <= set(kept[3]) and set(kept[4]) == set(kept[3])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept[4])
 
+
+
+def test_stages_decide_on_rows(spark, tmp_path):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["house", "river", "stone", "walk", "green"]) + str(rng.randrange(99)) for _ in range(n))
+    again, near, clean, lone, leak = say(90), say(120), say(90), say(120), say(30)
+    close = lambda t: f"{t} more"
+    rows = [(1, again)] * 30 + [(2, near), (3, close(near)), (3, clean), (None, lone), (None, close(lone)), (4, f"{clean} x"), (5, say(60)), (None, close(near)), (None, f"{say(40)} {leak}"), (6, say(70)), (6, f"{say(50)} {leak}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    one = [x for x in got if x[1] in (lone, close(lone))]
+    assert len(one) == 1
+    want = [(1, again), (2, near), (3, clean), (5, rows[36][1]), *rows[38:]]
+    assert sorted(x for x in got if x not in one) == sorted((str(i), t) for i, t in want)
+    left = corpus_pipeline.drop_benchmark_leaks(spark, kept, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted(x for x in got if leak not in x[1])

@@ -142,6 +142,13 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert got == brute_groups(texts, ids)
 
 
+def test_jaccard_of_rows_without_ids(spark):
+    texts = near_texts(random.Random(8))
+    for ids in ([None] * len(texts), [k if k % 3 == 0 else None for k in range(len(texts))]):
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in op3_jaccard.near_duplicates(frame(spark, texts, ids)).collect())
+        assert got == brute_groups(texts, ids)
+
+
 def test_jaccard_of_nothing(spark):
     assert op3_jaccard.near_duplicates(frame(spark, [])).collect() == []
     assert [tuple(r) for r in op3_jaccard.near_duplicates(frame(spark, [None, "", "x"])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
