@@ -215,20 +215,25 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _measure(root)
-    best, path, todo = root, [root], [(root, (root,))]
+    best, todo, parent = root, [root], {}
     while todo:
-        node, above = todo.pop()
+        node = todo.pop()
         if node.sum > best.sum and node.name not in INLINE:
-            best, path = node, list(above)
+            best = node
         for x in node.parts:
             if isinstance(x, Node) and not x.hidden:
-                todo.append((x, (*above, x) if len(above) < 64 else above))
+                parent[x] = node
+                todo.append(x)
+    path = [best]
+    while path[-1] in parent:
+        path.append(parent[path[-1]])
+    path.reverse()
     threshold = min((x.density for x in path), default=0.0)
     inside = next((x for x in path if x.name in ("article", "main")), None)
     if inside is not None:
         return "\n".join(_blocks(inside, threshold))
     # Siblings that reach the threshold are content too: climb to the subtree that holds them all.
-    for node in reversed(path[: path.index(best)] if best in path else []):
+    for node in reversed(path[:-1]):
         near = [x for x in node.parts if isinstance(x, Node) and not x.hidden and x is not best and x.name not in INLINE]
         if any(x.chars >= MIN_CHARS and x.density >= threshold and 2 * x.link_chars < x.chars for x in near if x not in path):
             best = node

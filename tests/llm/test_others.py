@@ -100,6 +100,13 @@ def test_main_text_of_odd_pages():
         op2_html.main_text(junk)
 
 
+def test_main_text_under_many_wrappers():
+    say = lambda n: f"<section><h2>Heading {n}</h2><p>{f'Part {n} of a text that goes on for long. ' * (3 + n)}</p></section>"
+    for inner in (say(1) + say(2) + say(3), f"<article>{say(1)}<p>A short end of it.</p></article>"):
+        shallow, deep = (op2_html.main_text("<div>" * n + inner + "</div>" * n) for n in (10, 120))
+        assert "Part 1" in shallow and deep == shallow
+
+
 def test_pages_table(spark, sf_dir):
     got = op2_html.op2_html_extraction(spark, sf_dir).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
