@@ -72,9 +72,9 @@ def cache_state(inputs: DataFrame, cached: DataFrame, key: str = "media") -> Dat
     return inputs.join(c, key, "left").withColumn("fresh", F.coalesce(ok, F.lit(False))).drop("_backend", "_hash")
 
 
-def batch_result(outcomes: DataFrame, error: str = "error") -> DataFrame:
-    """(n_ok, n_failed, exit_code) of a batch."""
-    return outcomes.agg(F.count_if(F.col(error).isNull()).alias("n_ok"), F.count_if(F.col(error).isNotNull()).alias("n_failed")).withColumn("exit_code", F.when(F.col("n_failed") > 0, 1).otherwise(0))
+def batch_result(outcomes: DataFrame, error: str = "error", by: tuple[str, ...] = ()) -> DataFrame:
+    """(n_ok, n_failed, exit_code) of a batch, or of each batch named by the columns ``by``."""
+    return outcomes.groupBy(*by).agg(F.count_if(F.col(error).isNull()).alias("n_ok"), F.count_if(F.col(error).isNotNull()).alias("n_failed")).withColumn("exit_code", F.when(F.col("n_failed") > 0, 1).otherwise(0))
 
 
 def write_documents(documents: DataFrame, path: str, media: str = "media", mode: str = "errorifexists") -> None:

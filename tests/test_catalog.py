@@ -63,3 +63,10 @@ def test_stream_leaves_no_session_out(spark, sf_dir):
     got = Counter(tuple(r) for r in catalog.QUERIES["stream_phrases"](spark, sf_dir).collect())
     e = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
     assert got == Counter(tuple(r) for r in phrase_sessions(e).collect())
+
+
+def test_batch_results_count_every_order(spark, sf_dir):
+    got = catalog.QUERIES["batch_results"](spark, sf_dir).collect()
+    orders = catalog.table(spark, sf_dir, "orders")
+    assert len(got) == orders.select("o_orderpriority").distinct().count() > 1
+    assert sum(r.n_ok + r.n_failed for r in got) == orders.count()
