@@ -133,6 +133,17 @@ def payload_violations(expected: DataFrame, actual: DataFrame, key: tuple[str, .
     return _broken(e.join(a, list(key), "full"), list(key), rules)
 
 
+def payload_language_violations(expected: DataFrame, actual: DataFrame, key: str = "media") -> DataFrame:
+    """(key, rule, message): the languages (key, source_language, target_language) of payloads against those asked
+    for; to be looked at before ``payload_violations``. A language that is not given differs."""
+    e = expected.select(key, F.col("source_language").alias("es"), F.col("target_language").alias("et"))
+    rules = [
+        (1, ~F.col("source_language").eqNullSafe(F.col("es")), "source language differs"),
+        (2, ~F.col("target_language").eqNullSafe(F.col("et")), "target language differs"),
+    ]
+    return _broken(e.join(actual.select(key, "source_language", "target_language"), key), [key], rules)
+
+
 def _broken(df: DataFrame, keys: list[str], rules: list[tuple[int, Column, str]]) -> DataFrame:
     found = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(m).alias("message"))) for n, bad, m in rules)), lambda x: x.isNotNull())
     return df.select(*keys, F.explode(found).alias("v")).select(*keys, "v.rule", "v.message")

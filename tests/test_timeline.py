@@ -346,6 +346,13 @@ def test_payload_violations(spark):
     assert sorted((r.window_id, r.rule) for r in edl.payload_violations(e, a).collect()) == [(1, 4), (2, 1), (3, 2), (3, 5)]
 
 
+def test_payload_language_violations(spark):
+    schema = "media long, source_language string, target_language string"
+    e = made(spark, [(k, "en", "de") for k in range(4)], schema)
+    a = made(spark, [(0, "en", "de"), (1, "fr", "de"), (2, "en", None), (3, "de", "en")], schema)
+    assert sorted((r.media, r.rule) for r in edl.payload_language_violations(e, a).collect()) == [(1, 1), (2, 2), (3, 1), (3, 2)]
+
+
 def test_registered_functions(spark):
     X.register(spark)
     assert spark.sql("SELECT cue_srt_time(3723500L) AS a, cue_overlaps(0L, 5L, 5L, 9L) AS b").first() == ("01:02:03,500", False)
