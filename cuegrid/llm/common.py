@@ -201,6 +201,14 @@ def row_sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_GOLD))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, upper or lower case."""
+    lower = {c.lower() for c in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
 #: Bits of the filter that keeps texts out of shuffles; its broadcast has FILTER_BITS / 64 rows at most.
 FILTER_BITS = 1 << 24
 
@@ -212,10 +220,13 @@ def join_texts(docs: DataFrame, side: DataFrame, key: str, how: str) -> DataFram
     any size of the side; a side of very many keys only lets more texts through."""
     from pyspark.sql import functions as F
 
+    word, bits = unused("word", docs.columns), unused("bits", docs.columns)
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    bits = side.select(at.alias("_at")).selectExpr("_at div 64 AS _word", "shiftleft(1L, CAST(_at % 64 AS INT)) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = docs.withColumn("_at", at).withColumn("_word", F.expr("_at div 64")).join(F.broadcast(bits), "_word", "left")
-    hit = F.expr("coalesce(_bits & shiftleft(1L, CAST(_at % 64 AS INT)), 0L) <> 0")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    place = F.floor(at / 64)
+    filled = side.select(place.alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = docs.withColumn(word, place).join(F.broadcast(filled), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
     met = marked.where(hit).select(*docs.columns).join(side.hint("merge"), key, how)
     if how == "inner":
         return met

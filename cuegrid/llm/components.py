@@ -11,16 +11,15 @@ from cuegrid.llm.common import materialise
 FILE_ROWS = 200_000
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): nodes of one component have the same root, which is one of
     them. In each round every node is drawn to the least of itself and its neighbours, in an order that is hashed
     anew for each round, and the edges are renamed; a star is done in one round and a path loses a part of its
     length. Tables are written to the shared folder. Null ends must not occur."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     left, named = now.count(), None
-    for k in range(rounds):
-        if not left:
-            break
+    k = 0
+    while left:
         files = 1 + left // FILE_ROWS
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +33,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
             moved = drawn.select(F.col("node").alias("root"), "to")
             named = materialise(named.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(files), "named")
         now = materialise(renamed.coalesce(files), "edges")
-        left = now.count()
+        left, k = now.count(), k + 1
     if named is None:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return named

@@ -2,29 +2,33 @@
 
 A document's set is that of its distinct shingles of SHINGLE words (lower-cased A-Z); shorter documents have
 their whole word sequence as the one element; documents without words have an empty set and no link. Two sets
-link if 4 * |A and B| >= 3 * |A or B|.
+link if 4 * |A and B| >= 3 * |A or B|. Documents with equal sets form a class, and one document stands for it.
 
-Points. Shingles are hashed into GROUPS groups; a set's counts by group are its point. For any two sets the
-overlap is at most the sum of the coordinate-wise minima of their points, and for a node of an R-tree at most
-the sum of the minima of a point and the upper corner of the node's box. Nodes and pairs whose bound is too
-small for a link are cut; the rest are verified on the full sets. Before the
-sets are sent, pairs must also pass the bound of points with FINE groups.
+Points. Shingles are hashed into groups; a set's counts by group are its point. For any two sets the overlap is
+at most the sum of the coordinate-wise minima of their points, and for a node of an R-tree at most the sum of the
+minima of a point and the upper corner of the node's box. Nodes and pairs whose bound is too small for a link are
+cut, first on GROUPS groups, then on finer counts of the same hashes, whose number grows with the set.
 
 Blocks. One tree over all documents would neither be bounded nor spread, so trees are built for blocks that
 together hold every possible link: under any total order of the shingles two linked sets share an element among
 the first n - ceil(3n/4) + 1 of each (prefix filter). Each shingle that stands in two prefixes is a block. The
-order is by hash, but shingles found to be common come last, so blocks are small; which shingles those are only
-matters for speed, as any order is right.
+order is from rare to frequent where counts are known, then by hash; it matters for speed alone.
 
-Classes. Documents with equal sets form a class, and one document stands for it. First each class is verified
-against one candidate of its blocks (the least class of most of its blocks), then against the most promising
-partner that the trees give it outside its component (ROUNDS times). Last the trees give all pairs of classes
-that are not in one component yet, each from one of its blocks, and these are verified; links found first drop
-pairs that they have joined. No pair of different components stays unverified.
+Clusters. The least class of a block is its leader, and a class is in the cluster of the leader that most of its
+blocks have. Two classes that share a block are of one cluster, or share a block of several clusters: R-trees are
+searched in each cluster and in each such block. A pair that the bounds leave sends both classes to one of their
+two clusters; what leaves the trees is classes by cluster, never pairs. Blocks of more than PIECE rows are split:
+the rows of the block's largest cluster are dealt out, the others visit every part. A cluster of more than PIECE
+classes is not searched, all of it goes on.
+
+Verification. The full sets meet by cluster, in pieces of bounded size; overlaps are counted exactly by a product
+of their incidence matrices, and each piece sends a spanning forest of its links. Where a cluster has several
+pieces, its leader visits all of them, and then do all classes that are not yet in the cluster's largest
+component. No pair of different components stays unverified.
 
 Defined cases: null text counts as empty; null doc_id stays and is no component's id unless it is alone (then
 null); repeated rows are rows of one class; very long texts are read whole; other columns are ignored. Shingles
-and classes are told apart by 64-bit hashes.
+are told apart by 64-bit hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,24 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import Seen, discard, join_texts, materialise, mix64, prepare, row_sums, sequence_class, signed, text_slices, whole_windows, window_hashes, word_hashes
 from cuegrid.llm.components import components
 
-SHINGLE, GROUPS = 5, 256
-#: Groups of the finer points that pairs must pass before their sets are sent. Coarse counts of long documents
-#: are all alike: the bound tells sets of n shingles apart from about n / 15 groups on.
-FINE = 2048
-#: A shingle that this many prefixes hold comes last in the order, at most so many shingles.
-COMMON, MOST_COMMON = 64, 100_000
-LEAF = 16
-#: Rounds in which each class only asks for its most promising partner, before all pairs are looked at.
-ROUNDS = 1
-WAVES = 1
-#: Smallest block tokens of a class that go with it, to look at a pair in one of its blocks only.
-HEADS = 8
+SHINGLE, GROUPS, LEAF = 5, 256, 16
+#: A shingle of this many prefixes may be put late in the order; at most so many, the most frequent ones, are.
+COMMON, MOST_COMMON = 8, 100_000
+#: Rows of a tree, rows of a piece, and shingles of a piece (by its average), at most.
+TREE_ROWS, PIECE, PIECE_SHINGLES = 4096, 2048, 1 << 21
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -75,112 +71,150 @@ def set_class(values: np.ndarray, bounds: np.ndarray, salt: int = 1) -> np.ndarr
     return row_sums(mix64(values ^ np.uint64(0xA5A5 * salt)), bounds)
 
 
-def points(values: np.ndarray, bounds: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Counts by group (rows, groups)."""
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(row * groups + (mix64(values) % np.uint64(groups)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.uint32)
+def class_names(c1: np.ndarray, c2: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """One number for the 128 bits of each class: the first 64, or for those first halves that two classes share
+    (``clashes``) the halves combined."""
+    return np.where(np.isin(c1, clashes), c1 ^ c2, c1) if len(clashes) else c1
+
+
+def group_count(n: int) -> int:
+    """Groups of a set of n shingles: GROUPS, or the largest power of two up to n."""
+    return max(GROUPS, 1 << max(int(n).bit_length() - 1, 0))
+
+
+def point(values: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((mix64(values) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """Counts with one, two or four bytes each, after the number of bytes."""
+    width = 1 if p.max(initial=0) < 1 << 8 else 2 if p.max() < 1 << 16 else 4
+    return bytes([width]) + p.astype(f"<u{width}").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
 
 
-def prefix(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of the prefixes: the first n - ceil(3n/4) + 1 in the order (common, hash)."""
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """The point of fewer groups: the hashes are the same, so groups fall together."""
+    return p.reshape(-1, groups).sum(0)
+
+
+def prefix(values: np.ndarray, bounds: np.ndarray, common: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the prefixes: the first n - ceil(3n/4) + 1 in the order (level of common ones, hash)."""
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
-        order = np.lexsort((values, late, row))
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        order = np.lexsort((values, np.where(common[at] == values, level[at], 0), row))
         values = values[order]
     place = np.arange(len(values)) - bounds[:-1][row]
     keep = place < (n - -(-3 * n // 4) + 1)[row]
     return row[keep], values[keep]
 
 
-def packed_points(p: np.ndarray) -> list[bytes]:
-    """A byte for each group, or four where a count needs them."""
-    return [x.astype(f"<u{1 if x.max(initial=0) < 256 else 4}").tobytes() for x in p]
-
-
-def unpacked_points(rows: list[bytes], groups: int) -> np.ndarray:
-    if all(len(x) == groups for x in rows):
-        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, groups)
-    return np.array([np.frombuffer(x, "u1" if len(x) == groups else "<u4") for x in rows], np.uint32).reshape(-1, groups)
-
-
 def bound_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Largest possible overlap of sets with these points."""
     return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
-class CountTree:
-    """R-tree over points in falling order of their sums: leaves of LEAF points, nodes of LEAF children. Only
-    the upper corners of the boxes are kept, as the bound needs no more, and the least and largest set size."""
+class Forest:
+    """R-trees over the points of many blocks: leaves of LEAF rows, nodes of LEAF children. Rows come sorted by
+    block. Of the boxes the upper corners are kept, as the bound needs no more, and the least and largest set
+    size and side. Rows of one side are not compared, unless ``inner``."""
 
-    def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
-        self.order = np.argsort(-sizes, kind="stable")
-        self.sizes, self.vectors = sizes[self.order], vectors[self.order]
+    def __init__(self, block: np.ndarray, side: np.ndarray, inner: np.ndarray, sizes: np.ndarray, vectors: np.ndarray):
+        self.side, self.inner, self.sizes, self.vectors = side, inner, sizes, vectors
+        #: Rows that a caller has found a partner for. Two such rows are not compared where ``inner``.
+        self.known = np.zeros(len(sizes), bool)
+        _, self.root, count = np.unique(block, return_inverse=True, return_counts=True)
+        first = np.cumsum(count) - count
+        high, low, left, right, top, end = sizes, sizes, side, side, vectors, np.arange(1, len(sizes) + 1)
         self.levels = []
-        high, low, top = self.sizes, self.sizes, self.vectors
-        while len(high) > LEAF:
-            cut = np.arange(0, len(high), LEAF)
+        while not self.levels or len(high) > len(count):
+            n = np.diff(np.append(first, len(high)))
+            cut = np.flatnonzero((np.arange(len(high)) - np.repeat(first, n)) % LEAF == 0)
+            stop = np.append(cut[1:], len(high))
             high, low, top = np.maximum.reduceat(high, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(top, cut, axis=0)
-            self.levels.append((high, low, top))
-
-    @staticmethod
-    def possible(size: int, vector: np.ndarray, high: np.ndarray, low: np.ndarray, top: np.ndarray) -> np.ndarray:
-        """Whether sets of sizes low..high under a corner can link with the query's."""
-        bound = bound_of(top, vector)
-        return (7 * bound >= 3 * (size + low)) & (4 * high >= 3 * size) & (3 * low <= 4 * size)
-
-    def search(self, size: int, vector: np.ndarray) -> np.ndarray:
-        """Positions (as given to the constructor) of the points that can link with the query."""
-        at = None
-        for high, low, top in reversed(self.levels):
-            at = np.arange(len(high)) if at is None else at[at < len(high)]
-            at = at[self.possible(size, vector, high[at], low[at], top[at])]
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = np.arange(len(self.sizes)) if at is None else at[at < len(self.sizes)]
-        at = at[self.possible(size, vector, self.sizes[at], self.sizes[at], self.vectors[at])]
-        return self.order[at]
-
-
-def block_pairs(sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asking, asked, margin of the bound) for the pairs of a block that can link and are in different
-    components. The largest component asks nothing: the others ask for it."""
-    _, of, count = np.unique(roots, return_inverse=True, return_counts=True)
-    large = count.argmax()
-    asks = np.flatnonzero(of != large)
-    tree = CountTree(sizes, vectors)
-    found = [tree.search(int(sizes[k]), vectors[k]) for k in asks]
-    a, b = np.repeat(asks, [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
-    keep = (of[a] != of[b]) & ((of[b] == large) | (a < b))
-    a, b = a[keep], b[keep]
-    margin = np.concatenate([np.zeros(0, np.int64), *(7 * bound_of(vectors[a[k : k + 4096]], vectors[b[k : k + 4096]]) for k in range(0, len(a), 4096))]) - 3 * (sizes[a] + sizes[b])
-    ok = margin >= 0
-    return a[ok], b[ok], margin[ok]
-
-
-def small_block_pairs(at: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``block_pairs`` gives, for many blocks of the same few members at once (rows of ``at``). The class
-    whose component has fewer members in the block asks."""
-    i, j = np.triu_indices(at.shape[1], 1)
-    same = (roots[at][:, :, None] == roots[at][:, None, :]).sum(2)
-    a, b = at[:, i], at[:, j]
-    swap = same[:, i] > same[:, j]
-    a, b = np.where(swap, b, a).ravel(), np.where(swap, a, b).ravel()
-    keep = (roots[a] != roots[b]) & (4 * sizes[a] >= 3 * sizes[b]) & (4 * sizes[b] >= 3 * sizes[a])
-    a, b = a[keep], b[keep]
-    margin = 7 * bound_of(vectors[a], vectors[b]) - 3 * (sizes[a] + sizes[b])
-    ok = margin >= 0
-    return a[ok], b[ok], margin[ok]
-
-
-def met_before(heads: np.ndarray, a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Pairs that surely meet in a block of a smaller token as well."""
-    out = np.zeros(len(a), bool)
-    for k in range(heads.shape[1]):
-        x = heads[a, k]
-        out |= (x < token) & (heads[b] == x[:, None]).any(1)
-    return out
+            left, right, end = np.minimum.reduceat(left, cut), np.maximum.reduceat(right, cut), end[stop - 1]
+            first = np.cumsum(-(-n // LEAF)) - -(-n // LEAF)
+            self.levels.append((cut, stop, high, low, left, right, top, end))
+
+    def _fits(self, q: np.ndarray, high, low, left, right, top, at: np.ndarray) -> np.ndarray:
+        """Which (query, node) can hold a link: by size, by side, and by the bound."""
+        size, side = self.sizes[q], self.side[q]
+        ok = np.flatnonzero((4 * high[at] >= 3 * size) & (3 * low[at] <= 4 * size) & (self.inner[q] | (left[at] != side) | (right[at] != side)))
+        out = [ok[:0]]
+        for k in range(0, len(ok), 1 << 15):
+            i = ok[k : k + (1 << 15)]
+            out.append(i[7 * bound_of(top[at[i]], self.vectors[q[i]]) >= 3 * (size[i] + low[at[i]])])
+        return np.concatenate(out)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, later row) of all pairs of a block that the bound leaves, for a share of the rows at a time."""
+        k, share = 0, 64
+        while k < len(self.sizes):
+            q = np.arange(k, min(k + share, len(self.sizes)))
+            at, k, share = self.root[q], k + share, min(2 * share, 1024)
+            for cut, stop, high, low, left, right, top, end in reversed(self.levels):
+                later = end[at] > q + 1
+                q, at = q[later], at[later]
+                fit = self._fits(q, high, low, left, right, top, at)
+                q, at = q[fit], at[fit]
+                n = stop[at] - cut[at]
+                at = np.repeat(cut[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                q = np.repeat(q, n)
+            later = (at > q) & ~(self.inner[q] & self.known[q] & self.known[at])
+            q, at = q[later], at[later]
+            fit = self._fits(q, self.sizes, self.sizes, self.side, self.side, self.vectors, at)
+            yield q[fit], at[fit]
+
+
+def finer(points: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs pass the bound on as many groups as both points have."""
+    groups = np.array([len(p) for p in points])
+    both, keep = np.minimum(groups[a], groups[b]), np.ones(len(a), bool)
+    for g in np.unique(both[both > GROUPS]).tolist():
+        at = np.flatnonzero(both == g)
+        rows, of = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        table = np.array([folded(points[r], g) for r in rows.tolist()], np.uint32)
+        step = max(1, (1 << 23) // g)
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            bound = bound_of(table[of[k : k + len(i)]], table[of[len(at) + k : len(at) + k + len(i)]])
+            keep[i] = 7 * bound >= 3 * (sizes[a[i]] + sizes[b[i]])
+    return keep
+
+
+def linked_groups(home: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set of a piece the first one that it is connected with by links of the piece. Overlaps are counted
+    exactly, by a product of the incidence matrices over the shingles that stand in two sets or more; two sets
+    that are only visiting are not compared."""
+    size = np.diff(bounds)
+    m = len(size)
+    _, shingle, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[shingle]
+    column, row = (np.cumsum(shared) - 1)[shingle[keep]], np.repeat(np.arange(m), size)[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    kind = np.float32 if size.max() < 1 << 24 else np.float64
+    overlap = np.zeros((m, m), kind)
+    width = 1024
+    for c in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [c, c + width])
+        part = np.zeros((m, width), kind)
+        part[row[lo:hi], column[lo:hi] - c] = 1
+        overlap += part @ part.T
+    near = (7 * overlap >= 3 * (size[:, None] + size[None, :])) & (home[:, None] | home[None, :])
+    label = np.arange(m)
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], m).min(1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 # --- Spark steps ---
@@ -190,219 +224,262 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows of locally common prefix shingles (n_shingles = -1: hash in c1, count in c2)."""
     names = ["doc_id", "n_shingles", "c1", "c2", "point"]
     held: list[np.ndarray] = []
+    nothing = np.zeros(0, np.uint64)
 
     def common(last: bool) -> Iterator[pa.RecordBatch]:
         if held and (last or sum(map(len, held)) > 2_000_000):
             value, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             value, count = value[count >= 4], count[count >= 4]
-            nothing = pa.nulls(len(value), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, pa.array(np.full(len(value), -1)), pa.array(signed(value)), pa.array(count.astype(np.int64)), pa.nulls(len(value), pa.binary())], names)
+            none = pa.nulls(len(value), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(value), -1)), pa.array(signed(value)), pa.array(count.astype(np.int64)), pa.nulls(len(value), pa.binary())], names)
 
     for batch in batches:
         for at, values, bounds in shingle_sets(batch.column(1)):
-            held.append(prefix(values, bounds, np.zeros(0, np.uint64))[1])
+            held.append(prefix(values, bounds, nothing, nothing)[1])
             yield from common(False)
-            p = points(values, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), pa.array(np.diff(bounds)), pa.array(signed(set_class(values, bounds))), pa.array(signed(set_class(values, bounds, 2))), pa.array(packed_points(p), pa.binary())], names)
+            p = [packed(point(values[i:j], group_count(j - i))) if j > i else None for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), pa.array(np.diff(bounds)), pa.array(signed(set_class(values, bounds))), pa.array(signed(set_class(values, bounds, 2))), pa.array(p, pa.binary())], names)
     yield from common(True)
 
 
-def _prefixes(common: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in batches:
-            for _, values, bounds in shingle_sets(batch.column(0)):
-                row, token = prefix(values, bounds, common)
-                name = signed(set_class(values, bounds))
-                keep = seen.new(name)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token[keep])), pa.array(name[row[keep]])], ["token", "class"])
-
-    return run
-
-
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, class): the sets of texts that are of the class, or of any where it is null."""
+def _whole_nodes(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by (node, piece) as tables of whole pieces, of about so many rows or one larger piece."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        want, free = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        for at, values, bounds in shingle_sets(batch.column(0)):
-            own = signed(set_class(values, bounds))
-            keep = np.flatnonzero(((own == want[at : at + len(own)]) | free[at : at + len(own)]) & (np.diff(bounds) > 0))
-            rows = [signed(values[bounds[k] : bounds[k + 1]]) for k in keep]
-            fine = [points(values[bounds[k] : bounds[k + 1]], np.array([0, bounds[k + 1] - bounds[k]]), FINE)[0] for k in keep]
-            fine = packed_points(fine)
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(rows, pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["class", "shingles", "fine"])
-
-
-def _tree_pairs(best_only: bool):
-    """Rows sorted by token: (token, class, n_shingles, point, root, heads). ``best_only``: each asking class
-    leaves once for each task, with its most promising partner; else every pair leaves from one of its blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        best: dict[int, tuple[int, int]] = {}
-
-        def leave(one, two) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
-
-        def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, name, root = (table[c].to_numpy() for c in ("token", "class", "root"))
-            size = table["n_shingles"].to_numpy()
-            point = unpacked_points(table["point"].to_pylist(), GROUPS)
-            listed = pa.concat_arrays(table["heads"].chunks)
-            ends = listed.value_lengths().to_numpy().cumsum()
-            first = ends - listed.value_lengths().to_numpy()
-            heads = listed.flatten().to_numpy()[np.minimum(first[:, None] + np.arange(HEADS), ends[:, None] - 1)]
-            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
-            members = np.diff(np.append(cuts, len(token)))
-            found = []
-            for n in np.unique(members):
-                at = cuts[members == n]
-                if n > 2 * LEAF:
-                    for k in at:
-                        a, b, margin = block_pairs(size[k : k + n], point[k : k + n], root[k : k + n])
-                        found.append((a + k, b + k, margin))
-                elif n > 1:
-                    step = max(1, 100_000 // int(n * n))
-                    found += [small_block_pairs(at[k : k + step, None] + np.arange(n), size, point, root) for k in range(0, len(at), step)]
-            if not found:
-                return
-            a, b, margin = (np.concatenate(x) for x in zip(*found, strict=True))
-            if best_only:
-                order = np.argsort(margin, kind="stable")
-                for x, m, y in zip(name[a[order]].tolist(), margin[order].tolist(), name[b[order]].tolist(), strict=True):
-                    if (m, y) > best.get(x, (-1, 0)):
-                        best[x] = m, y
-            else:
-                new = ~met_before(heads, a, b, token[a])
-                yield leave(np.minimum(name[a[new]], name[b[new]]), np.maximum(name[a[new]], name[b[new]]))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = batch.column(0)[batch.num_rows - 1].as_py()
-            cut = int(np.searchsorted(batch.column(0).to_numpy(), last, "left"))  # the last block may go on in the next batch
-            if cut:
-                yield from blocks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from blocks(pa.Table.from_batches(held))
-        if best:
-            yield leave(list(best), [y for _, y in best.values()])
-
-    return run
+        if not batch.num_rows:
+            continue
+        node, piece = batch.column("node").to_numpy(), batch.column("piece").to_numpy()
+        other = np.flatnonzero((node != node[-1]) | (piece != piece[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and held:  # the last piece so far may have ended with the batch before
+            before = held[-1]
+            ended = (before.column("node")[-1].as_py(), before.column("piece")[-1].as_py()) != (int(node[0]), int(piece[0]))
+        else:
+            ended = cut > 0
+        if ended and sum(b.num_rows for b in held) + cut >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Join:
     """The steps over one table of documents (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, tree_rows: int = TREE_ROWS, piece: int = PIECE, piece_shingles: int = PIECE_SHINGLES):
+        self.tree_rows, self.piece, self.piece_shingles = tree_rows, piece, piece_shingles
         self.rows = docs.select(F.col("doc_id").cast("long"), "text")
         prepare(docs.sparkSession)
         summary = materialise(self.rows.mapInArrow(_summaries, "doc_id long, n_shingles long, c1 long, c2 long, point binary"), "summary")
-        self.docs = summary.where("n_shingles >= 0")
-        self.classes = materialise(self.docs.where("n_shingles > 0").groupBy(F.col("c1").alias("class")).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "classes")
+        clash = summary.where("n_shingles > 0").groupBy("c1").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo < hi").select("c1")
+        #: First halves of 128-bit hashes that two classes share: one pair is expected among six billion classes.
+        self.clashes = np.array([r[0] for r in clash.collect()], np.int64)
+        name = F.when(F.col("c1").isin(self.clashes.tolist()), F.col("c1").bitwiseXOR("c2")).otherwise(F.col("c1")) if len(self.clashes) else F.col("c1")
+        self.docs = summary.where("n_shingles >= 0").select("doc_id", "n_shingles", name.alias("class"), "point")
+        same = self.docs.where("n_shingles > 0").groupBy("class")
+        self.classes = materialise(same.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")), "classes")
         #: Whether some class has no doc_id to fetch its text by.
         self.unnamed = not self.classes.where("doc_id IS NULL").isEmpty()
-        listed = summary.where("n_shingles < 0").groupBy("c1").agg(F.sum("c2").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "c1").limit(MOST_COMMON).select("c1")
-        self.common = np.sort(np.array([r[0] for r in listed.collect()], np.int64).view(np.uint64))
+        counts = materialise(summary.where("n_shingles < 0").groupBy("c1").agg(F.sum("c2").alias("n")).where(F.col("n") >= COMMON).select("c1", F.floor(F.log2("n")).alias("level")), "counts")
+        least, listed = 64, 0
+        for level, n in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
+            listed += n
+            if listed > MOST_COMMON:
+                break
+            least = level
+        common = sorted((r["c1"] & (1 << 64) - 1, r["level"]) for r in counts.where(F.col("level") >= least).collect())
+        self.common, self.level = np.array([c for c, _ in common], np.uint64), np.array([n for _, n in common], np.int64)
 
-    def blocks(self) -> DataFrame:
-        """(token, class, leader) of all blocks of two classes or more; leader is the block's least class."""
-        one = self.rows.select("text").mapInArrow(_prefixes(self.common), "token long, class long").repartition("token").distinct()
-        w = W.partitionBy("token")
-        return materialise(one.withColumn("leader", F.min("class").over(w)).withColumn("last", F.max("class").over(w)).where("leader < last").select("token", "class", "leader"), "blocks")
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(class, shingles, fine) of the classes in written pairs (a, b)."""
-        names = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-        needed = materialise(self.classes.join(names, "class", "left_semi").select("doc_id", "class"), "needed")
-        schema = "class long, shingles array<long>, fine binary"
-        rows = join_texts(self.rows, needed.where("doc_id IS NOT NULL"), "doc_id", "inner").select("text", "class").mapInArrow(_full_sets, schema)
-        if self.unnamed:
-            rest = self.rows.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("class")).mapInArrow(_full_sets, schema)
-            rows = rows.unionAll(rest.join(needed.where("doc_id IS NULL").select("class"), "class", "left_semi"))
-        return materialise(rows.dropDuplicates(["class"]), "sets")
+    def prefixes(self) -> DataFrame:
+        """(class, tokens): a class may come from several tasks."""
+        common, level, clashes = self.common, self.level, self.clashes
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The links among pairs (a, b) of classes."""
-        side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return materialise(both.where(7 * shared >= 3 * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = Seen()
+            for batch in batches:
+                for _, values, bounds in shingle_sets(batch.column(0)):
+                    row, token = prefix(values, bounds, common, level)
+                    name = class_names(signed(set_class(values, bounds)), signed(set_class(values, bounds, 2)), clashes)
+                    n = np.bincount(row, minlength=len(name))
+                    keep = seen.new(name) & (n > 0)
+                    offsets = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(token[keep[row]])))], ["class", "tokens"])
 
-    def bounded(self, pairs: DataFrame, table: DataFrame, size: str, point: str, width: int) -> DataFrame:
-        """(a, b, bound) of the pairs whose points allow a link; ``table`` holds each class's size and point."""
-        side = lambda c: table.select(F.col("class").alias(c), F.expr(size).cast("long").alias(f"n{c}"), F.col(point).alias(f"p{c}"))
+        return materialise(self.rows.select("text").mapInArrow(run, "class long, tokens array<long>"), "prefixes")
+
+    def blocks(self) -> DataFrame:
+        """(token, class, leader) of all blocks of two classes or more; leader is the block's least class. The
+        leaders are combined before their shuffle; the rows of a very common shingle then meet its leader in a
+        join, whose hot partitions Spark splits."""
+        prefixes = self.prefixes()
+        one = prefixes.select(F.explode("tokens").alias("token"), "class")
+        leaders = one.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader < last").select("token", "leader")
+        leaders = materialise(leaders, "leaders")
+        blocks = materialise(join_texts(one, leaders, "token", "inner"), "blocks")
+        discard(prefixes, leaders)
+        return blocks
+
+    def searched(self) -> DataFrame:
+        """(class, node): the clusters in which a class must be verified."""
+        blocks = self.blocks()
+        votes = blocks.groupBy("class", "leader").count()
+        cluster = materialise(votes.groupBy("class").agg(F.max_by("leader", "count").alias("cluster")), "cluster")
+        weights = materialise(cluster.groupBy("cluster").agg(F.count("*").alias("weight")).where("weight > 1"), "weights")
+        weighed = cluster.join(weights, "cluster", "left").select("class", "cluster", F.coalesce("weight", F.lit(1)).alias("weight"))
+        weighed = materialise(weighed, "weighed")
+
+        spread = materialise(blocks.select("token", "class").join(weighed, "class"), "spread")
+        sides = spread.groupBy("token", "cluster").agg(F.count("*").alias("n"))
+        mixed = sides.groupBy("token").agg(F.sum("n").alias("rows"), F.count("*").alias("sides"), F.max_by("cluster", "n").alias("main"))
+        mixed = materialise(mixed.where("sides > 1").select("token", "main", F.ceil(F.col("rows") / self.tree_rows).cast("int").alias("parts")), "mixed")
+        own = F.pmod(F.xxhash64("class"), "parts").cast("int")
+        parts = F.when((F.col("parts") == 1) | (F.col("cluster") == F.col("main")), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        several = spread.join(mixed.hint("merge"), "token").select(F.col("token").alias("node"), F.explode(parts).alias("piece"), "class", "cluster", "weight", F.lit(False).alias("inner"), own.alias("own"))
+        alike = weighed.where(F.col("weight").between(2, self.tree_rows)).select(F.col("cluster").alias("node"), F.lit(-1).alias("piece"), "class", "cluster", "weight", F.lit(True).alias("inner"), F.lit(-1).alias("own"))
+        rows = several.unionAll(alike).join(self.classes.select("class", "n", "point"), "class")
+        rows = rows.select("node", "piece", "class", "cluster", "weight", "inner", (F.col("own") == F.col("piece")).alias("home"), "n", "point")
+        tree_rows = self.tree_rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole_nodes(batches, tree_rows):
+                found = [_survivors(table)]
+                for name, at in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(at)], ["class", "node"])
+
+        near = rows.repartition("node", "piece").sortWithinPartitions("node", "piece", "inner", "cluster", F.desc("n"), "class").mapInArrow(run, "class long, node long")
+        large = weighed.where(F.col("weight") > self.tree_rows).select("class", F.col("cluster").alias("node"))
+        out = materialise(near.unionAll(large).distinct(), "placed")
+        discard(blocks, spread, mixed)
+        return out
+
+    def links(self, deals: DataFrame) -> DataFrame:
+        """(a, b): spanning forests of the links of all pieces; ``deals`` has (class, node, piece, home)."""
+        clashes = self.clashes
+        at = "array<struct<node:long,piece:int,home:boolean>>"
+        needed = deals.groupBy("class").agg(F.collect_list(F.struct("node", "piece", "home")).alias("at")).join(self.classes.select("class", "doc_id"), "class")
+        needed = materialise(needed.select("doc_id", "class", F.col("at").cast(at).alias("at")), "needed")
+        schema = "node long, piece int, home boolean, class long, shingles array<long>"
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The set of each (text, class, at) whose text is of the class, once for each place."""
+            seen = Seen()
+            for batch in batches:
+                want = batch.column(1).to_numpy()
+                for first, values, bounds in shingle_sets(batch.column(0)):
+                    own = class_names(signed(set_class(values, bounds)), signed(set_class(values, bounds, 2)), clashes)
+                    keep = (own == want[first : first + len(own)]) & (np.diff(bounds) > 0)
+                    keep[keep] = seen.new(own[keep])
+                    for k in np.flatnonzero(keep).tolist():
+                        places, one = batch.column(2)[first + k].as_py(), pa.array(signed(values[bounds[k] : bounds[k + 1]]))
+                        step = max(1, 100_000 // len(one))
+                        for s in range(0, len(places), step):
+                            part = places[s : s + step]
+                            offsets = np.arange(len(part) + 1, dtype=np.int32) * len(one)
+                            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays([one] * len(part)))
+                            yield pa.RecordBatch.from_arrays([pa.array([p["node"] for p in part], pa.int64()), pa.array([p["piece"] for p in part], pa.int32()), pa.array([p["home"] for p in part], pa.bool_()), pa.array([int(own[k])] * len(part), pa.int64()), shingles], ["node", "piece", "home", "class", "shingles"])
+
+        def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                one, two = (unpacked_points(batch.column(c).to_pylist(), width) for c in (4, 5))
-                bound = bound_of(one, two)
-                keep = 7 * bound >= 3 * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], ["a", "b", "bound"]).filter(pa.array(keep))
-
-        both = pairs.select("a", "b").join(side("a"), "a").where("na > 0").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-        return both.where("4 * na >= 3 * nb AND 4 * nb >= 3 * na").mapInArrow(run, "a long, b long, bound long")
-
-    def candidates(self, blocks: DataFrame, roots: DataFrame, best_only: bool) -> DataFrame:
-        """Pairs (a, b) of classes of different components whose points allow a link, from the trees of all blocks."""
-        named = blocks.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
-        w = W.partitionBy("token")
-        mixed = named.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").select("token", "class", "root")
-        mixed = materialise(mixed, "mixed")
-        heads = mixed.groupBy("class").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEADS).alias("heads"))
-        full = mixed.join(self.classes.select("class", "n_shingles", "point").join(heads, "class"), "class").select("token", "class", "n_shingles", "point", "root", "heads")
-        pairs = full.repartition("token").sortWithinPartitions("token").mapInArrow(_tree_pairs(best_only), "a long, b long")
-        if best_only:
-            pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialise(pairs.distinct(), "candidates")
-        discard(mixed)
-        return pairs
+                for _, values, bounds in shingle_sets(batch.column(0)):
+                    name = class_names(signed(set_class(values, bounds)), signed(set_class(values, bounds, 2)), clashes)
+                    offsets = pa.array(bounds.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(offsets, pa.array(signed(values)))], ["class", "shingles"])
+
+        rows = join_texts(self.rows, needed.where("doc_id IS NOT NULL"), "doc_id", "inner").select("text", "class", "at").mapInArrow(sets, schema)
+        if self.unnamed:
+            rest = self.rows.where("doc_id IS NULL").select("text").mapInArrow(names, "class long, shingles array<long>")
+            rest = rest.join(needed.where("doc_id IS NULL").select("class", "at"), "class").select(F.inline("at"), "class", "shingles")
+            rows = rows.unionAll(rest)
+        least = self.piece
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _whole_nodes(batches, 1):
+                node, piece, name, home = (table[c].to_numpy() for c in ("node", "piece", "class", "home"))
+                listed = pa.concat_arrays(table["shingles"].chunks)
+                values = listed.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
+                new = np.ones(len(node), bool)
+                new[1:] = (node[1:] != node[:-1]) | (piece[1:] != piece[:-1]) | (name[1:] != name[:-1])  # a class may come from several tasks
+                at = np.flatnonzero(new)
+                cuts = np.flatnonzero(np.append(True, (node[at][1:] != node[at][:-1]) | (piece[at][1:] != piece[at][:-1])))
+                one, two = [], []
+                for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                    if j - i < 2:
+                        continue
+                    rows = at[i:j]
+                    size = ends[rows + 1] - ends[rows]
+                    inside = np.concatenate([values[ends[r] : ends[r + 1]] for r in rows.tolist()])
+                    group = linked_groups(home[rows], inside, np.concatenate([[0], np.cumsum(size)]))
+                    moved = np.flatnonzero(group != np.arange(len(rows)))
+                    one.append(name[rows[group[moved]]])
+                    two.append(name[rows[moved]])
+                if one:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["a", "b"])
+
+        found = materialise(rows.repartition("node", "piece").sortWithinPartitions("node", "piece", "class").mapInArrow(run, "a long, b long"), "links")
+        discard(needed)
+        return found
 
     def linked(self) -> DataFrame:
-        """(class, root) of the classes that link with another."""
-        blocks = self.blocks()
-        votes = blocks.where("class <> leader").groupBy("class", "leader").count()
-        best = votes.groupBy("class").agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
-        pairs = materialise(self.bounded(best.select(F.col("class").alias("a"), "b"), self.classes, "n_shingles", "point", GROUPS), "pairs")
-        links, roots = None, None
-        for k in range(ROUNDS + 1):
-            if k:
-                pairs = self.candidates(blocks, roots, best_only=True)
-            sets = self.sets(pairs)
-            found = self.verified(self.bounded(pairs, sets, "size(shingles)", "fine", FINE), sets)
-            discard(sets)
-            links = found if links is None else materialise(links.unionAll(found), "links")
-            roots = components(links)
-        pairs = self.candidates(blocks, roots, best_only=False)
-        discard(blocks)
-        sets = self.sets(pairs)
-        open_pairs = materialise(self.bounded(pairs, sets, "size(shingles)", "fine", FINE), "open")
-        for wave in range(WAVES + 1):
-            r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-            apart = open_pairs.join(r("a"), "a", "left").join(r("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "bound")
-            apart = materialise(apart, "apart")
-            if apart.isEmpty():
-                break
-            now = apart
-            if wave < WAVES:
-                now = materialise(apart.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")), "wave")
-            found = self.verified(now, sets)
-            if not found.isEmpty():
-                links = materialise(links.unionAll(found), "links")
-                roots = components(links)
-            if wave < WAVES:
-                open_pairs = apart.join(now, ["a", "b"], "left_anti")
-        discard(sets)
-        return roots
+        """(node, root) of the classes that link with another."""
+        placed = self.searched()
+        pieces = placed.join(self.classes.select("class", "n"), "class").groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.min("class").alias("lead"))
+        pieces = pieces.where("rows > 1").select("node", "lead", F.greatest(F.ceil(F.col("rows") / self.piece), F.ceil(F.col("total") / self.piece_shingles)).cast("int").alias("pieces"))
+        pieces = materialise(pieces, "pieces")
+        own = F.pmod(F.xxhash64("class"), "pieces").cast("int")
+        everywhere = F.sequence(F.lit(0), F.col("pieces") - 1)
+
+        def deal(rows: DataFrame, visits: "F.Column") -> DataFrame:
+            return rows.select("class", "node", own.alias("own"), F.explode(F.when(visits, everywhere).otherwise(F.array(own))).alias("piece")).select("class", "node", "piece", (F.col("own") == F.col("piece")).alias("home"))
+
+        links = self.links(deal(placed.join(pieces.hint("merge"), "node"), (F.col("class") == F.col("lead")) & (F.col("pieces") > 1)))
+        roots = components(links)
+        split = pieces.where("pieces > 1")
+        if split.isEmpty():
+            return roots
+        rows = materialise(placed.join(split.hint("merge"), "node").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")), "split")
+        core = rows.groupBy("node", "root").count().groupBy("node").agg(F.max_by("root", "count").alias("core"))
+        more = self.links(deal(rows.join(core.hint("merge"), "node"), F.col("root") != F.col("core")))
+        return components(materialise(links.unionAll(more), "links"))
 
     def result(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every document."""
-        named = self.docs.join(self.linked().withColumnRenamed("node", "c1"), "c1", "left").select("doc_id", "n_shingles", F.coalesce("root", "c1").alias("root"))
-        least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
-        return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+        """(doc_id, n_shingles, component_id) of every document. Only rows of classes that have copies or links meet
+        others, so a class that is alone is not shuffled."""
+        named = self.classes.select("class", "doc_id", "copies").join(self.linked().withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        named = materialise(named, "named")
+        least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
+        met = materialise(named.join(least.hint("merge"), "root").select("class", "component_id"), "met")
+        docs = self.docs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+        found = join_texts(docs, met.withColumn("in_component", F.lit(True)), "class", "left")
+        return found.select("doc_id", "n_shingles", F.when(F.col("in_component"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _survivors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(class, cluster) of the classes of searched pieces that have a partner by the bounds."""
+    node, piece, name, cluster, weight, inner, home, size = (table[c].to_numpy() for c in ("node", "piece", "class", "cluster", "weight", "inner", "home", "n"))
+    points = [unpacked(b) for b in table["point"].to_pylist()]
+    coarse = [folded(p, GROUPS) for p in points]
+    top = max(p.max() for p in coarse)
+    vectors = np.array(coarse, np.uint8 if top < 1 << 8 else np.uint32)
+    change = np.append(False, (node[1:] != node[:-1]) | (piece[1:] != piece[:-1]))
+    forest = Forest(np.cumsum(change), cluster, inner, size, vectors)
+    who, where = [name[:0]], [name[:0]]
+    for a, b in forest.pairs():
+        ok = home[a] | home[b]
+        a, b = a[ok], b[ok]
+        ok = finer(points, size, a, b)
+        a, b = a[ok], b[ok]
+        forest.known[a] = forest.known[b] = True
+        second = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (cluster[b] > cluster[a]))
+        at = np.where(second, cluster[b], cluster[a])
+        both = np.unique(np.stack([np.concatenate([name[a], name[b]]), np.concatenate([at, at])]), axis=1)
+        who.append(both[0])
+        where.append(both[1])
+    both = np.unique(np.stack([np.concatenate(who), np.concatenate(where)]), axis=1)
+    return both[0], both[1]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -142,6 +142,30 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert got == brute_groups(texts, ids)
 
 
+def test_jaccard_in_pieces(spark):
+    """Trees and pieces of a few rows, so that blocks and clusters are split."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts += near_texts(rng) + [" ".join(base[:40] + [rng.choice(vocabulary) for _ in range(60)]) for _ in range(30)]
+    ids = [*range(len(texts))]
+    for sizes in ({"tree_rows": 8, "piece": 4}, {"tree_rows": 200, "piece": 16}, {"piece_shingles": 500}):
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in op3_jaccard.Join(frame(spark, texts, ids), **sizes).result().collect())
+        assert got == brute_groups(texts, ids)
+
+
+def test_classes_of_one_first_half_stay_apart():
+    c1, c2 = np.array([7, 7, 9]), np.array([1, 2, 3])
+    assert op3_jaccard.class_names(c1, c2, np.zeros(0, np.int64)).tolist() == [7, 7, 9]
+    assert op3_jaccard.class_names(c1, c2, np.array([7])).tolist() == [7 ^ 1, 7 ^ 2, 9]
+
+
 def test_jaccard_of_rows_without_ids(spark):
     texts = near_texts(random.Random(8))
     for ids in ([None] * len(texts), [k if k % 3 == 0 else None for k in range(len(texts))]):
@@ -154,26 +178,61 @@ def test_jaccard_of_nothing(spark):
     assert [tuple(r) for r in op3_jaccard.near_duplicates(frame(spark, [None, "", "x"])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
 
 
-def test_tree_finds_every_possible_pair():
+def test_trees_find_every_possible_pair():
     rng = np.random.default_rng(2)
     vectors = rng.poisson(3, (600, op3_jaccard.GROUPS)).astype(np.uint32)
     vectors[1::7] = vectors[::7][: len(vectors[1::7])]
     sizes = vectors.sum(1).astype(np.int64)
-    tree = op3_jaccard.CountTree(sizes, vectors)
-    assert len(tree.levels) > 1
-    for k in range(0, 600, 23):
-        bound = np.minimum(vectors, vectors[k]).sum(1)
-        want = np.flatnonzero((7 * bound >= 3 * (sizes + sizes[k])) & (4 * sizes >= 3 * sizes[k]) & (3 * sizes <= 4 * sizes[k]))
-        assert sorted(tree.search(int(sizes[k]), vectors[k]).tolist()) == want.tolist()
+    block = np.sort(rng.choice([0, 1, 1, 1, 2, 3], 600))
+    side = rng.integers(0, 5, 600)
+    for inner in (np.zeros(600, bool), np.ones(600, bool), block == 1):
+        order = np.lexsort((-sizes, side, block))
+        v, n, s, i = vectors[order], sizes[order], side[order], inner[order]
+        forest = op3_jaccard.Forest(block, s, i, n, v)
+        assert len(forest.levels) > 1
+        got = sorted(x for a, b in forest.pairs() for x in zip(a.tolist(), b.tolist(), strict=True))
+        want = []
+        for k in range(600):
+            bound = np.minimum(v, v[k]).sum(1)
+            ok = (7 * bound >= 3 * (n + n[k])) & (4 * n >= 3 * n[k]) & (3 * n <= 4 * n[k]) & (block == block[k]) & (i[k] | (s != s[k]))
+            want += [(k, j) for j in np.flatnonzero(ok).tolist() if j > k]
+        assert got == want
 
 
-def test_bound_is_never_too_small():
+def test_bounds_are_never_too_small():
     rng = random.Random(3)
-    for _ in range(50):
-        a, b = ({rng.getrandbits(20) for _ in range(rng.randrange(1, 300))} for _ in range(2))
-        b |= set(list(a)[: rng.randrange(len(a) + 1)])
-        p = [op3_jaccard.points(np.array(sorted(x), np.uint64), np.array([0, len(x)]))[0].astype(int) for x in (a, b)]
-        assert np.minimum(*p).sum() >= len(a & b)
+    points, sets = [], []
+    for _ in range(60):
+        a = {rng.getrandbits(20) for _ in range(rng.choice([5, 200, 700, 900, 3000]))}
+        b = {x for x in a if rng.random() < rng.choice([0.8, 0.9, 1])}
+        for x in (a, b):
+            sets.append(x)
+            points.append(op3_jaccard.point(np.array(sorted(x), np.uint64), op3_jaccard.group_count(len(x))))
+            assert op3_jaccard.unpacked(op3_jaccard.packed(points[-1])).tolist() == points[-1].tolist()
+    sizes = np.array([len(x) for x in sets])
+    a, b = (x.ravel() for x in np.triu_indices(len(sets), 1))
+    coarse = np.array([op3_jaccard.folded(p, op3_jaccard.GROUPS) for p in points])
+    overlap = np.array([len(sets[i] & sets[j]) for i, j in zip(a, b, strict=True)])
+    assert (op3_jaccard.bound_of(coarse[a], coarse[b]) >= overlap).all()
+    link = 7 * overlap >= 3 * (sizes[a] + sizes[b])
+    kept = op3_jaccard.finer(points, sizes, a, b)
+    assert kept[link].all() and not kept[overlap < sizes[a] * 0.3][sizes[a][overlap < sizes[a] * 0.3] > 600].all()
+
+
+def test_linked_groups():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 300)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.12], rng.integers(0, 1 << 60, rng.integers(0, 30))])) for _ in range(40)]
+    home = rng.random(40) > 0.3
+    group = op3_jaccard.linked_groups(home, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    label = list(range(40))
+    for _ in range(40):
+        for i in range(40):
+            for j in range(i):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if (home[i] or home[j]) and 7 * o >= 3 * (len(sets[i]) + len(sets[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert group.tolist() == label and len(set(label)) > 1
 
 
 # --- substrings ---
