@@ -7,18 +7,23 @@ Every element of the page's tree gets its characters, link characters, tags and
 
 with LCb, Cb of the body and every count 1 at least. The density sum of an element adds up its children's
 densities (its own text counts as one child). The threshold is the smallest density on the path from the
-element with the largest sum up to body; the content is the subtree with the largest density sum (widened to the
-article or main element around it, or to the ancestor whose other children reach the threshold), and within
-it blocks fall that are boilerplate by their tag, class, id or role, or whose density is under the threshold
-while links make up most of them.
+element with the largest sum up to body. The content is the subtree with the largest sum, and of the other
+children of its ancestors those that reach the threshold and are not mostly links, or that are text elements
+(headings, and paragraphs and lists below body). Within it blocks fall whose density is under the threshold while
+links make up most of them. The tags article and main do not matter for this.
+
+Marked parts (adverts, menus, comments, ...) are cut before the densities are summed: elements such as nav, footer
+and aside by their tag, others by class, id or role. A name says nothing sure: an element that is named so but
+holds a main element or the only h1, or for names of a place on the page four times as much as the unmarked rest, or
+without which no text is left, is layout and stays. A header stays in an article (or in the densest subtree) if it
+holds a heading; button and label stay where they stand in running text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by one line feed.
 
 Defined cases: null or empty html gives empty text; unclosed and misnested tags are closed as browsers do for
-p, li, td and the like; nesting deeper than MAX_DEPTH is cut to siblings at that depth, without loss of text;
-repeated rows are kept; null page_id and url are passed on; other columns are ignored. Plain text outside any
-tag counts as the body's own text.
+p, li, td and the like; nesting may have any depth; repeated rows are kept; null page_id and url are passed on;
+other columns are ignored. Plain text outside any tag counts as the body's own text.
 """
 
 from __future__ import annotations
@@ -33,14 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cuegrid.llm.common import prepare
 
-MAX_DEPTH = 400
-#: A sibling of the densest subtree counts as content from this many characters.
-MIN_CHARS = 25
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-HIDDEN = frozenset("head script style noscript iframe template svg math object embed form button input select option textarea label fieldset title xmp noembed noframes nav header footer aside menu dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+HIDDEN = frozenset("head script style noscript iframe template svg math object embed form input select option textarea title xmp noembed noframes nav header footer aside menu dialog".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button label input select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | frozenset("p ul ol dl blockquote pre table figure".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -50,10 +54,9 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|sidebar|side|aside|widget|related|recommended|share|sharing|social|comments?|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|toolbar|pagination|pager|skip|copyright|legal)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class and id names: what an element is, and where it is on the page.
+THINGS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs comment comments disqus replies respond cookie cookies consent gdpr notice popup newsletter subscribe signup login pagination pager recommended related".split())
+PLACES = frozenset("banner nav navbar navigation menu header footer masthead sidebar side aside widget share sharing social modal overlay toolbar skip copyright legal".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -63,30 +66,52 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. ``parts``: text strings and child nodes in order."""
+    """An element. ``parts``: text strings and child nodes in order. ``mark``: whether its tag or attributes say
+    that it is no content."""
 
-    __slots__ = ("chars", "density", "hidden", "link_chars", "link_tags", "name", "parts", "sum", "tags")
+    __slots__ = ("chars", "density", "link_chars", "link_tags", "mark", "name", "parts", "plain", "sum", "tags")
 
-    def __init__(self, name: str, hidden: bool = False):
-        self.name, self.hidden, self.parts = name, hidden, []
-        self.chars = self.link_chars = self.tags = self.link_tags = 0
+    def __init__(self, name: str, mark: int = 0):
+        self.name, self.mark, self.parts = name, mark, []
+        self.chars = self.link_chars = self.tags = self.link_tags = self.plain = 0
         self.density = self.sum = 0.0
 
+    @property
+    def hidden(self) -> bool:
+        return self.mark > 0
+
+    def holds(self, names: frozenset) -> bool:
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            if x.name in names:
+                return True
+            todo.extend(y for y in x.parts if isinstance(y, Node) and y.mark < CUT)
+        return False
+
+
+#: Marks: a name of a place, a name of a thing, a form's text element, and what is cut whatever it holds.
+PLACE, THING, CONTROL, CUT = 1, 2, 3, 4
+
 
-def _boilerplate(name: str, attrs: str) -> bool:
+def _mark(name: str, attrs: str) -> int:
     if name in HIDDEN:
-        return True
+        return CUT
+    out = CONTROL if name in ("button", "label") else 0
     if not attrs or name in ("html", "body"):
-        return False
+        return out
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and name not in ("article", "main") and BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if key in ("class", "id") and name not in ("article", "main"):
+            for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+                words = re.split(r"[_-]+", token.strip("_-"))
+                ends = {words[0], words[-1]}
+                out = max(out, THING if ends & THINGS else PLACE if ends & PLACES else 0)
+        elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return CUT
+        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return CUT
+    return out
 
 
 def parse(page: str) -> Node:
@@ -134,7 +159,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].name not in INLINE:
                     break
-        node = Node(name, _boilerplate(name, m[3]))
+        node = Node(name, _mark(name, m[3]))
         stack[-1].parts.append(node)
         if name in VOID or m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
@@ -142,11 +167,54 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        stack.append(node)
     return root
 
 
+def _length(text: str) -> int:
+    return len(_SPACE.sub(" ", text).strip())
+
+
+def _unmark_layout(root: Node) -> None:
+    """Takes the marks from elements that are named like boilerplate but hold the page, and from buttons and labels
+    in running text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        running = any(isinstance(x, str) and not x.isspace() for x in node.parts)
+        for x in node.parts:
+            if isinstance(x, Node):
+                if x.mark == CONTROL and running:
+                    x.mark = 0
+                if x.mark < CUT:
+                    todo.append(x)
+    for node in reversed(order):  # plain: characters that are under no mark below the node
+        node.plain = sum(_length(x) if isinstance(x, str) else 0 if x.mark else x.plain for x in node.parts)
+    rest, marked, titles = root.plain, [], []
+
+    def below(node: Node) -> None:
+        todo = [node]
+        while todo:
+            for x in todo.pop().parts:
+                if isinstance(x, Node):
+                    if not x.mark:
+                        todo.append(x)
+                        titles.extend([x] if x.name == "h1" else [])
+                    elif x.mark < CONTROL:
+                        marked.append(x)
+
+    below(root)
+    while marked:
+        title = frozenset(("main",) if titles else ("main", "h1"))
+        marked.sort(key=lambda x: (x.holds(title), x.mark == PLACE, x.plain))  # noqa: B023
+        node = marked.pop()
+        if not rest or node.mark == PLACE and node.plain > 4 * rest or node.holds(title):
+            node.mark = 0
+            rest += node.plain
+            below(node)
+
+
 def _measure(root: Node) -> None:
     """Counts and densities of all shown nodes, children before parents."""
     order, todo = [], [(root, False)]
@@ -158,7 +226,7 @@ def _measure(root: Node) -> None:
                 todo.append((x, link or x.name == "a"))
     own: dict[int, int] = {}
     for node, link in reversed(order):
-        text = sum(len(_SPACE.sub(" ", x).strip()) for x in node.parts if isinstance(x, str))
+        text = sum(_length(x) for x in node.parts if isinstance(x, str))
         own[id(node)] = text
         node.chars = text
         node.link_chars = text if link else 0
@@ -214,6 +282,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _unmark_layout(root)
     _measure(root)
     best, todo, parent = root, [root], {}
     while todo:
@@ -227,17 +296,35 @@ def main_text(page: str | None) -> str:
     path = [best]
     while path[-1] in parent:
         path.append(parent[path[-1]])
-    path.reverse()
-    threshold = min((x.density for x in path), default=0.0)
-    inside = next((x for x in path if x.name in ("article", "main")), None)
-    if inside is not None:
-        return "\n".join(_blocks(inside, threshold))
-    # Siblings that reach the threshold are content too: climb to the subtree that holds them all.
-    for node in reversed(path[:-1]):
-        near = [x for x in node.parts if isinstance(x, Node) and not x.hidden and x is not best and x.name not in INLINE]
-        if any(x.chars >= MIN_CHARS and x.density >= threshold and 2 * x.link_chars < x.chars for x in near if x not in path):
-            best = node
-    return "\n".join(_blocks(best, threshold))
+    threshold = min(x.density for x in path)
+    todo = [best]
+    while todo:  # headers of the content, at any depth
+        node = todo.pop()
+        for x in node.parts:
+            if isinstance(x, Node):
+                if x.name == "header" and node is not root and (node is best or node.name in ("article", "section")) and x.holds(HEADINGS):
+                    x.mark = 0
+                if not x.hidden:
+                    todo.append(x)
+    blocks = _blocks(best, threshold)
+    for inner, node in zip(path, path[1:]):  # outwards: what stands before and after the content so far
+        before, after, now = [], [], None
+        for x in node.parts:
+            if x is inner:
+                now = after
+                continue
+            side = before if now is None else after
+            if isinstance(x, str):
+                if node is not root and (text := _SPACE.sub(" ", html.unescape(x)).strip()):
+                    side.append(text)
+                continue
+            if x.name == "header" and node.name in ("article", "main", "section") and x.holds(HEADINGS):
+                x.mark = 0
+            elif x.hidden or 2 * x.link_chars >= x.chars or not (x.density >= threshold or x.name in HEADINGS and side is before or x.name in TEXT and node is not root):
+                continue
+            side += _blocks(x, threshold)
+        blocks = before + blocks + after
+    return "\n".join(blocks)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -107,6 +107,35 @@ def test_main_text_under_many_wrappers():
         assert "Part 1" in shallow and deep == shallow
 
 
+SAY = "A sentence of the article that is long enough to be text and not a menu. "
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><nav>{MENU}</nav><div class='page header-fixed'><article>{ARTICLE}</article></div></body>", WANT),
+        (f"<body><div class='side-by-side'><div>{ARTICLE}</div><div class=sidebar><p>Other things.</p></div></div></body>", WANT),
+        (f"<body class='comments-open'><div class='has-sidebar comments-open'><div>{ARTICLE}</div></div><div class=comment-list>{'<p>I liked it. </p>' * 90}</div></body>", WANT),
+        (f"<article><header><h1>The title</h1></header><div class=body><p>{SAY}</p><p>{SAY * 3}</p></div></article>", f"The title\n{SAY.strip()}\n{(SAY * 3).strip()}"),
+        (f"<body><header><h1>Our site</h1></header><div><h1>The title</h1><p>{SAY}</p><p>{SAY}</p></div></body>", f"The title\n{SAY.strip()}\n{SAY.strip()}"),
+        (f"<body><div><p>{SAY} Press <button>OK</button> to go <label>on</label>.</p><p>{SAY}</p><button>Buy</button></div></body>", f"{SAY}Press OK to go on.\n{SAY.strip()}"),
+        (f"<body><div><p>{SAY}</p><p>Short.</p><p>{SAY}</p><p>End.</p></div><div>An advert that has no name.</div></body>", f"{SAY.strip()}\nShort.\n{SAY.strip()}\nEnd."),
+        (f"<body><div class=ad><h1>Buy</h1></div><div><h1>The title</h1><p>{SAY}</p></div><div class=cookie-notice><p>{SAY * 9}</p></div></body>", f"The title\n{SAY.strip()}"),
+    ],
+)
+def test_main_text_where_names_mislead(page, want):
+    """Expected texts made by hand; no page depends on the tag article."""
+    assert op2_html.main_text(page) == want
+    assert op2_html.main_text(page.replace("<article>", "<section>").replace("</article>", "</section>")) == want
+
+
+def test_pages_do_not_depend_on_the_article_tag(spark, sf_dir):
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL").collect():
+        plain = op2_html.main_text(row.html.replace("<article>", "<div>").replace("</article>", "</div>"))
+        assert plain == op2_html.main_text(row.html)
+        assert op2_html.main_text(row.html.replace("<body>", "<body>" + "<div class='page header-fixed'>" * 80)) == plain
+
+
 def test_pages_table(spark, sf_dir):
     got = op2_html.op2_html_extraction(spark, sf_dir).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
