@@ -393,10 +393,82 @@ def test_expected_counts_are_exact():
     assert c.emit == pytest.approx(emit / total, rel=1e-4) and c.move == pytest.approx(move / total, rel=1e-4)
 
 
+def test_expected_counts_of_whole_rows():
+    """Rows longer than a block, more rows than run side by side, against a loop over one row at a time."""
+    rng = np.random.default_rng(12)
+    m = hmm.estimate(hmm.Counts(rng.random(3), rng.random((3, 3)), rng.random((5, 3))), np.full(5, 0.2))
+    rows = [rng.integers(0, 5, n) for n in (1, 40, 0, 17, 16, 33, 9, 40)]
+    got = hmm.Counts.none(3, 5)
+    hmm.expected(m, np.concatenate(rows), np.cumsum([0, *map(len, rows)]), got, width=3, block=8)
+    want = hmm.Counts.none(3, 5)
+    for r in rows:
+        if not len(r):
+            continue
+        a, b = [m.first * m.emit[r[0]]], [np.ones(3)]
+        for s in r[1:]:
+            a.append((a[-1] / a[-1].sum()) @ m.move * m.emit[s])
+        for s in r[:0:-1]:
+            b.append(m.move @ (m.emit[s] * b[-1] / b[-1].sum()))
+        b.reverse()
+        for t, s in enumerate(r):
+            g = a[t] * b[t] / (a[t] * b[t]).sum()
+            want.emit[s] += g
+            if t:
+                x = a[t - 1][:, None] * m.move * (m.emit[s] * b[t])[None]
+                want.move += x / x.sum()
+            else:
+                want.first += g
+    assert got.emit == pytest.approx(want.emit, rel=1e-4) and got.move == pytest.approx(want.move, rel=1e-4) and got.first == pytest.approx(want.first, rel=1e-4)
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t SEMI JOIN training USING (doc_id) GROUP BY w),
+a AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score FROM t LEFT JOIN c USING (w), a GROUP BY doc_id"""
+
+
+def test_base_scores_of_the_table_against_sql(spark, sf_dir):
+    con = connection(sf_dir)
+    ids = [r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()]
+    con.execute("CREATE TABLE training(doc_id BIGINT)")
+    con.executemany("INSERT INTO training VALUES (?)", [[i] for i in ids if zlib.crc32(str(i).encode()) % 7 != 2])
+    want = {r[0]: r[1:] for r in con.execute(BASE_SQL).fetchall()}
+    got = {r.doc_id: r for r in op5_lmscore.op5_lm_scoring(spark, sf_dir).collect()}
+    assert set(got) == set(want) == set(ids)
+    for i, (n, known, total, base) in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total) and got[i].base_score == pytest.approx(base)
+
+
+@pytest.mark.parametrize("lexicon", [1 << 19, 40])
+def test_scores_against_a_plain_forward_pass(spark, monkeypatch, lexicon):
+    monkeypatch.setattr(op5_lmscore, "LEXICON", lexicon)
+    monkeypatch.setattr(op5_lmscore, "LEAST_SYMBOLS", 30)
+    rng = random.Random(13)
+    texts = ODD + [" ".join(f"W{rng.randrange(int(10 ** rng.uniform(1, 3)))}" for _ in range(rng.randrange(90))) for _ in range(40)]
+    docs = frame(spark, texts)
+    trained = op5_lmscore.Trained(docs)
+    lex, m = trained.lexicon, trained.model
+    symbol = dict(zip(lex.small.tolist(), lex.small_symbol.tolist(), strict=True))
+    count = {r.h & (1 << 64) - 1: r.c for r in trained.counts.collect()}
+    got = {r.doc_id: r.score for r in op5_lmscore.score(docs, trained).collect()}
+    assert len(symbol) < len(count)
+    for i, text in enumerate(texts):
+        ((_, h, _, kind),) = op5_lmscore.tokens(pa.array([text], pa.string()))
+        a, total = m.first, 0.0
+        for t, (x, k) in enumerate(zip(h.tolist(), kind.tolist(), strict=True)):
+            p = m.emit[symbol[x]] if x in symbol else m.emit[lex.known + k] * (count.get(x, 0) + 1) / 10 ** lex.kind_logs[k]
+            a = (a @ m.move if t else a) * p
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert got[i] == pytest.approx(total)
+
+
 @pytest.mark.parametrize("lexicon", [1 << 19, 40])
 def test_base_scores_against_counts(spark, sf_dir, monkeypatch, lexicon):
     monkeypatch.setattr(op5_lmscore, "LEXICON", lexicon)
-    monkeypatch.setattr(op5_lmscore, "VOCABULARY", 30)
+    monkeypatch.setattr(op5_lmscore, "LEAST_SYMBOLS", 30)
     rng = random.Random(12)
     texts = ODD + [" ".join(f"W{rng.randrange(int(10 ** rng.uniform(1, 4)))}" for _ in range(rng.randrange(200))) for _ in range(60)]
     ids = [*range(len(texts) - 1), None]
