@@ -14,12 +14,13 @@ every window stands in the owner, so all their words go (if they have WINDOW wor
 3. Length WINDOW: the windows around what is left, with 128-bit hashes. For each the smallest doc_id is found.
 
 No step holds pairs of documents. Counts by window are combined before the shuffle; a window that very many
-documents share is joined back by a join whose hot partitions Spark splits.
+documents share is joined back by a join whose hot partitions Spark splits. Equal seeds of one document with equal
+extensions are one row with their places, so a text that repeats itself is not a hot key.
 
 Defined cases: null text counts as no words; a document of fewer than WINDOW words is left as it is; rows with
 null doc_id lose nothing and remove nothing, as no comparison with them holds; rows that repeat a doc_id are
-compared with smaller ids alone; very long texts are read whole; columns named like ours pass through, as only
-doc_id and text are read. Words are compared by hash; 64 bits pick candidates, 128 bits decide.
+compared with smaller ids alone; very long texts are read whole; other columns pass through, whatever their names,
+as only doc_id and text are read. Words are compared by hash; 64 bits pick candidates, 128 bits decide.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import Seen, join_texts, materialise, prepare, sequence_class, signed, sliding, text_slices, whole_windows, window_hashes, word_hashes
+from cuegrid.llm.common import Seen, discard, join_texts, materialise, prepare, sequence_class, signed, sliding, text_slices, unused, whole_windows, window_hashes, word_hashes
 
 WINDOW, BASE = 50, 13
 assert 3 * BASE <= WINDOW + 1
@@ -67,7 +68,7 @@ def seeds_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds of the classes that the task has not met yet."""
+    """Seeds of the classes that the task has not met yet; equal ones of a class are one row with all places."""
     seen = Seen()
     for batch in batches:
         for _, _, words, bounds, _, _ in _slices(batch.column(0)):
@@ -80,8 +81,14 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, row = at[first], row[first]
             short, double = window_hashes(words, BASE), window_hashes(words, 2 * BASE, 1)
             left, right = at - BASE >= bounds[row], at + 2 * BASE <= bounds[row + 1]
-            pick = lambda ok, p: pa.array(signed(double[np.clip(p, 0, len(double) - 1)]), mask=~ok)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(signed(short[at])), pick(left, at - BASE), pick(right, at), pa.array(signed(a[row])), pa.array((at - bounds[row]).astype(np.int32))], ["seed", "left", "right", "c1", "place"])
+            pick = lambda ok, p: np.where(ok, double[np.clip(p, 0, len(double) - 1)], 0)  # noqa: E731, B023
+            keys = np.stack([pick(right, at), pick(left, at - BASE), right, left, short[at], row.astype(np.uint64)])
+            order = np.lexsort(np.concatenate([at[None].astype(np.uint64), keys]))
+            keys, at, row, left, right = keys[:, order], at[order], row[order], left[order], right[order]
+            cut = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)).astype(np.int32)), pa.array((at - bounds[row]).astype(np.int32)))
+            column = lambda x, ok=None: pa.array(signed(x[cut]), mask=None if ok is None else ~ok[cut])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([column(keys[4]), column(keys[1], left), column(keys[0], right), column(a[row]), places], ["seed", "left", "right", "c1", "places"])
 
 
 def _starts(codes: list[int], n: int) -> np.ndarray:
@@ -130,16 +137,16 @@ def removals(docs: DataFrame) -> DataFrame:
     classes = materialise(rows.mapInArrow(_classes, "doc_id long, c1 long, c2 long, n_words long").where(F.col("n_words") >= WINDOW), "classes")
     owners = classes.groupBy("c1", "c2").agg(F.min("doc_id").alias("owner"))
 
-    seeds = rows.select("text").where(F.length("text") >= 2 * WINDOW - 1).mapInArrow(_seeds, "seed long, left long, right long, c1 long, place int")
+    seeds = rows.select("text").where(F.length("text") >= 2 * WINDOW - 1).mapInArrow(_seeds, "seed long, left long, right long, c1 long, places array<int>")
+    seeds = materialise(seeds, "seeds")
     shared = lambda df, key: df.groupBy(key).agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select(key)
-    extended = materialise(
-        seeds.join(shared(seeds, "seed"), "seed", "left_semi")
-        .select("c1", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("double")), F.struct(F.lit(1).alias("side"), F.col("right").alias("double")))).alias("x"))
-        .where("x.double IS NOT NULL")
-        .select("c1", "x.double", (F.col("place") * 2 + F.col("x.side")).alias("code")),
-        "extended",
-    )
-    left = extended.join(shared(extended, "double"), "double", "left_semi").groupBy("c1").agg(F.collect_set("code").alias("codes"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("double")), F.struct(F.lit(1).alias("side"), F.col("right").alias("double")))
+    extended = seeds.join(shared(seeds, "seed"), "seed", "left_semi").select("c1", "places", F.inline(sides)).where("double IS NOT NULL")
+    extended = materialise(extended, "extended")
+    discard(seeds)
+    left = extended.join(shared(extended, "double"), "double", "left_semi").distinct()
+    left = left.groupBy("c1").agg(F.collect_list(F.transform("places", lambda p: p * 2 + F.col("side"))).alias("codes"))
+    left = left.select("c1", F.array_distinct(F.flatten("codes")).alias("codes"))
     candidates = materialise(owners.where("owner IS NOT NULL").join(left, "c1").select(F.col("owner").alias("doc_id"), "c1", "codes"), "candidates")
     long = join_texts(rows, candidates, "doc_id", "inner").select("doc_id", "text", "c1", "codes").mapInArrow(_long_windows, "w1 long, w2 long, doc_id long, c1 long, place int")
     smallest = long.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w1", "w2", "a")
@@ -185,8 +192,9 @@ def _kept(batch: pa.RecordBatch, text: int, cuts: int) -> Iterator[tuple[int, in
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with the words removed; a document that lost words has the kept words
     joined by one space as its text, one that lost all is dropped."""
-    gone = removals(docs)
     columns = docs.columns
+    cuts = unused("cuts", columns)
+    gone = removals(docs).withColumnRenamed("cuts", cuts)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +210,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 out[at] = pa.array([None if t is None else len(t) for t in texts], batch.column(at).type)
             yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
 
-    return join_texts(docs, gone, "doc_id", "left").select(*columns, "cuts").mapInArrow(run, schema)
+    return join_texts(docs, gone, "doc_id", "left").select(*columns, cuts).mapInArrow(run, schema)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import assert_same, connection
+from pyspark.sql import functions as F
 
 from cuegrid.llm import common, hmm, op3_jaccard, op5_lmscore, op8_substrings, op9_decontaminate
 from cuegrid.llm.components import components
@@ -298,6 +299,13 @@ def test_deduplicated_keeps_columns(spark):
             assert hashlib.sha256(got[i].text.encode()).hexdigest() == w.kept_sha256 and got[i].n_chars == len(got[i].text)
 
 
+def test_deduplicated_with_columns_named_like_its_own(spark):
+    names = ["cuts", "_at", "_word", "word", "bits", "Bits", "score", "places"]
+    docs = frame(spark, passages(random.Random(7)) + ODD).select("doc_id", "text", *(F.col("doc_id").alias(c) for c in names if c != "Bits"))
+    got = op8_substrings.deduplicated(docs)
+    assert got.columns == docs.columns and all(r.cuts == r.word == r.places == r.doc_id for r in got.collect()) and got.count() > 60
+
+
 def test_every_window_has_a_seed_at_the_same_place():
     rng = np.random.default_rng(8)
     run = rng.integers(0, 4, 50).astype(np.uint64)
