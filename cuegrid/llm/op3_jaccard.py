@@ -14,12 +14,12 @@ together hold every possible link: under any total order of the shingles two lin
 the first n - ceil(3n/4) + 1 of each (prefix filter). Each shingle that stands in two prefixes is a block. The
 order is from rare to frequent where counts are known, then by hash; it matters for speed alone.
 
-Clusters. The least class of a block is its leader, and a class is in the cluster of the leader that most of its
-blocks have. Two classes that share a block are of one cluster, or share a block of several clusters: R-trees are
-searched in each cluster and in each such block. A pair that the bounds leave sends both classes to one of their
-two clusters; what leaves the trees is classes by cluster, never pairs. Blocks of more than PIECE rows are split:
-the rows of the block's largest cluster are dealt out, the others visit every part. A cluster of more than PIECE
-classes is not searched, all of it goes on.
+Clusters. The least class of a block is its leader. All classes of a leader's blocks are searched in one R-tree, so
+a class is a point of few trees, and any two classes that share a block meet in one. A class belongs to the cluster
+of the leader that most of its blocks have; classes of one cluster are compared in its leader's tree alone. A pair
+that the bounds leave sends both classes to one of their two clusters; what leaves the trees is classes by cluster,
+never pairs. Trees of more than TREE_ROWS points are split: the largest cluster is dealt out, the others visit every
+part, and the leader's own cluster goes on as it is.
 
 Verification. The full sets meet by cluster, in pieces of bounded size; overlaps are counted exactly by a product
 of their incidence matrices, and each piece sends a spanning forest of its links. Where a cluster has several
@@ -122,11 +122,11 @@ def bound_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Forest:
     """R-trees over the points of many blocks: leaves of LEAF rows, nodes of LEAF children. Rows come sorted by
     block. Of the boxes the upper corners are kept, as the bound needs no more, and the least and largest set
-    size and side. Rows of one side are not compared, unless ``inner``."""
+    size and side. Rows of one side are not compared, unless they are ``inner``."""
 
     def __init__(self, block: np.ndarray, side: np.ndarray, inner: np.ndarray, sizes: np.ndarray, vectors: np.ndarray):
         self.side, self.inner, self.sizes, self.vectors = side, inner, sizes, vectors
-        #: Rows that a caller has found a partner for. Two such rows are not compared where ``inner``.
+        #: Rows that a caller has found a partner of their side for. Two such rows of one side are not compared.
         self.known = np.zeros(len(sizes), bool)
         _, self.root, count = np.unique(block, return_inverse=True, return_counts=True)
         first = np.cumsum(count) - count
@@ -165,7 +165,7 @@ class Forest:
                 n = stop[at] - cut[at]
                 at = np.repeat(cut[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 q = np.repeat(q, n)
-            later = (at > q) & ~(self.inner[q] & self.known[q] & self.known[at])
+            later = (at > q) & ~(self.known[q] & self.known[at] & (self.side[q] == self.side[at]))
             q, at = q[later], at[later]
             fit = self._fits(q, self.sizes, self.sizes, self.side, self.side, self.vectors, at)
             yield q[fit], at[fit]
@@ -325,34 +325,33 @@ class Join:
     def searched(self) -> DataFrame:
         """(class, node): the clusters in which a class must be verified."""
         blocks = self.blocks()
-        votes = blocks.groupBy("class", "leader").count()
+        votes = materialise(blocks.groupBy("class", "leader").count(), "votes")
+        discard(blocks)
         cluster = materialise(votes.groupBy("class").agg(F.max_by("leader", "count").alias("cluster")), "cluster")
-        weights = materialise(cluster.groupBy("cluster").agg(F.count("*").alias("weight")).where("weight > 1"), "weights")
-        weighed = cluster.join(weights, "cluster", "left").select("class", "cluster", F.coalesce("weight", F.lit(1)).alias("weight"))
-        weighed = materialise(weighed, "weighed")
-
-        spread = materialise(blocks.select("token", "class").join(weighed, "class"), "spread")
-        sides = spread.groupBy("token", "cluster").agg(F.count("*").alias("n"))
-        mixed = sides.groupBy("token").agg(F.sum("n").alias("rows"), F.count("*").alias("sides"), F.max_by("cluster", "n").alias("main"))
-        mixed = materialise(mixed.where("sides > 1").select("token", "main", F.ceil(F.col("rows") / self.tree_rows).cast("int").alias("parts")), "mixed")
-        own = F.pmod(F.xxhash64("class"), "parts").cast("int")
-        parts = F.when((F.col("parts") == 1) | (F.col("cluster") == F.col("main")), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        several = spread.join(mixed.hint("merge"), "token").select(F.col("token").alias("node"), F.explode(parts).alias("piece"), "class", "cluster", "weight", F.lit(False).alias("inner"), own.alias("own"))
-        alike = weighed.where(F.col("weight").between(2, self.tree_rows)).select(F.col("cluster").alias("node"), F.lit(-1).alias("piece"), "class", "cluster", "weight", F.lit(True).alias("inner"), F.lit(-1).alias("own"))
-        rows = several.unionAll(alike).join(self.classes.select("class", "n", "point"), "class")
-        rows = rows.select("node", "piece", "class", "cluster", "weight", "inner", (F.col("own") == F.col("piece")).alias("home"), "n", "point")
+        weights = cluster.groupBy("cluster").agg(F.count("*").alias("weight"))
+        known = materialise(cluster.join(weights.hint("merge"), "cluster"), "known")
+
+        rows = materialise(votes.select("class", F.col("leader").alias("node")).join(known, "class"), "rows")
+        sides = rows.groupBy("node", "cluster").agg(F.count("*").alias("n")).groupBy("node")
+        nodes = sides.agg(F.sum("n").alias("rows"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max_by("cluster", "n").alias("main"))
+        parts = F.ceil(F.col("rows") / self.tree_rows).cast("int")
+        nodes = materialise(nodes.where("rows > 1 AND (low < high OR low = node)").select("node", "main", parts.alias("parts")), "nodes")
+        dealt = rows.join(nodes.hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+        pieces = F.when((F.col("parts") == 1) | (F.col("cluster") == F.col("main")), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = dealt.withColumn("piece", F.explode(pieces)).join(self.classes.select("class", "n", "point"), "class")
+        inner = (F.col("parts") == 1) & (F.col("cluster") == F.col("node"))
+        dealt = dealt.select("node", "piece", "class", "cluster", "weight", inner.alias("inner"), (F.col("own") == F.col("piece")).alias("home"), "n", "point")
         tree_rows = self.tree_rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in _whole_nodes(batches, tree_rows):
-                found = [_survivors(table)]
-                for name, at in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(at)], ["class", "node"])
+                name, at = _survivors(table)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(at)], ["class", "node"])
 
-        near = rows.repartition("node", "piece").sortWithinPartitions("node", "piece", "inner", "cluster", F.desc("n"), "class").mapInArrow(run, "class long, node long")
-        large = weighed.where(F.col("weight") > self.tree_rows).select("class", F.col("cluster").alias("node"))
+        near = dealt.repartition("node", "piece").sortWithinPartitions("node", "piece", "cluster", F.desc("n"), "class").mapInArrow(run, "class long, node long")
+        large = rows.where("cluster = node").join(nodes.where("parts > 1").select("node").hint("merge"), "node").select("class", "node")
         out = materialise(near.unionAll(large).distinct(), "placed")
-        discard(blocks, spread, mixed)
+        discard(votes, rows)
         return out
 
     def links(self, deals: DataFrame) -> DataFrame:
@@ -472,7 +471,8 @@ def _survivors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         a, b = a[ok], b[ok]
         ok = finer(points, size, a, b)
         a, b = a[ok], b[ok]
-        forest.known[a] = forest.known[b] = True
+        alike = cluster[a] == cluster[b]
+        forest.known[a[alike]] = forest.known[b[alike]] = True
         second = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (cluster[b] > cluster[a]))
         at = np.where(second, cluster[b], cluster[a])
         both = np.unique(np.stack([np.concatenate([name[a], name[b]]), np.concatenate([at, at])]), axis=1)
