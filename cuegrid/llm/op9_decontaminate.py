@@ -6,12 +6,15 @@ cut into k + 1 pieces: at least one of them stands unchanged in any such passage
 found in one pass over a text (Aho-Corasick); hits of one item near the same diagonal form a region, and Myers'
 bit-parallel distance decides whether the item ends in that region with k edits at most.
 
-The items are read in blocks of MAX_ITEM_CHARS characters at most, by a hash, so that what the executors hold
-is bounded; a larger benchmark takes more passes over the documents.
+Items of fewer than SHORT characters may have no edit and must stand at word boundaries, as their pieces would be
+found by chance.
 
-Defined cases: null or empty items and texts match nothing; items shorter than MIN_ITEM_CHARS are not searched,
-as they would match by chance; equal items are reported under each of their ids; repeated documents are reported
-each; null doc_id and item_id are passed on; other columns are ignored.
+Different items are read in blocks of MAX_ITEM_CHARS characters at most, by a hash, so that what the driver and the
+executors hold is bounded; a larger benchmark takes more passes over the documents, and a block is released after
+its pass. However often an item is repeated, it is searched once; its ids are joined to what was found.
+
+Defined cases: null or empty items and texts match nothing; equal items are reported under each of their ids;
+repeated documents are reported each; null doc_id and item_id are passed on; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import prepare
+from cuegrid.llm.common import materialise, prepare
 
 ERROR_RATE = 0.08
-MIN_ITEM_CHARS = 20
+SHORT = 20
 MAX_ITEM_CHARS = 8_000_000
 
 
@@ -75,15 +78,16 @@ class Pattern:
 class Matcher:
     """All items of a block: pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float = ERROR_RATE, least: int = MIN_ITEM_CHARS):
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, short: int = SHORT):
         import ahocorasick
 
         texts: dict[str, list] = {}
         for item_id, text in items:
-            if len(t := normal(text)) >= least:
+            if t := normal(text):
                 texts.setdefault(t, []).append(item_id)
         self.items = list(texts.items())
-        self.patterns = [Pattern(t, int(rate * len(t))) for t, _ in self.items]
+        self.short = short
+        self.patterns = [Pattern(t, int(rate * len(t)) if len(t) >= short else 0) for t, _ in self.items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (p, (t, _)) in enumerate(zip(self.patterns, self.items, strict=True)):
             cuts = [p.m * j // (p.budget + 1) for j in range(p.budget + 2)]
@@ -109,6 +113,10 @@ class Matcher:
         for k, diagonals in sorted(starts.items()):
             p, best = self.patterns[k], None
             near = sorted(diagonals)
+            if p.m < self.short:
+                whole = [x for x in near if text[x - 1 : x] in ("", " ") and text[x + p.m : x + p.m + 1] in ("", " ")]
+                out += [(i, 0, whole[0] + p.m) for i in self.items[k][1]] if whole else []
+                continue
             a = 0
             while a < len(near):
                 z = a
@@ -124,24 +132,24 @@ class Matcher:
         return out
 
 
-SCHEMA = "doc_id long, item_id long, distance int, match_end long, item_chars int"
+SCHEMA = "doc_id long, item long, distance int, match_end long, item_chars int"
 
 
-def item_blocks(benchmark: DataFrame, most: int = MAX_ITEM_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, in blocks of about ``most`` characters, one at a time on the driver."""
-    rows = benchmark.where(F.length("text") > 0)
+def item_blocks(benchmark: DataFrame, most: int = MAX_ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """(hash, text) of the different items, in blocks of about ``most`` characters, one at a time on the driver."""
+    rows = benchmark.where(F.length("text") > 0).select("text").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // most)
     for k in range(blocks):
-        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("item_id", "text").collect()]
+        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select(F.xxhash64("text"), "text").collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """A row for each document and item that it holds."""
+    """(doc_id, item_id, distance, match_end, item_chars): a row for each document and item that it holds."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") > 0)
-    out = None
+    out = spark.createDataFrame([], SCHEMA)
     for items in item_blocks(benchmark):
         shipped = spark.sparkContext.broadcast(items)
 
@@ -154,18 +162,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Da
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        part = texts.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+        out = out.unionAll(materialise(texts.mapInArrow(run, SCHEMA), "leaks"))
+        shipped.destroy()
+    ids = benchmark.where(F.length("text") > 0).select(F.xxhash64("text").alias("item"), F.col("item_id").cast("long"))
+    return out.join(ids, "item").select("doc_id", "item_id", "distance", "match_end", "item_chars")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item. Each row is judged by its text where it is read."""
     spark = docs.sparkSession
     prepare(spark)
-    at = docs.columns.index("text")
+    at, before = docs.columns.index("text"), None
     for items in item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(items)
+        if before is not None:
+            docs = materialise(docs, "clean")
+            before.destroy()
+        shipped = before = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate)

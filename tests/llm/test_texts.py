@@ -339,7 +339,7 @@ def brute_distance(item, text):
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(9)
     item = lambda n: "".join(rng.choice("abcdef gh") for _ in range(n))
-    items = [(k, item(rng.choice([25, 60, 130]))) for k in range(12)] + [(90, None), (91, ""), (92, "tiny"), (93, None)]
+    items = [(k, item(rng.choice([25, 60, 130]))) for k in range(12)] + [(90, None), (91, ""), (92, "tiny one"), (93, None), (96, "q"), (None, "gh")]
     items.append((95, items[0][1]))
     texts = list(ODD)
     for _ in range(60):
@@ -348,12 +348,16 @@ def test_decontamination_against_brute_force(spark):
             at = rng.randrange(len(t))
             t[at : at + rng.randrange(2)] = rng.choice(["", "z", "q r"])
         texts.append(f"{item(30)}  {''.join(t).upper()}\n{item(30)}")
+    texts += ["one tiny  ONE", "one tiny ones", "tiny one", "a q", "aq q", "gh", "gha gh"]
     got = {(r.doc_id, r.item_id): r.distance for r in op9_decontaminate.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {}
     for d, t in enumerate(texts):
         for i, x in items:
             n = op9_decontaminate.normal(x or "")
-            if len(n) >= op9_decontaminate.MIN_ITEM_CHARS and (e := brute_distance(n, op9_decontaminate.normal(t or ""))) <= int(op9_decontaminate.ERROR_RATE * len(n)):
+            if 0 < len(n) < op9_decontaminate.SHORT:
+                if f" {n} " in f" {op9_decontaminate.normal(t or '')} ":
+                    want[d, i] = 0
+            elif n and (e := brute_distance(n, op9_decontaminate.normal(t or ""))) <= int(op9_decontaminate.ERROR_RATE * len(n)):
                 want[d, i] = e
     assert got == want and len(want) > 20
 
@@ -361,7 +365,8 @@ def test_decontamination_against_brute_force(spark):
 def test_blocks_of_items(spark):
     bench = spark.createDataFrame([(k, f"item {k} " * 5) for k in range(40)], "item_id long, text string")
     blocks = list(op9_decontaminate.item_blocks(bench, 300))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(40))
+    assert len(blocks) > 3 and sorted(t for b in blocks for _, t in b) == sorted(f"item {k} " * 5 for k in range(40))
+    assert len({i for b in blocks for i, _ in b}) == 40
     assert op9_decontaminate.leaks(frame(spark, ["x"]), bench.limit(0)).collect() == []
 
 
