@@ -2,29 +2,37 @@
 
 A store is a folder of immutable runs (folders of Parquet shards) and a series of manifests. ``append`` writes
 an arrival as a run of small shards, as the scan deals them, and commits. ``compact`` merges FANOUT runs of one
-size tier into one run of files of about the target size, until no tier is full. Merging reads whole files and
-coalesces them: no shuffle. A manifest version lists all live runs; it is committed by claiming its number with
-an exclusive create and renaming a complete file to its name, so that a reader sees an old version or the new
-one, never a part. A writer that finds the number taken reads the new manifest and tries again. Runs that no
-kept version names (also those of lost or failed jobs) are deleted by ``vacuum``.
+size tier into one run of files of about the target size, until no tier is full. Merging reads whole files, packed
+by their bytes into one partition for each new file: no shuffle.
+
+A manifest version lists all live runs. A writer publishes it in these steps: it writes a complete draft under a
+name of its own, deletes all other drafts of the same version, sees that the version is not there, and renames its
+draft. The rename is the one step that commits; a reader sees an old version or the new one, never a part. Of two
+writers of one version at most one gets so far: whoever comes later to delete takes the draft from the other, or
+finds the version there. A writer whose draft is gone, or that finds the version, reads the newest manifest and
+tries again. A writer that is lost at any step leaves a draft at most, which the next one deletes. Runs that no kept
+version names (also those of lost or failed jobs) are deleted by ``vacuum``.
 
 Defined cases: an empty arrival commits nothing; nulls, empty and very long texts and repeated rows are kept as
-they are, each row once; columns are those of the arrival (all arrivals of a store must have the same); an
-empty store reads as no rows.
+they are, each row once; columns are those of the arrival (all arrivals of a store must have the same, of any
+names: where ``read`` adds a name that a column has, it appends an underscore); an empty store reads as no rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import random
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuegrid.llm.common import scratch
+from cuegrid.llm.common import scratch, unused
 
 TARGET_BYTES = 128 << 20
 #: Runs under this size are of tier 0; each tier is FANOUT times the one before.
@@ -80,25 +88,49 @@ class Store:
             stream.close()
         return version, [Run(**x) for x in json.loads(text)["runs"]]
 
+    def draft(self, version: int, runs: list[Run]) -> str:
+        """Writes a complete draft of a version; its name."""
+        name = f"draft/v{version:08d}-{uuid.uuid4().hex}"
+        self._fs.mkdirs(self._path("draft"))
+        try:
+            stream = self._fs.create(self._path(name), False)
+            stream.write(bytearray(json.dumps({"version": version, "runs": [asdict(x) for x in runs]}).encode()))
+            stream.close()
+        except Py4JJavaError as lost:
+            if self._fs.exists(self._path(name)):
+                raise
+            raise Conflict(str(version)) from lost  # another writer has deleted it
+        return name
+
+    def publish(self, version: int, draft: str) -> int:
+        """Makes a draft the version, or raises Conflict."""
+        for other in self._list("draft"):
+            if other.startswith(f"v{version:08d}-") and f"draft/{other}" != draft:
+                self._fs.delete(self._path(f"draft/{other}"), False)
+        self._fs.mkdirs(self._path("manifest"))
+        if self.manifest_exists(version):
+            self._fs.delete(self._path(draft), False)
+            raise Conflict(str(version))
+        try:
+            renamed = self._fs.rename(self._path(draft), self._path(f"manifest/v{version:08d}.json"))
+        except Py4JJavaError as gone:  # another writer has deleted the draft
+            raise Conflict(str(version)) from gone
+        if not renamed:
+            raise Conflict(str(version))
+        return version
+
+    def manifest_exists(self, version: int) -> bool:
+        return bool(self._fs.exists(self._path(f"manifest/v{version:08d}.json")))
+
     def commit(self, after: int, runs: list[Run]) -> int:
         """Publishes version ``after`` + 1, or raises Conflict."""
-        name = f"manifest/v{after + 1:08d}"
-        draft = self._path(f"draft/{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"version": after + 1, "runs": [asdict(x) for x in runs]}).encode()))
-        stream.close()
-        try:
-            self._fs.create(self._path(f"{name}.claim"), False).close()
-        except Exception as taken:
-            self._fs.delete(draft, False)
-            raise Conflict(str(after + 1)) from taken
-        if not self._fs.rename(draft, self._path(f"{name}.json")):
-            raise Conflict(str(after + 1))
-        return after + 1
+        return self.publish(after + 1, self.draft(after + 1, runs))
 
     def _publish(self, change, tries: int = 20) -> int | None:
         """Commits ``change(runs)`` on top of the newest version; None if the change no longer applies."""
-        for _ in range(tries):
+        for k in range(tries):
+            if k:
+                time.sleep(random.uniform(0, min(0.05 * 2**k, 5)))
             version, runs = self.manifest()
             new = change(runs)
             if new is None:
@@ -133,9 +165,11 @@ class Store:
         """Merges until no tier is full; the number of merges."""
         merges = 0
         while old := self.full_tier(self.manifest()[1]):
-            df = self.spark.read.parquet(*(r.path for r in old))
-            files = max(1, -(-sum(r.bytes for r in old) // self.target))
-            new = self._write(df.coalesce(files), "+".join((old[0].name.split("+")[0], old[-1].name.split("+")[-1])), sum(r.merged_from for r in old))
+            # Spark packs files into partitions by their bytes; the settings hold for this merge alone.
+            session = self.spark.newSession()
+            for key, value in (("maxPartitionBytes", self.target), ("minPartitionNum", 1), ("openCostInBytes", 1)):
+                session.conf.set(f"spark.sql.files.{key}", str(value))
+            new = self._write(session.read.parquet(*(r.path for r in old)), "+".join((old[0].name.split("+")[0], old[-1].name.split("+")[-1])), sum(r.merged_from for r in old))
             if new.rows != sum(r.rows for r in old):
                 raise RuntimeError(f"merged {new.rows} rows of {sum(r.rows for r in old)}")
             gone = {r.path for r in old}
@@ -159,13 +193,16 @@ class Store:
         """All rows of a version, with the run, tier and shard that hold them and the version."""
         version, runs = self.manifest(version)
         names = [f.name for f in schema.fields]
-        extra = lambda df, r: df.select(*names, F.lit(r.name).alias("run"), F.lit(tier_of(r.bytes, self.base, self.fanout)).alias("tier"), F.regexp_extract(F.col("_metadata.file_name"), r"^part-\d+", 0).alias("shard"), F.lit(version).alias("version"))
-        parts = [extra(self.spark.read.schema(schema).parquet(r.path), r) for r in runs]
-        if not parts:
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, *(T.StructField(n, k) for n, k in (("run", T.StringType()), ("tier", T.IntegerType()), ("shard", T.StringType()), ("version", T.IntegerType())))]))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
+        added = []
+        for name in ("run", "tier", "shard", "version"):
+            added.append(unused(name, [*names, *added]))
+        kinds = (T.StringType(), T.IntegerType(), T.StringType(), T.IntegerType())
+        out = self.spark.createDataFrame([], T.StructType([*schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds, strict=True))]))
+        for r in runs:
+            df = self.spark.read.schema(schema).parquet(r.path)
+            shard = F.regexp_extract(df.metadataColumn("_metadata")["file_name"], r"^part-\d+", 0)
+            place = (F.lit(r.name), F.lit(tier_of(r.bytes, self.base, self.fanout)), shard, F.lit(version))
+            out = out.unionAll(df.select(*(df[n] for n in names), *(c.alias(n) for c, n in zip(place, added, strict=True))))
         return out
 
 
