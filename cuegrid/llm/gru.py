@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Hidden units of a direction, and bytes of a window. A text is cut into windows; every byte is in one.
-UNITS, WINDOW = 8, 128
+#: Hidden units of a direction, and bytes of a window. A text is cut into windows; every byte is in one. Both
+#: directions run in over CONTEXT more bytes, whose labels are not counted.
+UNITS, WINDOW, CONTEXT = 8, 128, 32
 #: Windows that run at once.
 LANES = 2048
 
@@ -104,28 +105,31 @@ def position_probabilities(m: Model, x: np.ndarray, n: np.ndarray) -> np.ndarray
     return s
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, length) of the windows of all rows."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte read, bytes read, bytes before the window, bytes of the window) of all windows of all rows."""
     size = np.diff(offsets)
     count = -(-size // WINDOW)
     row = np.repeat(np.arange(len(size)), count)
-    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return row, offsets[:-1][row] + k * WINDOW, np.minimum(WINDOW, size[row] - k * WINDOW)
+    at = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    first, end = np.maximum(at - CONTEXT, 0), np.minimum(at + WINDOW + CONTEXT, size[row])
+    return row, offsets[:-1][row] + first, end - first, at - first, np.minimum(WINDOW, size[row] - at)
 
 
 def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean of the position probabilities over every byte of each row (rows, labels); 0 for empty rows."""
-    row, start, n = windows(data, offsets)
+    row, start, n, before, size = windows(data, offsets)
     order = np.argsort(-n, kind="stable")
     total = np.zeros((len(offsets) - 1, len(m.labels)))
-    padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-    full = int(np.searchsorted(-n[order], -(WINDOW - 1), "left"))
+    longest = WINDOW + 2 * CONTEXT
+    padded = np.concatenate([data, np.zeros(longest, np.uint8)])
+    full = int(np.searchsorted(-n[order], -(longest - 1), "left"))
     cuts = sorted({*range(0, full, LANES), full, *range(full, len(order), LANES), len(order)})
     for a, b in zip(cuts, cuts[1:], strict=False):
         at = order[a:b]
-        x = padded[start[at][:, None] + np.arange(n[at[0]])]
-        p = position_probabilities(m, x, n[at]).sum(0)
-        np.add.at(total, row[at], p)
+        step = np.arange(n[at[0]])
+        p = position_probabilities(m, padded[start[at][:, None] + step], n[at])
+        counted = (step[:, None] >= before[at]) & (step[:, None] < (before + size)[at])
+        np.add.at(total, row[at], np.einsum("twl,tw->wl", p, counted.astype(np.float32)))
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
@@ -175,7 +179,7 @@ def train(texts: list[bytes], targets: list[int], labels: list[str], steps: int
     if not usable:
         return m
     first, second = ([np.zeros_like(q) for q in m.parameters()] for _ in range(2))
-    length = 64
+    length = 96
     for step in range(1, steps + 1):
         y = r.choice(usable, batch)
         x = np.zeros((batch, length), np.uint8)

@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes (see ``gru``).
 
 The network labels every byte of a text; a document's score is the mean of its bytes' probabilities. It learns
-from a bounded sample: of each of the MAX_LABELS most frequent languages about PER_LABEL documents that are not held out,
-chosen by a hash, an excerpt of EXCERPT characters from a hashed place of each.
+from a bounded sample: of each language about PER_LABEL documents that are not held out (fewer, but LEAST_PER_LABEL,
+where there are so many languages that SAMPLE_ROWS is passed), chosen by a hash, an excerpt of EXCERPT characters
+from a hashed place of each. Every lang value is a label.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing could
 be learned (no labelled rows); null doc_id counts as not held out, null is passed on; very long texts are read
-whole, in windows; repeated rows give equal rows; other columns are ignored.
+whole, in overlapping windows; repeated rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuegrid.llm import gru
-from cuegrid.llm.common import prepare, text_slices
+from cuegrid.llm.common import prepare, text_slices, unused
 
-PER_LABEL, EXCERPT, MAX_LABELS = 600, 512, 64
+PER_LABEL, LEAST_PER_LABEL, SAMPLE_ROWS, EXCERPT = 600, 20, 50_000, 512
 FOLDS = 5
 #: The pipeline rejects documents whose best language has less than this.
 LEAST_SCORE = 0.3
@@ -37,34 +38,34 @@ def held_out(folds: int, rest: int) -> Column:
 def fit(docs: DataFrame, steps: int = 300) -> gru.Model | None:
     """Trains on the documents that are not held out; None if none has a language."""
     rows = docs.where(~held_out(FOLDS, 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LABEL / r["count"]))).otherwise(share)
+    wanted = min(PER_LABEL, max(LEAST_PER_LABEL, SAMPLE_ROWS // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, wanted / r["count"]))))[F.col("lang")]
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003))
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1
     picked = rows.where(draw < share * 1_000_003).select("lang", F.substring("text", place.cast("int"), F.lit(EXCERPT)).alias("text"), draw.alias("draw"))
-    picked = picked.orderBy("draw", "lang", "text").limit(2 * PER_LABEL * len(counts)).collect()
+    picked = picked.distinct().orderBy("draw", "lang", "text").limit(2 * wanted * len(counts)).collect()
     labels = sorted({r["lang"] for r in picked})
     if not labels:
         return None
     return gru.train([r["text"].encode() for r in picked], [labels.index(r["lang"]) for r in picked], labels, steps)
 
 
-def with_prediction(docs: DataFrame, model: gru.Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all) of the columns of ``docs``, with lang_pred and score added; the columns must not
-    have these names. Only ``text`` is an input."""
+def with_prediction(docs: DataFrame, model: gru.Model | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` (default: all) of the columns of ``docs``, with the prediction and its score added under ``names``,
+    which the columns must not have. Only ``text`` is an input."""
     prepare(docs.sparkSession)
+    added = list(names)
     if model is None:
-        return docs.select(*(keep or docs.columns), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*(keep or docs.columns), F.lit(UNKNOWN).alias(added[0]), F.lit(0.0).alias(added[1]))
     columns = docs.columns
     kept = keep or columns
     at, out = columns.index("text"), [columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.labels, UNKNOWN], object)
+        labels = np.array([*model.labels, UNKNOWN], object)
         for batch in batches:
             letters = np.asarray(batch.column(len(columns)))
             texts = pc.if_else(batch.column(len(columns)), batch.column(at), None)
@@ -72,12 +73,12 @@ def with_prediction(docs: DataFrame, model: gru.Model | None, keep: list[str] |
             p = np.concatenate(p) if p else np.zeros((0, len(model.labels)))
             best = p.argmax(1) if len(p) else np.zeros(0, int)
             score = np.where(letters, np.clip(p.max(1, initial=0.0), 0.0, 1.0), 0.0)
-            label = names[np.where(letters, best, len(model.labels))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(label, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+            label = labels[np.where(letters, best, len(model.labels))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), pa.array(label, pa.string()), pa.array(score)], [*kept, *added])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*columns, letters.alias("__letters")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
+    return docs.select(*columns, letters.alias(unused("letters", columns))).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: gru.Model | None) -> DataFrame:
