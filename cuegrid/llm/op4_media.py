@@ -3,11 +3,13 @@
 ``store`` writes a payload as 8-bit samples of a PCM track: ``ftyp``, ``mdat`` and ``moov`` with full sample
 tables (stsd, stts, stss, stsc, stsz, stco/co64). ``inspect`` walks the nested boxes of any such file, decodes
 its sample tables and returns codec, duration and the byte range of every keyframe; it reads no payload.
-``payload_of`` joins the sample byte ranges that ``inspect`` found.
+``payload_of`` joins the sample byte ranges that ``inspect`` found. ``media_files`` gives the files themselves with
+those columns, ``media_columns`` what is read back from them; both hold every keyframe's byte range.
 
 Defined cases: null text counts as empty (64 zero bytes); a payload that is a multiple of 64 gets no padding,
 an empty one gets 64 bytes; null doc_id is passed on; equal texts give equal files (no times or ids inside);
-malformed boxes (size below their header or beyond the parent) raise ValueError; other columns are ignored.
+malformed boxes (size below their header or beyond the parent) and files whose samples are in movie fragments
+(moof) raise ValueError; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuegrid.llm.common import prepare
 
@@ -146,6 +149,8 @@ def inspect(data: bytes) -> list[Track]:
     tracks: list[Track] = []
     for path, at, end in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise ValueError(f"the samples of the movie fragment at {at} are not in the sample tables")
         if kind == b"trak":
             tracks.append(Track())
         if b"trak" not in path or not tracks:
@@ -189,29 +194,56 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % BLOCK if text else BLOCK)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_keyframes long, duration_s double"
+RANGES = "keyframes array<struct<start:long,end:long>>"
+SCHEMA = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_keyframes long, duration_s double, {RANGES}"
+FILES = f"doc_id long, media binary, handler string, codec string, duration_s double, n_samples long, {RANGES}"
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text as media and returns what is read back from the stored bytes."""
+def _columns(rows: list[tuple], ranges: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")[:-1]]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ranges])]).astype(np.int32)
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *ranges]).astype(np.int64)
+    spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["start", "end"])
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends), spans)], names)
+
+
+def _over_texts(docs: DataFrame, row_of, schema: str) -> DataFrame:
+    """``row_of(doc_id, UTF-8 of the text, its file)`` for every row: the columns of ``schema`` but the ranges."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, ranges, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 media = store(padded(raw))
                 track = inspect(media)[0]
-                back = payload_of(media, track)
-                rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(track), len(track.keyframes), track.duration / track.timescale))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+                rows.append(row_of(doc_id, raw, media, track))
+                ranges.append(track.keyframes)
+                size += len(media)
+                if size > 1 << 25:
+                    yield _columns(rows, ranges, schema)
+                    rows, ranges, size = [], [], 0
+            yield _columns(rows, ranges, schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
+def media_files(docs: DataFrame) -> DataFrame:
+    """Every text as an ISO media file: its bytes, codec, duration and the byte ranges of its keyframes."""
+    return _over_texts(docs, lambda i, raw, media, t: (i, media, t.handler, t.codec, t.duration / t.timescale, t.samples), FILES)
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Stores every text as media and returns what is read back from the stored bytes."""
+
+    def row_of(doc_id, raw: bytes, media: bytes, track: Track) -> tuple:
+        back = payload_of(media, track)
+        return doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(track), len(track.keyframes), track.duration / track.timescale
 
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
+    return _over_texts(docs, row_of, SCHEMA)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,41 @@ def test_gradients():
         assert dq[k] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=2e-4)
 
 
+def test_every_byte_against_a_plain_recurrence():
+    """One byte at a time, one unit at a time, over each window with its context."""
+    m = gru.fresh(["a", "b", "c"], 4)
+    rng = np.random.default_rng(5)
+    squash = lambda x: x / (1 + abs(x))
+    for size in (1, 40, 128, 161, 300):
+        data = rng.integers(0, 256, size)
+        total = np.zeros(3)
+        for at in range(0, size, gru.WINDOW):
+            low, high = max(0, at - gru.CONTEXT), min(size, at + gru.WINDOW + gru.CONTEXT)
+            scores = np.zeros((2, high - low, 3))
+            for side in (0, 1):
+                h = np.zeros(gru.UNITS)
+                for t in range(high - low) if side == 0 else range(high - low - 1, -1, -1):
+                    x = data[low + t]
+                    gate = [(squash(sum(h[i] * m.ug[side, i, j] for i in range(gru.UNITS)) + m.wg[side, x, j]) + 1) / 2 for j in range(2 * gru.UNITS)]
+                    new = []
+                    for j in range(gru.UNITS):
+                        a = squash(gate[gru.UNITS + j] * (sum(h[i] * m.un[side, i, j] for i in range(gru.UNITS)) + m.bn[side, 0, j]) + m.wn[side, x, j])
+                        new.append((1 - gate[j]) * a + gate[j] * h[j])
+                    h = np.array(new)
+                    scores[side, t] = h @ m.v[side]
+            p = np.exp(scores.sum(0) + m.c)
+            p /= p.sum(1, keepdims=True)
+            total += p[at - low : min(at + gru.WINDOW, size) - low].sum(0)
+        assert gru.pooled(m, data.astype(np.uint8), np.array([0, size]))[0] == pytest.approx(total / size, abs=1e-5)
+
+
+def test_every_language_is_a_label(spark):
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * 20, f"l{k:03d}") for k in range(150)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5})
+    assert op1_langid.fit(docs, 2).labels == want and len(want) > 100
+
+
 def test_pooling_equals_one_text_at_a_time():
     m = gru.fresh(["a", "b"], 2)
     rng = np.random.default_rng(3)
@@ -181,6 +216,8 @@ def test_media_with_own_sample_sizes():
 
 
 def test_malformed_boxes():
+    with pytest.raises(ValueError):
+        op4_media.inspect(op4_media.store(bytes(64)) + op4_media.box(b"moof", op4_media.box(b"traf")))
     for bad in (b"\0\0\0\4free", b"\0\0\1\0free", b"abc", b"\0\0\0\1free\0"):
         with pytest.raises(ValueError):
             list(op4_media.walk(bad))
@@ -191,6 +228,13 @@ def test_media_columns(spark):
     for i, t in enumerate(ODD):
         payload = op4_media.padded((t or "").encode())
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    files = {r.doc_id: r for r in op4_media.media_files(frame(spark, ODD)).collect()}
+    for i, t in enumerate(ODD):
+        payload, media = op4_media.padded((t or "").encode()), bytes(files[i].media)
+        assert files[i].keyframes == got[i].keyframes and len(got[i].keyframes) == got[i].n_keyframes == -(-len(payload) // op4_media.CHUNK)
+        assert [media[k.start : k.end] for k in got[i].keyframes] == [payload[a : a + 1] for a in range(0, len(payload), op4_media.CHUNK)]
+        assert hashlib.sha256(media).hexdigest() == got[i].media_sha256 and (files[i].codec, files[i].n_samples) == ("raw ", len(payload))
+    assert got[10].n_keyframes > 1 and op4_media.media_files(frame(spark, [])).collect() == []
     assert got[6][1:] == got[7][1:] and op4_media.media_columns(frame(spark, [])).collect() == []
 
 
@@ -273,6 +317,65 @@ def test_commit_is_exclusive(spark):
     assert s.manifest() == (1, []) and s.commit(1, []) == 2
 
 
+def test_lost_writers_do_not_block_the_store(spark):
+    s = op7_sharding.Store(spark, scratch(spark, "store"))
+    rows = spark.range(5).selectExpr("id AS run", "id AS k")
+    s.draft(1, [])  # lost after its draft
+    assert s.append(rows, "a") == 1 and s._list("draft") == []
+    slow = s.draft(2, [])  # goes on only after another writer has published
+    assert s.append(rows, "b") == 2
+    with pytest.raises(op7_sharding.Conflict):
+        s.publish(2, slow)
+    one, two = s.draft(3, s.manifest()[1]), s.draft(3, [])  # the later one to clear the way takes it from the other
+    assert s.publish(3, one) == 3
+    with pytest.raises(op7_sharding.Conflict):
+        s.publish(3, two)
+    assert [r.name for r in s.manifest()[1]] == ["a", "b"] and s._list("draft") == []
+
+
+def test_racing_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch(spark, "store")
+    runs = [op7_sharding.Run(f"r{k}", f"p{k}", 1, 1) for k in range(12)]
+    add = lambda r: op7_sharding.Store(spark, root)._publish(lambda old: [*old, r])
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(add, runs))
+    version, held = op7_sharding.Store(spark, root).manifest()
+    assert sorted(versions) == list(range(1, 13)) and version == 12 and sorted(r.name for r in held) == sorted(r.name for r in runs)
+
+
+def test_store_reads_columns_of_any_name(spark):
+    s = op7_sharding.Store(spark, scratch(spark, "store"))
+    rows = spark.range(3).selectExpr("id AS k", "'mine' AS run", "id AS Tier", "'m' AS _metadata", "1.5 AS version")
+    s.append(rows, "a")
+    got = s.read(rows.schema)
+    assert got.columns == [*rows.columns, "run_", "tier_", "shard", "version_"]
+    assert all((r.run, r.run_, r._metadata, r.version_) == ("mine", "a", "m", 1) and r.shard.startswith("part-") for r in got.collect())
+    assert s.read(rows.schema, 0).collect() == []
+
+
+def test_merged_files_are_sized_by_bytes(spark):
+    s = op7_sharding.Store(spark, scratch(spark, "store"), target=60_000, base=1 << 30, fanout=4)
+    rng = random.Random(5)
+    for k, n in enumerate((1, 2, 1, 180)):  # one large arrival among small ones
+        s.append(spark.createDataFrame([(rng.randbytes(500).hex(),) for _ in range(n)], "text string").coalesce(1 if n < 9 else 9), f"a{k}")
+    assert s.compact() == 1
+    ((_, (run,)),) = [s.manifest()]
+    sizes = [x.getLen() for x in s._fs.listStatus(s._hadoop.Path(run.path)) if x.getPath().getName().startswith("part-")]
+    assert run.rows == 184 and max(sizes) <= 60_000 and len(sizes) <= 1 - -sum(sizes) // 60_000
+
+
+def test_tiers():
+    tier = lambda n: op7_sharding.tier_of(n, 10, 4)
+    assert [tier(n) for n in (0, 9, 10, 39, 40, 159, 160, 640)] == [0, 0, 1, 1, 2, 2, 3, 4]
+
+
+def test_sharding_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, run string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert op7_sharding.op7_sharding(spark, str(tmp_path)).collect() == []
+
+
 def test_sharding_query(spark, sf_dir):
     got = op7_sharding.op7_sharding(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -364,3 +467,25 @@ def test_stages_decide_on_rows(spark, tmp_path):
     left = corpus_pipeline.drop_benchmark_leaks(spark, kept, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted(x for x in got if leak not in x[1])
+
+
+def test_stages_with_odd_rows_and_columns(spark, tmp_path):
+    """Null, empty, repeated and very long rows beside columns that are named like the stages' own."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["house", "river", "stone", "walk", "green"]) + str(rng.randrange(999)) for _ in range(n))
+    passage, leak = say(60), say(30)
+    texts = [(1, say(80)), (1, say(80)), (None, say(50)), (None, None), (2, ""), (3, say(30_000)), (4, f"{say(20)} {passage}"), (5, f"{passage} {say(20)}"), (6, f"{leak} {say(9)}"), (7, "1 2 3")] + [(8, say(40))] * 3
+    names = ["score", "lang_pred", "cuts", "_at", "_word", "word", "bits", "letters", "row", "row_key", "group_key", "label"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for case, now in (("rows", docs), ("empty", docs.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            assert name == "packing" or now.columns == docs.columns
+            now.write.parquet(f"{tmp_path}/{case}-{name}")
+            now = spark.read.parquet(f"{tmp_path}/{case}-{name}")
+            if name != "packing":
+                assert all(r[c] == k for r in now.collect() for k, c in enumerate(names))
+        got = sorted(str(r.doc_id) for r in now.collect())
+        assert got == ([] if case == "empty" else sorted(["1", "1", "None", *["3"] * 4, "4", "5", "8"]))
