@@ -7,9 +7,12 @@
 4. benchmark: documents that hold a benchmark item go.
 5. packing: what is left is packed into training sequences.
 
-Every stage but the last returns the columns of documents. Stages 2 and 4 decide on rows, whatever their doc_id:
-in stage 2 a row with null doc_id counts as larger than all others. Only stage 3 compares by id: rows with null
-doc_id pass it as they are.
+Every stage but the last returns the columns of documents, and any others that there are, whatever their names.
+Stages 2 and 4 decide on rows, whatever their doc_id: in stage 2 a row with null doc_id counts as larger than all
+others, and of repeated rows one stays. Only stage 3 compares by id: rows with null doc_id pass it as they are.
+
+Defined cases: null text has no language and goes in stage 1, as does an empty one; very long texts are read whole in
+every stage; ties (rows of one group with the same doc_id) leave one of the rows; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,24 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import op1_langid, op3_jaccard, op8_substrings, op9_decontaminate, op10_packing
-from cuegrid.llm.common import join_texts, materialise
+from cuegrid.llm.common import join_texts, materialise, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on the stage's own input."""
-    known = op1_langid.with_prediction(docs, op1_langid.fit(docs))
-    return known.where((F.col("lang_pred") != op1_langid.UNKNOWN) & (F.col("score") >= op1_langid.LEAST_SCORE)).select(*docs.columns)
+    label, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    known = op1_langid.with_prediction(docs, op1_langid.fit(docs), names=(label, score))
+    return known.where((F.col(label) != op1_langid.UNKNOWN) & (F.col(score) >= op1_langid.LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets a key, which is written with it as it would not be the same in another run over the input."""
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = op3_jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    several = materialise(found.join(found.where("_group <> _row").select("_group").distinct(), "_group", "left_semi"), "groups")
-    rows = several.join(keyed.select("_row", "doc_id"), "_row")
-    stay = rows.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    gone = materialise(rows.join(stay, "_row", "left_anti").select("_row"), "dropped")
-    return join_texts(keyed, gone, "_row", "left_anti").select(*docs.columns)
+    key = unused("row", docs.columns)
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = op3_jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group_key"))
+    several = materialise(found.join(found.where("group_key <> row_key").select("group_key").distinct(), "group_key", "left_semi"), "groups")
+    rows = several.join(keyed.select(F.col(key).alias("row_key"), "doc_id"), "row_key")
+    stay = rows.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("row_key")).select("row_key")
+    gone = materialise(rows.join(stay, "row_key", "left_anti").select(F.col("row_key").alias(key)), "dropped")
+    return join_texts(keyed, gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
