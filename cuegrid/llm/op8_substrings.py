@@ -125,7 +125,11 @@ def _long_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             at = bounds[row] + s
             w1, w2 = (signed(window_hashes(words, WINDOW, salt)[at]) for salt in (2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), ids.take(pa.array(first + row)), pa.array(a[row]), pa.array(s.astype(np.int32))], ["w1", "w2", "doc_id", "c1", "place"])
+            order = np.lexsort((s, w2, w1, row))
+            w1, w2, row, s = w1[order], w2[order], row[order], s[order]
+            cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(s)).astype(np.int32)), pa.array(s.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(w1[cut]), pa.array(w2[cut]), ids.take(pa.array(first + row[cut])), pa.array(a[row[cut]]), places], ["w1", "w2", "doc_id", "c1", "places"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -148,9 +152,9 @@ def removals(docs: DataFrame) -> DataFrame:
     left = left.groupBy("c1").agg(F.collect_list(F.transform("places", lambda p: p * 2 + F.col("side"))).alias("codes"))
     left = left.select("c1", F.array_distinct(F.flatten("codes")).alias("codes"))
     candidates = materialise(owners.where("owner IS NOT NULL").join(left, "c1").select(F.col("owner").alias("doc_id"), "c1", "codes"), "candidates")
-    long = join_texts(rows, candidates, "doc_id", "inner").select("doc_id", "text", "c1", "codes").mapInArrow(_long_windows, "w1 long, w2 long, doc_id long, c1 long, place int")
+    long = join_texts(rows, candidates, "doc_id", "inner").select("doc_id", "text", "c1", "codes").mapInArrow(_long_windows, "w1 long, w2 long, doc_id long, c1 long, places array<int>")
     smallest = long.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w1", "w2", "a")
-    cut = long.join(smallest, ["w1", "w2"]).where("doc_id > a").groupBy("doc_id", "c1").agg(F.collect_set("place").alias("places"))
+    cut = long.join(smallest, ["w1", "w2"]).where("doc_id > a").groupBy("doc_id", "c1").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     copies = classes.join(owners, ["c1", "c2"]).where("doc_id > owner").select("doc_id", "c1").distinct().withColumn("places", F.expr("CAST(NULL AS ARRAY<INT>)"))
     return materialise(cut.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("c1", "places")).alias("cuts")), "removals")
 
