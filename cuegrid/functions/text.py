@@ -134,6 +134,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty, . and .. parts."""
+    empty = F.expr("CAST(ARRAY() AS ARRAY<STRING>)")
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    step = lambda kept, part: F.when(part.isin("", "."), kept).when(part == "..", up(kept)).otherwise(F.array_append(kept, part))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

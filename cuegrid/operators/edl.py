@@ -15,6 +15,7 @@ from cuegrid.operators import islands
 PAD_MS = 30
 BUCKET_MS = 60_000
 ZERO_CAPTION_MS = 400
+SUBTITLE_KEYS = ("style", "path", "force_style")
 PRESETS = ["subtle", "neutral_punch", "warm_cinematic", "none"]
 
 
@@ -72,16 +73,28 @@ def _known_grade(c: Column) -> Column:
 
 def range_violations(edls: DataFrame, ranges: DataFrame, sources: DataFrame, key: str = "edl") -> DataFrame:
     """(edl, range_idx, rule, message) of broken rules: range_idx is -1 for rules of the whole list. Rules are
-    numbered in the order of checking, so an edl's least (range_idx, rule) is its first error."""
+    numbered in the order of checking. ``edls`` has version and grade, and may have the JSON of its fields sources,
+    subtitles and overlays; a list's first error is its least of the rules 1 to 4, then the least (range_idx, rule)
+    of its ranges, then the least of the rules from 20 on."""
+    given = lambda c: F.trim(c) if c in edls.columns else F.lit(None).cast("string")
+    bare = F.regexp_replace(F.regexp_replace(given("sources"), r'"(?:[^"\\]|\\.)*"', "s"), r"\s", "")
+    subtitles, overlays = given("subtitles"), given("overlays")
+    is_object = subtitles.startswith("{")
+    wrong = lambda k: is_object & F.array_contains(F.json_object_keys(subtitles), k) & ~subtitles.rlike(rf'"{k}"\s*:\s*"')
     counts = ranges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     dupes = sources.groupBy(key, "source").count().where("count > 1").groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("source")), ", ").alias("dupes"))
     heads = edls.join(counts, key, "left").join(dupes, key, "left")
     head_rules = [
         (1, F.col("version").isNull(), "missing version"),
         (2, F.col("version") != 1, "unsupported version"),
+        (3, ~bare.rlike(r"^(\{(s:s(,s:s)*)?\}|\[(s(,s)*)?\])$"), "sources must be a list or an object of strings"),
         (3, F.col("dupes").isNotNull(), "duplicate base names in sources"),
         (4, F.coalesce("n", F.lit(0)) == 0, "ranges must not be empty"),
         (20, ~_known_grade(F.col("grade")), "unknown grade of the list"),
+        (21, is_object & (F.size(F.array_except(F.json_object_keys(subtitles), F.array(*(F.lit(k) for k in SUBTITLE_KEYS)))) > 0), "unknown keys in subtitles"),
+        *((22 + n, wrong(k), f"{k} of subtitles must be a string") for n, k in enumerate(("path", "style", "force_style"))),
+        (25, subtitles.rlike(r"^(\[.*|true|false|-?[0-9.eE+-]+)$"), "subtitles must be a path or an object"),
+        (26, ~overlays.startswith("["), "overlays must be a list"),
     ]
     named = ranges.join(sources.select(key, "source").distinct().withColumn("_known", F.lit(True)), [key, "source"], "left")
     range_rules = [
@@ -96,8 +109,11 @@ def range_violations(edls: DataFrame, ranges: DataFrame, sources: DataFrame, key
 
 def overlay_violations(overlays: DataFrame, key: tuple[str, ...] = ("edl", "overlay_idx")) -> DataFrame:
     """(keys, rule, message) for overlays (source, card_type, card_text, counter_start, counter_end, width, height,
-    font_size, start, end, duration_type)."""
+    font_size, start, end, duration_type; x, y and z_order as text where they are to be checked). The rules 15 and 16
+    come before 12 in the order of checking."""
     c = F.col
+    number = lambda k: c(k).cast("string").try_cast("double") if k in overlays.columns else F.lit(0.0)
+    no_number = lambda *ks: F.greatest(*(F.lit(0), *((c(k).isNotNull() & number(k).isNull()).cast("int") for k in ks if k in overlays.columns)), F.lit(0)) > 0
     lasts = c("end") - c("start")
     has_source, has_card = c("source").isNotNull(), c("card_type").isNotNull()
     rules = [
@@ -115,6 +131,8 @@ def overlay_violations(overlays: DataFrame, key: tuple[str, ...] = ("edl", "over
         (12, ~c("duration_type").isin("sync", "beat"), "duration type must be sync or beat"),
         (13, (c("duration_type") == "sync") & ((lasts < 3) | (lasts > 14)), "sync overlays last 3 to 14 s"),
         (14, (c("duration_type") == "beat") & ((lasts < 0.5) | (lasts > 2)), "beat overlays last 0.5 to 2 s"),
+        (15, no_number("x", "y"), "position must be numeric"),
+        (16, no_number("z_order"), "z_order must be numeric"),
     ]
     return _broken(overlays, list(key), rules)
 
@@ -144,16 +162,40 @@ def payload_language_violations(expected: DataFrame, actual: DataFrame, key: str
     return _broken(e.join(actual.select(key, "source_language", "target_language"), key), [key], rules)
 
 
+def payload_count_violations(expected: DataFrame, actual: DataFrame, key: str = "media") -> DataFrame:
+    """(key, rule, message) of payloads whose number of windows differs; checked after the languages."""
+    n = lambda df, c: df.groupBy(key).agg(F.count("*").alias(c))
+    both = n(expected, "ne").join(n(actual, "na"), key, "left")
+    return _broken(both, [key], [(3, F.coalesce("na", F.lit(0)) != F.col("ne"), "number of windows differs")])
+
+
+def missing_overlays(overlays: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("edl", "overlay_idx")) -> DataFrame:
+    """(keys, source) of overlays whose source file is not among ``existing`` (path)."""
+    return overlays.where("source IS NOT NULL").join(existing.select(F.col("path").alias("source")), "source", "left_anti").select(*keys, "source")
+
+
 def _broken(df: DataFrame, keys: list[str], rules: list[tuple[int, Column, str]]) -> DataFrame:
     found = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(m).alias("message"))) for n, bad, m in rules)), lambda x: x.isNotNull())
     return df.select(*keys, F.explode(found).alias("v")).select(*keys, "v.rule", "v.message")
 
 
+MATCHED = "media-duration-matched-observed-mlx-ten-x-compression"
+
+
 def timestamp_correction(media: DataFrame) -> DataFrame:
     """Adds factor and reason for media (backend, n_segments, last_end_ms, duration_ms): one backend sometimes
     writes times a tenth of what they are; then all times are to be multiplied by the exact ratio."""
     ratio = F.col("duration_ms") / F.col("last_end_ms")
     near = F.rint(ratio)
     skip = (F.col("backend") != "mlx") | (F.col("n_segments") == 0) | F.col("duration_ms").isNull()
-    reason = F.when(skip, F.lit(None).cast("string")).when(F.coalesce("last_end_ms", F.lit(0)) <= 0, "missing-or-invalid-segment-end").when(near == 1, "ratio-close-to-1").when(F.abs(ratio - near) > 0.02, "ratio-not-close-enough-to-integer").when(near != 10, "ratio-does-not-match-observed-mlx-compression").otherwise("applied")
-    return media.withColumn("reason", reason).withColumn("factor", F.when(F.col("reason") == "applied", ratio).otherwise(F.lit(1.0)))
+    reason = F.when(skip, F.lit(None).cast("string")).when(F.coalesce("last_end_ms", F.lit(0)) <= 0, "missing-or-invalid-segment-end").when(near == 1, "ratio-close-to-1").when(F.abs(ratio - near) > 0.02, "ratio-not-close-enough-to-integer").when(near != 10, "ratio-does-not-match-observed-mlx-compression").otherwise(MATCHED)
+    return media.withColumn("reason", reason).withColumn("factor", F.when(F.col("reason") == MATCHED, ratio).otherwise(F.lit(1.0)))
+
+
+def corrected_times(segments: DataFrame, media: DataFrame, key: str = "media") -> DataFrame:
+    """Segments (key, start_ms, end_ms, words array<struct<..., start_ms, end_ms>>, ...) with all times multiplied by
+    their medium's factor (key, factor), in whole milliseconds; other columns and fields stay."""
+    scaled = lambda c: F.rint(c * F.col("_factor")).cast("long")
+    joined = segments.join(media.select(key, F.col("factor").alias("_factor")), key)
+    word = lambda w: w.withField("start_ms", scaled(w["start_ms"])).withField("end_ms", scaled(w["end_ms"]))
+    return joined.withColumns({"start_ms": scaled(F.col("start_ms")), "end_ms": scaled(F.col("end_ms")), "words": F.transform("words", word)}).select(*segments.columns)

@@ -122,22 +122,94 @@ def report(findings: DataFrame, media: str = "media") -> DataFrame:
     return findings.groupBy(media).agg(F.count_if("passed").alias("n_passed"), F.count_if(failed).alias("n_failed"), F.count_if(~F.col("passed") & (F.col("severity") == "warning")).alias("n_warnings")).withColumn("passed", F.col("n_failed") == 0)
 
 
+def luminance(pixels: Column) -> Column:
+    """Mean of a frame's 8-bit channel values, from 0 to 1; null for no frame."""
+    n = F.size(pixels)
+    return F.when(n > 0, F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / n / 255)
+
+
+def cropped_frame_delta(a: Column, b: Column) -> Column:
+    """``frame_delta`` of two frames struct<width, height, pixels (rows of width * 3 channel values)> after cropping
+    both to the common width and height, over 255."""
+    w, h = F.least(a["width"], b["width"]), F.least(a["height"], b["height"])
+    row = lambda f, k: F.slice(f["pixels"], k * f["width"] * 3 + 1, w * 3)
+    crop = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda k: row(f, k)))
+    return F.when((w > 0) & (h > 0), frame_delta(crop(a), crop(b)) / 255)
+
+
+def grade_check(samples: DataFrame, durations: DataFrame, media: str = "media", order: str = "sample", value: str = "luminance") -> DataFrame:
+    """(media, passed, severity, max_delta, first, second) for every medium of ``durations`` (media, duration in
+    seconds or null): those of unknown or under 4 s length, or with less than two samples, only warn."""
+    there = samples.where(F.col(value).isNotNull())
+    found = grade_consistency(there, media, order, value).join(there.groupBy(media).agg(F.count("*").alias("_n")), media)
+    both = durations.join(found, media, "left")
+    able = (F.col("duration") >= 4) & (F.coalesce("_n", F.lit(0)) >= 2)
+    able = F.coalesce(able, F.lit(False))
+    kept = lambda c: F.when(able, F.col(c)).alias(c)
+    severity = F.when(~able, "warning").when(F.col("passed"), "info").otherwise("fail")
+    return both.select(media, (able & F.coalesce("passed", F.lit(False))).alias("passed"), severity.alias("severity"), kept("max_delta"), kept("first"), kept("second"))
+
+
+def verification(durations: DataFrame, cuts: DataFrame, deltas: DataFrame, envelopes: DataFrame, samples: DataFrame, media: str = "media") -> DataFrame:
+    """(media, finding, check, cut_time, passed, severity, details) of every medium: its duration (media, actual,
+    expected), its cuts (media, cut_time), frame differences and envelopes at them (media, cut_time, delta; bins,
+    raw_peak), and its luminance samples (media, sample, luminance). Findings are numbered in this order; a cut that
+    was not measured only warns."""
+    none = F.lit(None).cast("double")
+    num = lambda c, n=4: F.coalesce(F.format_string(f"%.{n}f", c.cast("double")), F.lit("unknown"))
+
+    def rows(df: DataFrame, kind: int, check: str, cut, passed, severity, details) -> DataFrame:
+        return df.select(media, F.lit(kind).alias("_kind"), F.lit(check).alias("check"), cut.alias("cut_time"), passed.alias("passed"), severity.alias("severity"), details.alias("details"))
+
+    c = duration_check(F.col("actual"), F.col("expected"))
+    found = rows(durations, 1, "duration", none, c["passed"], c["severity"], F.concat(F.lit("actual="), num(F.col("actual"), 3), F.lit("s expected="), num(F.col("expected"), 3), F.lit("s")))
+    n = durations.select(media).join(cuts.groupBy(media).agg(F.count("*").alias("n")), media, "left")
+    text = F.when(F.col("n").isNull(), "No internal cut boundaries (single segment or no ranges).").otherwise(F.concat(F.lit("Found "), F.col("n"), F.lit(" cut boundary/ies")))
+    found = found.unionByName(rows(n, 2, "cut_boundaries", none, F.lit(True), F.lit("info"), text))
+    at = lambda df: cuts.select(media, "cut_time").join(df, [media, "cut_time"], "left")
+    v = visual_check(F.col("delta"))
+    found = found.unionByName(rows(at(deltas), 3, "visual_discontinuity", F.col("cut_time"), v["passed"], v["severity"], F.concat(F.lit("delta="), num(F.col("delta")))))
+    p = pop_check(F.col("bins"), F.col("raw_peak"), F.col("cut_time"))
+    pops = at(envelopes).withColumn("p", p)
+    found = found.unionByName(rows(pops, 4, "audio_pop", F.col("cut_time"), F.coalesce("p.passed", F.lit(False)), F.coalesce("p.severity", F.lit("warning")), F.concat(F.lit("peak="), num(F.col("p.loudest")))))
+    graded = grade_check(samples, durations.select(media, F.col("actual").alias("duration")), media)
+    found = found.unionByName(rows(graded, 5, "grade_consistency", none, F.col("passed"), F.col("severity"), F.concat(F.lit("max_delta="), num(F.col("max_delta")))))
+    order = W.partitionBy(media).orderBy("_kind", "cut_time")
+    return found.withColumn("finding", F.row_number().over(order)).select(media, "finding", "check", "cut_time", "passed", "severity", "details")
+
+
 def rechecked(findings: DataFrame, again: DataFrame, media: str = "media", retry: int = 1) -> DataFrame:
     """Findings (media, finding, check, cut_time, passed, severity, details) with failed ones replaced by the first
-    new result of the same check at the same cut (within 0.01 s, or both without); those still failing say so."""
-    a = again.select(media, "check", F.col("finding").alias("_f"), F.col("cut_time").alias("_cut"), F.col("passed").alias("_passed"), F.col("severity").alias("_severity"), F.col("details").alias("_details"))
+    new result of the same check at the same cut (within 0.01 s, or both without). A new result serves one finding:
+    in order, each takes the first that is left. Those still failing say so."""
     failing = ~F.col("passed") & (F.col("severity") == "fail")
-    near = (F.col("cut_time").isNull() & F.col("_cut").isNull()) | (F.abs(F.col("cut_time") - F.col("_cut")) <= CUT_TOLERANCE)
-    hits = findings.where(failing).join(a, [media, "check"]).where(near).groupBy(media, "finding").agg(F.min_by(F.struct("_passed", "_severity", "_details"), "_f").alias("_new"))
-    both = findings.join(hits, [media, "finding"], "left")
-    passed, severity = F.coalesce("_new._passed", "passed"), F.coalesce("_new._severity", "severity")
-    details = F.when(F.col("_new").isNotNull(), F.concat(F.lit(f"[retry {retry}] "), F.col("_new._details"))).otherwise(F.col("details"))
+    new = F.sort_array(F.collect_list(F.struct(F.col("finding").alias("f"), F.col("cut_time").alias("cut"), "passed", "severity", "details")))
+    old = F.sort_array(F.collect_list(F.struct(F.col("finding").alias("f"), F.col("cut_time").alias("cut"))))
+    both = findings.where(failing).groupBy(media, "check").agg(old.alias("old")).join(again.groupBy(media, "check").agg(new.alias("new")), [media, "check"])
+    near = lambda x, y: (x["cut"].isNull() & y["cut"].isNull()) | F.coalesce(F.abs(x["cut"] - y["cut"]) <= CUT_TOLERANCE, F.lit(False))
+
+    def step(state: Column, x: Column) -> Column:
+        hit = F.try_element_at(F.filter(state["left"], lambda y: near(x, y)), F.lit(1))
+        left = F.when(hit.isNull(), state["left"]).otherwise(F.filter(state["left"], lambda y: y["f"] != hit["f"]))
+        pair = F.struct(x["f"].alias("finding"), hit.alias("new"))
+        return F.struct(left.alias("left"), F.array_append(state["out"], pair).alias("out"))
+
+    kinds = dict(findings.dtypes)
+    hit_type = f"struct<f:{kinds['finding']},cut:{kinds['cut_time']},passed:boolean,severity:string,details:string>"
+    start = F.struct(F.col("new").alias("left"), F.expr(f"CAST(ARRAY() AS ARRAY<STRUCT<finding: {kinds['finding']}, new: {hit_type}>>)").alias("out"))
+    hits = both.select(media, F.explode(F.aggregate("old", start, step)["out"]).alias("h")).where("h.new IS NOT NULL").select(media, "h.finding", F.col("h.new").alias("_new"))
+    joined = findings.join(hits, [media, "finding"], "left")
+    passed, severity = F.coalesce("_new.passed", "passed"), F.coalesce("_new.severity", "severity")
+    details = F.when(F.col("_new").isNotNull(), F.concat(F.lit(f"[retry {retry}] "), F.col("_new.details"))).otherwise(F.col("details"))
     open_still = ~passed & (severity == "fail")
-    return both.select(*(c for c in findings.columns if c not in ("passed", "severity", "details")), passed.alias("passed"), severity.alias("severity"), F.concat(details, F.when(open_still, " [unresolved after max passes]").otherwise("")).alias("details"))
+    return joined.select(*(c for c in findings.columns if c not in ("passed", "severity", "details")), passed.alias("passed"), severity.alias("severity"), F.concat(details, F.when(open_still, " [unresolved after max passes]").otherwise("")).alias("details"))
 
 
 def nearest_picture(findings: DataFrame, pictures: DataFrame, media: str = "media") -> DataFrame:
     """Adds the first picture (media, picture_no, cut_time, path) within 0.01 s of each finding's cut."""
-    p = pictures.select(media, "picture_no", F.col("cut_time").alias("_cut"), "path")
-    hits = findings.join(p, media).where(F.abs(F.col("cut_time") - F.col("_cut")) <= CUT_TOLERANCE).groupBy(media, "finding").agg(F.min_by("path", "picture_no").alias("timeline_png"))
+    # Cuts are dealt into steps of the tolerance; a finding looks into its own and both neighbours.
+    place = lambda c: F.floor(F.col(c) / CUT_TOLERANCE).cast("long")
+    p = pictures.select(media, "picture_no", F.col("cut_time").alias("_cut"), "path", place("cut_time").alias("_at"))
+    near = findings.withColumn("_at", F.explode(F.sequence(place("cut_time") - 1, place("cut_time") + 1)))
+    hits = near.join(p, [media, "_at"]).where(F.abs(F.col("cut_time") - F.col("_cut")) <= CUT_TOLERANCE).groupBy(media, "finding").agg(F.min_by("path", "picture_no").alias("timeline_png"))
     return findings.join(hits, [media, "finding"], "left")

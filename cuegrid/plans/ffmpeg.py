@@ -15,7 +15,15 @@ GRADES = {
     "warm_cinematic": "eq=contrast=1.12:brightness=-0.02:saturation=0.88,colorbalance=rs=0.02:gs=0.0:bs=-0.03:rm=0.04:gm=0.01:bm=-0.02:rh=0.08:gh=0.02:bh=-0.05,curves=master='0/0 0.25/0.22 0.75/0.78 1/1'",
     "none": "",
 }
+# Loudness target, caption styles, picture size and encoding of rough cuts.
 LOUDNORM = "loudnorm=I=-14:TP=-1:LRA=11"
+FORCE_STYLES = {
+    "bold-overlay": "FontName=Helvetica,FontSize=18,Bold=1,PrimaryColour=&H00FFFFFF,OutlineColour=&H00000000,BackColour=&H00000000,BorderStyle=1,Outline=2,Shadow=0,Alignment=2,MarginV=35",
+    "natural-sentence": "FontName=Helvetica,FontSize=22,Bold=1,PrimaryColour=&H00FFFFFF,OutlineColour=&H00000000,BackColour=&H00000000,BorderStyle=1,Outline=2,Shadow=0,Alignment=2,MarginV=35",
+}
+IMAGE_SEGMENT_FILTER = "scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2:black,fps=30"
+ROUGH_CUT_CODECS = ("-c:v", "libx264", "-preset", "veryfast", "-crf", "20", "-pix_fmt", "yuv420p", "-c:a", "aac", "-ar", "48000", "-ac", "2")
+SILENT_STEREO = "anullsrc=channel_layout=stereo:sample_rate=48000"
 FADE_MS = 30
 
 
@@ -113,22 +121,55 @@ def misused_concat(arguments: Column) -> Column:
     return F.arrays_overlap(arguments, F.array(F.lit("-filter_complex"), F.lit("-lavfi")))
 
 
-IMAGE_SEGMENT_FILTER = "scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2:black,fps=30"
-_ENCODED = ("-c:v", "libx264", "-preset", "veryfast", "-crf", "20", "-pix_fmt", "yuv420p", "-c:a", "aac", "-ar", "48000", "-ac", "2")
-_SILENCE = ("-f", "lavfi")
-
-
 def image_segment(source: Column, duration: Column, output: Column) -> Column:
     """A still with a silent stereo track."""
-    return argv("ffmpeg", "-y", "-loop", "1", "-t", duration, "-i", source, *_SILENCE, "-t", duration, "-i", "anullsrc=channel_layout=stereo:sample_rate=48000", "-vf", IMAGE_SEGMENT_FILTER, *_ENCODED, "-shortest", "-movflags", "+faststart", output)
+    return argv("ffmpeg", "-y", "-loop", "1", "-t", duration, "-i", source, "-f", "lavfi", "-t", duration, "-i", SILENT_STEREO, "-vf", IMAGE_SEGMENT_FILTER, *ROUGH_CUT_CODECS, "-shortest", "-movflags", "+faststart", output)
+
+
+def card_segment(picture: Column, duration: Column, output: Column) -> Column:
+    """A drawn card with a silent stereo track."""
+    return argv("ffmpeg", "-y", "-loop", "1", "-t", duration, "-i", picture, "-f", "lavfi", "-t", duration, "-i", SILENT_STEREO, "-vf", "fps=30,format=yuv420p", *ROUGH_CUT_CODECS, "-shortest", output)
 
 
 def clip_segment(source: Column, start: Column, end: Column, output: Column, has_audio: Column) -> Column:
     """A cut of a clip with fades; clips without sound get a silent track."""
-    lasts = F.rint((X.parse_time(end) - X.parse_time(start)) * 1000).cast("long")
-    fades = audio_fades(lasts)
-    silent = optional(~has_audio, *_SILENCE, "-i", "anullsrc=channel_layout=stereo:sample_rate=48000", "-map", "0:v:0", "-map", "1:a:0", "-shortest")
-    return spliced(argv("ffmpeg", "-y", "-ss", start.cast("string"), "-to", end.cast("string"), "-i", source), silent, argv("-vf", IMAGE_SEGMENT_FILTER), optional(has_audio & (fades != ""), "-af", fades), argv(*_ENCODED, "-movflags", "+faststart", output))
+    lasts = X.parse_time(end.cast("string")) - X.parse_time(start.cast("string"))
+    fades = F.concat(F.lit("afade=t=in:st=0:d=0.03,afade=t=out:st="), (lasts - FADE_MS / 1000).cast("string"), F.lit(":d=0.03"))
+    return spliced(
+        argv("ffmpeg", "-y", "-ss", start.cast("string"), "-to", end.cast("string"), "-i", source),
+        optional(~has_audio, "-f", "lavfi", "-i", SILENT_STEREO),
+        argv("-vf", IMAGE_SEGMENT_FILTER),
+        optional(has_audio & (lasts >= 2 * FADE_MS / 1000), "-af", fades),
+        argv(*ROUGH_CUT_CODECS, "-movflags", "+faststart"),
+        optional(~has_audio, "-shortest"),
+        argv(output),
+    )
+
+
+def rough_cut_segment(kind: Column, source: Column, picture: Column, start: Column, end: Column, duration: Column, output: Column, has_audio: Column) -> Column:
+    """The argument list of a segment by its type; null for a type that is not known."""
+    return F.when(kind == "card", card_segment(picture, duration, output)).when(kind == "image", image_segment(source, duration, output)).when(kind == "clip", clip_segment(source, start, end, output, has_audio))
+
+
+def rough_cut_concat(manifest: Column, output: Column) -> Column:
+    """Joins the segments of a rough cut, encoded anew."""
+    return argv("ffmpeg", "-y", "-fflags", "+genpts", "-f", "concat", "-safe", "0", "-i", manifest, *ROUGH_CUT_CODECS, "-movflags", "+faststart", output)
+
+
+def frame_picture(source: Column, at: Column, output: Column) -> Column:
+    """One frame at a time in seconds, 320 pixels wide."""
+    return argv("ffmpeg", "-y", "-ss", F.format_string("%.3f", at), "-i", source, "-frames:v", "1", "-q:v", "4", "-vf", "scale=320:-2", output)
+
+
+def copied(source: Column, output: Column) -> Column:
+    """A copy of the streams; null where source and output are the same."""
+    made = spliced(argv("ffmpeg", "-y", "-i", source, "-c", "copy"), optional(X.suffix(output) == ".mp4", "-movflags", "+faststart"), argv(output))
+    return F.when(source != output, made)
+
+
+def burn_in(source: Column, output: Column, filters: Column, overwrite: bool = False) -> Column:
+    """Captions burnt into a video; ``filters`` is the chain of ``subtitle_filter``."""
+    return argv("ffmpeg", *(["-y"] if overwrite else []), "-i", source, "-vf", filters, "-c:v", "libx264", "-preset", "veryfast", "-crf", "20", "-pix_fmt", "yuv420p", "-c:a", "copy", "-movflags", "+faststart", output)
 
 
 def card_text(header: Column, meta: Column, body: Column) -> Column:
@@ -150,35 +191,85 @@ def overlay_parts(overlays: DataFrame, edl: str = "edl", base_width: int | None
 
 
 def overlay_graph(parts: DataFrame, edl: str = "edl", subtitles: Column | None = None) -> DataFrame:
-    """(edl, filter_complex): all overlays, then the captions (a filter string; null: none), to [outv]."""
+    """(edl, filter_complex): all overlays, then the captions (a filter string, an aggregate over the rows of parts;
+    null: none), to [outv]."""
     one = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(c).alias("t")))), lambda x: x["t"]), ";")
-    packed = parts.groupBy(edl).agg(one("idx", "prepare").alias("p"), one("rank", "compose").alias("c"), F.max_by("idx", "rank").alias("top"))
-    last = F.concat(F.lit("[v"), F.col("top").cast("string"), F.lit("]"), F.coalesce(subtitles, F.lit("null")) if subtitles is not None else F.lit("null"), F.lit("[outv]"))
+    burnt = subtitles if subtitles is not None else F.max(F.lit(None).cast("string"))
+    packed = parts.groupBy(edl).agg(one("idx", "prepare").alias("p"), one("rank", "compose").alias("c"), F.max_by("idx", "rank").alias("top"), burnt.alias("burnt"))
+    last = F.concat(F.lit("[v"), F.col("top").cast("string"), F.lit("]"), F.coalesce("burnt", F.lit("null")), F.lit("[outv]"))
     return packed.select(edl, F.concat_ws(";", "p", "c", last).alias("filter_complex"))
 
 
+def overlay_inputs(overlays: DataFrame, edl: str = "edl") -> DataFrame:
+    """(edl, inputs): the input arguments of all overlays (edl, idx, path) in order; stills are looped."""
+    one = F.when(X.media_kind(F.col("path")) == "image", F.array(F.lit("-loop"), F.lit("1"), F.lit("-i"), F.col("path"))).otherwise(F.array(F.lit("-i"), F.col("path")))
+    listed = F.sort_array(F.collect_list(F.struct("idx", one.alias("a"))))
+    return overlays.groupBy(edl).agg(F.flatten(F.transform(listed, lambda x: x["a"])).alias("inputs"))
+
+
 def composite(base: Column, inputs: Column, graph: Column, duration: Column, output: Column) -> Column:
-    """The final pass; ``inputs`` is the argument list of the overlays' inputs, a null duration ends with the shortest."""
+    """The pass that lays overlays over a video; ``inputs`` is the argument list of their inputs, a null duration ends
+    with the shortest."""
     length = F.when(duration.isNotNull(), argv("-t", F.format_string("%.3f", duration))).otherwise(argv("-shortest"))
     return spliced(argv("ffmpeg", "-y", "-i", base), inputs, argv("-filter_complex", graph, "-map", "[outv]", "-map", "0:a?"), length, argv("-c:v", "libx264", "-preset", "veryfast", "-crf", "20", "-pix_fmt", "yuv420p", "-c:a", "copy", "-movflags", "+faststart", output))
 
 
+def final_pass(base: Column, inputs: Column, graph: Column, captions: Column, duration: Column, output: Column) -> Column:
+    """The last pass of an edit: overlays (inputs and graph, null if there are none) with captions in their graph, or
+    captions alone (a filter chain, null if there are none), or a copy, null where that is the same file."""
+    return F.when(inputs.isNotNull(), composite(base, inputs, graph, duration, output)).when(captions.isNotNull(), burn_in(base, output, captions, overwrite=True)).otherwise(copied(base, output))
+
+
 def sample_stats(source: Column, start_ms: Column, duration_ms: Column, fps: Column, report: Column) -> Column:
     path = F.replace(F.replace(report, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
     return argv("ffmpeg", "-y", "-hide_banner", "-nostats", "-ss", X.seconds_text(start_ms), "-i", source, "-t", X.seconds_text(duration_ms), "-vf", F.concat(F.lit("fps="), F.format_string("%.2f", fps), F.lit(",signalstats,metadata=print:file="), path), "-f", "null", "-")
 
 
 # The timeline picture's layout in pixels.
-CANVAS, FRAME_HEIGHT, FRAME_GAP, FRAME_MIN_WIDTH, WAVE_HEIGHT = 1920, 180, 4, 10, 220
+CANVAS, MARGIN, STRIP_Y, FRAME_HEIGHT, FRAME_GAP, FRAME_MIN_WIDTH, WAVE_HEIGHT = 1920, 50, 50, 180, 4, 10, 220
+
+
+def capped_frames(n: Column, width: int = CANVAS - 2 * MARGIN) -> Column:
+    return F.least(n, F.greatest(F.lit(1), F.lit(width // (FRAME_MIN_WIDTH + FRAME_GAP))))
 
 
-def capped_frames(n: Column) -> Column:
-    return F.least(n, F.greatest(F.lit(1), F.lit(CANVAS // (FRAME_MIN_WIDTH + FRAME_GAP))))
+def time_to_x(t: Column, start: Column, end: Column, width: int = CANVAS - 2 * MARGIN, left: int = MARGIN) -> Column:
+    """A time's place on the strip, cut to whole pixels."""
+    return (F.lit(left) + (t - start) / F.greatest(end - start, F.lit(1e-6)) * width).cast("int")
 
 
-def time_to_x(t: Column, start: Column, end: Column, width: int = CANVAS) -> Column:
-    return ((t - start) / (end - start) * width).cast("int")
+def timeline_layout(frame_height: Column, wave_height: Column) -> Column:
+    """struct of the vertical places of a timeline picture."""
+    wave = STRIP_Y + frame_height + 20
+    ruler = wave + wave_height + 2
+    return F.struct(F.lit(STRIP_Y).alias("filmstrip_y"), frame_height.alias("frame_height"), wave.alias("wave_y"), wave_height.alias("waveform_height"), ruler.alias("ruler_y"), (ruler + 24).alias("label_y"), (ruler + 64).alias("canvas_height"))
 
 
 def ruler_ticks(start: Column, end: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: start + (end - start) * k / 6)
+
+
+def ruler(start: Column, end: Column, width: int = CANVAS - 2 * MARGIN) -> Column:
+    """array<struct<x, label>> of the seven ticks."""
+    return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.struct((MARGIN + (k / F.lit(6) * width).cast("int")).alias("x"), F.format_string("%.2fs", start + k / F.lit(6) * (end - start)).alias("label")))
+
+
+def word_labels(words: DataFrame, spans: DataFrame, key: str = "media", spacing: int = 28, least_ms: int = 50) -> DataFrame:
+    """(key, labels array<struct<pos, x, word>>): the word labels that fit over a span's (key, start_ms, end_ms)
+    waveform: not blank, ``least_ms`` long, ``spacing`` pixels from the last one placed."""
+    s = spans.select(key, F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"))
+    near = words.join(s, key).where((F.trim("word") != "") & (F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.col("end_ms") > F.col("s0")) & (F.col("start_ms") < F.col("s1")))
+    x = F.floor((time_to_x(F.col("start_ms"), F.col("s0"), F.col("s1")) + time_to_x(F.col("end_ms"), F.col("s0"), F.col("s1"))) / 2).cast("int")
+    listed = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", x.alias("x"), F.trim("word").alias("word")))).alias("w"))
+    start = F.struct(F.lit(-9999).alias("last"), F.filter("w", lambda _: F.lit(False)).alias("kept"))
+    step = lambda a, w: F.when(w["x"] - a["last"] < spacing, a).otherwise(F.struct(w["x"].alias("last"), F.array_append(a["kept"], w).alias("kept")))
+    return listed.select(key, F.aggregate("w", start, step)["kept"].alias("labels"))
+
+
+def span_violation(start: Column, end: Column, duration: Column) -> Column:
+    """Why a span of a medium cannot be drawn (seconds); null if it can. Its end is cut to the duration."""
+    return F.when(start < 0, "start must not be negative").when(end <= start, "end must be greater than start").when(start >= duration, "start is beyond the medium's end")
+
+
+def sheet_violation(columns: Column, rows: Column, width: Column) -> Column:
+    return F.when((columns <= 0) | (rows <= 0), "columns and rows must be positive").when(width <= 0, "width must be positive")

@@ -15,7 +15,7 @@ from cuegrid.functions import text as X
 WORD = "STRUCT<word: STRING, text: STRING, start: DOUBLE, end: DOUBLE, speaker: STRING, speaker_id: STRING, type: STRING>"
 TRANSCRIPT = f"text STRING, language STRING, language_code STRING, backend STRING, source_hash STRING, words ARRAY<{WORD}>, segments ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, speaker_id: STRING, words: ARRAY<{WORD}>>>, audio_events ARRAY<STRUCT<text: STRING, start: DOUBLE, end: DOUBLE, type: STRING>>"
 EDL = "version INT, sources STRING, ranges ARRAY<STRUCT<source: STRING, start: DOUBLE, end: DOUBLE, beat: STRING, quote: STRING, reason: STRING, note: STRING, grade: STRING>>, overlays ARRAY<STRUCT<source: STRING, card: STRUCT<type: STRING, text: STRING, counter_start: DOUBLE, counter_end: DOUBLE, width: DOUBLE, height: DOUBLE, font_size: DOUBLE, color: STRING, bg_color: STRING>, start: DOUBLE, end: DOUBLE, position: STRUCT<x: DOUBLE, y: DOUBLE>, z_order: DOUBLE, duration_type: STRING>>, subtitles STRING, grade STRING, total_duration_s DOUBLE"
-ROUGH_CUT = "generated_clips_dir STRING, text_dir STRING, manifest_path STRING, assembly_path STRING, segments ARRAY<STRUCT<type: STRING, input: STRING, start: STRING, end: STRING, duration: STRING, header: STRING, meta: STRING, body: STRING>>"
+ROUGH_CUT = "generated_clips_dir STRING, text_dir STRING, manifest_path STRING, assembly_path STRING, segments ARRAY<STRUCT<name: STRING, type: STRING, input: STRING, start: STRING, end: STRING, duration: STRING, header: STRING, meta: STRING, body: STRING>>"
 TRANSLATION = "source_srt STRING, source_language STRING, target_language STRING, window_count INT, windows ARRAY<STRUCT<id: INT, start: DOUBLE, end: DOUBLE, source_text: STRING, source_cue_indices: ARRAY<INT>, translated_text: STRING>>"
 PROBE = "STRUCT<format: STRUCT<duration: STRING>, streams: ARRAY<STRUCT<codec_type: STRING, width: INT, height: INT, avg_frame_rate: STRING, r_frame_rate: STRING, duration: STRING>>>"
 LOUDNESS = "STRUCT<input_i: STRING, input_tp: STRING, input_lra: STRING, input_thresh: STRING, target_offset: STRING>"
@@ -38,8 +38,7 @@ def manifest_inputs(lines: DataFrame, home: str = "/root") -> DataFrame:
     line = F.trim("line")
     folder = F.regexp_replace(F.regexp_replace("manifest", "^file:/*", "/"), "/[^/]*$", "")
     full = F.when(line.startswith("~/"), F.concat(F.lit(home), F.substring(line, F.lit(2), F.length(line)))).when(line.startswith("/"), line).otherwise(F.concat_ws("/", folder, line))
-    tidy = F.regexp_replace(F.regexp_replace(full, r"/\./", "/"), r"/[^/]+/\.\./", "/")
-    return lines.where((line != "") & ~line.startswith("#")).select("manifest", "line_no", tidy.alias("path"))
+    return lines.where((line != "") & ~line.startswith("#")).select("manifest", "line_no", X.normal_path(full).alias("path"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,6 +55,28 @@ def transcript_words(transcripts: DataFrame, media: str = "media") -> DataFrame:
     return rows.select(media, "pos", F.coalesce("w.word", "w.text").alias("word"), ms(F.col("w.start")).alias("start_ms"), ms(F.col("w.end")).alias("end_ms"), F.coalesce("w.speaker", "w.speaker_id").alias("speaker"), F.col("w.type").alias("type"))
 
 
+def words_between(transcripts: DataFrame, start_ms: Column | int, end_ms: Column | int, media: str = "media") -> DataFrame:
+    """(media, pos, word, start_ms, end_ms) of the words that overlap a span: a missing start counts as 0, a missing
+    end as the start."""
+    begin = lambda w: F.coalesce(w["start"], F.lit(0.0))
+    whole = lambda w: w.withField("end", F.coalesce(w["end"], begin(w))).withField("start", begin(w))
+    none = F.expr(f"CAST(ARRAY() AS ARRAY<{WORD}>)")
+    filled = transcripts.withColumn("words", F.transform(F.coalesce("words", none), whole)).withColumn("segments", F.transform("segments", lambda s: s.withField("words", F.transform(F.coalesce(s["words"], none), whole))))
+    bound = lambda x: F.lit(x) if isinstance(x, int) else x
+    return transcript_words(filled, media).where((F.col("end_ms") > bound(start_ms)) & (F.col("start_ms") < bound(end_ms))).drop("speaker", "type")
+
+
+def spoken(words: DataFrame) -> DataFrame:
+    """The words among typed entries: spacing and audio events are no words; entries without a type are."""
+    return words.where("type IS NULL OR type = 'word'")
+
+
+def full_text(segments: DataFrame, media: str = "media", order: str = "segment") -> DataFrame:
+    """(media, text): the segments' texts that are not blank, joined by a space."""
+    at = F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct(F.col(order), F.trim("text").alias("t")))))
+    return segments.groupBy(media).agg(F.array_join(F.transform(at, lambda x: x["t"]), " ").alias("text"))
+
+
 def transcript_segments(transcripts: DataFrame, media: str = "media") -> DataFrame:
     """(media, segment, start_ms, end_ms, text, speaker, words) in the form of ``folds.captions``."""
     rows = transcripts.select(media, F.posexplode("segments").alias("segment", "s"))
@@ -98,6 +119,19 @@ def edl_ranges(edls: DataFrame, key: str = "edl") -> DataFrame:
     return edls.select(key, F.col("grade").alias("edl_grade"), F.posexplode("ranges").alias("range_idx", "r")).select(key, "range_idx", "r.source", ms(F.col("r.start")).alias("start_ms"), ms(F.col("r.end")).alias("end_ms"), "r.grade", "edl_grade", "r.beat", "r.quote", "r.reason")
 
 
+def edl_overlays(edls: DataFrame, key: str = "edl") -> DataFrame:
+    """(edl, overlay_idx, source, card_type, card_text, counter_start, counter_end, width, height, font_size, start,
+    end, x, y, z_order, duration_type)."""
+    o = edls.select(key, F.posexplode("overlays").alias("overlay_idx", "o"))
+    card = [F.col(f"o.card.{c}") for c in ("counter_start", "counter_end", "width", "height", "font_size")]
+    return o.select(key, "overlay_idx", "o.source", F.col("o.card.type").alias("card_type"), F.col("o.card.text").alias("card_text"), *card, "o.start", "o.end", F.col("o.position.x").alias("x"), F.col("o.position.y").alias("y"), "o.z_order", "o.duration_type")
+
+
+def rough_cut_segments(specs: DataFrame, spec: str = "spec") -> DataFrame:
+    """(spec, segment_idx, and the fields of each segment) of rough-cut specs, with the folders they go to."""
+    return specs.select(spec, "generated_clips_dir", "text_dir", "manifest_path", "assembly_path", F.posexplode("segments").alias("segment_idx", "s")).select(spec, "generated_clips_dir", "text_dir", "manifest_path", "assembly_path", "segment_idx", "s.*")
+
+
 def probe(column: Column) -> Column:
     """struct<duration, width, height, fps, has_audio, has_video> of a media probe's JSON; null where it is missing."""
     p = F.from_json(column, PROBE)
@@ -140,6 +174,15 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def retry_wait(attempt: Column, retry_after: Column) -> Column:
-    """Seconds before another try: what the server asks for, 60 at most, or else 2, 4, 8 and so on."""
-    return F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(60.0))).otherwise(F.pow(F.lit(2.0), attempt + 1))
+def retry_wait(attempt: Column, retry_after: Column, now: Column | None = None) -> Column:
+    """Seconds before another try: what the server asks for, in seconds or as an HTTP date, 60 at most and 0 at
+    least, or else 2, 4, 8 and so on."""
+    date = F.try_to_timestamp(F.regexp_replace(retry_after, "^[A-Za-z]+, *", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+    until = F.unix_timestamp(date) - F.unix_timestamp(now if now is not None else F.current_timestamp())
+    asked = F.coalesce(retry_after.try_cast("double"), until.cast("double"))
+    return F.when(asked.isNotNull(), F.greatest(F.least(asked, F.lit(60.0)), F.lit(0.0))).otherwise(F.pow(F.lit(2.0), attempt + 1))
+
+
+def retries(status: Column, attempt: Column, most: int = 3) -> Column:
+    """Whether a call is tried again: too many requests or a server's error, three times in all."""
+    return ((status == 429) | (status >= 500)) & (attempt + 1 < most)

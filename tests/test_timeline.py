@@ -303,11 +303,11 @@ def test_grade_consistency_finds_the_first_pair(spark):
 
 @pytest.mark.parametrize(
     "backend,end,length,reason",
-    [("mlx", 286_853, 2_868_552, "applied"), ("faster-whisper", 286_853, 2_868_552, None), ("mlx", 60_000, 60_004, "ratio-close-to-1"), ("mlx", 30_000, 60_000, "ratio-does-not-match-observed-mlx-compression"), ("mlx", 0, 60_000, "missing-or-invalid-segment-end")],
+    [("mlx", 286_853, 2_868_552, edl.MATCHED), ("faster-whisper", 286_853, 2_868_552, None), ("mlx", 60_000, 60_004, "ratio-close-to-1"), ("mlx", 30_000, 60_000, "ratio-does-not-match-observed-mlx-compression"), ("mlx", 0, 60_000, "missing-or-invalid-segment-end")],
 )
 def test_timestamp_correction(spark, backend, end, length, reason):
     got = edl.timestamp_correction(made(spark, [(backend, 2, end, length)], "backend string, n_segments int, last_end_ms long, duration_ms long")).first()
-    assert got.reason == reason and (got.factor == 1.0) == (reason != "applied")
+    assert got.reason == reason and (got.factor == 1.0) == (reason != edl.MATCHED)
 
 
 def test_sources(spark, tmp_path):
@@ -374,3 +374,37 @@ def test_runner(spark):
     assert rows[2].error.startswith("ZeroDivisionError")
     read = heard.where("error IS NULL").select("media", F.from_json("transcript", readers.TRANSCRIPT).alias("t")).select("media", "t.*")
     assert readers.transcript_words(read).first().word == "/a.wav"
+
+
+def test_a_new_result_serves_one_finding(spark):
+    cols = "media long, finding long, check string, cut_time double, passed boolean, severity string, details string"
+    old = spark.createDataFrame([(1, 1, "v", 1.0, False, "fail", "a"), (1, 2, "v", 1.0, False, "fail", "b"), (1, 3, "v", None, False, "fail", "c"), (1, 4, "v", 1.005, False, "fail", "d"), (1, 5, "w", 1.0, False, "warning", "e")], cols)
+    new = spark.createDataFrame([(1, 7, "v", 1.002, True, "info", "x"), (1, 8, "v", 1.008, False, "fail", "y"), (1, 9, "w", 1.0, True, "info", "z"), (1, 10, "v", 5.0, True, "info", "q")], cols)
+    got = {r.finding: (r.passed, r.details) for r in signal.rechecked(old, new).collect()}
+    open_still = " [unresolved after max passes]"
+    assert got == {1: (True, "[retry 1] x"), 2: (False, "[retry 1] y" + open_still), 3: (False, "c" + open_still), 4: (False, "d" + open_still), 5: (False, "e")}
+
+
+def test_documents_read_back(spark):
+    w = spark.createDataFrame([("m", k, f"w{k}", 500 * k, 500 * k + 300, "s") for k in range(3)], "media string, pos int, word string, start_ms long, end_ms long, speaker string")
+    (r,) = sinks.transcript_documents(w).collect()
+    read = spark.createDataFrame([("m", r.document)], "media string, t string").select("media", F.from_json("t", readers.TRANSCRIPT).alias("t")).select("media", "t.*")
+    assert sorted(map(tuple, readers.transcript_words(read).drop("type").collect())) == sorted(map(tuple, w.collect()))
+    cues = spark.createDataFrame([("m", 1, 1, 0, 1500, "a"), ("m", 1, 2, 1500, 2000, "b")], "media string, window_id int, block int, start_ms long, end_ms long, text string")
+    (r,) = sinks.translated_metadata(cues, cues.where("block = 1"), "en", "de").collect()
+    import json
+
+    assert json.loads(r.document) == {"source_srt": "m", "source_language": "en", "target_language": "de", "window_count": 1, "segment_count": 2, "segments": [{"start": 0.0, "end": 1.5, "text": "a"}, {"start": 1.5, "end": 2.0, "text": "b"}]}
+
+
+def test_corrected_times(spark):
+    media = edl.timestamp_correction(made(spark, [("a", "mlx", 2, 286_853, 2_868_552), ("b", "mlx", 1, 60_000, 60_004)], "media string, backend string, n_segments int, last_end_ms long, duration_ms long"))
+    segments = made(spark, [("a", 1000, 2000, [("hi", 1100, 1234, "s")], "x"), ("b", 1000, 2000, [], "y")], "media string, start_ms long, end_ms long, words array<struct<word: string, start_ms: long, end_ms: long, speaker: string>>, speaker_id string")
+    a, b = edl.corrected_times(segments, media).orderBy("media").collect()
+    assert (a.start_ms, a.end_ms, tuple(a.words[0]), a.speaker_id) == (10_000, 20_000, ("hi", 11_000, 12_340, "s"), "x") and (b.start_ms, b.end_ms) == (1000, 2000)
+
+
+def test_overlay_numbers(spark):
+    rows = [("e", 0, "/o/a.png", None, None, None, None, None, None, None, 1.0, 2.0, None, "1.5", "x", "top"), ("e", 1, "/o/a.png", None, None, None, None, None, None, None, 1.0, 2.0, None, None, "7", None)]
+    schema = "edl string, overlay_idx int, source string, card_type string, card_text string, counter_start double, counter_end double, width double, height double, font_size double, start double, end double, duration_type string, x string, y string, z_order string"
+    assert sorted((r.overlay_idx, r.rule) for r in edl.overlay_violations(made(spark, rows, schema)).collect()) == [(0, 15), (0, 16)]
