@@ -8,6 +8,7 @@ and by 80 otherwise. Media are conversations, speakers are roles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -253,20 +254,26 @@ def window_allocation(spark, sf_dir):
 # --- edit decision lists ---
 
 
-def _ranges(spark, sf_dir) -> DataFrame:
-    """Every phrase of a conversation as a range of its edit, cut a little inside the phrase."""
-    p = phrase_cues(spark, sf_dir)
-    return p.select(F.col("media").alias("edl"), (F.col("phrase_id") - 1).alias("range_idx"), F.col("media").alias("source"), (F.col("start_ms") + 60).alias("start_ms"), F.greatest(F.col("end_ms") - 40, F.col("start_ms") + 61).alias("end_ms"))
+class Edit:
+    """An edit of each conversation: every phrase is a range, cut a little inside the phrase."""
 
+    def __init__(self, spark, sf_dir):
+        self.words = words(spark, sf_dir)
 
-def _range_words(spark, sf_dir) -> DataFrame:
-    w = words(spark, sf_dir).select(F.col("media").alias("source"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
-    return edl.ranges_with_words(_ranges(spark, sf_dir), w)
+    @cached_property
+    def ranges(self) -> DataFrame:
+        p = islands.phrases(self.words)
+        return p.select(F.col("media").alias("edl"), (F.col("phrase_id") - 1).alias("range_idx"), F.col("media").alias("source"), (F.col("start_ms") + 60).alias("start_ms"), F.greatest(F.col("end_ms") - 40, F.col("start_ms") + 61).alias("end_ms"))
 
+    @cached_property
+    def range_words(self) -> DataFrame:
+        w = self.words.select(F.col("media").alias("source"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
+        return edl.ranges_with_words(self.ranges, w)
 
-def _bounds(spark, sf_dir) -> DataFrame:
-    lengths = words(spark, sf_dir).groupBy(F.col("media").alias("source")).agg((F.max("end_ms") + 10).alias("duration_ms"))
-    return edl.snapped_and_padded(_range_words(spark, sf_dir), lengths)
+    @cached_property
+    def bounds(self) -> DataFrame:
+        lengths = self.words.groupBy(F.col("media").alias("source")).agg((F.max("end_ms") + 10).alias("duration_ms"))
+        return edl.snapped_and_padded(self.range_words, lengths)
 
 
 RANGES_SQL = (
@@ -286,12 +293,12 @@ bounds AS (SELECT edl, range_idx, source, start_ms, end_ms, greatest(s - 30, 0)
 
 @query(f"WITH {RANGES_SQL} SELECT edl, range_idx, source, start_ms, end_ms, pos, word, word_start, word_end FROM joined")
 def edl_range_words(spark, sf_dir):
-    return _range_words(spark, sf_dir)
+    return Edit(spark, sf_dir).range_words
 
 
 @query(f"WITH {BOUNDS_SQL} SELECT * FROM bounds")
 def snap_and_pad(spark, sf_dir):
-    return _bounds(spark, sf_dir)
+    return Edit(spark, sf_dir).bounds
 
 
 @query(
@@ -305,13 +312,14 @@ SELECT edl, CAST(row_number() OVER (PARTITION BY edl ORDER BY b, range_idx, chun
   {_code_sql('CAST(b AS BIGINT)', ',')} AS srt_start FROM h"""
 )
 def master_srt(spark, sf_dir):
-    cues = edl.master_cues(_bounds(spark, sf_dir), _range_words(spark, sf_dir))
+    edit = Edit(spark, sf_dir)
+    cues = edl.master_cues(edit.bounds, edit.range_words)
     return cues.select("edl", F.col("cue").cast("long").alias("cue"), "range_idx", "chunk", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), X.srt_time(F.col("start_ms")).alias("srt_start"))
 
 
 @query(f"WITH {RANGES_SQL}, x AS (SELECT edl, range_idx, sum(end_ms - start_ms) OVER w AS boundary_ms, lead(range_idx) OVER w AS nxt FROM ranges WINDOW w AS (PARTITION BY edl ORDER BY range_idx)) SELECT edl, range_idx, CAST(boundary_ms AS BIGINT) AS boundary_ms FROM x WHERE nxt IS NOT NULL")
 def cut_boundaries(spark, sf_dir):
-    return islands.cut_boundaries(_ranges(spark, sf_dir))
+    return islands.cut_boundaries(Edit(spark, sf_dir).ranges)
 
 
 @query(f"SELECT o_orderkey AS k, {_code_sql('(o_orderkey * 7919 % 400000000)', ',')} AS srt, CAST(o_orderkey * 7919 % 400000000 AS BIGINT) AS back_ms FROM orders")
@@ -389,7 +397,7 @@ SELECT edl, range_idx, 'ffmpeg|-y|-ss|' || {_sec_sql('cut_start')} || '|-i|/medi
   || '|-c:v|libx264|-preset|fast|-crf|20|-pix_fmt|yuv420p|-movflags|+faststart|/clips/seg_' || CASE WHEN range_idx < 100 THEN lpad(CAST(range_idx AS VARCHAR), 2, '0') ELSE CAST(range_idx AS VARCHAR) END || '_' || CAST(source AS VARCHAR) || '.mp4' AS plan FROM d"""
 )
 def segment_plan(spark, sf_dir):
-    b = _bounds(spark, sf_dir)
+    b = Edit(spark, sf_dir).bounds
     source = F.concat(F.lit("/media/"), F.col("source").cast("string"), F.lit(".mov"))
     grade = ffmpeg.resolved_grade(F.when(F.col("edl") % 3 == 0, "subtle"), F.lit(None).cast("string"))
     plan = ffmpeg.extract_segment(source, F.col("cut_start"), F.col("cut_end") - F.col("cut_start"), grade, F.concat(F.lit("/clips/"), ffmpeg.segment_name(F.col("range_idx"), source)), F.col("edl") % 2 == 0)
@@ -400,7 +408,7 @@ def segment_plan(spark, sf_dir):
     f"""WITH {BOUNDS_SQL} SELECT edl, string_agg('file ''/clips/' || CAST(range_idx AS VARCHAR) || '''\\''''.mp4''', chr(10) ORDER BY range_idx) || chr(10) AS document FROM bounds GROUP BY edl"""
 )
 def concat_manifest(spark, sf_dir):
-    paths = _bounds(spark, sf_dir).select("edl", "range_idx", F.concat(F.lit("/clips/"), F.col("range_idx").cast("string"), F.lit("'.mp4")).alias("path"))
+    paths = Edit(spark, sf_dir).bounds.select("edl", "range_idx", F.concat(F.lit("/clips/"), F.col("range_idx").cast("string"), F.lit("'.mp4")).alias("path"))
     return sinks.concat_manifest(paths, "edl", "range_idx")
 
 
