@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +30,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset and all runs on this machine,
+    as in tests, a temporary one; on a cluster that is an error."""
     global _own_dir
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="cuegrid-shared-")
     return f"file://{_own_dir}"

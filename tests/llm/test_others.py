@@ -410,6 +410,43 @@ def test_best_fit_chooses_the_fullest_bin():
     assert op10_packing.pack([], [4])[2] == []
 
 
+def cheapest(sizes, caps, overhead):
+    """Least total of capacities and overheads over all ways to deal the pieces into bins."""
+    best = [float("inf")]
+
+    def deal(k, bins):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(next(c for c in caps if c >= b) + overhead for b in bins))
+            return
+        for i, b in enumerate(bins):
+            if b + sizes[k] <= caps[-1]:
+                deal(k + 1, [*bins[:i], b + sizes[k], *bins[i + 1 :]])
+        deal(k + 1, [*bins, sizes[k]])
+
+    deal(0, [])
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    rng, same = random.Random(8), 0
+    for _ in range(150):
+        caps, overhead = rng.choice([([8, 16, 32], 1), ([10, 20], 0), ([16], 2)])
+        sizes = [rng.randrange(1, caps[-1] + 1) for _ in range(rng.randrange(1, 8))]
+        made = sum(c + overhead for c in op10_packing.pack(sizes, caps, overhead)[2])
+        want = cheapest(sizes, caps, overhead)
+        assert want <= made <= 1.5 * want
+        same += made == want
+    assert same >= 75
+
+
+def test_packing_of_many_small_partitions(spark):
+    rng = random.Random(9)
+    docs = frame(spark, ["w " * min(20_000, int(rng.paretovariate(1.2) * 90)) for _ in range(2000)])
+    for parts, least in ((1, 0.99), (40, 0.97)):
+        bins = op10_packing.packed(docs.repartition(parts)).groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.first("bin_capacity").alias("c")).agg(F.sum("n"), F.sum("c")).first()
+        assert bins[0] >= least * bins[1]
+
+
 def test_packed_documents(spark):
     texts = [*ODD, "w " * 20_000]
     got = op10_packing.packed(frame(spark, texts)).collect()
