@@ -23,11 +23,26 @@ WINDOW_TARGET_MS, WINDOW_MAX_MS, WINDOW_CUES, WINDOW_SENTENCE_MS = 12_000, 18_00
 SPACED_CHARS, UNSPACED_CHARS, SOFT_CLAUSE_CHARS, MIN_CUE_MS = 84, 24, 24, 1000
 
 
+def _fold(items: Column, zero: dict[str, Column], step, kind: str, share: int = 256) -> Column:
+    """struct<the fields of zero, outs>: an array folded by ``step(state, item)``, which appends to the state's field
+    out. A share of the items at a time has its own out, so that no step copies what all before it have written."""
+    nothing = F.expr(f"CAST(ARRAY() AS ARRAY<{kind}>)")
+    shares = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / share).cast("int") - 1, F.lit(0))), lambda k: F.slice(items, k * share + 1, share))
+
+    def one(a: Column, part: Column) -> Column:
+        begun = F.struct(*(a[f].alias(f) for f in zero), nothing.alias("out"))
+        done = F.array(F.aggregate(part, begun, step))  # an array of one, so that it is worked out once
+        return F.transform(done, lambda d: F.struct(*(d[f].alias(f) for f in zero), F.array_append(a["outs"], d["out"]).alias("outs")))[0]
+
+    start = F.struct(*(c.alias(f) for f, c in zero.items()), F.expr(f"CAST(ARRAY() AS ARRAY<ARRAY<{kind}>>)").alias("outs"))
+    return F.aggregate(shares, start, one)
+
+
 def translation_window_ids(cues: Column) -> Column:
     """For an array of struct<start_ms, end_ms, sentence_end> in order: the 1-based window of each cue. A window
     closes after a cue if, tested in this order, it lasts 18 s or has six cues; not under 6 s; at a sentence
     end; at 12 s."""
-    zero = F.struct(F.lit(1).alias("id"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("start"), F.array().cast("array<int>").alias("out"))
+    zero = {"id": F.lit(1), "n": F.lit(0), "start": F.lit(0).cast("long")}
 
     def step(a: Column, x: Column) -> Column:
         start = F.when(a["n"] == 0, x["start_ms"]).otherwise(a["start"])
@@ -35,7 +50,7 @@ def translation_window_ids(cues: Column) -> Column:
         close = F.when((lasts >= WINDOW_MAX_MS) | (n >= WINDOW_CUES), True).when(lasts < WINDOW_SENTENCE_MS, False).otherwise(x["sentence_end"] | (lasts >= WINDOW_TARGET_MS))
         return F.struct((a["id"] + F.when(close, 1).otherwise(0)).alias("id"), F.when(close, 0).otherwise(n).alias("n"), start.alias("start"), F.concat(a["out"], F.array(a["id"])).alias("out"))
 
-    return F.aggregate(cues, zero, step, lambda a: a["out"])
+    return F.flatten(_fold(cues, zero, step, "INT")["outs"])
 
 
 def translation_windows(cues: DataFrame, media: str = "media", order: str = "cue") -> DataFrame:
@@ -50,7 +65,6 @@ def natural_chunk_sizes(words: Column) -> Column:
     """Sizes of the natural-sentence chunks of an array of words: a chunk closes at seven words, at hard
     punctuation, or at soft punctuation from four words on; a rest of under four words joins the last chunk if
     both have seven at most."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
     hard, soft = (X.char_class(p) + "$" for p in (X.HARD_PUNCTUATION, X.SOFT_PUNCTUATION))
 
     def step(a: Column, w: Column) -> Column:
@@ -59,11 +73,12 @@ def natural_chunk_sizes(words: Column) -> Column:
         return F.struct(F.when(close, 0).otherwise(n).alias("n"), F.when(close, F.concat(a["out"], F.array(n))).otherwise(a["out"]).alias("out"))
 
     def finish(a: Column) -> Column:
-        last = F.try_element_at(a["out"], F.lit(-1))
-        joined = (F.size(a["out"]) > 0) & (a["n"] < NATURAL_MIN) & (last + a["n"] <= NATURAL_MAX)
-        return F.when(a["n"] == 0, a["out"]).when(joined, F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(last + a["n"]))).otherwise(F.concat(a["out"], F.array(a["n"])))
+        out = F.flatten(a["outs"])
+        last = F.try_element_at(out, F.lit(-1))
+        joined = (F.size(out) > 0) & (a["n"] < NATURAL_MIN) & (last + a["n"] <= NATURAL_MAX)
+        return F.when(a["n"] == 0, out).when(joined, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(last + a["n"]))).otherwise(F.concat(out, F.array(a["n"])))
 
-    return F.aggregate(words, zero, step, finish)
+    return F.transform(F.array(_fold(words, {"n": F.lit(0)}, step, "INT")), finish)[0]
 
 
 def natural_captions(cues: DataFrame, keys: tuple[str, ...]) -> DataFrame:
