@@ -454,8 +454,8 @@ d AS (SELECT vec_id, unnest(embedding) AS x, unnest(nxt) AS y FROM a WHERE nxt I
 SELECT vec_id, CAST(round_even(avg(abs(CAST(x AS DOUBLE) - CAST(y AS DOUBLE))) * 100000, 0) AS BIGINT) AS delta FROM d GROUP BY vec_id"""
 )
 def frame_delta(spark, sf_dir):
-    after = F.lead("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf_dir, "embeddings").withColumn("nxt", after).where("nxt IS NOT NULL").select("vec_id", F.rint(signal.frame_delta(F.col("embedding"), F.col("nxt")) * 100_000).cast("long").alias("delta"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return signal.with_next(vectors, "label", "vec_id", "embedding", 10_000, "nxt").where("nxt IS NOT NULL").select("vec_id", F.rint(signal.frame_delta(F.col("embedding"), F.col("nxt")) * 100_000).cast("long").alias("delta"))
 
 
 @query(

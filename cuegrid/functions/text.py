@@ -161,6 +161,15 @@ def media_kind(path: Column) -> Column:
     return F.when(s.isin(VIDEO_SUFFIXES), "video").when(s.isin(AUDIO_SUFFIXES), "audio").when(s.isin(IMAGE_SUFFIXES), "image").otherwise("other")
 
 
+def output_paths(path: Column, folder: Column | None = None) -> Column:
+    """struct<audio, txt, srt, json>: what a recording's captions are written to, in a folder or beside it; the audio
+    of a recording is itself. Null for what is neither video nor audio."""
+    kind, base = media_kind(path), stem(path)
+    to = folder if folder is not None else F.regexp_replace(path, "/[^/]*$", "")
+    made = lambda ending: F.concat(to, F.lit("/"), base, F.lit(ending))
+    return F.when(kind.isin("video", "audio"), F.struct(F.when(kind == "video", made(".m4a")).otherwise(path).alias("audio"), made(".txt").alias("txt"), made(".srt").alias("srt"), made(".json").alias("json")))
+
+
 def register(spark) -> None:
     """The expressions that SQL text can use, as functions of the session."""
     q = r"""

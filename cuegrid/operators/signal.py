@@ -35,6 +35,20 @@ def frame_delta(a: Column, b: Column) -> Column:
     return F.when(n > 0, total / n)
 
 
+def with_next(rows: DataFrame, key: str, order: str, value: str, step: int, name: str = "next") -> DataFrame:
+    """Adds the value of the next row of the same key, in the order of a whole number (null for the last). Rows are
+    dealt into steps of that number, so a key of very many rows is many tasks; a step's last row gets the first
+    value of the key's next step, and only those go through one window for each key."""
+    at = F.floor(F.col(order) / step).cast("long")
+    dealt = rows.withColumn("_step", at)
+    first = dealt.groupBy(key, "_step").agg(F.min_by(F.struct(value), order).alias("_first"))
+    after = first.select(F.col(key).alias("_key"), F.col("_step").alias("_at"), F.lead("_first").over(W.partitionBy(key).orderBy("_step")).alias("_after"))
+    inside = W.partitionBy(key, "_step").orderBy(order)
+    ahead = dealt.withColumn("_next", F.lead(F.struct(value)).over(inside))
+    joined = ahead.join(after, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_step") == F.col("_at")), "left")
+    return joined.withColumn(name, F.coalesce("_next", "_after")[value]).select(*rows.columns, name)
+
+
 def signal_stats(frames: DataFrame, clip: str = "clip") -> DataFrame:
     """(clip, y_mean, y_range, sat_mean) from (clip, line_no, key, value); neutral values without any YAVG."""
     mean = lambda k: F.avg(F.when(F.col("key") == k, F.col("value")))
@@ -82,17 +96,13 @@ def frame_times(start: Column, end: Column, n: int) -> Column:
 
 def grade_consistency(samples: DataFrame, media: str = "media", order: str = "sample", value: str = "luminance", limit: float = GRADE_LIMIT) -> DataFrame:
     """(media, max_delta, first, second, passed): the largest difference between two samples, and the first such
-    pair in order. It lies between extremes, so one pass over the samples finds it without a self join."""
-    w = W.partitionBy(media)
-    high, low = F.max(value).over(w), F.min(value).over(w)
-    ends = samples.withColumns({"_high": high, "_low": low}).where((F.col(value) == F.col("_high")) | (F.col(value) == F.col("_low")))
-    found = ends.groupBy(media).agg((F.max("_high") - F.min("_low")).alias("max_delta"), F.sort_array(F.collect_list(F.when(F.col(value) == F.col("_high"), F.col(order)))).alias("hi"), F.sort_array(F.collect_list(F.when(F.col(value) == F.col("_low"), F.col(order)))).alias("lo"))
-    h, l = F.col("hi"), F.col("lo")
-    # The first pair in (i, j) order starts at the first extreme; its partner is the first of the other kind after it.
-    begin = F.least(h[0], l[0])
-    after = F.when(h[0] < l[0], l[0]).otherwise(h[0])
-    flat = F.col("max_delta") == 0
-    return found.select(media, "max_delta", F.when(~flat, begin).alias("first"), F.when(~flat, after).alias("second"), (F.col("max_delta") <= limit).alias("passed"))
+    pair in order. It lies between extremes, so two aggregates over the samples find it without a self join or lists."""
+    ends = samples.groupBy(media).agg(F.max(value).alias("_high"), F.min(value).alias("_low"))
+    first = lambda c: F.min(F.when(F.col(value) == F.col(c), F.col(order)))
+    found = samples.join(ends, media).groupBy(media).agg((F.max("_high") - F.min("_low")).alias("max_delta"), first("_high").alias("hi"), first("_low").alias("lo"))
+    # The first pair in (i, j) order is that of the first samples at both ends.
+    apart = F.col("max_delta") != 0
+    return found.select(media, "max_delta", F.when(apart, F.least("hi", "lo")).alias("first"), F.when(apart, F.greatest("hi", "lo")).alias("second"), (F.col("max_delta") <= limit).alias("passed"))
 
 
 def pop_check(envelope_bins: Column, raw_peak: Column, cut: Column, bins: int = 500, around: float = 1.5, near: float = 0.5) -> Column:

@@ -408,3 +408,18 @@ def test_overlay_numbers(spark):
     rows = [("e", 0, "/o/a.png", None, None, None, None, None, None, None, 1.0, 2.0, None, "1.5", "x", "top"), ("e", 1, "/o/a.png", None, None, None, None, None, None, None, 1.0, 2.0, None, None, "7", None)]
     schema = "edl string, overlay_idx int, source string, card_type string, card_text string, counter_start double, counter_end double, width double, height double, font_size double, start double, end double, duration_type string, x string, y string, z_order string"
     assert sorted((r.overlay_idx, r.rule) for r in edl.overlay_violations(made(spark, rows, schema)).collect()) == [(0, 15), (0, 16)]
+
+
+def test_next_of_a_key(spark):
+    rng = random.Random(3)
+    rows = sorted({(rng.choice(["a", "b", None]), rng.randrange(500)) for _ in range(200)}, key=str)
+    got = {(r.k, r.n): r.next for r in signal.with_next(made(spark, [(k, n, None if n % 7 == 0 else n) for k, n in rows], "k string, n long, v long"), "k", "n", "v", 40).collect()}
+    for k, n in rows:
+        later = sorted(m for j, m in rows if j == k and m > n)
+        assert got[k, n] == (None if not later or later[0] % 7 == 0 else later[0])
+
+
+def test_output_paths(spark):
+    run = lambda p, folder=None: value(spark, X.output_paths(F.lit(p), F.lit(folder) if folder else None))
+    assert tuple(run("/m/a.b.MOV")) == ("/m/a.b.m4a", "/m/a.b.txt", "/m/a.b.srt", "/m/a.b.json")
+    assert tuple(run("/m/a.wav", "/o")) == ("/m/a.wav", "/o/a.txt", "/o/a.srt", "/o/a.json") and run("/m/a.png") is None
