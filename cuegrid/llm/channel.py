@@ -41,7 +41,6 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKS_LIKE]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_PART = _LETTER | _SIGN | (np.arange(256) >= 128)
 
 
 def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,10 +73,12 @@ def disguised_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     found = np.zeros(len(data), bool)
     found[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & digit[1:])
     found[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    part = np.pad(_PART[data], (1, 8))
-    alone = part[1:] & ~part[:-1]
-    alone[:-1] &= ~part[2:]
     n = len(data)
+    word = letter | digit
+    before, after = np.append(False, word[:-1]), np.append(word[1:], False)
+    whole = offsets[:-1] < offsets[1:]
+    before[offsets[:-1][whole]] = after[offsets[1:][whole] - 1] = False  # neighbours in other rows don't count
+    alone = np.pad((letter | sign) & ~before & ~after, (0, 7))
     two = alone[: n + 3] & (alone[2 : n + 5] | alone[3 : n + 6])
     found |= two[:n] & (two[2 : n + 2] | two[3 : n + 3])
     out[np.searchsorted(offsets, np.flatnonzero(found), "right") - 1] = True
