@@ -7,6 +7,9 @@ and by 80 otherwise. Media are conversations, speakers are roles.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -626,21 +629,22 @@ def transcript_words(spark, sf_dir):
     return readers.transcript_words(read).drop("type")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share: ``spark.checkpoint.dir``, or a folder of this machine where
+    all is on this machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: this query needs a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/cuegrid-{name}-{uuid.uuid4().hex}"
+
+
 @query()
 def stream_phrases(spark, sf_dir):
     """Events as a stream, packed into sessions; written by one run over all there is, and read again. The sessions
     that the run leaves open follow from the table."""
-    import os
-    import re
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a folder of this machine serves where all is on this machine, as in tests
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: the stream needs a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    out = os.path.join(base, f"cuegrid-stream-{uuid.uuid4().hex}")
+    out = shared_folder(spark, "stream")
     given = table(spark, sf_dir, "events")
     source = spark.readStream.schema(given.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     events = lambda df: df.select(F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"))
@@ -997,3 +1001,7 @@ def missing_overlays(spark, sf_dir):
     k = F.col("k")
     o = _part(spark, sf_dir).select((k % 100).alias("edl"), k.alias("overlay_idx"), F.when(F.col("n") % 3 != 0, F.concat(F.lit("/o/"), (k % 50).cast("string"))).alias("source"))
     return edl.missing_overlays(o, spark.range(0, 52, 4).select(F.concat(F.lit("/o/"), F.col("id").cast("string")).alias("path")))
+
+
+# Queries in modules of their own register themselves here.
+from cuegrid import catalog_sources, catalog_stateful  # noqa: E402, F401

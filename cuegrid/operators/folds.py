@@ -1,8 +1,8 @@
 """Order-dependent folds: rules that look at what a block already holds, so no fixed set of windows gives them.
 
-Folds without look-back run as SQL ``aggregate`` over a group's sorted rows and only carry small state; folds
-with look-back run as Arrow functions over one text or segment at a time. A group is one cue, segment, clause or
-medium's list of cues, never a corpus.
+Folds without look-back run as SQL ``aggregate`` over sorted rows and only carry small state: over one cue's words,
+or over a medium's cues as a scan of shares. Folds with look-back run as Arrow functions over one text or segment at a
+time.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuegrid.functions import text as X
 
@@ -38,26 +40,118 @@ def _fold(items: Column, zero: dict[str, Column], step, kind: str, share: int =
     return F.aggregate(shares, start, one)
 
 
-def translation_window_ids(cues: Column) -> Column:
-    """For an array of struct<start_ms, end_ms, sentence_end> in order: the 1-based window of each cue. A window
-    closes after a cue if, tested in this order, it lasts 18 s or has six cues; not under 6 s; at a sentence
-    end; at 12 s."""
-    zero = {"id": F.lit(1), "n": F.lit(0), "start": F.lit(0).cast("long")}
+# A fold with few states runs over a medium of any length as a scan: rows are dealt into shares, each share becomes a
+# map from the state before it to the state after it, and maps are composed, share by share inside groups and group by
+# group, so that every share knows the state that it begins with.
+
+#: Numbers of the order in a share, and shares in a group. An order below 2^31 makes 2^11 groups of a medium at most.
+SHARE, GROUP = 256, 4096
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Both joined on keys of which any may be null."""
+    renamed = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return a.join(renamed, met).drop(*(f"_{k}" for k in keys))
 
-    def step(a: Column, x: Column) -> Column:
-        start = F.when(a["n"] == 0, x["start_ms"]).otherwise(a["start"])
-        n, lasts = a["n"] + 1, x["end_ms"] - start
-        close = F.when((lasts >= WINDOW_MAX_MS) | (n >= WINDOW_CUES), True).when(lasts < WINDOW_SENTENCE_MS, False).otherwise(x["sentence_end"] | (lasts >= WINDOW_TARGET_MS))
-        return F.struct((a["id"] + F.when(close, 1).otherwise(0)).alias("id"), F.when(close, 0).otherwise(n).alias("n"), start.alias("start"), F.concat(a["out"], F.array(a["id"])).alias("out"))
 
-    return F.flatten(_fold(cues, zero, step, "INT")["outs"])
+def _composed(maps: Column, states: int) -> Column:
+    """Maps (array<struct<to, n>> by the state before) one after the other; n adds up."""
+    one = F.array(*(F.struct(F.lit(k).alias("to"), F.lit(0).cast("long").alias("n")) for k in range(states)))
+    return F.aggregate(maps, one, lambda a, m: F.transform(a, lambda s: F.struct(m[s["to"]]["to"].alias("to"), (s["n"] + m[s["to"]]["n"]).alias("n"))))
 
 
-def translation_windows(cues: DataFrame, media: str = "media", order: str = "cue") -> DataFrame:
-    """(media, window_id, start_ms, end_ms, n_cues, cue_first, cue_last, source_text)."""
+def _entries(items: Column, state: Column, n: Column, at: str) -> Column:
+    """array<struct<at, to, n>>: what each of the items (array<struct<at, map>>) begins with, after (state, n)."""
+    kind = f"STRUCT<{at}: BIGINT, to: INT, n: BIGINT>"
+
+    def step(a: Column, x: Column) -> Column:
+        after = x["map"][a["to"]]
+        entry = F.struct(x[at].alias(at), a["to"].alias("to"), a["n"].alias("n"))
+        return F.struct(after["to"].alias("to"), (a["n"] + after["n"]).alias("n"), F.array_append(a["out"], entry).alias("out"))
+
+    return F.flatten(_fold(items, {"to": state, "n": n}, step, kind, share=64)["outs"])
+
+
+def scan(shares: DataFrame, key: str, states: int, group: int = GROUP) -> DataFrame:
+    """(key, share, to, n) of shares (key, share, map): the state that each share begins with, and the sum of n before
+    it. A key begins with state 0."""
+    number = F.floor(F.col("share") / group).cast("long")
+    listed = lambda at: F.sort_array(F.collect_list(F.struct(F.col(at).cast("long").alias(at), "map")))
+    groups = shares.groupBy(key, number.alias("group")).agg(listed("share").alias("inner"))
+    maps = groups.select(key, "group", _composed(F.transform("inner", lambda x: x["map"]), states).alias("map"))
+    top = maps.groupBy(key).agg(listed("group").alias("all"))
+    begun = top.select(key, F.explode(_entries(F.col("all"), F.lit(0), F.lit(0).cast("long"), "group")).alias("e")).select(key, "e.group", "e.to", "e.n")
+    each = _same(groups, begun, [key, "group"])
+    return each.select(key, F.explode(_entries(F.col("inner"), F.col("to"), F.col("n"), "share")).alias("e")).select(key, "e.share", "e.to", "e.n")
+
+
+def _closes(lasts: int, n: int, sentence_end: bool) -> bool:
+    """Whether a window closes after a cue: if, tested in this order, it lasts 18 s or has six cues; not under 6 s; at
+    a sentence end; at 12 s."""
+    if lasts >= WINDOW_MAX_MS or n >= WINDOW_CUES:
+        return True
+    return lasts >= WINDOW_SENTENCE_MS and (sentence_end or lasts >= WINDOW_TARGET_MS)
+
+
+def window_steps(starts: list[int], ends: list[int], sentence_ends: list[bool], before: list[int], n: int) -> tuple[list[bool], int]:
+    """(closed after each cue, cues that the last window has) of a share's cues. The state ``n`` is how many cues the
+    open window has; ``before`` are the starts of the cues before the share, so it began at the n-th last of them."""
+    closed, begun = [], before[-n] if 0 < n <= len(before) else 0
+    for start, end, fin in zip(starts, ends, sentence_ends, strict=True):
+        if not n:
+            begun = start
+        n += 1
+        closed.append(_closes(end - begun, n, fin))
+        n = 0 if closed[-1] else n
+    return closed, n
+
+
+_MAP = T.ArrayType(T.StructType([T.StructField("to", T.IntegerType()), T.StructField("n", T.LongType())]))
+
+
+@F.pandas_udf(_MAP)
+def _window_map(starts: pd.Series, ends: pd.Series, sentence_ends: pd.Series, before: pd.Series) -> pd.Series:
+    """Each share's map: from every state to (state, windows closed)."""
+    out = []
+    for s, e, f, b in zip(starts, ends, sentence_ends, before, strict=True):
+        runs = [window_steps(s, e, f, list(b), n) for n in range(WINDOW_CUES)]
+        out.append([{"to": to, "n": sum(closed)} for closed, to in runs])
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _window_ids(starts: pd.Series, ends: pd.Series, sentence_ends: pd.Series, before: pd.Series, state: pd.Series, done: pd.Series) -> pd.Series:
+    """The window of each cue of a share that begins with ``state``, after ``done`` windows."""
+    out = []
+    for s, e, f, b, n, d in zip(starts, ends, sentence_ends, before, state, done, strict=True):
+        closed, _ = window_steps(s, e, f, list(b), n)
+        ids, now = [], int(d) + 1
+        for c in closed:
+            ids.append(now)
+            now += c
+        out.append(ids)
+    return pd.Series(out)
+
+
+def translation_windows(cues: DataFrame, media: str = "media", order: str = "cue", share: int = SHARE, group: int = GROUP) -> DataFrame:
+    """(media, window_id, start_ms, end_ms, n_cues, cue_first, cue_last, source_text). ``order`` is a whole number that
+    no two cues of a medium share. A medium's cues lie in many shares: nothing holds them all."""
     one = F.struct(F.col(order).cast("long").alias("cue"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), X.ends_sentence(F.col("text")).alias("sentence_end"), F.col("text").alias("text"))
-    packed = cues.groupBy(media).agg(F.sort_array(F.collect_list(one)).alias("c")).withColumn("ids", translation_window_ids(F.col("c")))
-    flat = packed.select(media, F.explode(F.arrays_zip("c", "ids")).alias("x")).select(media, F.col("x.ids").alias("window_id"), "x.c.*")
+    # Dealt by share, whatever the cues come dealt by; the branches below all read this one exchange.
+    dealt = cues.select(media, F.floor(F.col(order) / share).cast("long").alias("share"), one.alias("one")).repartition(media, "share")
+    packed = dealt.groupBy(media, "share").agg(F.sort_array(F.collect_list("one")).alias("c"))
+    # A share has a cue at least, so the last five starts are among those of the five shares before.
+    starts = packed.select(media, "share", F.transform(F.slice("c", F.greatest(F.size("c") - WINDOW_CUES + 2, F.lit(1)), WINDOW_CUES - 1), lambda x: x["start_ms"]).alias("last"))
+    earlier = W.partitionBy(media).orderBy("share").rowsBetween(-(WINDOW_CUES - 1), -1)
+    known = _same(packed, starts.select(media, "share", F.flatten(F.collect_list("last").over(earlier)).alias("before")), [media, "share"])
+    parts = [F.transform("c", lambda x: x["start_ms"]), F.transform("c", lambda x: x["end_ms"]), F.transform("c", lambda x: x["sentence_end"]), F.col("before")]
+    maps = known.select(media, "share", _window_map(*parts).alias("map"))
+    begun = scan(maps, media, WINDOW_CUES, group)
+    ids = _same(known, begun, [media, "share"]).select(media, "c", _window_ids(*parts, F.col("to"), F.col("n")).alias("ids"))
+    flat = ids.select(media, F.explode(F.arrays_zip("c", "ids")).alias("x")).select(media, F.col("x.ids").alias("window_id"), "x.c.*")
     return flat.groupBy(media, "window_id").agg(F.min_by("start_ms", "cue").alias("start_ms"), F.max_by("end_ms", "cue").alias("end_ms"), F.count(F.lit(1)).alias("n_cues"), F.min("cue").alias("cue_first"), F.max("cue").alias("cue_last"), X.collapse_whitespace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue", "text"))), lambda t: t["text"]), " ")).alias("source_text"))
 
 
@@ -246,14 +340,3 @@ def translated_blocks(windows: DataFrame, keys: tuple[str, ...], text: str = "tr
             yield pd.DataFrame(rows, columns=[*keys, "block", "start_ms", "end_ms", "text"])
 
     return windows.select(*keys, "start_ms", "end_ms", text).mapInPandas(run, schema)
-
-
-def thinned_labels(words: list[dict], per_ms: float, spacing: float = 28.0, least_ms: int = 50) -> list[int]:
-    """Indices of the word labels that fit on a ruler: not blank, 50 ms at least, 28 pixels from the last placed."""
-    kept, last = [], None
-    for k, w in enumerate(words):
-        x = int(w["start_ms"] * per_ms)
-        if w["word"].strip() and w["end_ms"] - w["start_ms"] >= least_ms and (last is None or x - last >= spacing):
-            kept.append(k)
-            last = x
-    return kept
