@@ -320,6 +320,22 @@ def master_srt(spark, sf_dir):
     return cues.select("edl", F.col("cue").cast("long").alias("cue"), "range_idx", "chunk", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), X.srt_time(F.col("start_ms")).alias("srt_start"))
 
 
+@query(
+    f"""WITH {WORDS_SQL}, r AS (SELECT media + 1 AS edl, 'A' AS source, media AS medium, max(end_ms) // 2 AS cut FROM words GROUP BY media UNION ALL SELECT media, 'B', media, max(end_ms) // 3 FROM words GROUP BY media),
+j AS (SELECT edl, r.source, medium, cut, w.pos, w.start_ms AS ws, w.end_ms AS we FROM r LEFT JOIN words w ON w.media = r.medium AND w.end_ms > cut AND w.start_ms < cut + 5000)
+SELECT edl, source, count(pos) AS n_words, CAST(greatest(least(any_value(cut), min(ws)) - 30, 0) AS BIGINT) AS cut_start, CAST(greatest(any_value(cut) + 5000, max(we)) + 30 AS BIGINT) AS cut_end FROM j GROUP BY edl, source"""
+)
+def shared_source_names(spark, sf_dir):
+    """Every edit calls its own conversation B and its neighbour's A: a name says nothing outside its edit."""
+    w = words(spark, sf_dir)
+    ends = w.groupBy(F.col("media").alias("medium")).agg(F.max("end_ms").alias("z"))
+    cut = lambda edit, name, idx, part: ends.select(edit.alias("edl"), F.lit(idx).alias("range_idx"), F.lit(name).alias("source"), "medium", F.floor(F.col("z") / part).cast("long").alias("start_ms"))
+    ranges = cut(F.col("medium") + 1, "A", 0, 2).unionByName(cut(F.col("medium"), "B", 1, 3)).withColumn("end_ms", F.col("start_ms") + 5000)
+    timed = w.select(F.col("media").alias("medium"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
+    bounds = edl.snapped_and_padded(edl.ranges_with_words(ranges, timed, source="medium"), source="medium")
+    return bounds.join(ranges.select("edl", "range_idx", "source"), ["edl", "range_idx"]).select("edl", "source", "n_words", "cut_start", "cut_end")
+
+
 @query(f"WITH {RANGES_SQL}, x AS (SELECT edl, range_idx, sum(end_ms - start_ms) OVER w AS boundary_ms, lead(range_idx) OVER w AS nxt FROM ranges WINDOW w AS (PARTITION BY edl ORDER BY range_idx)) SELECT edl, range_idx, CAST(boundary_ms AS BIGINT) AS boundary_ms FROM x WHERE nxt IS NOT NULL")
 def cut_boundaries(spark, sf_dir):
     return islands.cut_boundaries(Edit(spark, sf_dir).ranges)

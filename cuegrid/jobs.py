@@ -103,13 +103,15 @@ def edit_plan(spark: SparkSession, edls: str, words_of: str, quality: str = "fin
     none = lambda c: F.lit(None).cast("int").alias(c)
     bad = edl.range_violations(heads, raw, sources).select("edl", "range_idx", none("overlay_idx"), "rule", "message")
     bad = bad.unionByName(edl.overlay_violations(overlays).select("edl", none("range_idx"), "overlay_idx", "rule", "message"))
-    words = readers.spoken(readers.transcript_words(transcripts(spark, words_of))).select(X.stem(F.col("media")).alias("stem"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
-    named = words.join(sources.select(F.col("source"), X.stem(F.col("path")).alias("stem")).distinct(), "stem").drop("stem")
-    joined = edl.ranges_with_words(ranges.select("edl", "range_idx", "source", "start_ms", "end_ms"), named)
-    known = _probed(sources, spark, probed)
-    lengths = known.where("duration IS NOT NULL").groupBy("source").agg(readers.ms(F.min("duration")).alias("duration_ms"))
-    bounds = edl.snapped_and_padded(joined, lengths)
-    segments = bounds.join(known, ["edl", "source"]).join(ranges.select("edl", "range_idx", "grade", "edl_grade"), ["edl", "range_idx"])
+    # Two edits may give one name to different media, so words, ends and probes go by the medium behind the name.
+    media = sources.withColumn("medium", X.stem(F.col("path")))
+    words = readers.spoken(readers.transcript_words(transcripts(spark, words_of))).select(X.stem(F.col("media")).alias("medium"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
+    placed = ranges.select("edl", "range_idx", "source", "start_ms", "end_ms").join(media.select("edl", "source", "medium").distinct(), ["edl", "source"], "left")
+    joined = edl.ranges_with_words(placed, words, source="medium")
+    known = _probed(media, spark, probed)
+    lengths = known.where("duration IS NOT NULL").groupBy("medium").agg(readers.ms(F.min("duration")).alias("duration_ms"))
+    bounds = edl.snapped_and_padded(joined, lengths, source="medium")
+    segments = bounds.join(placed.select("edl", "range_idx", "source"), ["edl", "range_idx"]).join(known.drop("medium"), ["edl", "source"]).join(ranges.select("edl", "range_idx", "grade", "edl_grade"), ["edl", "range_idx"])
     argv = ffmpeg.extract_segment(F.col("path"), F.col("cut_start"), F.col("cut_end") - F.col("cut_start"), ffmpeg.resolved_grade(F.col("grade"), F.col("edl_grade")), ffmpeg.segment_name(F.col("range_idx"), F.col("path")), F.coalesce("has_audio", F.lit(True)), quality)
     captions = sinks.srt_documents(edl.master_cues(bounds, joined), media="edl")
     return bad, segments.select("edl", "range_idx", "source", "cut_start", "cut_end", argv.alias("argv")), captions

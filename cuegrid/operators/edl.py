@@ -24,32 +24,33 @@ def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
     return (end > low) & (start < high)
 
 
-def ranges_with_words(ranges: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("edl", "range_idx"), bucket_ms: int = BUCKET_MS) -> DataFrame:
+def ranges_with_words(ranges: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("edl", "range_idx"), bucket_ms: int = BUCKET_MS, source: str = "source") -> DataFrame:
     """Each range (keys, source, start_ms, end_ms) with every word (source, pos, word, word_start, word_end) that
-    overlaps it; ranges without words stay, with nulls."""
+    overlaps it; ranges without words stay, with nulls. ``source`` names what both sides are joined by: names of
+    sources hold inside one edit only, so over several edits it must be a column that tells media apart."""
     spread = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket_ms), F.floor(F.greatest(F.col(e), F.col(s)) / bucket_ms))))
-    r = spread(ranges.select(*keys, "source", "start_ms", "end_ms"), "start_ms", "end_ms")
-    w = spread(words.select("source", "pos", "word", "word_start", "word_end"), "word_start", "word_end")
+    r = spread(ranges.select(*keys, source, "start_ms", "end_ms"), "start_ms", "end_ms")
+    w = spread(words.select(source, "pos", "word", "word_start", "word_end"), "word_start", "word_end")
     near = overlaps(F.col("word_start"), F.col("word_end"), F.col("start_ms"), F.col("end_ms"))
     # A pair meets in each bucket that both touch; the first of them counts.
     first = F.col("_b") == F.greatest(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.col("word_start") / bucket_ms))
-    hits = r.join(w, ["source", "_b"]).where(near & first).select(*keys, "pos", "word", "word_start", "word_end")
+    hits = r.join(w, [source, "_b"]).where(near & first).select(*keys, "pos", "word", "word_start", "word_end")
     return ranges.join(hits, list(keys), "left")
 
 
-def snapped_and_padded(joined: DataFrame, durations: DataFrame | None = None, keys: tuple[str, ...] = ("edl", "range_idx"), pad_ms: int = PAD_MS) -> DataFrame:
+def snapped_and_padded(joined: DataFrame, durations: DataFrame | None = None, keys: tuple[str, ...] = ("edl", "range_idx"), pad_ms: int = PAD_MS, source: str = "source") -> DataFrame:
     """(keys, source, start_ms, end_ms, cut_start, cut_end, n_words) from ``ranges_with_words``: a cut inside a
     word moves to the word's edge, then both ends get the pad, clamped at 0 and at the source's end
-    (durations: source, duration_ms; unknown ends clamp nothing)."""
+    (durations: source, duration_ms; unknown ends clamp nothing). ``source`` as in ``ranges_with_words``."""
     first = F.min_by("word_start", F.struct("pos"))
     last = F.max_by("word_end", F.struct("pos"))
-    snapped = joined.groupBy(*keys).agg(F.first("source").alias("source"), F.first("start_ms").alias("start_ms"), F.first("end_ms").alias("end_ms"), F.least(F.first("start_ms"), first).alias("s"), F.greatest(F.first("end_ms"), last).alias("e"), F.count("pos").alias("n_words"))
+    snapped = joined.groupBy(*keys).agg(F.first(source).alias(source), F.first("start_ms").alias("start_ms"), F.first("end_ms").alias("end_ms"), F.least(F.first("start_ms"), first).alias("s"), F.greatest(F.first("end_ms"), last).alias("e"), F.count("pos").alias("n_words"))
     if durations is not None:
-        snapped = snapped.join(durations.select("source", "duration_ms"), "source", "left")
+        snapped = snapped.join(durations.select(source, "duration_ms"), source, "left")
     limit = F.col("duration_ms") if durations is not None else F.lit(None).cast("long")
     begin = F.greatest(F.col("s") - pad_ms, F.lit(0))
     end = F.greatest(F.least(F.col("e") + pad_ms, limit), begin)
-    return snapped.select(*keys, "source", "start_ms", "end_ms", begin.cast("long").alias("cut_start"), end.cast("long").alias("cut_end"), F.col("n_words").cast("long").alias("n_words"))
+    return snapped.select(*keys, source, "start_ms", "end_ms", begin.cast("long").alias("cut_start"), end.cast("long").alias("cut_end"), F.col("n_words").cast("long").alias("n_words"))
 
 
 def master_cues(bounds: DataFrame, joined: DataFrame, edl: str = "edl", order: str = "range_idx") -> DataFrame:

@@ -153,3 +153,19 @@ def test_verify(spark, media):
 def test_main_writes_tables(spark, media, tmp_path):
     jobs.main(["rough-cuts", f"{media}/cut", f"{tmp_path}/out", "--probes", f"{media}/probes"])
     assert spark.read.json(f"{tmp_path}/out/segments").count() == 4
+
+
+def test_edits_may_share_names_of_sources(spark, tmp_path):
+    """Two lists call different files A: each gets its own words, end and sound."""
+    for name in ("words", "edl", "probes"):
+        (tmp_path / name).mkdir()
+    for medium, word, end, kinds in (("x", "alpha", 9, ["video"]), ("y", "omega", 5, ["video", "audio"])):
+        (tmp_path / "words" / f"{medium}.json").write_text(json.dumps({"words": [{"word": word, "start": 1.0, "end": 2.0}, {"word": "last", "start": end - 0.2, "end": end + 1.0}]}))
+        (tmp_path / "edl" / f"of_{medium}.json").write_text(json.dumps({"version": 1, "sources": {"A": f"/m/{medium}.mov"}, "ranges": [{"source": "A", "start": 0, "end": end}]}))
+        (tmp_path / "probes" / f"{medium}.json").write_text(json.dumps({"format": {"duration": str(end)}, "streams": [{"codec_type": k} for k in kinds]}))
+    _, segments, captions = jobs.edit_plan(spark, f"{tmp_path}/edl", f"{tmp_path}/words", probed=f"{tmp_path}/probes")
+    got = {r.edl.rsplit("/", 1)[1]: r for r in segments.collect()}
+    assert (got["of_x.json"].cut_end, got["of_y.json"].cut_end) == (9000, 5000)
+    assert "/m/x.mov" in got["of_x.json"].argv and "-an" in got["of_x.json"].argv and "/m/y.mov" in got["of_y.json"].argv and "-an" not in got["of_y.json"].argv
+    said = {r.edl.rsplit("/", 1)[1]: r.document for r in captions.collect()}
+    assert "ALPHA" in said["of_x.json"] and "OMEGA" not in said["of_x.json"] and "OMEGA" in said["of_y.json"] and "ALPHA" not in said["of_y.json"]
