@@ -1,3 +1,30 @@
 """Queries over files that Spark writes from the given tables and reads again, with their SQL."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuegrid.catalog import query, shared_folder, table
+from cuegrid.functions import text as X
+from cuegrid.sources import named_files, wav
+
+BINS = 500
+
+
+@query(
+    f"""WITH v AS (SELECT label, vec_id, unnest(range(len(embedding))) AS i, CAST(round_even(CAST(unnest(embedding) AS DOUBLE) * 32767, 0) AS BIGINT) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM v),
+b AS (SELECT label, k // greatest(n // {BINS}, 1) AS bin, sqrt(sum(x * x) / any_value(greatest(n // {BINS}, 1))) / 32768 AS rms FROM s WHERE k // greatest(n // {BINS}, 1) < {BINS} GROUP BY label, k // greatest(n // {BINS}, 1)),
+p AS (SELECT *, max(rms) OVER (PARTITION BY label) AS peak FROM b)
+SELECT label AS clip, CAST(bin AS BIGINT) AS bin, CAST(round_even(rms / peak * 100000, 0) AS BIGINT) AS level, CAST(round_even(peak * 100000, 0) AS BIGINT) AS raw_peak FROM p"""
+)
+def pcm_envelope(spark, sf_dir):
+    """The vectors of a label as one sound: a WAV file for each, written by rows and read in pieces of 16 KB."""
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
+    sound = e.select(F.concat(F.lit("clip_"), F.col("label").cast("string"), F.lit(".wav")).alias("name"), "vec_id", F.transform("embedding", lambda x: F.rint(x.cast("double") * 32767)).alias("values"))
+    folder = shared_folder(spark, "clips")
+    named_files.write_files(wav.wav_parts(sound, "name", "vec_id", "values"), folder, content="content", part="part")
+    made = wav.envelopes(wav.read_wav(spark, folder, 1 << 14), BINS)
+    hundred_thousandth = lambda c: F.rint(F.col(c) * 100_000).cast("long")
+    clip = F.regexp_extract(X.stem(F.col("path")), r"clip_(-?\d+)$", 1).cast("int")
+    return made.select(clip.alias("clip"), "bin", hundred_thousandth("level").alias("level"), hundred_thousandth("raw_peak").alias("raw_peak"))

@@ -251,6 +251,10 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
     }
 
 
+#: Jobs whose tables are documents: (table, column, ending of the files).
+FILES = {"pack": [("", "document", ".md")], "subtitles": [("", "srt", ".srt"), ("", "txt", ".txt")], "translation-template": [("", "document", ".json")], "translated-subtitles": [("documents", "document", ".srt")], "styled-captions": [("", "document", ".srt")], "verify": [("documents", "json", ".json"), ("documents", "text", ".txt")]}
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cuegrid")
     p.add_argument("job", choices=["pack", "subtitles", "translation-template", "translated-subtitles", "styled-captions", "edit-plan", "final-passes", "rough-cuts", "contact-sheets", "timeline-views", "grades", "loudness", "burn-ins", "verify"])
@@ -267,11 +271,14 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--style", choices=["bold", "natural"], default="bold")
     p.add_argument("--languages", nargs=2, default=["en", "de"])
     p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--files", help="folder that gets a file of each medium's document as well")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName(f"cuegrid {a.job}").getOrCreate()
     made = _jobs(spark, a)[a.job]()
     for name, df in (made if isinstance(made, dict) else {"": made}).items():
         df.write.mode("overwrite" if a.overwrite else "errorifexists").json(f"{a.output}/{name}" if name else a.output)
+        for _, column, ending in (x for x in FILES.get(a.job, []) if a.files and x[0] == name):
+            sinks.write_documents(df.select("media", F.col(column).alias("document")), a.files, ending=ending, exists="replace" if a.overwrite else "fail")
 
 
 if __name__ == "__main__":

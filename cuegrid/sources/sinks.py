@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as X
+from cuegrid.sources import named_files
 
 
 def _joined(order: str, line: Column, between: str) -> Column:
@@ -122,6 +123,6 @@ def batch_result(outcomes: DataFrame, error: str = "error", by: tuple[str, ...]
     return outcomes.groupBy(*by).agg(F.count_if(F.col(error).isNull()).alias("n_ok"), F.count_if(F.col(error).isNotNull()).alias("n_failed")).withColumn("exit_code", F.when(F.col("n_failed") > 0, 1).otherwise(0))
 
 
-def write_documents(documents: DataFrame, path: str, media: str = "media", mode: str = "errorifexists") -> None:
-    """One text folder for each medium; refuses to overwrite unless told."""
-    documents.select(media, "document").write.mode(mode).partitionBy(media).text(path)
+def write_documents(documents: DataFrame, path: str, media: str = "media", ending: str = ".txt", exists: str = "fail") -> None:
+    """One file for each medium, named by its stem; refuses to overwrite unless told (``named_files``)."""
+    named_files.write_files(documents.select(F.concat(X.stem(F.col(media).cast("string")), F.lit(ending)).alias("name"), "document"), path, exists=exists)
