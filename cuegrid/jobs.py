@@ -18,7 +18,7 @@ from cuegrid.sources import readers, sinks
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return readers.read_json(spark, path, readers.TRANSCRIPT)
+    return readers.read_transcripts(spark, path)
 
 
 def pack(spark: SparkSession, path: str, silence_ms: int = islands.PHRASE_SILENCE_MS) -> DataFrame:
@@ -255,6 +255,10 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
 FILES = {"pack": [("", "document", ".md")], "subtitles": [("", "srt", ".srt"), ("", "txt", ".txt")], "translation-template": [("", "document", ".json")], "translated-subtitles": [("documents", "document", ".srt")], "styled-captions": [("", "document", ".srt")], "verify": [("documents", "json", ".json"), ("documents", "text", ".txt")]}
 
 
+#: Jobs that read JSON files; those that can't be read are written beside the output, as {output}_rejects.
+JSON_INPUTS = ("pack", "subtitles", "translated-subtitles", "edit-plan", "final-passes", "rough-cuts", "verify")
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cuegrid")
     p.add_argument("job", choices=["pack", "subtitles", "translation-template", "translated-subtitles", "styled-captions", "edit-plan", "final-passes", "rough-cuts", "contact-sheets", "timeline-views", "grades", "loudness", "burn-ins", "verify"])
@@ -275,6 +279,10 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName(f"cuegrid {a.job}").getOrCreate()
     made = _jobs(spark, a)[a.job]()
+    for given in (x for x in (a.input if a.job in JSON_INPUTS else None, a.words) if x):
+        wrong = readers.rejects(spark, given)
+        if wrong.limit(1).count():
+            wrong.write.mode("append").json(f"{a.output}_rejects")
     for name, df in (made if isinstance(made, dict) else {"": made}).items():
         df.write.mode("overwrite" if a.overwrite else "errorifexists").json(f"{a.output}/{name}" if name else a.output)
         for _, column, ending in (x for x in FILES.get(a.job, []) if a.files and x[0] == name):

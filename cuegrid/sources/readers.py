@@ -41,9 +41,94 @@ def manifest_inputs(lines: DataFrame, home: str = "/root") -> DataFrame:
     return lines.where((line != "") & ~line.startswith("#")).select("manifest", "line_no", X.normal_path(full).alias("path"))
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(media, value) of whole files. Of files without a byte Spark makes no row."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("media"), F.col("content").cast("string").alias("value"))
+
+
+def json_error(value: Column) -> Column:
+    """Why a text is not one JSON object; null if it is."""
+    parsed = F.try_parse_json(value)
+    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", "empty").when(parsed.isNull(), "not JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object for each file, with its path as ``media``."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("media", F.col("_metadata.file_path"))
+    """One object for each file, with its path as ``media``. A field of another kind is null; a file that is not one
+    JSON object is left out here and a row of ``rejects``."""
+    good = _whole_files(spark, path).where(json_error(F.col("value")).isNull())
+    return good.select(F.from_json("value", schema).alias("j"), "media").select("j.*", "media")
+
+
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(media, error) of the files that ``read_json`` and ``read_transcripts`` leave out."""
+    return rejected(_whole_files(spark, path))
+
+
+def rejected(documents: DataFrame, value: str = "value") -> DataFrame:
+    """(media, error) of the documents (media, value) that are no transcripts: not one JSON object, or with a segment
+    that is neither an object nor a list of three."""
+    bad = documents.withColumn("error", F.coalesce(json_error(F.col(value)), segment_error(F.try_parse_json(value))))
+    return bad.where("error IS NOT NULL").select("media", "error")
+
+
+# Transcripts differ by who made them: words at the top or inside segments, segments as objects or as [start_ms, end_ms,
+# text], numbers as numbers or as text, ``language`` or ``language_code``. As VARIANT each value is looked at where it is.
+
+
+def _get(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _variant_words(words: Column) -> Column:
+    """array<WORD> of an array of variants; what is no object has no fields."""
+    fields = {"word": "string", "text": "string", "start": "double", "end": "double", "speaker": "string", "speaker_id": "string", "type": "string"}
+    return F.transform(words, lambda w: F.struct(*(_get(w, f"$.{k}", t).alias(k) for k, t in fields.items())))
+
+
+def _is_list(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("ARRAY")
+
+
+def segment_error(v: Column) -> Column:
+    """The first segment that is neither an object nor a list of three at least; null if there is none."""
+    ok = lambda s: F.schema_of_variant(s).startswith("OBJECT") | (_is_list(s) & (F.size(_get(s, "$", "array<variant>")) >= 3))
+    wrong = F.filter(F.transform(_get(v, "$.segments", "array<variant>"), lambda s, k: F.when(~F.coalesce(ok(s), F.lit(False)), k)), lambda k: k.isNotNull())
+    return F.when(F.size(wrong) > 0, F.concat(F.lit("segment "), wrong[0], F.lit(" is neither an object nor a list of three")))
+
+
+def _variant_segments(v: Column) -> Column:
+    none = F.expr(f"CAST(ARRAY() AS ARRAY<{WORD}>)")
+
+    def one(s: Column) -> Column:
+        third = lambda k: (_get(s, f"$[{k}]", "double") / 1000)
+        given = F.struct(_get(s, "$.start", "double").alias("start"), _get(s, "$.end", "double").alias("end"), _get(s, "$.text", "string").alias("text"), _get(s, "$.speaker_id", "string").alias("speaker_id"), F.coalesce(_variant_words(_get(s, "$.words", "array<variant>")), none).alias("words"))
+        listed = F.struct(third(0).alias("start"), third(1).alias("end"), _get(s, "$[2]", "string").alias("text"), F.lit(None).cast("string").alias("speaker_id"), none.alias("words"))
+        return F.when(_is_list(s), listed).otherwise(given)
+
+    return F.transform(_get(v, "$.segments", "array<variant>"), one)
+
+
+def parse_transcripts(documents: DataFrame, value: str = "value") -> DataFrame:
+    """The columns of TRANSCRIPT and ``media`` for the documents (media, value) that ``rejected`` does not name."""
+    v = F.col("_v")
+    events = F.transform(_get(v, "$.audio_events", "array<variant>"), lambda e: F.struct(_get(e, "$.text", "string").alias("text"), _get(e, "$.start", "double").alias("start"), _get(e, "$.end", "double").alias("end"), _get(e, "$.type", "string").alias("type")))
+    text = lambda k: _get(v, f"$.{k}", "string").alias(k)
+    good = documents.withColumn("_v", F.try_parse_json(value)).where(json_error(F.col(value)).isNull() & segment_error(v).isNull())
+    return good.select("media", text("text"), F.coalesce(_get(v, "$.language", "string"), _get(v, "$.language_code", "string")).alias("language"), text("language_code"), text("backend"), text("source_hash"), _variant_words(_get(v, "$.words", "array<variant>")).alias("words"), _variant_segments(v).alias("segments"), events.alias("audio_events"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Transcripts of any known layout, one a file; the others are rows of ``rejects``."""
+    return parse_transcripts(_whole_files(spark, path))
+
+
+def audio_events(transcripts: DataFrame, media: str = "media") -> DataFrame:
+    """(media, event, text, start_ms, end_ms, type): what is heard beside speech. Entries of ``words`` that say so
+    count as well, after those of ``audio_events``; events without a start are left out, a missing end is the start."""
+    none = F.expr("CAST(ARRAY() AS ARRAY<STRUCT<text: STRING, start: DOUBLE, end: DOUBLE, type: STRING>>)")
+    among = F.transform(F.filter(F.coalesce("words", F.expr(f"CAST(ARRAY() AS ARRAY<{WORD}>)")), lambda w: w["type"] == "audio_event"), lambda w: F.struct(F.coalesce(w["text"], w["word"]).alias("text"), w["start"].alias("start"), w["end"].alias("end"), w["type"].alias("type")))
+    rows = transcripts.select(media, F.posexplode(F.concat(F.coalesce("audio_events", none), among)).alias("event", "e")).where("e.start IS NOT NULL")
+    return rows.select(media, "event", "e.text", ms(F.col("e.start")).alias("start_ms"), ms(F.coalesce("e.end", "e.start")).alias("end_ms"), F.coalesce("e.type", F.lit("audio_event")).alias("type"))
 
 
 def transcript_words(transcripts: DataFrame, media: str = "media") -> DataFrame:

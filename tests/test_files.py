@@ -100,3 +100,39 @@ def test_written_sounds_are_read_again(spark, tmp_path):
     for name in "xy":
         got = np.concatenate([np.frombuffer(p.pcm, "<i2") for p in wav.read_wav(spark, f"{tmp_path}/w/{name}.wav", 13).orderBy("first").collect()])
         assert got.tolist() == [v for n, k, x in sorted(rows, key=lambda t: t[1]) if n == f"{name}.wav" for v in x]
+
+
+BROKEN = {"cut.json": '{"words": [{"word": "a", "sta', "empty.json": " \n", "list.json": "[1, 2]", "number.json": "7", "odd.json": '{"segments": [[0, 1000, "ok"], "no"]}', "short.json": '{"segments": [[0, 1000]]}'}
+
+
+def test_transcripts_that_do_not_parse_are_rejects(spark, tmp_path):
+    for name, text in (BROKEN | {"good.json": json.dumps({"segments": [[500, "1500", " Hello "], {"start": "2", "end": 3.5, "text": 7, "words": None}], "language_code": "fr"})}).items():
+        (tmp_path / name).write_text(text)
+    (t,) = jobs.transcripts(spark, str(tmp_path)).collect()
+    assert t.media.endswith("good.json") and t.language == "fr" and [tuple(s)[:3] for s in t.segments] == [(0.5, 1.5, " Hello "), (2.0, 3.5, "7")]
+    from cuegrid.sources import readers
+
+    got = {os.path.basename(r.media): r.error for r in readers.rejects(spark, str(tmp_path)).collect()}
+    assert got == {"cut.json": "not JSON", "empty.json": "empty", "list.json": "not an object", "number.json": "not an object", "odd.json": "segment 1 is neither an object nor a list of three", "short.json": "segment 0 is neither an object nor a list of three"}
+    packed = {os.path.basename(r.media) for r in jobs.pack(spark, str(tmp_path)).collect()}
+    assert packed == {"good.json"}, "a broken file is not a silent one"
+
+
+@pytest.mark.parametrize("job", ["edit-plan", "rough-cuts", "translated-subtitles"])
+def test_jobs_name_files_they_cannot_read(spark, tmp_path, job):
+    whole = {"edit-plan": {"version": 1, "sources": {"a": "/m/a.mov"}, "ranges": [{"source": "a", "start": 0, "end": 1}]}, "rough-cuts": {"generated_clips_dir": "/g", "text_dir": "/t", "manifest_path": "/l", "assembly_path": "/o", "segments": [{"name": "x", "type": "image", "input": "/i.png", "duration": "2"}]}, "translated-subtitles": {"windows": [{"id": 1, "start": 0, "end": 2, "source_text": "x", "translated_text": "y"}]}}[job]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "words").mkdir()
+    (tmp_path / "in" / "whole.json").write_text(json.dumps(whole))
+    (tmp_path / "in" / "cut.json").write_text(json.dumps(whole)[:-5])
+    (tmp_path / "words" / "a.json").write_text(json.dumps({"words": [{"word": "a", "start": 0, "end": 0.5}]}))
+    jobs.main([job, f"{tmp_path}/in", f"{tmp_path}/out", "--words", f"{tmp_path}/words"])
+    assert [(os.path.basename(r.media), r.error) for r in spark.read.json(f"{tmp_path}/out_rejects").collect()] == [("cut.json", "not JSON")]
+
+
+def test_audio_events_of_both_places(spark):
+    from cuegrid.sources import readers
+
+    text = json.dumps({"words": [{"text": "hi", "start": 0, "end": 1, "type": "word"}, {"text": "(bang)", "start": 2, "type": "audio_event"}, {"text": "(lost)", "type": "audio_event"}], "audio_events": [{"text": "(rain)", "start": "0.5", "end": "4"}]})
+    t = readers.parse_transcripts(spark.createDataFrame([("m", text)], "media string, value string"))
+    assert [tuple(r) for r in readers.audio_events(t).orderBy("event").collect()] == [("m", 0, "(rain)", 500, 4000, "audio_event"), ("m", 1, "(bang)", 2000, 2000, "audio_event")]
