@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.catalog import EVENTS_SQL, _event_words, query, shared_folder, table
+from cuegrid import jobs
+from cuegrid.catalog import EVENTS_SQL, _event_words, _findings, query, shared_folder, table
+from cuegrid.operators import signal
 from cuegrid.streaming import speakers
 
 EVENT_SILENCE_MS = 1_800_000
@@ -34,3 +36,40 @@ def stream_speaker_phrases(spark, sf_dir):
     out = shared_folder(spark, "speakers")
     speakers.start(speakers.speaker_phrases(words, EVENT_SILENCE_MS), f"{out}/rows", f"{out}/state").awaitTermination()
     return speakers.with_open_phrases(given, speakers.finished(spark, f"{out}/rows"), EVENT_SILENCE_MS)
+
+
+def _passes(spark, sf_dir, passes_at, most: int) -> DataFrame:
+    """(media, finding, passed, details, ending, passes): ``_findings`` checked again; a finding passes from the pass
+    on that ``passes_at`` says, and its details tell how often it was measured only where it changes."""
+
+    def measure(failing: DataFrame, k: int) -> DataFrame:
+        better = passes_at <= k
+        return failing.withColumns({"passed": better, "severity": F.when(better, "info").otherwise("fail"), "details": F.concat(F.lit("m"), F.col("finding").cast("string"))})
+
+    made, ending, n = signal.verified(_findings(spark, sf_dir), measure, jobs._kept(spark, shared_folder(spark, "verify")), most)
+    return made.select("media", "finding", "passed", "details", F.lit(ending).alias("ending"), F.lit(n).alias("passes"))
+
+
+def _passes_sql(at: str, ending: str, n: int) -> str:
+    last = f"least({at}, {n})"
+    return f"""WITH f AS (SELECT user_id AS media, event_id AS finding, event_id % 7 <> 0 AS passed, event_id % 7 = 0 AND event_id % 3 <> 0 AS failing FROM events)
+SELECT media, finding, passed OR (failing AND {at} <= {n}) AS passed, CASE WHEN failing THEN '[retry ' || CAST({last} AS VARCHAR) || '] m' || CAST(finding AS VARCHAR) || CASE WHEN {at} > {n} THEN ' [unresolved after max passes]' ELSE '' END ELSE 'd' || CAST(finding AS VARCHAR) END AS details,
+  '{ending}' AS ending, CAST({n} AS INT) AS passes FROM f"""
+
+
+@query(_passes_sql("1 + finding % 2", "passed", 2))
+def verify_until_passed(spark, sf_dir):
+    """Everything passes at the second pass at the latest."""
+    return _passes(spark, sf_dir, 1 + F.col("finding") % 2, 5)
+
+
+@query(_passes_sql("1 + finding % 9", "limit", 3))
+def verify_until_limit(spark, sf_dir):
+    """Some pass at each pass, others only beyond the limit of three."""
+    return _passes(spark, sf_dir, 1 + F.col("finding") % 9, 3)
+
+
+@query(_passes_sql("CASE WHEN finding % 2 = 0 THEN 1 ELSE 99 END", "settled", 2))
+def verify_until_settled(spark, sf_dir):
+    """Half of them pass at once, the others never: the second pass changes nothing."""
+    return _passes(spark, sf_dir, F.when(F.col("finding") % 2 == 0, 1).otherwise(99), 9)

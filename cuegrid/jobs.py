@@ -6,7 +6,9 @@ Each job reads with ``sources.readers``, applies operators and returns DataFrame
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,19 +216,49 @@ def burn_ins(spark: SparkSession, manifest: str, srt: str, output: str, style: s
     return videos.join(made, "stem", "left").select("path", file.alias("srt"), "output", "document", wrong.alias("error"), F.when(wrong.isNull(), plan).alias("argv"))
 
 
-def verify(spark: SparkSession, edls: str, probed: str, deltas: DataFrame, envelopes: DataFrame, samples: DataFrame, again: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def verify(spark: SparkSession, edls: str, probed: str, deltas: DataFrame, envelopes: DataFrame, samples: DataFrame, again: list[DataFrame] | None = None, measure: Callable[[DataFrame, int], DataFrame] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(findings, documents: media, json, text) of renders against their edit lists of the same stem. What was
-    measured on them is given by stem (see ``signal.verification``); ``again`` are the findings of later passes, one
-    table for each, which replace failed ones in turn."""
+    measured on them is given by stem (see ``signal.verification``). What fails is checked again: ``again`` are the
+    findings of later passes, one table for each; or ``measure`` makes them, ``most`` times at most, until nothing
+    fails or a pass changes nothing (``signal.verified``, also for ``keep``)."""
+    findings = signal.verification(*_verified_media(spark, edls, probed), deltas, envelopes, samples)
+    for k, more in enumerate(again or [], 1):
+        findings = signal.rechecked(findings, more, retry=k, last=k == len(again))
+    if measure is not None:
+        findings, _, _ = signal.verified(findings, measure, keep, most)
+    return findings, sinks.report_documents(findings, signal.report(findings))
+
+
+def _verified_media(spark: SparkSession, edls: str, probed: str) -> tuple[DataFrame, DataFrame]:
+    """The durations and cuts of the edit lists."""
     e = readers.read_json(spark, edls, readers.EDL).withColumnRenamed("media", "edl").withColumn("media", X.stem(F.col("edl")))
     ranges = readers.edl_ranges(e).withColumn("media", X.stem(F.col("edl")))
     stated = e.select("media", F.col("total_duration_s").alias("expected"))
     durations = stated.join(probes(spark, probed).select(F.col("stem").alias("media"), F.col("duration").alias("actual")), "media", "left").select("media", "actual", "expected")
     cuts = islands.cut_boundaries(ranges.drop("edl").withColumnRenamed("media", "edl")).select(F.col("edl").alias("media"), (F.col("boundary_ms") / 1000).alias("cut_time"))
-    findings = signal.verification(durations, cuts, deltas, envelopes, samples)
-    for k, more in enumerate(again or [], 1):
-        findings = signal.rechecked(findings, more, retry=k)
-    return findings, sinks.report_documents(findings, signal.report(findings))
+    return durations, cuts
+
+
+def measured_passes(spark: SparkSession, edls: str, probed: str, folder: str) -> Callable[[DataFrame, int], DataFrame]:
+    """A measuring function over folders of tables, ``folder``/pass-1, pass-2 and so on; where the next is missing,
+    nothing new is measured."""
+
+    def measure(failing: DataFrame, k: int) -> DataFrame:
+        try:
+            tables = [spark.read.parquet(f"{folder}/pass-{k}/{x}") for x in ("deltas", "envelopes", "samples")]
+        except AnalysisException:
+            return failing.limit(0)
+        return signal.verification(*_verified_media(spark, edls, probed), *tables).join(failing.select("media", "check").distinct(), ["media", "check"], "left_semi")
+
+    return measure
+
+
+def _kept(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
 
 
 def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -246,7 +278,7 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
         "timeline-views": lambda: timeline_views(spark, a.input, out, a.probes, a.words),
         "grades": lambda: grades(spark, a.input, out, a.grade),
         "loudness": lambda: loudness(spark, a.input, out, a.reports, a.probes),
-        "verify": lambda: three(("findings", "documents"), verify(spark, a.input, a.probes, *(spark.read.parquet(f"{a.measured}/{x}") for x in ("deltas", "envelopes", "samples")))),
+        "verify": lambda: three(("findings", "documents"), verify(spark, a.input, a.probes, *(spark.read.parquet(f"{a.measured}/{x}") for x in ("deltas", "envelopes", "samples")), measure=measured_passes(spark, a.input, a.probes, a.measured), keep=_kept(spark, f"{a.output}_passes"), most=a.max_passes)),
         "burn-ins": lambda: burn_ins(spark, a.input, a.srt, out, "bold-overlay" if a.style == "bold" else "natural-sentence"),
     }
 
@@ -269,6 +301,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--reports", help="loudness reports of the media")
     p.add_argument("--srt", help="captions of the media")
     p.add_argument("--measured", help="folder of the tables deltas, envelopes and samples")
+    p.add_argument("--max-passes", type=int, default=3, help="how often what fails is checked again, against the folder's pass-1, pass-2 ...")
     p.add_argument("--base", help="folder of joined segments")
     p.add_argument("--media-output", help="folder of the media that the argument lists make")
     p.add_argument("--grade", default="subtle")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,7 +178,9 @@ def verification(durations: DataFrame, cuts: DataFrame, deltas: DataFrame, envel
     n = durations.select(media).join(cuts.groupBy(media).agg(F.count("*").alias("n")), media, "left")
     text = F.when(F.col("n").isNull(), "No internal cut boundaries (single segment or no ranges).").otherwise(F.concat(F.lit("Found "), F.col("n"), F.lit(" cut boundary/ies")))
     found = found.unionByName(rows(n, 2, "cut_boundaries", none, F.lit(True), F.lit("info"), text))
-    at = lambda df: cuts.select(media, "cut_time").join(df, [media, "cut_time"], "left")
+    # Cuts meet by whole milliseconds: a double that is written in another way is the same cut.
+    whole = lambda df: df.withColumn("_ms", F.rint(F.col("cut_time") * 1000).cast("long"))
+    at = lambda df: whole(cuts.select(media, "cut_time")).join(whole(df).drop("cut_time"), [media, "_ms"], "left").drop("_ms")
     v = visual_check(F.col("delta"))
     found = found.unionByName(rows(at(deltas), 3, "visual_discontinuity", F.col("cut_time"), v["passed"], v["severity"], F.concat(F.lit("delta="), num(F.col("delta")))))
     p = pop_check(F.col("bins"), F.col("raw_peak"), F.col("cut_time"))
@@ -188,31 +192,80 @@ def verification(durations: DataFrame, cuts: DataFrame, deltas: DataFrame, envel
     return found.withColumn("finding", F.row_number().over(order)).select(media, "finding", "check", "cut_time", "passed", "severity", "details")
 
 
-def rechecked(findings: DataFrame, again: DataFrame, media: str = "media", retry: int = 1) -> DataFrame:
-    """Findings (media, finding, check, cut_time, passed, severity, details) with failed ones replaced by the first
-    new result of the same check at the same cut (within 0.01 s, or both without). A new result serves one finding:
-    in order, each takes the first that is left. Those still failing say so."""
-    failing = ~F.col("passed") & (F.col("severity") == "fail")
-    new = F.sort_array(F.collect_list(F.struct(F.col("finding").alias("f"), F.col("cut_time").alias("cut"), "passed", "severity", "details")))
-    old = F.sort_array(F.collect_list(F.struct(F.col("finding").alias("f"), F.col("cut_time").alias("cut"))))
-    both = findings.where(failing).groupBy(media, "check").agg(old.alias("old")).join(again.groupBy(media, "check").agg(new.alias("new")), [media, "check"])
-    near = lambda x, y: (x["cut"].isNull() & y["cut"].isNull()) | F.coalesce(F.abs(x["cut"] - y["cut"]) <= CUT_TOLERANCE, F.lit(False))
+UNRESOLVED = " [unresolved after max passes]"
+
+
+def _failing() -> Column:
+    return ~F.col("passed") & (F.col("severity") == "fail")
+
+
+def _matched(failing: DataFrame, again: DataFrame, media: str) -> DataFrame:
+    """(media, finding, _new): for each failing finding the first new result of its check that is left, in order, within
+    0.01 s of its cut or, where it has none, without a cut. Cuts that are further apart than that from the next make
+    groups of their own, so no array holds a medium's findings; those without a cut meet by their number."""
+    result = F.struct(F.col("finding").alias("f"), F.col("cut_time").alias("cut"), "passed", "severity", "details")
+    number = F.row_number().over(W.partitionBy(media, "check").orderBy("finding"))
+    loose = failing.where("cut_time IS NULL").select(media, "check", "finding", number.alias("_k")).join(again.where("cut_time IS NULL").select(media, "check", result.alias("_new"), number.alias("_k")), [media, "check", "_k"]).select(media, "finding", "_new")
+    side = lambda df, new: df.where("cut_time IS NOT NULL").select(media, "check", "cut_time", F.lit(new).alias("_is_new"), result.alias("_r"))
+    both = side(failing, False).unionByName(side(again, True))
+    order = W.partitionBy(media, "check").orderBy("cut_time")
+    apart = F.coalesce(F.col("cut_time") - F.lag("cut_time").over(order) > CUT_TOLERANCE, F.lit(False))
+    grouped = both.withColumn("_apart", apart.cast("int")).withColumn("_group", F.sum("_apart").over(order))
+    listed = lambda new: F.sort_array(F.collect_list(F.when(F.col("_is_new") == F.lit(new), F.col("_r"))))
+    groups = grouped.groupBy(media, "check", "_group").agg(listed(False).alias("old"), listed(True).alias("new")).where("size(old) > 0 AND size(new) > 0")
 
     def step(state: Column, x: Column) -> Column:
-        hit = F.try_element_at(F.filter(state["left"], lambda y: near(x, y)), F.lit(1))
+        hit = F.try_element_at(F.filter(state["left"], lambda y: F.abs(x["cut"] - y["cut"]) <= CUT_TOLERANCE), F.lit(1))
         left = F.when(hit.isNull(), state["left"]).otherwise(F.filter(state["left"], lambda y: y["f"] != hit["f"]))
-        pair = F.struct(x["f"].alias("finding"), hit.alias("new"))
-        return F.struct(left.alias("left"), F.array_append(state["out"], pair).alias("out"))
+        return F.struct(left.alias("left"), F.array_append(state["out"], F.struct(x["f"].alias("finding"), hit.alias("new"))).alias("out"))
 
-    kinds = dict(findings.dtypes)
-    hit_type = f"struct<f:{kinds['finding']},cut:{kinds['cut_time']},passed:boolean,severity:string,details:string>"
+    kinds = dict(failing.dtypes)
+    hit_type = f"struct<f:{dict(again.dtypes)['finding']},cut:{kinds['cut_time']},passed:boolean,severity:string,details:string>"
     start = F.struct(F.col("new").alias("left"), F.expr(f"CAST(ARRAY() AS ARRAY<STRUCT<finding: {kinds['finding']}, new: {hit_type}>>)").alias("out"))
-    hits = both.select(media, F.explode(F.aggregate("old", start, step)["out"]).alias("h")).where("h.new IS NOT NULL").select(media, "h.finding", F.col("h.new").alias("_new"))
-    joined = findings.join(hits, [media, "finding"], "left")
+    timed = groups.select(media, F.explode(F.aggregate("old", start, step)["out"]).alias("h")).where("h.new IS NOT NULL").select(media, "h.finding", F.col("h.new").alias("_new"))
+    return loose.unionByName(timed)
+
+
+def rechecked(findings: DataFrame, again: DataFrame, media: str = "media", retry: int = 1, last: bool = True) -> DataFrame:
+    """Findings (media, finding, check, cut_time, passed, severity, details) with failed ones replaced by the first
+    new result of the same check at the same cut (within 0.01 s, or both without). A new result serves one finding:
+    in order, each takes the first that is left. After the ``last`` pass those still failing say so."""
+    joined = findings.join(_matched(findings.where(_failing()), again, media), [media, "finding"], "left")
     passed, severity = F.coalesce("_new.passed", "passed"), F.coalesce("_new.severity", "severity")
     details = F.when(F.col("_new").isNotNull(), F.concat(F.lit(f"[retry {retry}] "), F.col("_new.details"))).otherwise(F.col("details"))
-    open_still = ~passed & (severity == "fail")
-    return joined.select(*(c for c in findings.columns if c not in ("passed", "severity", "details")), passed.alias("passed"), severity.alias("severity"), F.concat(details, F.when(open_still, " [unresolved after max passes]").otherwise("")).alias("details"))
+    made = joined.select(*(c for c in findings.columns if c not in ("passed", "severity", "details")), passed.alias("passed"), severity.alias("severity"), details.alias("details"))
+    return unresolved(made) if last else made
+
+
+def unresolved(findings: DataFrame) -> DataFrame:
+    """Findings that still fail say so, once."""
+    say = _failing() & ~F.contains(F.col("details"), F.lit("unresolved"))
+    return findings.withColumn("details", F.concat("details", F.when(say, UNRESOLVED).otherwise("")))
+
+
+def verified(findings: DataFrame, measure: Callable[[DataFrame, int], DataFrame], keep: Callable[[DataFrame, str], DataFrame], most: int = 3, media: str = "media") -> tuple[DataFrame, str, int]:
+    """(findings, ending, passes): what fails is measured again, pass by pass. ``measure`` gets the findings that still
+    fail and the number of the pass, and returns new results of them in the same columns; ``keep`` writes a table
+    under a name and reads it back, so that no pass is worked out twice. The endings: ``passed``, nothing fails any
+    more; ``settled``, a pass changed nothing, so no other will; ``limit``, after ``most`` passes."""
+    now, ending, k = keep(findings, "pass-0"), "limit", 0
+    while True:
+        failing = now.where(_failing())
+        if not failing.limit(1).count():
+            ending = "passed"
+            break
+        if k == most:
+            break
+        k += 1
+        again = keep(measure(failing, k), f"measured-{k}")
+        after = keep(rechecked(now, again, media, k, last=False), f"pass-{k}")
+        bare = lambda df: df.select(media, "finding", "passed", "severity", F.regexp_replace("details", r"^\[retry [0-9]+\] ", "").alias("details"))
+        same = not bare(after).exceptAll(bare(now)).limit(1).count()
+        now = after
+        if same:
+            ending = "settled"
+            break
+    return unresolved(now), ending, k
 
 
 def nearest_picture(findings: DataFrame, pictures: DataFrame, media: str = "media") -> DataFrame:

@@ -49,7 +49,7 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
 def json_error(value: Column) -> Column:
     """Why a text is not one JSON object; null if it is."""
     parsed = F.try_parse_json(value)
-    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", "empty").when(parsed.isNull(), "not JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+    return F.when(~F.coalesce(value, F.lit("")).rlike(r"\S"), "empty").when(parsed.isNull(), "not JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
