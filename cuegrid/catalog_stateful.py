@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cuegrid import jobs
 from cuegrid.catalog import EVENTS_SQL, _event_words, _findings, query, shared_folder, table
 from cuegrid.operators import signal
-from cuegrid.streaming import speakers
+from cuegrid.sources import named_files
+from cuegrid.streaming import ingest, speakers
 
 EVENT_SILENCE_MS = 1_800_000
 
@@ -73,3 +74,41 @@ def verify_until_limit(spark, sf_dir):
 def verify_until_settled(spark, sf_dir):
     """Half of them pass at once, the others never: the second pass changes nothing."""
     return _passes(spark, sf_dir, F.when(F.col("finding") % 2 == 0, 1).otherwise(99), 9)
+
+
+def timed_words(path: str) -> dict:
+    """A recogniser for text files: a word each half second. Texts whose name's number 11 divides can't be heard."""
+    from pyarrow import fs as arrow_fs
+
+    if int(path.rsplit("_", 1)[1].split(".")[0]) % 11 == 0:
+        raise RuntimeError("no speech")
+    fs, at = arrow_fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at) as f:
+        said = f.read().decode().split()
+    return {"segments": [{"start": 0.0, "end": 0.5 * len(said), "text": " ".join(said), "words": [{"word": " " * bool(k) + w, "start": 0.5 * k, "end": 0.5 * k + 0.4} for k, w in enumerate(said)]}]}
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS said FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, len(list_filter(string_split(regexp_replace(said, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM t),
+r AS (SELECT *, conv_id % 11 = 0 AS bad, conv_id % 5 = 0 AS changed FROM w)
+SELECT 'said_' || CAST(conv_id AS VARCHAR) AS media, CAST(b AS BIGINT) AS batch, CASE WHEN b = 0 OR bad THEN 'process' WHEN b = 1 THEN 'skip' WHEN changed THEN 'overwrite' ELSE 'skip' END AS decision, CASE WHEN bad THEN 'RuntimeError: no speech' END AS error,
+  CASE WHEN NOT bad AND (b = 0 OR (b = 2 AND changed)) THEN CAST(n + CASE WHEN b = 2 THEN 2 ELSE 0 END AS BIGINT) END AS n_words FROM r, (VALUES (0), (1), (2)) v(b)"""
+)
+def batch_transcripts(spark, sf_dir):
+    """Conversations as media, in a manifest that comes three times: new, again, and after a fifth of them changed."""
+    out = shared_folder(spark, "batch")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(text.alias("document"))
+    media = said.select(F.concat(F.lit("said_"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("name"), "conv_id", "document")
+    named_files.write_files(media, f"{out}/media")
+    local = F.lit(f"{out}/media/".replace("file://", ""))
+    for k in range(3):
+        if k == 2:
+            named_files.write_files(media.where("conv_id % 5 = 0").withColumn("document", F.concat("document", F.lit(" and more"))), f"{out}/media", exists="replace")
+        # A manifest is one file, whose lines come as rows.
+        lines = media.select(F.lit(f"{k}.lst").alias("name"), F.col("conv_id").alias("part"), F.concat(local, F.col("name"), F.lit("\n")).alias("document"))
+        named_files.write_files(lines, f"{out}/manifests", part="part")
+        ingest.transcribe(spark, f"{out}/manifests", out, timed_words, "text").awaitTermination()
+    made = ingest.ledger(spark, out)
+    return made.select("media", "batch", "decision", "error", F.size(F.from_json("transcript", "segments array<struct<words: array<struct<word: string>>>>")["segments"][0]["words"]).cast("long").alias("n_words"))

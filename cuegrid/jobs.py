@@ -6,6 +6,7 @@ Each job reads with ``sources.readers``, applies operators and returns DataFrame
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,7 @@ from cuegrid.functions import text as X
 from cuegrid.operators import edl, folds, islands, signal
 from cuegrid.plans import ffmpeg
 from cuegrid.sources import readers, sinks
+from cuegrid.streaming import ingest
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -261,6 +263,14 @@ def _kept(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFr
     return keep
 
 
+def batch_subtitles(spark: SparkSession, manifests: str, output: str, recogniser: str, backend: str, skip_existing: bool = True, overwrite: bool = False) -> dict[str, DataFrame]:
+    """Transcribes what new manifests of a folder name (``streaming.ingest``); ``recogniser`` is module:function. The
+    ledger of all batches, and their results with an exit code each."""
+    module, _, name = recogniser.partition(":")
+    ingest.transcribe(spark, manifests, output, getattr(importlib.import_module(module), name), backend, skip_existing=skip_existing, overwrite=overwrite).awaitTermination()
+    return {"ledger": ingest.ledger(spark, output), "results": ingest.result(spark, output)}
+
+
 def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
     """What each name runs: one table, or several by name."""
     out = a.media_output or a.output
@@ -279,6 +289,7 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
         "grades": lambda: grades(spark, a.input, out, a.grade),
         "loudness": lambda: loudness(spark, a.input, out, a.reports, a.probes),
         "verify": lambda: three(("findings", "documents"), verify(spark, a.input, a.probes, *(spark.read.parquet(f"{a.measured}/{x}") for x in ("deltas", "envelopes", "samples")), measure=measured_passes(spark, a.input, a.probes, a.measured), keep=_kept(spark, f"{a.output}_passes"), most=a.max_passes)),
+        "batch-subtitles": lambda: batch_subtitles(spark, a.input, out, a.recogniser, a.backend, overwrite=a.overwrite),
         "burn-ins": lambda: burn_ins(spark, a.input, a.srt, out, "bold-overlay" if a.style == "bold" else "natural-sentence"),
     }
 
@@ -293,7 +304,7 @@ JSON_INPUTS = ("pack", "subtitles", "translated-subtitles", "edit-plan", "final-
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cuegrid")
-    p.add_argument("job", choices=["pack", "subtitles", "translation-template", "translated-subtitles", "styled-captions", "edit-plan", "final-passes", "rough-cuts", "contact-sheets", "timeline-views", "grades", "loudness", "burn-ins", "verify"])
+    p.add_argument("job", choices=["pack", "subtitles", "translation-template", "translated-subtitles", "styled-captions", "edit-plan", "final-passes", "rough-cuts", "contact-sheets", "timeline-views", "grades", "loudness", "burn-ins", "batch-subtitles", "verify"])
     p.add_argument("input")
     p.add_argument("output", help="where the tables are written")
     p.add_argument("--words", help="transcripts of the media")
@@ -304,6 +315,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--max-passes", type=int, default=3, help="how often what fails is checked again, against the folder's pass-1, pass-2 ...")
     p.add_argument("--base", help="folder of joined segments")
     p.add_argument("--media-output", help="folder of the media that the argument lists make")
+    p.add_argument("--recogniser", help="module:function that returns the transcript of a path")
+    p.add_argument("--backend", default="custom", help="name under which transcripts are cached")
     p.add_argument("--grade", default="subtle")
     p.add_argument("--style", choices=["bold", "natural"], default="bold")
     p.add_argument("--languages", nargs=2, default=["en", "de"])

@@ -99,3 +99,75 @@ def test_scan_adds_up_over_groups(spark):
     shares = spark.range(50).select(F.lit("k").alias("key"), F.col("id").alias("share"), F.expr("transform(sequence(0, 2), s -> named_struct('to', cast((s + 1) % 3 as int), 'n', cast(s as bigint)))").alias("map"))
     got = sorted((r.share, r.to, r.n) for r in folds.scan(shares, "key", 3, group=4).collect())
     assert got == [(k, k % 3, sum(j % 3 for j in range(k))) for k in range(50)]
+
+
+def test_batches_skip_what_is_done(spark, tmp_path):
+    import os
+
+    from cuegrid.streaming import ingest
+
+    def heard(path):
+        """A recogniser that leaves a line for each call beside the medium."""
+        with open(path + ".calls", "a") as f:
+            f.write("x")
+        if "bad" in path:
+            raise RuntimeError("no speech")
+        text = open(path).read()
+        return {"segments": [{"start": 0, "end": 2, "text": text, "words": []}], "language": "en"}
+
+    media, lists, out = (tmp_path / x for x in ("media", "lists", "out"))
+    media.mkdir(), lists.mkdir(), (tmp_path / "other").mkdir()
+    for name in ("a", "b", "bad"):
+        (media / f"{name}.mp3").write_text(f"text of {name}")
+    (tmp_path / "other" / "a.wav").write_text("same stem")
+
+    def run(name, *lines, **options):
+        (lists / name).write_text("\n".join(lines))
+        ingest.transcribe(spark, str(lists), str(out), heard, "mine", **options).awaitTermination()
+        last = ingest.ledger(spark, str(out)).selectExpr("max(batch) AS b").first().b
+        return {os.path.basename(r.path): (r.decision, r.error) for r in ingest.ledger(spark, str(out)).where(f"batch = {last}").collect()}
+
+    all_media = [f"# list\n{media}/a.mp3", f"{media}/b.mp3", f"{media}/bad.mp3", f"{media}/none.mp3", f"{tmp_path}/other/a.wav"]
+    first = run("1.txt", *all_media)
+    assert first["a.mp3"] == first["b.mp3"] == ("process", None) and first["bad.mp3"] == ("process", "RuntimeError: no speech")
+    assert first["none.mp3"][1].startswith("FileNotFoundError") and first["a.wav"] == ("fail", "another input has the same stem")
+    assert sorted(os.listdir(out / "files")) == ["a.json", "a.srt", "a.txt", "b.json", "b.srt", "b.txt"] and "text of a" in (out / "files" / "a.srt").read_text()
+    assert [(r.n_ok, r.n_failed, r.exit_code) for r in ingest.result(spark, str(out)).collect()] == [(2, 3, 1)]
+    (media / "b.mp3").write_text("new text")
+    second = run("2.txt", *all_media)
+    assert second["a.mp3"] == ("skip", None) and second["b.mp3"] == ("overwrite", None) and second["bad.mp3"][0] == "process"
+    calls = lambda n: len((media / f"{n}.mp3.calls").read_text())
+    assert (calls("a"), calls("b"), calls("bad")) == (1, 2, 2) and "new text" in (out / "files" / "b.txt").read_text()
+    # A batch that is run again, as after a crash, makes its files from the ledger.
+    os.remove(out / "files" / "b.srt")
+    lines = spark.createDataFrame([("/l", k, x) for k, x in enumerate("\n".join(all_media).split("\n"))], "manifest string, line_no int, line string")
+    ingest.one_batch(lines, 1, str(out), heard, "mine")
+    assert calls("b") == 2 and os.path.exists(out / "files" / "b.srt")
+    os.remove(out / "files" / "a.srt")
+    assert run("3.txt", f"{media}/a.mp3")["a.mp3"] == ("fail", "its outputs exist")
+    assert run("4.txt", f"{media}/a.mp3", overwrite=True)["a.mp3"] == ("overwrite", None) and calls("a") == 2
+
+
+def test_passes_end_as_they_should(spark):
+    from cuegrid.operators import signal
+
+    rows = [("m", k, "visual" if k % 2 else "duration", k / 10 if k % 2 else None, False, "fail" if k != 7 else "warning", f"d{k}") for k in range(8)]
+    df = spark.createDataFrame(rows, "media string, finding int, check string, cut_time double, passed boolean, severity string, details string")
+    asked = []
+
+    def measure(at):
+        def run(failing, k):
+            asked.append(sorted(r.finding for r in failing.collect()))
+            better = F.col("finding") % 4 < F.lit(at(k))
+            return failing.withColumns({"passed": better, "severity": F.when(better, "info").otherwise("fail"), "details": F.lit("m")})
+
+        return run
+
+    keep = lambda df, _: df.sparkSession.createDataFrame(df.collect(), df.schema)
+    for at, most, ending, passes in ((lambda k: 2 * k, 9, "passed", 2), (lambda k: k, 2, "limit", 2), (lambda k: 1, 9, "settled", 2)):
+        asked.clear()
+        made, got, n = signal.verified(df, measure(at), keep, most)
+        assert (got, n) == (ending, passes) and asked[0] == [0, 1, 2, 3, 4, 5, 6] and set(asked[-1]) < set(asked[0])
+        rest = {r.finding: r.details for r in made.collect() if not r.passed}
+        assert rest.pop(7) == "d7" and all(d.endswith("[unresolved after max passes]") and d.count("unresolved") == 1 for d in rest.values())
+        assert (not rest) == (ending == "passed")
