@@ -164,6 +164,39 @@ def test_main_text_where_names_mislead(page, want):
     assert op2_html.main_text(page.replace("<article>", "<section>").replace("</article>", "</section>")) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><form action=/x><nav>{MENU}</nav><div>{ARTICLE}</div><input name=q><footer>us</footer></form></body>", WANT),
+        (f"<form><p>{SAY}</p></form>", SAY.strip()),
+        (f'<article><p title="the hidden truth">{SAY}</p><p data-hidden="false" data-id="ad-1" data-class=sidebar>{SAY}</p><p title=\'role="search"\'>{SAY}</p></article>', "\n".join([SAY.strip()] * 3)),
+        ("<article>" + "".join(f"<section class={c}><p>{c} {SAY}</p></section>" for c in ("ad-hoc", "related-work", "side-effects", "share-price", "menu-of-the-day")) + "</article>", "\n".join(f"{c} {SAY.strip()}" for c in ("ad-hoc", "related-work", "side-effects", "share-price", "menu-of-the-day"))),
+        (f"<article><p>{SAY}</p><div class='ad-box'>Buy</div><div id=site-footer>us</div><ul class='social-share'><li>x</li></ul><p>{SAY}</p></article>", f"{SAY.strip()}\n{SAY.strip()}"),
+        (f"<article><p>{SAY}</p><!--><p>{SAY}</p><!-- --><p>{SAY}</p></article>", "\n".join([SAY.strip()] * 3)),
+        (f"<article><p a=\"x>y\" b='>'>{SAY}</p></article>", SAY.strip()),
+    ],
+)
+def test_main_text_keeps_content(page, want):
+    assert op2_html.main_text(page) == want
+
+
+def test_wrapped_pages_are_the_same(spark, sf_dir):
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL").collect():
+        assert op2_html.main_text(row.html.replace("<body>", "<body><form id=aspnetForm>").replace("</body>", "</form></body>")) == op2_html.main_text(row.html)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div class=ad>x</div>" * 20_000, "<div class=sidebar><div class=menu>x</div></div>" * 10_000, "<a " * 70_000, '<p x="' * 40_000, '<p x="' * 40_000 + ">", "<p x='\"" * 30_000 + ">", "<div>" * 20_000 + "</p></x></div>" * 20_000, "<table><div>" * 10_000 + "</table></div>" * 10_000, "<b>" * 20_000 + "<li>x<p>" * 20_000, "<header>" * 20_000 + "<h2>x", "<div class=page>x" * 20_000, "<![CDATA[" * 20_000, "<!--" * 50_000, "<script>" * 20_000],
+)
+def test_main_text_takes_linear_time(page):
+    import time
+
+    began = time.time()
+    op2_html.main_text(page)
+    assert time.time() - began < 3
+
+
 def test_pages_do_not_depend_on_the_article_tag(spark, sf_dir):
     for row in spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL").collect():
         plain = op2_html.main_text(row.html.replace("<article>", "<div>").replace("</article>", "</div>"))
