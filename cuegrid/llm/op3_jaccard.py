@@ -11,8 +11,11 @@ cut, first on GROUPS groups, then on finer counts of the same hashes, whose numb
 
 Blocks. One tree over all documents would neither be bounded nor spread, so trees are built for blocks that
 together hold every possible link: under any total order of the shingles two linked sets share an element among
-the first n - ceil(3n/4) + 1 of each (prefix filter). Each shingle that stands in two prefixes is a block. The
-order is from rare to frequent where counts are known, then by hash; it matters for speed alone.
+the first n - ceil(3n/4) + 1 of each (prefix filter). In the smaller of the two, whose overlap is 6/7 of it at least, it
+is even among the first n - ceil(6n/7) + 1, the head. So each shingle that stands in two prefixes and in the head of one
+is a block, of the sets that have it in their head and of larger ones that have it in their prefix. The order is from
+rare to frequent where counts are known, then by hash; it matters for speed alone. Texts of one template that do not
+link, however near they come, have heads of shingles of their own and share no block.
 
 Clusters. The least class of a block is its leader. All classes of a leader's blocks are searched in one R-tree, so
 a class is a point of few trees, and any two classes that share a block meet in one. A class belongs to the cluster
@@ -44,7 +47,7 @@ from cuegrid.llm.common import Seen, discard, join_texts, materialise, mix64, pr
 from cuegrid.llm.components import components
 
 SHINGLE, GROUPS, LEAF = 5, 256, 16
-#: A shingle of this many prefixes may be put late in the order; at most so many, the most frequent ones, are.
+#: A shingle of this many sets may be put late in the order; at most so many, the most frequent ones, are.
 COMMON, MOST_COMMON = 8, 100_000
 #: Rows of a tree, rows of a piece, and shingles of a piece (by its average), at most.
 TREE_ROWS, PIECE, PIECE_SHINGLES = 4096, 2048, 1 << 21
@@ -221,10 +224,9 @@ def linked_groups(home: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> n
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows of locally common prefix shingles (n_shingles = -1: hash in c1, count in c2)."""
+    """A row for each document, and rows of locally common shingles (n_shingles = -1: hash in c1, count in c2)."""
     names = ["doc_id", "n_shingles", "c1", "c2", "point"]
     held: list[np.ndarray] = []
-    nothing = np.zeros(0, np.uint64)
 
     def common(last: bool) -> Iterator[pa.RecordBatch]:
         if held and (last or sum(map(len, held)) > 2_000_000):
@@ -236,7 +238,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for at, values, bounds in shingle_sets(batch.column(1)):
-            held.append(prefix(values, bounds, nothing, nothing)[1])
+            held.append(values)
             yield from common(False)
             p = [packed(point(values[i:j], group_count(j - i))) if j > i else None for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), pa.array(np.diff(bounds)), pa.array(signed(set_class(values, bounds))), pa.array(signed(set_class(values, bounds, 2))), pa.array(p, pa.binary())], names)
@@ -294,7 +296,7 @@ class Join:
         self.common, self.level = np.array([c for c, _ in common], np.uint64), np.array([n for _, n in common], np.int64)
 
     def prefixes(self) -> DataFrame:
-        """(class, tokens): a class may come from several tasks."""
+        """(class, n, tokens): the set's size and prefix, in order; a class may come from several tasks."""
         common, level, clashes = self.common, self.level, self.clashes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,19 +308,21 @@ class Join:
                     n = np.bincount(row, minlength=len(name))
                     keep = seen.new(name) & (n > 0)
                     offsets = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(token[keep[row]])))], ["class", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(np.diff(bounds)[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(token[keep[row]])))], ["class", "n", "tokens"])
 
-        return materialise(self.rows.select("text").mapInArrow(run, "class long, tokens array<long>"), "prefixes")
+        return materialise(self.rows.select("text").mapInArrow(run, "class long, n long, tokens array<long>"), "prefixes")
 
     def blocks(self) -> DataFrame:
         """(token, class, leader) of all blocks of two classes or more; leader is the block's least class. The
         leaders are combined before their shuffle; the rows of a very common shingle then meet its leader in a
         join, whose hot partitions Spark splits."""
         prefixes = self.prefixes()
-        one = prefixes.select(F.explode("tokens").alias("token"), "class")
-        leaders = one.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader < last").select("token", "leader")
+        one = prefixes.select(F.posexplode("tokens").alias("place", "token"), "class", "n").withColumn("head", F.expr("place <= n - (6 * n + 6) div 7")).drop("place")
+        ends = F.when(F.col("head"), F.col("n"))
+        leaders = one.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.min(ends).alias("low"), F.max(ends).alias("high")).where("leader < last AND low IS NOT NULL").select("token", "leader", "low", "high")
         leaders = materialise(leaders, "leaders")
-        blocks = materialise(join_texts(one, leaders, "token", "inner"), "blocks")
+        met = join_texts(one, leaders, "token", "inner").where("head OR (n >= low AND 3 * n <= 4 * high)")
+        blocks = materialise(met.select("token", "class", "leader"), "blocks")
         discard(prefixes, leaders)
         return blocks
 

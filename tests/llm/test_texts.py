@@ -167,6 +167,21 @@ def test_classes_of_one_first_half_stay_apart():
     assert op3_jaccard.class_names(c1, c2, np.array([7])).tolist() == [7 ^ 1, 7 ^ 2, 9]
 
 
+@pytest.mark.parametrize("own", [54, 64])
+def test_near_misses_share_no_block(spark, own):
+    """Texts of one template with a Jaccard index of about 0.74 and 0.70, of which none link: what is compared grows
+    with their number, not with its square. A few that do link are found among them."""
+    template = [f"t{k}" for k in range(300)]
+    for m in (300, 600):
+        texts = [" ".join([*template, *(f"u{m}.{d}.{k}" for k in range(own))]) for d in range(m)]
+        near = [" ".join([*template, *(f"u{m}.{d}.{k}" for k in range(own - 30)), *(f"v{d}.{k}" for k in range(30))]) for d in (3, 5)]
+        join = op3_jaccard.Join(frame(spark, texts + near), piece=64)
+        blocks, placed = join.blocks().count(), join.searched().groupBy("node").count().agg({"count": "max"}).first()[0]
+        assert blocks < 4 * m and (placed or 0) <= 8, (m, blocks, placed)
+        got = {r.doc_id: r.component_id for r in join.result().collect()}
+        assert {k: v for k, v in got.items() if k != v} == {m: 3, m + 1: 5}
+
+
 def test_jaccard_of_rows_without_ids(spark):
     texts = near_texts(random.Random(8))
     for ids in ([None] * len(texts), [k if k % 3 == 0 else None for k in range(len(texts))]):
