@@ -208,7 +208,21 @@ def _turn_segments(spark, sf_dir) -> DataFrame:
     return one.select("media", "turn", "start_ms", "end_ms", "speaker", F.array_join(F.transform("w", lambda x: x["word"]), "").alias("text"), F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("words"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL},
+seg AS (SELECT media, turn, any_value(speaker) AS speaker, list(word ORDER BY pos) AS w, list(start_ms ORDER BY pos) AS s, list(end_ms ORDER BY pos) AS e, count(*) AS n FROM words GROUP BY media, turn),
+f AS (SELECT media, turn, CAST(1 AS BIGINT) AS b, CAST(1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS rem, CAST([] AS STRUCT(a BIGINT, z BIGINT)[]) AS blocks FROM seg
+  UNION ALL SELECT media, turn, coalesce(z + 1, b), coalesce(z, i) + 1, CASE WHEN z IS NULL THEN r2 END, CASE WHEN z IS NULL THEN blocks ELSE list_append(blocks, {{'a': b, 'z': z}}) END FROM (
+    SELECT *, CASE WHEN fits AND (i = n OR (good AND lasts >= 4000)) THEN i WHEN NOT fits THEN CASE WHEN coalesce(r2, greatest(b, i - 1)) = i AND i > b THEN i - 1 ELSE coalesce(r2, greatest(b, i - 1)) END END AS z FROM (
+      SELECT *, CASE WHEN good THEN i ELSE rem END AS r2, lasts <= 5000 AND i - b + 1 <= 14 AND list_sum(list_transform(w[b:i], lambda x: length(x))) + i - b <= 84 AS fits FROM (
+        SELECT f.*, seg.w, seg.n, i >= n OR regexp_matches(w[i], '[.?!;:,]$') OR s[i + 1] - e[i] >= 450 AS good, greatest(e[i] - s[b], 0) AS lasts FROM f JOIN seg ON seg.media = f.media AND seg.turn = f.turn WHERE b <= n)))),
+bl AS (SELECT f.media, f.turn, unnest(range(1, len(blocks) + 1)) AS k, unnest(blocks) AS x FROM f JOIN seg ON seg.media = f.media AND seg.turn = f.turn WHERE b = n + 1),
+c AS (SELECT bl.media, bl.turn, k, speaker, s[x.a] AS s, e[x.z] AS e, array_to_string(w[x.a:x.z], ' ') AS t, x.z - x.a + 1 AS n FROM bl JOIN seg ON seg.media = bl.media AND seg.turn = bl.turn),
+g AS (SELECT media, turn, k, speaker, CAST(1 AS BIGINT) AS block, s, e, t, n FROM c WHERE k = 1
+  UNION ALL SELECT c.media, c.turn, c.k, c.speaker, CASE WHEN tiny THEN block ELSE block + 1 END, CASE WHEN tiny THEN p.s ELSE c.s END, c.e, CASE WHEN tiny THEN p.t || ' ' || c.t ELSE c.t END, CASE WHEN tiny THEN p.n + c.n ELSE c.n END
+  FROM c JOIN (SELECT g.*, g.k + 1 AS nxt FROM g) p ON p.media = c.media AND p.turn = c.turn AND c.k = p.nxt, LATERAL (SELECT c.e - c.s < 1000 AND length(p.t) + 1 + length(c.t) <= 84 AND c.e - p.s <= 5000 AND p.n + c.n <= 14 AS tiny))
+SELECT media, turn, CAST(block AS INT) AS block, min(s) AS start_ms, max(e) AS end_ms, arg_max(t, k) AS text, CAST(arg_max(n, k) AS INT) AS n_words, any_value(speaker) AS speaker FROM g GROUP BY media, turn, block"""
+)
 def captions_split(spark, sf_dir):
     return folds.captions(_turn_segments(spark, sf_dir), ("media", "turn"))
 
@@ -233,7 +247,26 @@ def _windows(spark, sf_dir) -> DataFrame:
     return folds.translation_windows(cues)
 
 
-@query()
+@query(
+    ORACLES["translation_windows"].rsplit("\nSELECT media, CAST(window_id", 1)[0]
+    + """,
+win AS (SELECT media, window_id, min(start_ms) AS s, max(end_ms) AS e, string_agg(text, ' ' ORDER BY cue) AS t FROM f GROUP BY media, window_id),
+h AS (SELECT media, window_id, 1 AS i, '' AS held, CAST([] AS VARCHAR[]) AS cl, t FROM win
+  UNION ALL SELECT media, window_id, i + 1, CASE WHEN shut THEN '' ELSE now END, CASE WHEN shut THEN list_append(cl, trim(now)) ELSE cl END, t FROM (
+    SELECT *, regexp_matches(t[i], '[.!?。！？]') OR (regexp_matches(t[i], '[;:,，、]') AND length(trim(now)) >= 24) AS shut FROM (SELECT *, held || t[i] AS now FROM h WHERE i <= length(t)))),
+cl AS (SELECT media, window_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS c FROM (SELECT media, window_id, list_filter(list_append(cl, trim(held)), lambda y: y <> '') AS x FROM h WHERE i = length(t) + 1)),
+cw AS (SELECT *, string_split(c, ' ') AS w FROM cl),
+l AS (SELECT media, window_id, k, w, 2 AS i, [w[1]] AS lines FROM cw WHERE len(w) > 1 AND length(c) > 84
+  UNION ALL SELECT media, window_id, k, w, i + 1, CASE WHEN length(lines[len(lines)]) + 1 + length(w[i]) > 84 THEN list_append(lines, w[i]) ELSE list_append(lines[1:len(lines) - 1], lines[len(lines)] || ' ' || w[i]) END FROM l WHERE i <= len(w)),
+lines AS (SELECT media, window_id, k, lines FROM l WHERE i = len(w) + 1
+  UNION ALL SELECT media, window_id, k, CASE WHEN len(w) > 1 OR length(c) <= 24 THEN [c] ELSE list_transform(range(0, (length(c) + 23) // 24), lambda j: c[j * 24 + 1:j * 24 + 24]) END FROM cw WHERE NOT (len(w) > 1 AND length(c) > 84)),
+m0 AS (SELECT media, window_id, flatten(list(lines ORDER BY k)) AS b FROM lines GROUP BY media, window_id),
+m AS (SELECT m0.media, m0.window_id, s, e, b, false AS done FROM m0 JOIN win USING (media, window_id)
+  UNION ALL SELECT media, window_id, s, e, CASE WHEN stop THEN b ELSE list_concat(list_append(b[1:p - 1], b[p] || ' ' || b[p + 1]), b[p + 2:]) END, stop FROM (
+    SELECT *, len(b) <= 1 OR (e - s) * least_w >= 1000 * list_sum(v) AS stop, CASE WHEN j > 1 AND (j = len(b) OR v[j - 1] <= v[j + 1]) THEN j - 1 ELSE j END AS p FROM (
+      SELECT *, list_min(v) AS least_w, list_position(v, list_min(v)) AS j FROM (SELECT *, list_transform(b, lambda y: greatest(length(replace(y, ' ', '')), 1)) AS v FROM m WHERE NOT done))))
+SELECT media, CAST(window_id AS BIGINT) AS window_id, CAST(unnest(range(1, len(b) + 1)) AS INT) AS block, s AS start_ms, e AS end_ms, unnest(b) AS text FROM m WHERE done"""
+)
 def clauses_wrap(spark, sf_dir):
     windows = _windows(spark, sf_dir).withColumnRenamed("source_text", "translated_text")
     return folds.translated_blocks(windows, ("media", "window_id"))
@@ -822,13 +855,14 @@ def normal_paths(spark, sf_dir):
 
 @query(
     """SELECT p_partkey AS k, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS cased, position(' ' IN p_name) > 0 AS spaced, CAST(greatest(length(replace(p_name, ' ', '')), 1) AS INT) AS weight, CAST(len(string_split(p_name, ' ')) AS INT) AS n_words,
-  '00:00:' || lpad(CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN ',000' ELSE ',250' END AS uncarried,
-  '00:00:' || lpad(CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN ',000' ELSE ',250' END AS carried,
+  CASE WHEN p_partkey % 10 = 0 THEN '00:00:60,000' ELSE '00:00:' || lpad(CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN ',000' ELSE ',250' END END AS uncarried,
+  CASE WHEN p_partkey % 10 = 0 THEN '00:01:00,000' ELSE '00:00:' || lpad(CAST(p_size + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN ',000' ELSE ',250' END END AS carried,
   '/a' || chr(92) || ':b' || chr(92) || ',c' || chr(92) || '[' || CAST(p_partkey AS VARCHAR) || chr(92) || ']' AS escaped FROM part"""
 )
 def text_functions(spark, sf_dir):
     name = F.col("name")
-    seconds = F.col("n") + F.when(F.col("k") % 2 == 0, 0.9996).otherwise(0.25)
+    # At 59.9996 s the two formats differ: one carries into the minute.
+    seconds = F.when(F.col("k") % 10 == 0, 59.9996).otherwise(F.col("n") + F.when(F.col("k") % 2 == 0, 0.9996).otherwise(0.25))
     path = F.concat(F.lit("/a:b,c["), F.col("k").cast("string"), F.lit("]"))
     return _part(spark, sf_dir).select("k", X.sentence_case(name).alias("cased"), X.uses_spaces(name).alias("spaced"), X.block_weight(name).cast("int").alias("weight"), X.count_spoken(X.tokens(name)).alias("n_words"), X.srt_time_uncarried(seconds).alias("uncarried"), X.srt_time_seconds(seconds).alias("carried"), X.ass_escape(path).alias("escaped"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid import jobs
-from cuegrid.catalog import EVENTS_SQL, _event_words, _findings, query, shared_folder, table
+from cuegrid.catalog import EVENTS_SQL, ORACLES, PHRASES_SQL, _event_words, _findings, _turn_segments, _windows, query, shared_folder, table, words
+from cuegrid.functions import tables
 from cuegrid.operators import signal
+from cuegrid.plans import cards
 from cuegrid.sources import named_files
 from cuegrid.streaming import ingest, speakers
 
@@ -112,3 +114,44 @@ def batch_transcripts(spark, sf_dir):
         ingest.transcribe(spark, f"{out}/manifests", out, timed_words, "text").awaitTermination()
     made = ingest.ledger(spark, out)
     return made.select("media", "batch", "decision", "error", F.size(F.from_json("transcript", "segments array<struct<words: array<struct<word: string>>>>")["segments"][0]["words"]).cast("long").alias("n_words"))
+
+
+def _from_sql(spark, function: str, given: DataFrame) -> DataFrame:
+    """A table function called from SQL over a table."""
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM {function}(TABLE({{given}}))", given=given)
+
+
+@query(f"WITH {PHRASES_SQL} SELECT media, phrase_id, speaker, start_ms, end_ms, n_words, text FROM phrases")
+def phrases_by_function(spark, sf_dir):
+    return _from_sql(spark, "cue_phrases", words(spark, sf_dir).drop("turn"))
+
+
+@query(ORACLES["captions_split"])
+def captions_by_function(spark, sf_dir):
+    return _from_sql(spark, "cue_captions", _turn_segments(spark, sf_dir))
+
+
+@query(ORACLES["clauses_wrap"])
+def clauses_by_function(spark, sf_dir):
+    windows = _windows(spark, sf_dir).select("media", "window_id", "start_ms", "end_ms", F.col("source_text").alias("translated_text"))
+    return _from_sql(spark, "cue_clauses", windows)
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT p_partkey AS card, 0 AS paragraph, 60 AS size, p_name || ' ' || p_type || ' ' || p_name || ' ' || p_brand AS t FROM part UNION ALL SELECT p_partkey, 1, 40, repeat(p_type || ' ' || p_name || ' ', 4) || p_brand FROM part),
+w AS (SELECT card, paragraph, size, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM t),
+v AS (SELECT *, list_transform(w, lambda x: CAST(list_sum(list_transform(string_split(x, ''), lambda c: 250 + ascii(c) * 37 % 400)) AS BIGINT) * size) AS v, (250 + 32 * 37 % 400) * size AS s FROM w),
+f AS (SELECT card, paragraph, 2 AS i, w, v, s, [w[1]] AS lines, [v[1]] AS used FROM v
+  UNION ALL SELECT card, paragraph, i + 1, w, v, s, CASE WHEN fits THEN list_append(lines[1:len(lines) - 1], lines[len(lines)] || ' ' || w[i]) ELSE list_append(lines, w[i]) END, CASE WHEN fits THEN list_append(used[1:len(used) - 1], used[len(used)] + s + v[i]) ELSE list_append(used, v[i]) END
+  FROM (SELECT *, used[len(used)] + s + v[i] <= 1497000 AS fits FROM f WHERE i <= len(w))),
+l AS (SELECT card, paragraph, unnest(range(0, len(lines))) AS line, unnest(lines) AS text, unnest(used) AS width FROM f WHERE i = len(w) + 1),
+n AS (SELECT card, count(*) FILTER (paragraph = 0) AS a, count(*) FILTER (paragraph = 1) AS b FROM l GROUP BY card)
+SELECT card, CAST(paragraph AS INT) AS paragraph, CAST(line AS INT) AS line, text, CAST(1920000 - width AS BIGINT) AS twice_x, CAST(1080 - (a * 60 + (a - 1) * 14 + 28 + b * 40 + (b - 1) * 14) + 2 * CASE WHEN paragraph = 0 THEN line * 74 ELSE a * 60 + (a - 1) * 14 + 28 + line * 54 END AS BIGINT) AS twice_y FROM l JOIN n USING (card)"""
+)
+def card_lines(spark, sf_dir):
+    """Names and types of parts on cards, in a font whose glyphs follow a rule."""
+    widths = spark.range(32, 127).select(F.chr("id").alias("char"), (250 + F.col("id") * 37 % 400).alias("width"))
+    text = F.concat(F.concat_ws(" ", "p_name", "p_type", "p_name", "p_brand"), F.lit("\n\n"), F.repeat(F.concat("p_type", F.lit(" "), "p_name", F.lit(" ")), F.lit(4)), "p_brand")
+    made = cards.card_layout(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card"), text.alias("text")), widths, 60, 40)
+    return made.select("card", "paragraph", "line", "text", F.rint(F.col("x") * 2000).cast("long").alias("twice_x"), F.rint(F.col("y") * 2).cast("long").alias("twice_y"))

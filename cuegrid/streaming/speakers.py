@@ -25,7 +25,7 @@ _PHRASE = "phrase_id long, speaker string, start_ms long, end_ms long, n_words l
 _COLUMNS = ["phrase_id", "speaker", "start_ms", "end_ms", "n_words", "text", "last_start", "last_pos"]
 
 
-def _said(text: str, word: str | None) -> str:
+def said(text: str, word: str | None) -> str:
     """A phrase's words so far and one more: stripped, by a space, none before punctuation."""
     word = (word or "").strip()
     return re.sub(r" ([,.?!])", r"\1", f"{text} {word}".strip()) if word else text
@@ -64,7 +64,7 @@ class PhrasePacker(StatefulProcessor):
             elif start - phrase[3] >= self.silence_ms or phrase[1] and speaker and phrase[1] != speaker:
                 done.append(phrase)
                 phrase = [phrase[0] + 1, None, start, end, 0, "", start, pos]
-            phrase[1], phrase[3], phrase[4], phrase[5], phrase[6], phrase[7] = phrase[1] or speaker, end, phrase[4] + 1, _said(phrase[5], word), start, pos
+            phrase[1], phrase[3], phrase[4], phrase[5], phrase[6], phrase[7] = phrase[1] or speaker, end, phrase[4] + 1, said(phrase[5], word), start, pos
         if at:
             self.waiting.clear()
             if words[at:]:

@@ -171,3 +171,57 @@ def test_passes_end_as_they_should(spark):
         rest = {r.finding: r.details for r in made.collect() if not r.passed}
         assert rest.pop(7) == "d7" and all(d.endswith("[unresolved after max passes]") and d.count("unresolved") == 1 for d in rest.values())
         assert (not rest) == (ending == "passed")
+
+
+def test_table_functions_from_sql(spark):
+    from cuegrid.functions import tables
+
+    tables.register(spark)
+    words = spark.createDataFrame([(m, k, w, s, a, a + 100) for m in (1, None) for k, (w, s, a) in enumerate([("Hi", None, 0), (",", "x", 150), ("you", "y", 300), (" ", None, 1000), ("end", None, 1499)])], "media long, pos int, word string, speaker string, start_ms long, end_ms long")
+    got = spark.sql("SELECT * FROM cue_phrases(TABLE({w}), silence_ms => 500)", w=words)
+    want = islands.phrases(words, 500).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == 6
+    segments = spark.createDataFrame([(7, "a", 0, 3000, "no words here", None, None)], "id int, name string, start_ms long, end_ms long, text string, speaker string, words array<struct<word: string, start_ms: long, end_ms: long>>")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM cue_captions(TABLE({s}))", s=segments).collect()] == [(7, "a", 1, 0, 3000, "no words here", 3, None)]
+    with pytest.raises(Exception, match="no column pos"):
+        spark.sql("SELECT * FROM cue_phrases(TABLE({w}))", w=words.drop("pos")).collect()
+
+
+def test_cards_wrap_as_a_loop_does(spark):
+    from cuegrid.plans import cards
+
+    r = random.Random(6)
+    widths = {c: r.randint(100, 900) for c in "abcdefg "}
+    texts = ["", "  \n\n ", "one", "a" * 90 + " b", "x y\n \nz"] + ["\n\n".join(" ".join("".join(r.choice("abcdefgq") for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 3))) for _ in range(20)]
+    got = {}
+    frame = spark.createDataFrame(list(enumerate(texts)), "card int, text string")
+    for x in cards.card_layout(frame, spark.createDataFrame(list(widths.items()), "char string, width int"), 55, 37).collect():
+        got.setdefault(x.card, []).append((x.paragraph, x.line, x.text, round(x.x, 3), round(x.y, 3)))
+
+    def plain(text):
+        paragraphs = [p.strip() for p in text.strip().split("\n\n") if p.strip()]
+        wide = lambda t, size: sum(widths.get(c, 500) for c in t) * size / 1000
+        blocks = []
+        for k, p in enumerate(paragraphs):
+            size, lines = (60 if k == 0 else 40), []
+            for part in p.split("\n"):
+                words = part.split()
+                now = words[0] if words else ""
+                for w in words[1:]:
+                    if wide(f"{now} {w}", size) <= 1497:
+                        now += f" {w}"
+                    else:
+                        lines.append(now)
+                        now = w
+                lines.append(now)
+            blocks.append((lines, size, 55 if k == 0 else 37))
+        y = (1080 - sum(len(b) * h + (len(b) - 1) * 14 for b, _, h in blocks) - 28 * (len(blocks) - 1)) / 2
+        out = []
+        for k, (lines, size, h) in enumerate(blocks):
+            for n, line in enumerate(lines):
+                out.append((k, n, line, round((1920 - wide(line, size)) / 2, 3), round(y, 3)))
+                y += h + 14
+            y += 28 - 14
+        return out
+
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain(t) for k, t in enumerate(texts) if plain(t)}
