@@ -1054,4 +1054,4 @@ def missing_overlays(spark, sf_dir):
 
 
 # Queries in modules of their own register themselves here.
-from cuegrid import catalog_sources, catalog_stateful  # noqa: E402, F401
+from cuegrid import catalog_jobs, catalog_sources, catalog_stateful  # noqa: E402, F401

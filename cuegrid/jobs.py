@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cuegrid.functions import text as X
 from cuegrid.operators import edl, folds, islands, signal
 from cuegrid.plans import ffmpeg
-from cuegrid.sources import readers, sinks
+from cuegrid.sources import readers, sinks, wav
 from cuegrid.streaming import ingest
 
 
@@ -167,9 +167,11 @@ def contact_sheets(spark: SparkSession, manifest: str, output: str, probed: str,
     return _decided(media, existing, skip, overwrite).select("path", "output", "decision", wrong.alias("error"), F.when(wrong.isNull() & (F.col("decision") == "process"), plan).alias("argv"))
 
 
-def timeline_views(spark: SparkSession, manifest: str, output: str, probed: str, words_of: str | None = None, start: float = 0.0, end: float | None = None, frames: int = 10) -> DataFrame:
-    """(path, output, error, start, end, frame_argv, layout, ruler, labels): what a picture of each medium's timeline
-    is drawn from: its frames' argument lists, vertical places, ticks, and word labels (array, null without words)."""
+def timeline_views(spark: SparkSession, manifest: str, output: str, probed: str, words_of: str | None = None, start: float = 0.0, end: float | None = None, frames: int = 10, sounds: str | None = None) -> DataFrame:
+    """(path, output, error, start, end, frame_argv, sound_argv, layout, ruler, labels, silences, envelope): what a
+    picture of each medium's timeline is drawn from: the argument lists of its frames and its sound, vertical places,
+    ticks, word labels and silences (arrays, null without words), and the envelope of the sound (null where
+    ``sounds``, a folder of WAV files of the media's stems, has none)."""
     media = _outputs(_probed(readers.read_manifest(spark, manifest), spark, probed), output, "_timeline.png").withColumn("media", X.stem(F.col("path")))
     stop = F.lit(end).cast("double") if end is not None else F.col("duration")
     wrong = F.coalesce(F.when(F.col("duration").isNull(), "no duration"), ffmpeg.span_violation(F.lit(start), stop, F.col("duration")))
@@ -178,12 +180,30 @@ def timeline_views(spark: SparkSession, manifest: str, output: str, probed: str,
     step = (F.col("end") - F.col("start")) / F.greatest(n - 1, F.lit(1))
     times = F.when(n == 1, F.array((F.col("start") + F.col("end")) / 2)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("start") + k * step))
     shots = F.transform(times, lambda t, k: ffmpeg.frame_picture(F.col("path"), t, F.format_string("f_%03d.jpg", k)))
-    rows = media.select("media", "path", "output", "error", "start", "end", F.when(F.col("error").isNull(), shots).alias("frame_argv"), ffmpeg.timeline_layout(F.lit(ffmpeg.FRAME_HEIGHT), F.lit(ffmpeg.WAVE_HEIGHT)).alias("layout"), ffmpeg.ruler(F.col("start"), F.col("end")).alias("ruler"))
+    rows = media.select("media", "path", "output", "error", "start", "end", F.when(F.col("error").isNull(), shots).alias("frame_argv"), F.when(F.col("error").isNull(), ffmpeg.timeline_sound(F.col("path"), F.col("start"), F.col("end"), F.concat(F.col("media"), F.lit(".wav")))).alias("sound_argv"), ffmpeg.timeline_layout(F.lit(ffmpeg.FRAME_HEIGHT), F.lit(ffmpeg.WAVE_HEIGHT)).alias("layout"), ffmpeg.ruler(F.col("start"), F.col("end")).alias("ruler"))
+    if sounds is None:
+        rows = rows.withColumn("envelope", F.lit(None).cast("array<double>"))
+    else:
+        levels = wav.envelopes(wav.read_wav(spark, sounds), ffmpeg.CANVAS - 2 * ffmpeg.MARGIN).groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "level"))), lambda x: x["level"]).alias("envelope"))
+        rows = rows.join(levels.select(X.stem(F.col("path")).alias("media"), "envelope"), "media", "left")
     if words_of is None:
-        return rows.drop("media")
+        return rows.withColumns({k: F.lit(None) for k in ("labels", "silences")}).drop("media")
     words = readers.transcript_words(transcripts(spark, words_of)).withColumn("media", X.stem(F.col("media")))
     spans = rows.select("media", readers.ms(F.col("start")).alias("start_ms"), readers.ms(F.col("end")).alias("end_ms"))
-    return rows.join(ffmpeg.word_labels(words, spans), "media", "left").drop("media")
+    ranges = spans.select("media", F.col("start_ms").alias("range_start"), F.col("end_ms").alias("range_end"))
+    inside = words.join(ranges, "media").where("end_ms > range_start AND start_ms < range_end").select(*words.columns)
+    quiet = islands.silences(inside, ranges).groupBy("media").agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("silences"))
+    return rows.join(ffmpeg.word_labels(words, spans), "media", "left").join(quiet, "media", "left").drop("media")
+
+
+def boundary_views(spark: SparkSession, edls: str, videos: str, folder: str, frames: int = 4) -> DataFrame:
+    """(media, picture_no, cut_time, path, start, end, frame_argv): a picture of the timeline around every cut of the
+    renders {videos}/stem.mp4."""
+    _, cuts = _verified_media(spark, edls, None)
+    spans = signal.boundary_spans(cuts, folder)
+    video = F.concat(F.lit(videos + "/"), F.col("media"), F.lit(".mp4"))
+    shots = F.transform(signal.frame_times(F.col("start"), F.col("end"), frames), lambda t, k: ffmpeg.frame_picture(video, t, F.format_string("f_%03d.jpg", k)))
+    return spans.withColumn("frame_argv", shots)
 
 
 def grades(spark: SparkSession, manifest: str, output: str, preset: str | None = "subtle", custom: str | None = None) -> DataFrame:
@@ -231,12 +251,12 @@ def verify(spark: SparkSession, edls: str, probed: str, deltas: DataFrame, envel
     return findings, sinks.report_documents(findings, signal.report(findings))
 
 
-def _verified_media(spark: SparkSession, edls: str, probed: str) -> tuple[DataFrame, DataFrame]:
-    """The durations and cuts of the edit lists."""
+def _verified_media(spark: SparkSession, edls: str, probed: str | None) -> tuple[DataFrame | None, DataFrame]:
+    """The durations (None without probes) and cuts of the edit lists."""
     e = readers.read_json(spark, edls, readers.EDL).withColumnRenamed("media", "edl").withColumn("media", X.stem(F.col("edl")))
     ranges = readers.edl_ranges(e).withColumn("media", X.stem(F.col("edl")))
     stated = e.select("media", F.col("total_duration_s").alias("expected"))
-    durations = stated.join(probes(spark, probed).select(F.col("stem").alias("media"), F.col("duration").alias("actual")), "media", "left").select("media", "actual", "expected")
+    durations = None if probed is None else stated.join(probes(spark, probed).select(F.col("stem").alias("media"), F.col("duration").alias("actual")), "media", "left").select("media", "actual", "expected")
     cuts = islands.cut_boundaries(ranges.drop("edl").withColumnRenamed("media", "edl")).select(F.col("edl").alias("media"), (F.col("boundary_ms") / 1000).alias("cut_time"))
     return durations, cuts
 
@@ -285,7 +305,7 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
         "final-passes": lambda: final_passes(spark, a.input, a.base, out, a.probes, "bold-overlay" if a.style == "bold" else "natural-sentence"),
         "rough-cuts": lambda: three(("errors", "segments", "assemblies"), rough_cuts(spark, a.input, a.probes)),
         "contact-sheets": lambda: contact_sheets(spark, a.input, out, a.probes),
-        "timeline-views": lambda: timeline_views(spark, a.input, out, a.probes, a.words),
+        "timeline-views": lambda: timeline_views(spark, a.input, out, a.probes, a.words, sounds=a.sounds),
         "grades": lambda: grades(spark, a.input, out, a.grade),
         "loudness": lambda: loudness(spark, a.input, out, a.reports, a.probes),
         "verify": lambda: three(("findings", "documents"), verify(spark, a.input, a.probes, *(spark.read.parquet(f"{a.measured}/{x}") for x in ("deltas", "envelopes", "samples")), measure=measured_passes(spark, a.input, a.probes, a.measured), keep=_kept(spark, f"{a.output}_passes"), most=a.max_passes)),
@@ -313,6 +333,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--srt", help="captions of the media")
     p.add_argument("--measured", help="folder of the tables deltas, envelopes and samples")
     p.add_argument("--max-passes", type=int, default=3, help="how often what fails is checked again, against the folder's pass-1, pass-2 ...")
+    p.add_argument("--sounds", help="folder of WAV files of the media")
     p.add_argument("--base", help="folder of joined segments")
     p.add_argument("--media-output", help="folder of the media that the argument lists make")
     p.add_argument("--recogniser", help="module:function that returns the transcript of a path")

@@ -279,6 +279,15 @@ def captions(segments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return segments.select(*keys, "start_ms", "end_ms", "text", "speaker", "words").mapInPandas(run, schema)
 
 
+def segmentation_metadata(segments: DataFrame, blocks: DataFrame, media: str = "media") -> DataFrame:
+    """(media, applied, source_segment_count, segment_count, used_word_timestamps, and the limits) of ``captions`` made
+    of segments; a medium without a block has none of them."""
+    given = segments.groupBy(media).agg(F.count(F.lit(1)).alias("source_segment_count"), F.bool_or(F.coalesce(F.size("words") > 0, F.lit(False))).alias("used_word_timestamps"))
+    made = blocks.groupBy(media).agg(F.count(F.lit(1)).alias("segment_count"))
+    limits = {"target_duration_seconds": CAPTION_TARGET_MS / 1000, "max_duration_seconds": CAPTION_MAX_MS / 1000, "max_characters": CAPTION_CHARS, "max_words": CAPTION_WORDS}
+    return given.join(made, media, "left").select(media, F.lit(True).alias("applied"), "source_segment_count", F.coalesce("segment_count", F.lit(0)).alias("segment_count"), "used_word_timestamps", *(F.lit(v).alias(k) for k, v in limits.items()))
+
+
 def clauses(text: str) -> list[str]:
     """Clauses of a translation: hard punctuation always closes one, soft punctuation from 24 characters on."""
     out, held = [], ""

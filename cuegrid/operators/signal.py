@@ -276,3 +276,29 @@ def nearest_picture(findings: DataFrame, pictures: DataFrame, media: str = "medi
     near = findings.withColumn("_at", F.explode(F.sequence(place("cut_time") - 1, place("cut_time") + 1)))
     hits = near.join(p, [media, "_at"]).where(F.abs(F.col("cut_time") - F.col("_cut")) <= CUT_TOLERANCE).groupBy(media, "finding").agg(F.min_by("path", "picture_no").alias("timeline_png"))
     return findings.join(hits, [media, "finding"], "left")
+
+
+def boundary_spans(cuts: DataFrame, folder: str, media: str = "media", window: float = 1.5) -> DataFrame:
+    """(media, picture_no, cut_time, start, end, path): the span around every cut (media, cut_time) that a picture of it
+    shows, and the picture's name."""
+    number = F.row_number().over(W.partitionBy(media).orderBy("cut_time")) - 1
+    path = F.concat(F.lit(folder + "/"), F.col(media).cast("string"), F.format_string("/boundary_%03d_%.2fs.png", number, F.col("cut_time")))
+    return cuts.select(media, number.alias("picture_no"), "cut_time", F.greatest(F.col("cut_time") - window, F.lit(0.0)).alias("start"), (F.col("cut_time") + window).alias("end"), path.alias("path"))
+
+
+def with_pictures(findings: DataFrame, pictures: DataFrame, media: str = "media") -> DataFrame:
+    """Findings with timeline_png, the picture of each visual check's cut, and with new ones about the pictures (media,
+    picture_no, cut_time, path, error: null where it was made): how many there are, then each that could not be made."""
+    made, kinds = pictures.where("error IS NULL"), dict(findings.dtypes)
+    visual = F.col("check") == "visual_discontinuity"
+    seen = nearest_picture(findings.where(visual), made, media).unionByName(findings.where(~F.coalesce(visual, F.lit(False))).withColumn("timeline_png", F.lit(None).cast("string")))
+    n = pictures.groupBy(media).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("ok"))
+    whole = F.col("ok") == F.col("n")
+    text = F.when(F.col("ok") == 0, F.concat(F.lit("timeline PNG generation failed for all "), F.col("n"), F.lit(" cut boundary/ies"))).otherwise(F.concat(F.lit("Generated "), F.col("ok"), F.lit("/"), F.col("n"), F.lit(" timeline PNG(s)")))
+    row = lambda df, place, check, passed, severity, details: df.select(media, place.alias("_place"), F.lit(check).alias("check"), F.lit(None).cast(kinds["cut_time"]).alias("cut_time"), passed.alias("passed"), severity.alias("severity"), details.alias("details"), F.lit(None).cast("string").alias("timeline_png"))
+    failed = F.concat(F.lit("Timeline PNG failed at boundary "), F.col("picture_no"), F.lit(" ("), F.format_string("%.2f", "cut_time"), F.lit("s): "), F.col("error"))
+    more = row(n, F.lit(-1), "timeline_pngs", whole, F.when(whole, "info").otherwise("warning"), text).unionByName(row(pictures.where("error IS NOT NULL"), F.col("picture_no"), "timeline_png_generation", F.lit(False), F.lit("warning"), failed))
+    last = findings.groupBy(media).agg(F.max("finding").alias("_last"))
+    number = F.coalesce("_last", F.lit(0)) + F.row_number().over(W.partitionBy(media).orderBy("_place"))
+    numbered = more.join(last, media, "left").withColumn("finding", number.cast(kinds["finding"])).drop("_last", "_place")
+    return seen.unionByName(numbered)

@@ -161,6 +161,11 @@ def frame_picture(source: Column, at: Column, output: Column) -> Column:
     return argv("ffmpeg", "-y", "-ss", F.format_string("%.3f", at), "-i", source, "-frames:v", "1", "-q:v", "4", "-vf", "scale=320:-2", output)
 
 
+def timeline_sound(source: Column, start: Column, end: Column, output: Column) -> Column:
+    """The sound of a span as 16-bit mono PCM."""
+    return argv("ffmpeg", "-y", "-ss", F.format_string("%.3f", start), "-i", source, "-t", F.format_string("%.3f", end - start), "-vn", "-ac", "1", "-ar", "16000", "-c:a", "pcm_s16le", output)
+
+
 def copied(source: Column, output: Column) -> Column:
     """A copy of the streams; null where source and output are the same."""
     made = spliced(argv("ffmpeg", "-y", "-i", source, "-c", "copy"), optional(X.suffix(output) == ".mp4", "-movflags", "+faststart"), argv(output))

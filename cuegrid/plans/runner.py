@@ -11,7 +11,8 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def _call(arguments: list[str]) -> tuple[int, str]:
@@ -55,3 +56,24 @@ def transcribe(media: DataFrame, recognise: Callable[[str], dict], key: str = "m
             yield pd.DataFrame(rows, columns=[key, "transcript", "error"])
 
     return media.select(key, path).mapInPandas(work, f"{key} {kind}, transcript string, error string")
+
+
+# The names of backends, and the model of the one that has its own.
+WHISPER, OWN_MODEL = ("auto", "whisper"), {"elevenlabs": "scribe_v1"}
+
+
+def backend_choice(requested: Column, mlx: Column, faster: Column, key: Column) -> Column:
+    """struct<backend, error>: the backend of a request, by which there are (booleans) and whether there is a key for
+    the one that needs it. A general request takes the first that is there."""
+    general = requested.isin(*WHISPER)
+    backend = F.when((general | (requested == "mlx")) & mlx, "mlx").when((general | (requested == "faster-whisper")) & faster, "faster-whisper").when((requested == "elevenlabs") & key, "elevenlabs")
+    error = F.when(general, "no backend is available").when(requested.isin("mlx", "faster-whisper"), F.concat(requested, F.lit(" is not available"))).when(requested == "elevenlabs", "no key for elevenlabs").otherwise(F.concat(F.lit("unsupported backend: "), F.coalesce(requested, F.lit("none"))))
+    return F.struct(backend.alias("backend"), F.when(backend.isNull(), error).alias("error"))
+
+
+def model_name(backend: Column, model: Column) -> Column:
+    """The model that a backend really uses."""
+    out = model
+    for name, own in OWN_MODEL.items():
+        out = F.when(backend == name, own).otherwise(out)
+    return out

@@ -169,3 +169,22 @@ def test_edits_may_share_names_of_sources(spark, tmp_path):
     assert "/m/x.mov" in got["of_x.json"].argv and "-an" in got["of_x.json"].argv and "/m/y.mov" in got["of_y.json"].argv and "-an" not in got["of_y.json"].argv
     said = {r.edl.rsplit("/", 1)[1]: r.document for r in captions.collect()}
     assert "ALPHA" in said["of_x.json"] and "OMEGA" not in said["of_x.json"] and "OMEGA" in said["of_y.json"] and "ALPHA" not in said["of_y.json"]
+
+
+def test_timeline_views_have_sound_and_silences(spark, media, tmp_path):
+    import struct
+
+    import numpy as np
+
+    x = np.concatenate([np.zeros(4000), np.full(4000, 16384)]).astype("<i2").tobytes()
+    (tmp_path / "a.wav").write_bytes(b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(x)) + x)
+    views = {r.path: r for r in jobs.timeline_views(spark, f"{media}/list.txt", "/o", f"{media}/probes", f"{media}/words", sounds=str(tmp_path)).collect()}
+    a = views["/m/a.mov"]
+    assert len(a.envelope) == 1820 and a.envelope[0] == 0.0 and a.envelope[1500] == 1.0 and views["/m/b.mov"].envelope is None
+    assert [tuple(s) for s in a.silences] == [(0, 1000), (2200, 3800)] and views["/m/b.mov"].silences is None
+    assert a.sound_argv[:7] == ["ffmpeg", "-y", "-ss", "0.000", "-i", "/m/a.mov", "-t"] and a.sound_argv[7] == "4.000" and a.sound_argv[-1] == "a.wav"
+
+
+def test_boundary_views(spark, media):
+    (r,) = jobs.boundary_views(spark, f"{media}/edl/e.json", "/renders", "/pictures").collect()
+    assert (r.media, r.start, r.end, r.path) == ("e", 1.2, 4.2, "/pictures/e/boundary_000_2.70s.png") and len(r.frame_argv) == 4 and "/renders/e.mp4" in r.frame_argv[0]
