@@ -187,4 +187,4 @@ def test_timeline_views_have_sound_and_silences(spark, media, tmp_path):
 
 def test_boundary_views(spark, media):
     (r,) = jobs.boundary_views(spark, f"{media}/edl/e.json", "/renders", "/pictures").collect()
-    assert (r.media, r.start, r.end, r.path) == ("e", 1.2, 4.2, "/pictures/e/boundary_000_2.70s.png") and len(r.frame_argv) == 4 and "/renders/e.mp4" in r.frame_argv[0]
+    assert (r.media, round(r.start, 9), round(r.end, 9), r.path) == ("e", 1.2, 4.2, "/pictures/e/boundary_000_2.70s.png") and len(r.frame_argv) == 4 and "/renders/e.mp4" in r.frame_argv[0]
