@@ -117,7 +117,13 @@ class Track:
     tables: dict = field(default_factory=dict)
 
 
+def _need(n: int, at: int, end: int, kind: bytes) -> None:
+    if at + n > end:
+        raise ValueError(f"box {kind!r} at {at} is cut off: {n} bytes are needed, {end - at} are left")
+
+
 def _table(data: bytes, at: int, end: int, kind: str, width: int) -> np.ndarray:
+    _need(8, at, end, b"table")
     n = struct.unpack_from(">I", data, at + 4)[0]
     item = np.dtype(kind).itemsize
     if at + 8 + n * width * item > end:
@@ -157,14 +163,20 @@ def inspect(data: bytes) -> list[Track]:
             continue
         t = tracks[-1]
         if kind == b"mdhd":
+            _need(1, at, end, kind)
             long = data[at] == 1
+            _need(32 if long else 20, at, end, kind)
             t.timescale, t.duration = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
         elif kind == b"hdlr":
+            _need(12, at, end, kind)
             t.handler = data[at + 8 : at + 12].decode("latin-1")
         elif kind == b"stsd":
+            _need(16, at, end, kind)
             t.codec = data[at + 12 : at + 16].decode("latin-1")
         elif kind == b"stsz":
+            _need(12, at, end, kind)
             fixed, n = struct.unpack_from(">II", data, at + 4)
+            _need(12 if fixed else 12 + 4 * n, at, end, kind)
             t.tables["stsz"] = fixed, n, None if fixed else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
         elif kind in (b"stco", b"co64"):
             t.tables["stco"] = _table(data, at, end, ">u4" if kind == b"stco" else ">u8", 1)

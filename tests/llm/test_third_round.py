@@ -306,3 +306,36 @@ def test_hard_negatives_defined_cases(spark):
 
 def test_hard_negatives_equal_sql(spark, sf_dir):
     assert assert_same(negatives.op13_hard_negatives(spark, sf_dir), connection(sf_dir), negatives.ORACLES["op13_hard_negatives"]) > 0
+
+
+# --- what earlier operators lacked ---
+
+
+def test_cut_off_boxes_are_value_errors():
+    import struct
+
+    from cuegrid.llm import op4_media
+
+    box = lambda kind, body=b"": struct.pack(">I4s", 8 + len(body), kind) + body
+    inside = lambda x: box(b"moov", box(b"trak", box(b"mdia", x if x[4:8] in (b"mdhd", b"hdlr") else box(b"minf", box(b"stbl", x)))))
+    for kind, most in ((b"mdhd", 20), (b"hdlr", 12), (b"stsd", 16), (b"stsz", 12), (b"stco", 8), (b"stsc", 8)):
+        for n in range(most):
+            with pytest.raises(ValueError):
+                op4_media.inspect(inside(box(kind, b"\0" * n)))
+    with pytest.raises(ValueError):
+        op4_media.inspect(inside(box(b"stsz", struct.pack(">III", 0, 0, 9))))
+
+
+def test_long_texts_enter_the_start_of_the_states(spark, monkeypatch):
+    """A corpus of long texts alone starts from excerpts of them, not from the random state."""
+    from cuegrid.llm import hmm, op5_lmscore
+
+    monkeypatch.setattr(op5_lmscore, "START_CHARS", 2000)
+    monkeypatch.setattr(op5_lmscore, "START_ROUNDS", 1)
+    seen, expected = [], hmm.expected
+    monkeypatch.setattr(hmm, "expected", lambda m, symbols, bounds, into: seen.append(np.diff(bounds)) or expected(m, symbols, bounds, into))
+    r = random.Random(1)
+    docs = spark.createDataFrame([(k, " ".join(r.choice("the of and to in word".split()) for _ in range(3000))) for k in range(8)], "doc_id long, text string")
+    assert op5_lmscore.score(docs).count() == 8
+    # Excerpts of 2000 characters have about 600 of the words.
+    assert seen and 0 < max(n.max() for n in seen) < 800
