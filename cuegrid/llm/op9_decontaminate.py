@@ -6,14 +6,15 @@ cut into k + 1 pieces: at least one of them stands unchanged in any such passage
 found in one pass over a text (Aho-Corasick); hits of one item near the same diagonal form a region, and Myers'
 bit-parallel distance decides whether the item ends in that region with k edits at most.
 
-Items of fewer than SHORT characters may have no edit and must stand at word boundaries, as their pieces would be
-found by chance.
+Items of fewer than SHORT characters, to which the rate gives no edit, must stand at word boundaries, as they would be
+found by chance inside words.
 
 Different items are read in blocks of MAX_ITEM_CHARS characters at most, by a hash, so that what the driver and the
 executors hold is bounded; a larger benchmark takes more passes over the documents, and a block is released after
 its pass. However often an item is repeated, it is searched once; its ids are joined to what was found.
 
-Defined cases: null or empty items and texts match nothing; equal items are reported under each of their ids;
+Defined cases: null or empty items and texts match nothing; very long texts are read whole; an empty table of either
+kind gives no rows; equal items are reported under each of their ids;
 repeated documents are reported each; null doc_id and item_id are passed on; other columns are ignored.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from cuegrid.llm.common import materialise, prepare
 
 ERROR_RATE = 0.08
-SHORT = 20
+#: The fewest characters that the rate gives an edit.
+SHORT = 13
 MAX_ITEM_CHARS = 8_000_000
 
 

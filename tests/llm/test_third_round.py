@@ -339,3 +339,12 @@ def test_long_texts_enter_the_start_of_the_states(spark, monkeypatch):
     assert op5_lmscore.score(docs).count() == 8
     # Excerpts of 2000 characters have about 600 of the words.
     assert seen and 0 < max(n.max() for n in seen) < 800
+
+
+def test_items_have_an_edit_from_thirteen_characters_on(spark):
+    from cuegrid.llm import op9_decontaminate as op9
+
+    docs = spark.createDataFrame([(1, "say abcdefghijxlm now"), (2, "say abcdefghijklm now"), (3, "say abcdefghijxl now"), (4, "xabcdefghijkl"), (5, "abcdefghijkl")], "doc_id long, text string")
+    thirteen, twelve = (spark.createDataFrame([(7, t, "x")], "item_id long, text string, item string") for t in ("ABCDEFGHIJKLM", "abcdefghijkl"))
+    assert sorted((r.doc_id, r.distance) for r in op9.leaks(docs, thirteen).collect()) == [(1, 1), (2, 0), (4, 1), (5, 1)]
+    assert [(r.doc_id, r.distance) for r in op9.leaks(docs, twelve).collect()] == [(5, 0)]
