@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,11 @@ class Written(WriterCommitMessage):
     listing: str | None
 
 
+def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it. Hadoop also writes file:/ with one slash."""
+    return arrow_fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+
+
 def _safe(name: str | None) -> str:
     """A name that stays inside the folder."""
     clean = posixpath.normpath(name or "")
@@ -51,7 +57,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
         self.staging = f"{self.path}/.staging-{uuid.uuid4().hex}"
 
     def _fs(self, path: str) -> tuple[arrow_fs.FileSystem, str]:
-        return arrow_fs.FileSystem.from_uri(path)
+        return open_fs(path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, staging = self._fs(self.staging)

@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cuegrid.sources.named_files import open_fs
+
 SCHEMA = "path string, rate int, n_samples long, first long, pcm binary, error string"
 PIECE_BYTES = 8 << 20
 #: Bytes of samples in a row.
@@ -67,7 +69,7 @@ class WavReader(DataSourceReader):
         self.path, self.piece = path, piece
 
     def partitions(self) -> list[Piece]:
-        fs, path = arrow_fs.FileSystem.from_uri(self.path)
+        fs, path = open_fs(self.path)
         info = fs.get_file_info(path)
         found = fs.get_file_info(arrow_fs.FileSelector(path, recursive=True)) if info.type == arrow_fs.FileType.Directory else [info]
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
@@ -77,7 +79,7 @@ class WavReader(DataSourceReader):
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("n_samples", pa.int64()), ("first", pa.int64()), ("pcm", pa.binary()), ("error", pa.string())])
         row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(x, schema, strict=True)], schema=schema)
-        fs, path = arrow_fs.FileSystem.from_uri(partition.path)
+        fs, path = open_fs(partition.path)
         with fs.open_input_file(path) as f:
             try:
                 rate, data, n = sample_range(f, f.size())

@@ -14,7 +14,6 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyarrow import fs as arrow_fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +30,7 @@ LEDGER = "batch long, media string, path string, backend string, source_hash str
 
 def source_hash(path: str) -> str:
     """SHA-256 of a file's bytes, read piece by piece."""
-    fs, at = arrow_fs.FileSystem.from_uri(path)
+    fs, at = named_files.open_fs(path)
     h = hashlib.sha256()
     with fs.open_input_stream(at) as f:
         while piece := f.read(1 << 20):

@@ -19,6 +19,7 @@ def files_of(folder):
 
 def test_a_file_for_each_name_in_order(spark, tmp_path):
     rows = [(f"d{k % 7}/n{k % 7}.txt", k, f"{k} ") for k in range(700)]
+    assert named_files.open_fs("file:/a/b")[1] == named_files.open_fs("file:///a/b")[1] == named_files.open_fs("/a/b")[1] == "/a/b"
     df = spark.createDataFrame(rows, "name string, k long, document string").repartition(5, "k")
     named_files.write_files(df, f"{tmp_path}/out", part="k")
     assert files_of(tmp_path / "out") == {f"d{m}/n{m}.txt": "".join(f"{k} " for k in range(700) if k % 7 == m).encode() for m in range(7)}
