@@ -239,8 +239,9 @@ def capped_frames(n: Column, width: int = CANVAS - 2 * MARGIN) -> Column:
 
 
 def time_to_x(t: Column, start: Column, end: Column, width: int = CANVAS - 2 * MARGIN, left: int = MARGIN) -> Column:
-    """A time's place on the strip, cut to whole pixels."""
-    return (F.lit(left) + (t - start) / F.greatest(end - start, F.lit(1e-6)) * width).cast("int")
+    """A time's place on the strip, cut to whole pixels. Whole times are multiplied before they are divided, so that a
+    place on a pixel's edge is not rounded below it."""
+    return (F.lit(left) + (t - start) * width / F.greatest(end - start, F.lit(1e-6))).cast("int")
 
 
 def timeline_layout(frame_height: Column, wave_height: Column) -> Column:
