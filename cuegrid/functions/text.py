@@ -95,9 +95,9 @@ def srt_time_uncarried(seconds: Column) -> Column:
 
 
 def parse_srt_time(c: Column) -> Column:
-    """Milliseconds of HH:MM:SS,mmm; null for anything else."""
-    g = lambda k: F.regexp_extract(c, r"^(\d{2}):(\d{2}):(\d{2}),(\d{3})$", k).cast("long")
-    return F.when(c.rlike(r"^\d{2}:\d{2}:\d{2},\d{3}$"), ((g(1) * 60 + g(2)) * 60 + g(3)) * 1000 + g(4))
+    """Milliseconds of HH:MM:SS,mmm, as ``srt_time`` writes it: from 100 hours on with more digits; null for anything else."""
+    g = lambda k: F.regexp_extract(c, r"^(\d{2,9}):(\d{2}):(\d{2}),(\d{3})$", k).cast("long")
+    return F.when(c.rlike(r"^\d{2,9}:\d{2}:\d{2},\d{3}$"), ((g(1) * 60 + g(2)) * 60 + g(3)) * 1000 + g(4))
 
 
 def parse_time(c: Column) -> Column:
@@ -174,7 +174,7 @@ def register(spark) -> None:
     """The expressions that SQL text can use, as functions of the session."""
     q = r"""
     CREATE OR REPLACE TEMPORARY FUNCTION cue_collapse(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, '(?U)\\s+', ' '));
-    CREATE OR REPLACE TEMPORARY FUNCTION cue_timecode(ms BIGINT) RETURNS STRING RETURN concat(lpad(ms div 3600000, 2, '0'), ':', lpad(ms div 60000 % 60, 2, '0'), ':', lpad(ms div 1000 % 60, 2, '0'), '.', lpad(ms % 1000, 3, '0'));
+    CREATE OR REPLACE TEMPORARY FUNCTION cue_timecode(ms BIGINT) RETURNS STRING RETURN concat(lpad(ms div 3600000, greatest(2, length(ms div 3600000)), '0'), ':', lpad(ms div 60000 % 60, 2, '0'), ':', lpad(ms div 1000 % 60, 2, '0'), '.', lpad(ms % 1000, 3, '0'));
     CREATE OR REPLACE TEMPORARY FUNCTION cue_srt_time(ms BIGINT) RETURNS STRING RETURN replace(cue_timecode(ms), '.', ',');
     CREATE OR REPLACE TEMPORARY FUNCTION cue_overlaps(s BIGINT, e BIGINT, t0 BIGINT, t1 BIGINT) RETURNS BOOLEAN RETURN e > t0 AND s < t1
     """
