@@ -43,10 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Turns of conversations in a part: some 350,000 words of the given tables.
+TURNS = 4096
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Dealt by a key into parts of about so many rows, whose number grows with the table. Where rows are taken apart
+    afterwards, parts sized by bytes before that (as adaptive execution joins them) would hold too much."""
+    parts = max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media, turn, pos, word, speaker, start_ms, end_ms). Turns are summed up first, so that the window over a
     conversation sees a row for each turn, and the one over words sees one turn."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media"), "turn", F.col("role").alias("speaker"), X.tokens(F.col("text")).alias("w"))
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media"), "turn", F.col("role").alias("speaker"), "text")
+    turns = dealt(given, "media", TURNS).select("media", "turn", "speaker", X.tokens(F.col("text")).alias("w"))
     lasts = lambda w: (120 + 40 * F.length(w)).cast("long")
     pause = lambda w: F.when(w.rlike("[.?!]$"), 700).when(w.rlike("[,;:]$"), 300).otherwise(80).cast("long")
     total = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + lasts(w) + pause(w))
