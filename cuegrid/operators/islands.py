@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as X
+from cuegrid.operators.folds import _fold as fold
 
 PHRASE_SILENCE_MS = 500
 SILENCE_MS = 400
@@ -99,10 +100,16 @@ def chunk_text(words: Column, soft: str) -> Column:
 
 def bold_captions(cues: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, chunk, start_ms, end_ms, text): two upper-case words at a time, each cue's time in equal slices."""
-    words = cues.select(*keys, "start_ms", "end_ms", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
-    chunks = with_chunk(words, keys, breaks=X.HARD_PUNCTUATION + X.SOFT_PUNCTUATION).groupBy(*keys, "chunk").agg(F.first("start_ms").alias("s"), F.first("end_ms").alias("e"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    return chunks.withColumn("n", n).select(*keys, "chunk", X.even_slice(F.col("s"), F.col("e"), F.col("chunk") - 1, F.col("n")).alias("start_ms"), X.even_slice(F.col("s"), F.col("e"), F.col("chunk"), F.col("n")).alias("end_ms"), chunk_text(F.transform("w", lambda x: x["word"]), X.SOFT_PUNCTUATION).alias("text"))
+    closes = lambda w: F.rtrim(w).rlike(X.char_class(X.HARD_PUNCTUATION + X.SOFT_PUNCTUATION) + "$")
+    # A cue is one row: its words are dealt out inside it, without a shuffle or a sort.
+    step = lambda a, w: F.struct(((a["n"] + 1) % F.when(closes(w), 1).otherwise(2)).alias("n"), F.array_append(a["out"], a["n"] == 0).alias("out"))
+    cut = cues.select(*keys, "start_ms", "end_ms", X.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    begins = F.flatten(fold(F.col("w"), {"n": F.lit(0)}, step, "BOOLEAN")["outs"])
+    cut = cut.withColumn("first", F.filter(F.transform(begins, lambda b, k: F.when(b, k)), lambda k: k.isNotNull()))
+    chunks = cut.select("*", F.size("first").alias("n"), F.posexplode("first").alias("k", "at"))
+    size = F.coalesce(F.get("first", F.col("k") + 1), F.size("w")) - F.col("at")
+    text = chunk_text(F.slice("w", F.col("at") + 1, size), X.SOFT_PUNCTUATION)
+    return chunks.select(*keys, (F.col("k") + 1).cast("long").alias("chunk"), X.even_slice(F.col("start_ms"), F.col("end_ms"), F.col("k"), F.col("n")).alias("_s"), X.even_slice(F.col("start_ms"), F.col("end_ms"), F.col("k") + 1, F.col("n")).alias("_e"), text.alias("text")).withColumnsRenamed({"_s": "start_ms", "_e": "end_ms"})
 
 
 def cut_boundaries(ranges: DataFrame, edl: str = "edl", order: str = "range_idx") -> DataFrame:
