@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -261,22 +262,35 @@ def captions_of(words: list[dict], text: str, start_ms: int, end_ms: int, speake
     return merge_tiny([b for b in blocks if b["text"]])
 
 
+#: Rows of an Arrow batch that are Python values at once.
+PYTHON_ROWS = 64
+
+
+def row_parts(batches: Iterator[pa.RecordBatch], rows: int = PYTHON_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows: a batch has up to 10,000, whose nested values take many times their Arrow bytes
+    as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def captions(segments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, block, start_ms, end_ms, text, n_words, speaker) of segments (keys, start_ms, end_ms, text, speaker,
     words: array<struct<word, start_ms, end_ms>>, which may be null)."""
     kinds = dict(segments.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block int, start_ms long, end_ms long, text string, n_words int, speaker string"
+    made = [("block", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("text", pa.string()), ("n_words", pa.int32()), ("speaker", pa.string())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_parts(batches):
+            fields = pa.schema([*(batch.schema.field(k) for k in keys), *(pa.field(*f) for f in made)])
             rows = []
-            for r in pdf.itertuples(index=False):
-                words = [] if r.words is None else list(r.words)
-                for k, b in enumerate(captions_of(words, r.text or "", r.start_ms, r.end_ms, r.speaker), 1):
-                    rows.append((*(getattr(r, c) for c in keys), k, b["start_ms"], b["end_ms"], b["text"], b["n_words"], b["speaker"]))
-            yield pd.DataFrame(rows, columns=[*keys, "block", "start_ms", "end_ms", "text", "n_words", "speaker"])
+            for r in batch.to_pylist():
+                blocks = captions_of(r["words"] or [], r["text"] or "", r["start_ms"], r["end_ms"], r["speaker"])
+                rows += [{c: r[c] for c in keys} | {"block": k} | b for k, b in enumerate(blocks, 1)]
+            yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    return segments.select(*keys, "start_ms", "end_ms", "text", "speaker", "words").mapInPandas(run, schema)
+    return segments.select(*keys, "start_ms", "end_ms", "text", "speaker", "words").mapInArrow(run, schema)
 
 
 def segmentation_metadata(segments: DataFrame, blocks: DataFrame, media: str = "media") -> DataFrame:

@@ -14,6 +14,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -58,20 +59,22 @@ def _recognised(todo: DataFrame, recognise: Callable[[str], dict]) -> DataFrame:
     """Adds transcript (JSON, with backend and source_hash), or error where the recogniser raised one."""
     columns = ["media", "path", "backend", "source_hash", "decision", "error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kinds = pa.schema([(c, pa.string()) for c in ("media", "path", "backend", "source_hash", "decision", "transcript", "error")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in folds.row_parts(batches):  # a transcript may be large
             rows = []
-            for m, p, b, h, d, e in pdf[columns].itertuples(index=False):
-                made = None
-                if d in ("process", "overwrite") and e is None:
+            for r in part.to_pylist():
+                r["transcript"] = None
+                if r["decision"] in ("process", "overwrite") and r["error"] is None:
                     try:
-                        made = json.dumps(recognise(p) | {"backend": b, "source_hash": h}, ensure_ascii=False)
+                        r["transcript"] = json.dumps(recognise(r["path"]) | {"backend": r["backend"], "source_hash": r["source_hash"]}, ensure_ascii=False)
                     except Exception as problem:  # the row says so
-                        e = f"{type(problem).__name__}: {problem}"[:500]
-                rows.append((m, p, b, h, d, made, e))
-            yield pd.DataFrame(rows, columns=["media", "path", "backend", "source_hash", "decision", "transcript", "error"], dtype=object)
+                        r["error"] = f"{type(problem).__name__}: {problem}"[:500]
+                rows.append(r)
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return todo.select(*columns).mapInPandas(run, LEDGER.removeprefix("batch long, "))
+    return todo.select(*columns).mapInArrow(run, LEDGER.removeprefix("batch long, "))
 
 
 def ledger(spark: SparkSession, output: str) -> DataFrame:
