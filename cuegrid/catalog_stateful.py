@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid import jobs
-from cuegrid.catalog import EVENTS_SQL, ORACLES, PHRASES_SQL, _event_words, _findings, _turn_segments, _windows, query, shared_folder, table, words
+from cuegrid.catalog import EVENTS_SQL, ORACLES, PHRASES_SQL, _event_words, _findings, _turn_segments, _windows, dealt, query, shared_folder, table, words
 from cuegrid.functions import tables
 from cuegrid.operators import signal
 from cuegrid.plans import cards
@@ -16,6 +16,8 @@ from cuegrid.sources import named_files
 from cuegrid.streaming import ingest, speakers
 
 EVENT_SILENCE_MS = 1_800_000
+#: Cards in a part.
+CARDS = 16_384
 
 
 def _streamed(spark, sf_dir: str, name: str) -> DataFrame:
@@ -153,5 +155,6 @@ def card_lines(spark, sf_dir):
     """Names and types of parts on cards, in a font whose glyphs follow a rule."""
     widths = spark.range(32, 127).select(F.chr("id").alias("char"), (250 + F.col("id") * 37 % 400).alias("width"))
     text = F.concat(F.concat_ws(" ", "p_name", "p_type", "p_name", "p_brand"), F.lit("\n\n"), F.repeat(F.concat("p_type", F.lit(" "), "p_name", F.lit(" ")), F.lit(4)), "p_brand")
-    made = cards.card_layout(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card"), text.alias("text")), widths, 60, 40)
+    given = dealt(table(spark, sf_dir, "part"), "p_partkey", CARDS).select(F.col("p_partkey").alias("card"), text.alias("text"))
+    made = cards.card_layout(given, widths, 60, 40)
     return made.select("card", "paragraph", "line", "text", F.rint(F.col("x") * 2000).cast("long").alias("twice_x"), F.rint(F.col("y") * 2).cast("long").alias("twice_y"))

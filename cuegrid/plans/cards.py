@@ -1,49 +1,69 @@
 """Where the lines of a card stand: paragraphs wrapped by the widths of their glyphs, and centred. Drawing stays out.
 
 Widths are a table (char, width) in thousandths of the font's size; kerning is not in it. It holds a row for each
-character at most, which bounds its broadcast.
+character at most, which bounds its broadcast. A text is wrapped inside its row, without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as X
-from cuegrid.operators.folds import _fold
 
 # A card's size, the share of it that text may fill, font sizes and gaps.
 WIDTH, HEIGHT, SHARE = 1920, 1080, 0.78
 HEADER_SIZE, BODY_SIZE, PARAGRAPH_GAP, LINE_GAP = 60, 40, 28, 14
 
 
+def line_breaks(widths: DataFrame, most: int, default: int) -> Callable:
+    """A function of (words, whether each begins a line, font size) to a text's lines: (first word, width). ``widths``
+    (char, width) holds a row for each character at most and goes to the tasks as one array by code point."""
+    known = {r["char"]: r["u"] for r in widths.groupBy("char").agg(F.max(F.col("width").cast("long")).alias("u")).collect() if r["char"] and len(r["char"]) == 1 and r["u"] is not None}
+    table = np.full(max(map(ord, known), default=0) + 2, default, np.int64)
+    for c, u in known.items():
+        table[ord(c)] = u
+    shared, space = widths.sparkSession.sparkContext.broadcast(table), known.get(" ", default)
+
+    @F.pandas_udf("array<struct<first: int, width: bigint>>")
+    def breaks(words: pd.Series, begins: pd.Series, sizes: pd.Series) -> pd.Series:
+        units, out = shared.value, []
+        for text, begin, size in zip(words, begins, sizes, strict=True):
+            if text is None:
+                out.append(None)
+                continue
+            codes = np.frombuffer("".join(text).encode("utf-32-le"), "<u4")
+            upto = np.concatenate([[0], np.cumsum(units[np.minimum(codes, len(units) - 1)])])
+            wide = (np.diff(upto[np.cumsum([len(w) for w in text], dtype=np.int64)], prepend=0) * size).tolist()
+            lines, used, gap = [], 0, space * size
+            for k, (w, new) in enumerate(zip(wide, begin, strict=True)):
+                if new or used + gap + w > most * 1000:
+                    lines.append({"first": k, "width": w})
+                    used = w
+                else:
+                    lines[-1]["width"] = used = used + gap + w
+            out.append(lines)
+        return pd.Series(out)
+
+    return breaks
+
+
 def wrapped_lines(texts: DataFrame, widths: DataFrame, keys: tuple[str, ...], most: int, text: str = "text", size: str = "size", default: int = 500) -> DataFrame:
     """(keys, line, text, width) of texts (keys, text, size): each of their lines broken between words so that none is
     wider than ``most`` pixels, but for a single word; lines are numbered from 0, a blank one is empty. ``width`` is
     in thousandths of a pixel. Characters without a width have ``default`` thousandths of the size."""
-    glyphs = F.broadcast(widths.select(F.col("char").alias("_c"), F.col("width").cast("long").alias("_u")).groupBy("_c").agg(F.max("_u").alias("_u")))
-    rows = texts.select(*keys, F.col(size).cast("long").alias("_size"), F.posexplode(F.split(text, "\n")).alias("_part", "_t"))
-    each = rows.select(*keys, "_size", "_part", F.posexplode_outer(X.tokens(F.col("_t"))).alias("_k", "_word"))
-    spelled = each.withColumn("_c", F.explode(F.split(F.concat(F.coalesce("_word", F.lit("")), F.lit(" ")), "")))
-    units = F.sum(F.when(F.col("_c") == " ", 0).otherwise(F.coalesce("_u", F.lit(default))) * F.col("_size"))
-    space = F.max(F.when(F.col("_c") == " ", F.coalesce("_u", F.lit(default)) * F.col("_size")))
-    measured = spelled.join(glyphs, "_c", "left").groupBy(*keys, "_part", "_k").agg(F.first("_word").alias("_word"), units.cast("long").alias("_w"), space.cast("long").alias("_s"))
-    one = F.struct(F.coalesce("_k", F.lit(0)).alias("k"), F.coalesce("_word", F.lit("")).alias("word"), F.col("_w").alias("w"), F.col("_s").alias("s"))
-    parts = measured.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(one)).alias("words"))
-
-    def step(a, x):
-        wider = a["used"] + x["s"] + x["w"]
-        new = (a["used"] >= 0) & (wider > most * 1000)
-        used = F.when((a["used"] < 0) | new, x["w"]).otherwise(wider)
-        line = a["line"] + F.when(new, 1).otherwise(0)
-        return F.struct(line.alias("line"), used.alias("used"), F.array_append(a["out"], F.struct(line.alias("line"), used.alias("used"))).alias("out"))
-
-    placed = F.flatten(_fold(F.col("words"), {"line": F.lit(0), "used": F.lit(-1).cast("long")}, step, "STRUCT<line: INT, used: BIGINT>")["outs"])
-    flat = parts.select(*keys, "_part", F.explode(F.arrays_zip(F.col("words"), placed.alias("at"))).alias("x")).select(*keys, "_part", "x.words.k", "x.words.word", "x.at.line", "x.at.used")
-    made = flat.groupBy(*keys, "_part", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda y: y["word"]), " ").alias("text"), F.max_by("used", "k").alias("width"))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_part", "line")) - 1
-    return made.select(*keys, number.alias("line"), "text", "width")
+    lines = F.transform(F.split(text, "\n"), lambda t: F.when(F.size(X.tokens(t)) > 0, X.tokens(t)).otherwise(F.array(F.lit(""))))
+    rows = texts.select(*keys, F.col(size).cast("long").alias("_size"), F.flatten(lines).alias("words"), F.flatten(F.transform(lines, lambda p: F.transform(p, lambda _, k: k == 0))).alias("begins"))
+    breaks = line_breaks(widths, most, default)
+    broken = rows.select(*keys, "words", breaks("words", "begins", "_size").alias("at"))
+    each = broken.select("*", F.posexplode("at").alias("line", "here"))
+    end = F.coalesce(F.get("at", F.col("line") + 1)["first"], F.size("words"))
+    return each.select(*keys, "line", F.array_join(F.slice("words", F.col("here.first") + 1, end - F.col("here.first")), " ").alias("text"), F.col("here.width").alias("width"))
 
 
 def card_layout(cards: DataFrame, widths: DataFrame, header_height: int, body_height: int, key: str = "card", text: str = "text") -> DataFrame:
