@@ -6,11 +6,11 @@ combined in each task, then by a shuffle on the word's hash.
 Model. Symbols are the most frequent tokens (the end always is one), as many as the square root of the training
 tokens, between LEAST_SYMBOLS and MOST_SYMBOLS, and CLASSES spelling classes for all other words. A word outside
 the symbols has the probability of its class times (c + 1) / (Nc + Vc + 1) inside it, with Nc tokens and Vc
-distinct words of the class in training; so unseen words have a share as well. States start from what fits about
-START_DOCS texts, chosen by hash with a share that the count of documents gives; then they are fitted ROUNDS times
-by Baum-Welch over whole texts of all training documents: every task adds up its expected counts, and the sums by
-symbol are combined by a shuffle. The score is the exact likelihood of the whole token sequence by the scaled
-forward recursion.
+distinct words of the class in training; so unseen words have a share as well. States start from what fits the
+counts of all pairs of neighbours in training, START_SYMBOLS words as themselves and all others by their spelling
+class, a table of bounded size; then they are fitted ROUNDS times by Baum-Welch over whole texts of all training
+documents: every task adds up its expected counts, and the sums by symbol are combined by a shuffle. No text is left
+out of any of this. The score is the exact likelihood of the whole token sequence by the scaled forward recursion.
 
 The LEXICON most frequent words and their counts are held by the executors (a bounded size). The counts of the
 other words are joined by their hash; equal texts are joined once.
@@ -38,9 +38,8 @@ FOLDS, REST = 7, 2
 STATES, CLASSES = 8, 64
 LEAST_SYMBOLS, MOST_SYMBOLS = 1024, 1 << 16
 LEXICON = 1 << 19
-START_DOCS, START_ROUNDS, ROUNDS = 400, 12, 2
-#: Of a longer text the start takes an excerpt of so many characters at a hashed place; the rounds over all documents
-#: read it whole.
+START_SYMBOLS, START_ROUNDS, ROUNDS = 448, 30, 2
+#: Without effect since the start reads all texts whole; a test of the time when it took excerpts sets it.
 START_CHARS = 1 << 18
 #: Tokens that run through the recursions at once.
 TOKENS = 1 << 21
@@ -103,7 +102,7 @@ def vocabulary(h: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
 class Lexicon:
     """Counts of the frequent words, the symbols of the most frequent, and the sizes of the classes."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, kind_tokens: np.ndarray, kind_words: np.ndarray, n: int, v: int):
+    def __init__(self, h: np.ndarray, c: np.ndarray, kind: np.ndarray, kind_tokens: np.ndarray, kind_words: np.ndarray, n: int, v: int):
         top = vocabulary(h, c, n)
         symbol = np.full(len(h), -1, np.int32)
         symbol[top] = np.arange(len(top))
@@ -118,6 +117,9 @@ class Lexicon:
         share[self.small_symbol] = self.c[inside]
         share[self.known :] = kind_tokens
         self.unigram = (share + 0.1) / (share + 0.1).sum()
+        # Of every symbol and spelling class: its class at the start. Symbols are numbered from the most frequent on.
+        self.frequent = min(START_SYMBOLS, self.known)
+        self.start_class = np.concatenate([np.arange(self.frequent), self.frequent + kind[top[self.frequent :]], self.frequent + np.arange(CLASSES)])
 
     def symbols(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
         if not len(self.small):
@@ -158,7 +160,7 @@ def read_lexicon(counts: DataFrame, most: int = LEXICON) -> Lexicon:
         kind_tokens[r["kind"]], kind_words[r["kind"]] = r["tokens"], r["words"]
     kind_tokens -= np.bincount(kind[top], weights=c[top], minlength=CLASSES)
     kind_words -= np.bincount(kind[top], minlength=CLASSES)
-    return Lexicon(h, c, kind_tokens, kind_words, n, v)
+    return Lexicon(h, c, kind, kind_tokens, kind_words, n, v)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: int, symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,24 +178,51 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, symbols) -> Iterat
         yield np.concatenate(parts), np.array(ends)
 
 
+def neighbours(train: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(pair, n): how often two start classes follow each other in the texts of ``train``, as first * classes + second.
+    A task sends as many rows as there are pairs of classes at most."""
+    shared, classes = train.sparkSession.sparkContext.broadcast(lexicon), lexicon.frequent + CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * classes, np.int64)
+        for s, bounds in _gathered(batches, 0, shared.value.symbols):
+            kind = shared.value.start_class[s]
+            follows = np.ones(len(s), bool)
+            follows[bounds[:-1]] = False
+            at = np.flatnonzero(follows)
+            table += np.bincount(kind[at - 1] * classes + kind[at], minlength=len(table))
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], ["pair", "n"])
+
+    return train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def start(pairs: DataFrame, lexicon: Lexicon) -> hmm.Hmm:
+    """States fitted to the counts of ``neighbours``. A symbol has its share of what its start class has in a state."""
+    classes = lexicon.frequent + CLASSES
+    got = pairs.toArrow()
+    pair, n = got["pair"].to_numpy(), got["n"].to_numpy()
+    unigram = np.bincount(lexicon.start_class, weights=lexicon.unigram, minlength=classes)
+    model = hmm.start(STATES, unigram)
+    for _ in range(START_ROUNDS if len(n) else 0):
+        counts = hmm.Counts.none(STATES, classes)
+        # Pairs that occur n times: those with a bit set in n run together and count 2 ** bit times.
+        for bit in range(int(n.max()).bit_length()):
+            now = pair[(n >> bit) & 1 == 1]
+            part = hmm.Counts.none(STATES, classes)
+            hmm.expected(model, np.stack([now // classes, now % classes], 1).ravel(), 2 * np.arange(len(now) + 1), part)
+            for whole, more in ((counts.first, part.first), (counts.move, part.move), (counts.emit, part.emit)):
+                whole += more * 2.0**bit
+        model = hmm.estimate(counts, unigram)
+    share = lexicon.unigram / unigram[lexicon.start_class]
+    return hmm.Hmm(model.first, model.move, model.emit[lexicon.start_class] * share[:, None])
+
+
 def fit(train: DataFrame, lexicon: Lexicon) -> hmm.Hmm:
     """Baum-Welch over all rows of ``train`` (doc_id, text)."""
     spark = train.sparkSession
     width = lexicon.known + CLASSES
-    model = hmm.start(STATES, lexicon.unigram)
-    share = min(1.0, 2 * START_DOCS / max(lexicon.count(END), 1))
-    drawn = train.where((F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))) & (F.octet_length("text") > 0))
-    n = F.length("text")
-    place = (F.pmod(F.xxhash64("text"), F.greatest(n - START_CHARS, F.lit(1))) + 1).cast("int")
-    excerpt = F.when(n > START_CHARS, F.substring(F.col("text"), place, F.lit(START_CHARS))).otherwise(F.col("text"))
-    texts = sorted(r[0] for r in drawn.select(excerpt.alias("text")).distinct().limit(START_DOCS).collect())
-    if texts:
-        gathered = list(_gathered(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), 0, lexicon.symbols))
-        for _ in range(START_ROUNDS):
-            counts = hmm.Counts.none(STATES, width)
-            for s, b in gathered:
-                hmm.expected(model, s, b, counts)
-            model = hmm.estimate(counts, lexicon.unigram)
+    model = start(neighbours(train, lexicon), lexicon)
     shared = spark.sparkContext.broadcast(lexicon)
     columns = [f"g{k}" for k in range(STATES)]
     for _ in range(ROUNDS):
