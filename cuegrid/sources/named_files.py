@@ -16,7 +16,9 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -27,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 SCHEMA = "name string, part long, content binary"
+#: Files that a commit looks up in one call, and threads that move them: a file system answers one by one slowly.
+CHUNK, THREADS = 1024, 16
 
 
 @dataclass
@@ -99,17 +103,23 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         fs, folder = self._fs(self.path)
-        there = lambda name: fs.get_file_info(f"{folder}/{name}").type != arrow_fs.FileType.NotFound
+        there = lambda names: {n for n, i in zip(names, fs.get_file_info([f"{folder}/{n}" for n in names]), strict=True) if i.type != arrow_fs.FileType.NotFound}
+        made: set[str] = set()
         try:
             if self.exists == "fail":
-                for _, name in self._pairs(fs, messages):
-                    if there(name):
+                for pairs in batched(self._pairs(fs, messages), CHUNK, strict=False):
+                    for name in sorted(there([name for _, name in pairs])):
                         raise FileExistsError(f"{self.path}/{name}")
-            for at, name in self._pairs(fs, messages):
-                if self.exists == "skip" and there(name):
-                    continue
-                fs.create_dir(posixpath.dirname(f"{folder}/{name}"), recursive=True)
-                fs.move(at, f"{folder}/{name}")
+            with ThreadPoolExecutor(THREADS) as threads:
+                for pairs in batched(self._pairs(fs, messages), CHUNK, strict=False):
+                    # Of two files of one name the last stays, or the first where names that are taken are left.
+                    moves = {name: at for at, name in (reversed(pairs) if self.exists == "skip" else pairs)}
+                    for name in there(list(moves)) if self.exists == "skip" else ():
+                        del moves[name]
+                    for parent in {posixpath.dirname(f"{folder}/{name}") for name in moves} - made:
+                        fs.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    list(threads.map(lambda name, moves=moves: fs.move(moves[name], f"{folder}/{name}"), moves))
         finally:
             self._clean()
 

@@ -46,17 +46,31 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("media"), F.col("content").cast("string").alias("value"))
 
 
+def _braced(value: Column) -> Column:
+    """Whether a text that is JSON is an object. A variant's schema would say so as well, but takes all its fields."""
+    return value.rlike(r"^[\s\x{FEFF}]*\{")
+
+
 def json_error(value: Column) -> Column:
     """Why a text is not one JSON object; null if it is."""
     parsed = F.try_parse_json(value)
-    return F.when(~F.coalesce(value, F.lit("")).rlike(r"\S"), "empty").when(parsed.isNull(), "not JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not an object")
+    return F.when(~F.coalesce(value, F.lit("")).rlike(r"\S"), "empty").when(parsed.isNull(), "not JSON").when(~_braced(value), "not an object")
+
+
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """(media, value) of the files that are one JSON object; the others are rows of ``rejects``."""
+    return _whole_files(spark, path).where(json_error(F.col("value")).isNull())
+
+
+def json_fields(files: DataFrame, schema: str) -> DataFrame:
+    """The fields of ``json_files``, and ``media``. A field of another kind is null."""
+    return files.select(F.from_json("value", schema).alias("j"), "media").select("j.*", "media")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object for each file, with its path as ``media``. A field of another kind is null; a file that is not one
     JSON object is left out here and a row of ``rejects``."""
-    good = _whole_files(spark, path).where(json_error(F.col("value")).isNull())
-    return good.select(F.from_json("value", schema).alias("j"), "media").select("j.*", "media")
+    return json_fields(json_files(spark, path), schema)
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -79,10 +93,10 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _variant_words(words: Column) -> Column:
-    """array<WORD> of an array of variants; what is no object has no fields."""
-    fields = {"word": "string", "text": "string", "start": "double", "end": "double", "speaker": "string", "speaker_id": "string", "type": "string"}
-    return F.transform(words, lambda w: F.struct(*(_get(w, f"$.{k}", t).alias(k) for k, t in fields.items())))
+def _variant_words(v: Column) -> Column:
+    """array<WORD> of a variant's field ``words``, taken over in one step; what is no object has no fields."""
+    none = F.from_json(F.lit("{}"), "word STRING, text STRING, start DOUBLE, end DOUBLE, speaker STRING, speaker_id STRING, type STRING")
+    return F.transform(_get(v, "$.words", f"array<{WORD}>"), lambda w: F.coalesce(w, none))
 
 
 def _is_list(v: Column) -> Column:
@@ -101,7 +115,7 @@ def _variant_segments(v: Column) -> Column:
 
     def one(s: Column) -> Column:
         third = lambda k: (_get(s, f"$[{k}]", "double") / 1000)
-        given = F.struct(_get(s, "$.start", "double").alias("start"), _get(s, "$.end", "double").alias("end"), _get(s, "$.text", "string").alias("text"), _get(s, "$.speaker_id", "string").alias("speaker_id"), F.coalesce(_variant_words(_get(s, "$.words", "array<variant>")), none).alias("words"))
+        given = F.struct(_get(s, "$.start", "double").alias("start"), _get(s, "$.end", "double").alias("end"), _get(s, "$.text", "string").alias("text"), _get(s, "$.speaker_id", "string").alias("speaker_id"), F.coalesce(_variant_words(s), none).alias("words"))
         listed = F.struct(third(0).alias("start"), third(1).alias("end"), _get(s, "$[2]", "string").alias("text"), F.lit(None).cast("string").alias("speaker_id"), none.alias("words"))
         return F.when(_is_list(s), listed).otherwise(given)
 
@@ -113,8 +127,9 @@ def parse_transcripts(documents: DataFrame, value: str = "value") -> DataFrame:
     v = F.col("_v")
     events = F.transform(_get(v, "$.audio_events", "array<variant>"), lambda e: F.struct(_get(e, "$.text", "string").alias("text"), _get(e, "$.start", "double").alias("start"), _get(e, "$.end", "double").alias("end"), _get(e, "$.type", "string").alias("type")))
     text = lambda k: _get(v, f"$.{k}", "string").alias(k)
-    good = documents.withColumn("_v", F.try_parse_json(value)).where(json_error(F.col(value)).isNull() & segment_error(v).isNull())
-    return good.select("media", text("text"), F.coalesce(_get(v, "$.language", "string"), _get(v, "$.language_code", "string")).alias("language"), text("language_code"), text("backend"), text("source_hash"), _variant_words(_get(v, "$.words", "array<variant>")).alias("words"), _variant_segments(v).alias("segments"), events.alias("audio_events"))
+    # A row's text is parsed once: a filter over a parsed column would be pushed below it, and parse again for each use.
+    good = documents.select("media", F.explode(F.filter(F.array(F.try_parse_json(value)), lambda x: x.isNotNull() & _braced(F.col(value)) & segment_error(x).isNull())).alias("_v"))
+    return good.select("media", text("text"), F.coalesce(_get(v, "$.language", "string"), _get(v, "$.language_code", "string")).alias("language"), text("language_code"), text("backend"), text("source_hash"), _variant_words(v).alias("words"), _variant_segments(v).alias("segments"), events.alias("audio_events"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +149,11 @@ def audio_events(transcripts: DataFrame, media: str = "media") -> DataFrame:
 def transcript_words(transcripts: DataFrame, media: str = "media") -> DataFrame:
     """(media, pos, word, start_ms, end_ms, speaker, type): flat words win over those of segments; words without
     start or end are dropped; ``text`` counts as word, ``speaker_id`` as speaker."""
-    inner = F.flatten(F.transform(F.coalesce("segments", F.expr("CAST(ARRAY() AS ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, speaker_id: STRING, words: ARRAY<" + WORD + ">>>)")), lambda s: F.coalesce(s["words"], F.expr(f"CAST(ARRAY() AS ARRAY<{WORD}>)"))))
-    words = F.when(F.size(F.coalesce("words", F.array())) > 0, F.col("words")).otherwise(inner)
+    none = F.expr(f"CAST(ARRAY() AS ARRAY<{WORD}>)")
+    inner = lambda segments: F.flatten(F.transform(F.coalesce(segments, F.expr("CAST(ARRAY() AS ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, speaker_id: STRING, words: ARRAY<" + WORD + ">>>)")), lambda s: F.coalesce(s["words"], none)))
+    # Inside one value, as an exploded expression is worked out again wherever it is named.
+    given = F.array(F.struct(F.coalesce("words", none).alias("words"), F.col("segments").alias("segments")))
+    words = F.transform(given, lambda t: F.when(F.size(t["words"]) > 0, t["words"]).otherwise(inner(t["segments"])))[0]
     rows = transcripts.select(media, F.posexplode(words).alias("pos", "w")).where("w.start IS NOT NULL AND w.end IS NOT NULL")
     return rows.select(media, "pos", F.coalesce("w.word", "w.text").alias("word"), ms(F.col("w.start")).alias("start_ms"), ms(F.col("w.end")).alias("end_ms"), F.coalesce("w.speaker", "w.speaker_id").alias("speaker"), F.col("w.type").alias("type"))
 
@@ -179,10 +197,14 @@ def tuple_segments(rows: DataFrame, column: str = "segment") -> DataFrame:
 def parse_srt(documents: DataFrame, column: str = "value", media: str = "media") -> DataFrame:
     """(media, block, cue, start_ms, end_ms, text, error) of SRT texts: blocks split at blank lines."""
     body = F.replace(F.replace(F.regexp_replace(column, "^﻿", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    blocks = documents.select(media, F.posexplode(F.filter(F.split(F.trim(body), r"\n\s*\n"), lambda b: F.trim(b) != "")).alias("block", "b"))
-    lines = F.filter(F.transform(F.split("b", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    times = F.split(F.try_element_at(lines, F.lit(2)), r"\s*-->\s*")
-    rows = blocks.select(media, "block", F.try_element_at(lines, F.lit(1)).try_cast("int").alias("cue"), X.parse_srt_time(F.try_element_at(times, F.lit(1))).alias("start_ms"), X.parse_srt_time(F.try_element_at(times, F.lit(2))).alias("end_ms"), F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), " ").alias("text"), F.size(lines).alias("n"))
+    # A block's lines and times are worked out before it becomes a row: columns and filters below name them many times.
+    parted = F.transform(F.filter(F.split(F.trim(body), r"\n\s*\n"), lambda b: F.trim(b) != ""), lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    split = F.transform(parted, lambda l: F.struct(l.alias("l"), F.split(F.try_element_at(l, F.lit(2)), r"\s*-->\s*").alias("t")))
+    time = lambda b, k: X.parse_srt_time(F.try_element_at(b["t"], F.lit(k)))
+    timed = F.transform(split, lambda b: F.struct(b["l"].alias("l"), time(b, 1).alias("start_ms"), time(b, 2).alias("end_ms")))
+    blocks = documents.select(media, F.posexplode(timed).alias("block", "b")).select(media, "block", "b.*")
+    lines = F.col("l")
+    rows = blocks.select(media, "block", F.try_element_at(lines, F.lit(1)).try_cast("int").alias("cue"), "start_ms", "end_ms", F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), " ").alias("text"), F.size(lines).alias("n"))
     error = F.when(F.col("n") < 3, "a block needs an index, times and text").when(F.col("cue").isNull(), "the index is not a number").when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "malformed times")
     return rows.withColumn("error", error).drop("n")
 
