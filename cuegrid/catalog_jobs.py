@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _written(spark, documents: DataFrame, name: str, ending: str, media: str = "
     return folder
 
 
+def _keep(spark) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables to a fresh folder and reads them back."""
+    return jobs._kept(spark, shared_folder(spark, "kept"))
+
+
 def _numbered(df: DataFrame, media: str = "media") -> DataFrame:
     """Media that are paths again as the numbers in their names."""
     return df.withColumn(media, X.stem(F.col(media)).cast("long"))
@@ -37,7 +44,8 @@ def job_pack(spark, sf_dir):
 
 def _edit_files(spark, sf_dir: str) -> tuple[str, str, str]:
     """Folders of edit lists (each calls its conversation A), transcripts and probes."""
-    edit = Edit(spark, sf_dir)
+    edit, keep = Edit(spark, sf_dir), _keep(spark)
+    edit.words = keep(edit.words, "words")
     second = lambda c: F.col(c) / 1000
     one = F.struct("range_idx", F.struct(F.lit("A").alias("source"), second("start_ms").alias("start"), second("end_ms").alias("end")).alias("r"))
     listed = F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"])
@@ -45,14 +53,14 @@ def _edit_files(spark, sf_dir: str) -> tuple[str, str, str]:
     lists = edit.ranges.groupBy("edl").agg(F.to_json(body).alias("document"))
     ends = edit.words.groupBy("media").agg(((F.max("end_ms") + 10) / 1000).alias("d"))
     probes = ends.select("media", F.to_json(F.struct(F.struct(F.col("d").cast("string").alias("duration")).alias("format"), F.array(F.struct(F.when(F.col("media") % 2 == 0, "audio").otherwise("video").alias("codec_type"))).alias("streams"))).alias("document"))
-    return _written(spark, lists, "edits", ".json", "edl"), _transcript_files(spark, sf_dir), _written(spark, probes, "probes", ".json")
+    return _written(spark, lists, "edits", ".json", "edl"), _written(spark, sinks.transcript_documents(edit.words), "transcripts", ".json"), _written(spark, probes, "probes", ".json")
 
 
 @query(f"WITH {BOUNDS_SQL} SELECT edl, CAST(range_idx AS INT) AS range_idx, cut_start, cut_end, edl % 2 = 0 AS sound FROM bounds")
 def job_edit_segments(spark, sf_dir):
     """Edit lists read with transcripts and probes, and cut: all call their source A."""
     lists, transcripts, probes = _edit_files(spark, sf_dir)
-    _, segments, _ = jobs.edit_plan(spark, lists, transcripts, probed=probes)
+    _, segments, _ = jobs.edit_plan(spark, lists, transcripts, probed=probes, keep=_keep(spark))
     return _numbered(segments, "edl").select("edl", "range_idx", "cut_start", "cut_end", (~F.array_contains("argv", "-an")).alias("sound"))
 
 
@@ -68,7 +76,7 @@ SELECT edl, string_agg(CAST(cue AS VARCHAR) || chr(10) || {_code_sql('b', ',')}
 )
 def job_edit_captions(spark, sf_dir):
     lists, transcripts, probes = _edit_files(spark, sf_dir)
-    _, _, captions = jobs.edit_plan(spark, lists, transcripts, probed=probes)
+    _, _, captions = jobs.edit_plan(spark, lists, transcripts, probed=probes, keep=_keep(spark))
     return _numbered(captions, "edl")
 
 

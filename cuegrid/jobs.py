@@ -96,12 +96,15 @@ def translation_errors(spark: SparkSession, path: str, srt: str, source: str, ta
     return whole.unionByName(edl.payload_violations(want, got).withColumn("rule", F.col("rule") + 10)).select("media", "window_id", "rule", "message")
 
 
-def edit_plan(spark: SparkSession, edls: str, words_of: str, quality: str = "final", probed: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def edit_plan(spark: SparkSession, edls: str, words_of: str, quality: str = "final", probed: str | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(violations, segments with their argument lists, captions) of every edit list. A source's transcript is the
     file with its stem, and so is its probe, which gives its end and whether it has sound (where there is none: yes).
-    Bounds are worked out once and shared by segments and captions."""
-    e = readers.read_json(spark, edls, readers.EDL).withColumnRenamed("media", "edl")
-    heads = readers.read_json(spark, edls, "version INT, grade STRING, sources STRING, subtitles STRING, overlays STRING").withColumnRenamed("media", "edl")
+    ``keep`` writes a table and reads it back (``_kept``): with it every file is read once, and ranges with their words
+    are worked out once for segments and captions."""
+    keep = keep or (lambda df, name: df)
+    files = keep(readers.json_files(spark, edls), "lists")
+    e = readers.json_fields(files, readers.EDL).withColumnRenamed("media", "edl")
+    heads = readers.json_fields(files, "version INT, grade STRING, sources STRING, subtitles STRING, overlays STRING").withColumnRenamed("media", "edl")
     sources, ranges, overlays = readers.edl_sources(e), readers.edl_ranges(e), readers.edl_overlays(e)
     raw = e.select("edl", F.posexplode("ranges").alias("range_idx", "r")).select("edl", "range_idx", "r.source", "r.start", "r.end", "r.grade")
     none = lambda c: F.lit(None).cast("int").alias(c)
@@ -109,10 +112,10 @@ def edit_plan(spark: SparkSession, edls: str, words_of: str, quality: str = "fin
     bad = bad.unionByName(edl.overlay_violations(overlays).select("edl", none("range_idx"), "overlay_idx", "rule", "message"))
     # Two edits may give one name to different media, so words, ends and probes go by the medium behind the name.
     media = sources.withColumn("medium", X.stem(F.col("path")))
-    words = readers.spoken(readers.transcript_words(transcripts(spark, words_of))).select(X.stem(F.col("media")).alias("medium"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
+    words = readers.spoken(readers.transcript_words(keep(transcripts(spark, words_of).select("media", "words", "segments"), "transcripts"))).select(X.stem(F.col("media")).alias("medium"), "pos", "word", F.col("start_ms").alias("word_start"), F.col("end_ms").alias("word_end"))
     placed = ranges.select("edl", "range_idx", "source", "start_ms", "end_ms").join(media.select("edl", "source", "medium").distinct(), ["edl", "source"], "left")
-    joined = edl.ranges_with_words(placed, words, source="medium")
-    known = _probed(media, spark, probed)
+    joined = keep(edl.ranges_with_words(keep(placed, "ranges"), words, source="medium"), "joined")
+    known = keep(_probed(media, spark, probed), "sources")
     lengths = known.where("duration IS NOT NULL").groupBy("medium").agg(readers.ms(F.min("duration")).alias("duration_ms"))
     bounds = edl.snapped_and_padded(joined, lengths, source="medium")
     segments = bounds.join(placed.select("edl", "range_idx", "source"), ["edl", "range_idx"]).join(known.drop("medium"), ["edl", "source"]).join(ranges.select("edl", "range_idx", "grade", "edl_grade"), ["edl", "range_idx"])
@@ -301,7 +304,7 @@ def _jobs(spark: SparkSession, a: argparse.Namespace) -> dict:
         "translation-template": lambda: translation_template(spark, a.input, *a.languages),
         "translated-subtitles": lambda: {"documents": translated_subtitles(spark, a.input)} | ({"errors": translation_errors(spark, a.input, a.srt, *a.languages)} if a.srt else {}),
         "styled-captions": lambda: styled_captions(spark, a.input, a.style),
-        "edit-plan": lambda: three(("violations", "segments", "captions"), edit_plan(spark, a.input, a.words, probed=a.probes)),
+        "edit-plan": lambda: three(("violations", "segments", "captions"), edit_plan(spark, a.input, a.words, probed=a.probes, keep=_kept(spark, f"{a.output}_parts"))),
         "final-passes": lambda: final_passes(spark, a.input, a.base, out, a.probes, "bold-overlay" if a.style == "bold" else "natural-sentence"),
         "rough-cuts": lambda: three(("errors", "segments", "assemblies"), rough_cuts(spark, a.input, a.probes)),
         "contact-sheets": lambda: contact_sheets(spark, a.input, out, a.probes),

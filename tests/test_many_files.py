@@ -4,7 +4,9 @@ import json
 
 import pytest
 from pyarrow import fs as arrow_fs
+from pyspark.sql import functions as F
 
+from cuegrid import jobs
 from cuegrid.sources import named_files, readers
 
 
@@ -67,3 +69,18 @@ def test_a_transcript_is_parsed_once(spark):
     assert plan(read).count("parseJson") == 1
     (r,) = read.collect()
     assert [tuple(w) for w in r.words] == [("a", None, 0.5, 1.0, None, None, "3"), (None,) * 7, (None,) * 7, (None, None, None, 2.0, None, None, None)]
+
+
+def test_an_edit_plan_reads_every_file_once(spark, tmp_path):
+    for name, body in (("edl", {"version": 1, "sources": {"A": "/m/x.mov"}, "ranges": [{"source": "A", "start": 0.9, "end": 2}]}), ("words", {"words": [{"word": "alpha", "start": 1.0, "end": 2.0}]}), ("probes", {"format": {"duration": "9"}, "streams": []})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(json.dumps(body))
+    kept = []
+    keep = jobs._kept(spark, f"file://{tmp_path}/kept")
+    made = jobs.edit_plan(spark, f"{tmp_path}/edl", f"{tmp_path}/words", probed=f"{tmp_path}/probes", keep=lambda df, name: kept.append(name) or keep(df, name))
+    plain = jobs.edit_plan(spark, f"{tmp_path}/edl", f"{tmp_path}/words", probed=f"{tmp_path}/probes")
+    for got, want in zip(made, plain, strict=True):
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "binaryFile" not in text and "FileScan text" not in text
+        assert got.select(F.to_json(F.struct("*"))).collect() == want.select(F.to_json(F.struct("*"))).collect()
+    assert len(kept) == len(set(kept)) and "ALPHA" in made[2].first().document
