@@ -80,11 +80,11 @@ def cache_state(inputs: DataFrame, cached: DataFrame, key: str = "media") -> Dat
     return inputs.join(c, key, "left").withColumn("fresh", F.coalesce(ok, F.lit(False))).drop("_backend", "_hash")
 
 
-def skip_decision(inputs: DataFrame, existing: DataFrame, cached: DataFrame, key: str = "media", outputs: int = 3) -> DataFrame:
+def skip_decision(inputs: DataFrame, existing: DataFrame, cached: DataFrame, key: str = "media", outputs: int = 3, some: str = "process") -> DataFrame:
     """Adds decision for runs that skip what is done: skip if all outputs are there (existing: key, output) and the
-    cache is fresh, overwrite if they are there and stale, else process."""
+    cache is fresh, overwrite if they are there and stale, ``some`` if only some are there, else process."""
     there = existing.groupBy(key).agg((F.count_distinct("output") >= outputs).alias("_there"))
-    decision = F.when(F.coalesce("_there", F.lit(False)), F.when(F.col("fresh"), "skip").otherwise("overwrite")).otherwise("process")
+    decision = F.when(F.col("_there"), F.when(F.col("fresh"), "skip").otherwise("overwrite")).when(~F.col("_there"), some).otherwise("process")
     return cache_state(inputs, cached, key).join(there, key, "left").withColumn("decision", decision).drop("_there", "fresh")
 
 

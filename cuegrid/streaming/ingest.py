@@ -85,13 +85,18 @@ def ledger(spark: SparkSession, output: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def existing_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """(media, output) of the files that are there; only their names are read."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_name").alias("name"))
-    except AnalysisException:
-        return spark.createDataFrame([], "media string, output string")
-    return found.select(X.stem(F.col("name")).alias("media"), X.suffix(F.col("name")).alias("output")).where(F.col("output").isin(*ENDINGS))
+def existing_outputs(media: DataFrame, folder: str) -> DataFrame:
+    """(media, output) of those outputs of the media that are there. Tasks look them up by name: a listing of the folder
+    would pass through the driver, with all that earlier batches made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = named_files.open_fs(folder)
+        for pdf in batches:
+            wanted = [(m, ending) for m in pdf["media"] for ending in ENDINGS]
+            found = fs.get_file_info([f"{at}/{m}{ending}" for m, ending in wanted])
+            yield pd.DataFrame([w for w, f in zip(wanted, found, strict=True) if f.is_file], columns=["media", "output"])
+
+    return media.select("media").mapInPandas(run, "media string, output string")
 
 
 def documents(transcripts: DataFrame) -> DataFrame:
@@ -134,12 +139,10 @@ def _decided_and_recognised(manifests: DataFrame, batch: int, output: str, recog
     hashed = _hashed(given.where("_k = 1")).withColumn("backend", F.lit(backend))
     before = ledger(spark, output).where(F.col("error").isNull() & F.col("transcript").isNotNull() & (F.col("batch") < batch))
     cached = before.groupBy("media").agg(F.max_by(F.struct("backend", "source_hash"), "batch").alias("c")).select("media", "c.backend", "c.source_hash")
-    there = existing_outputs(spark, f"{output}/files")
+    there = existing_outputs(given.where("_k = 1"), f"{output}/files")
     if skip_existing:
-        decided = sinks.skip_decision(hashed, there, cached)
         # Some outputs without all of them are refused like any that exist.
-        some = there.select("media").distinct().withColumn("_some", F.lit(True))
-        decided = decided.join(some, "media", "left").withColumn("decision", F.when((F.col("decision") == "process") & F.coalesce("_some", F.lit(False)), "overwrite" if overwrite else "fail").otherwise(F.col("decision")))
+        decided = sinks.skip_decision(hashed, there, cached, some="overwrite" if overwrite else "fail")
     else:
         decided = sinks.output_decision(hashed, there.select("media").distinct(), key="media", overwrite=overwrite)
     decided = decided.withColumn("error", F.coalesce("error", F.when(F.col("decision") == "fail", "its outputs exist")))
