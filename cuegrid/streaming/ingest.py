@@ -104,8 +104,10 @@ def documents(transcripts: DataFrame) -> DataFrame:
     read = readers.parse_transcripts(transcripts.select("media", F.col("transcript").alias("value")))
     made = folds.captions(readers.transcript_segments(read), ("media", "segment"))
     cues = made.select("media", F.row_number().over(W.partitionBy("media").orderBy("segment", "block")).alias("cue"), "start_ms", "end_ms", "text", "speaker")
-    of = lambda df, ending: transcripts.select("media").join(df, "media", "left").select("media", F.concat("media", F.lit(ending)).alias("name"), F.coalesce("document", F.lit("")).alias("document"))
-    return of(sinks.txt_documents(cues), ".txt").unionByName(of(sinks.srt_documents(cues, speaker="speaker"), ".srt")).unionByName(of(transcripts.select("media", F.col("transcript").alias("document")), ".json"))
+    named = lambda df, ending: df.select("media", F.concat("media", F.lit(ending)).alias("name"), F.coalesce("document", F.lit("")).alias("document"))
+    # Whole documents must not be broadcast, whatever size is guessed for what is made of the ledger's packed texts.
+    of = lambda df, ending: named(transcripts.select("media").join(df.hint("merge"), "media", "left"), ending)
+    return of(sinks.txt_documents(cues), ".txt").unionByName(of(sinks.srt_documents(cues, speaker="speaker"), ".srt")).unionByName(named(transcripts.select("media", F.col("transcript").alias("document")), ".json"))
 
 
 def one_batch(manifests: DataFrame, batch: int, output: str, recognise: Callable[[str], dict], backend: str, skip_existing: bool = True, overwrite: bool = False) -> DataFrame:
@@ -138,8 +140,8 @@ def _decided_and_recognised(manifests: DataFrame, batch: int, output: str, recog
     given = paths.withColumn("_k", place)
     hashed = _hashed(given.where("_k = 1")).withColumn("backend", F.lit(backend))
     before = ledger(spark, output).where(F.col("error").isNull() & F.col("transcript").isNotNull() & (F.col("batch") < batch))
-    cached = before.groupBy("media").agg(F.max_by(F.struct("backend", "source_hash"), "batch").alias("c")).select("media", "c.backend", "c.source_hash")
-    there = existing_outputs(given.where("_k = 1"), f"{output}/files")
+    cached = before.groupBy("media").agg(F.max_by(F.struct("backend", "source_hash"), "batch").alias("c")).select("media", "c.backend", "c.source_hash").hint("merge")
+    there = existing_outputs(given.where("_k = 1"), f"{output}/files").hint("merge")
     if skip_existing:
         # Some outputs without all of them are refused like any that exist.
         decided = sinks.skip_decision(hashed, there, cached, some="overwrite" if overwrite else "fail")

@@ -44,3 +44,20 @@ def test_empty_and_hidden_outputs_are_there(spark, tmp_path):
     got = {(r.batch, r.media): (r.decision, r.error) for r in ingest.ledger(spark, str(out)).collect()}
     assert got == {(k, name): (("process", "skip")[k], None) for k in range(2) for name in ("quiet", "_hidden", "a")}
     assert (out / "files" / "quiet.txt").read_text() == ""
+
+
+def test_documents_are_not_broadcast(spark, tmp_path):
+    """Small tables of the kind that is broadcast if nothing is said: at size, documents are guessed to be small as well."""
+    said = [("a", '{"segments": [{"start": 0, "end": 2, "text": "hi there", "words": []}]}'), ("quiet", '{"segments": []}')]
+    at = str(tmp_path / "out" / "ledger" / "batch=0")
+    ledger = [(0, m, f"/m/{m}.mp3", "mine", "h", "process", t, None) for m, t in said]
+    spark.createDataFrame(ledger, ingest.LEDGER).write.parquet(at)
+    transcripts = spark.read.schema(ingest.LEDGER).parquet(at).select("media", "transcript")
+    made_of = ingest.documents(transcripts)
+    got = {r.name: r.document for r in made_of.collect()}
+    assert got == {"a.json": said[0][1], "a.srt": "1\n00:00:00,000 --> 00:00:02,000\nhi there\n", "a.txt": "[00:00:00.000 --> 00:00:02.000] hi there\n", "quiet.json": said[1][1], "quiet.srt": "", "quiet.txt": ""}
+    spark.createDataFrame([("/l", 0, "/m/a.mp3")], "manifest string, line_no int, line string").write.parquet(str(tmp_path / "lines"))
+    decided = ingest._decided_and_recognised(spark.read.parquet(str(tmp_path / "lines")), 1, str(tmp_path / "out"), recogniser(), "mine", True, False)
+    for df in (made_of, decided):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
